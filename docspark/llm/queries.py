@@ -8,10 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding
+from . import bpe, packing, pii, secrets, sharding, spans
 from .common import table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans_of(table(spark, sf_dir, "documents"))
+    base = F.col("base")
+    return found.select(
+        "doc_id",
+        *(spans.count(base, k).alias(f"n_{pii.KINDS[k]}") for k in range(pii.TERM)),
+        F.sha2(spans.listed(base, pii.KINDS), 256).alias("base_sha256"),
+        spans.listed(F.col("all"), pii.KINDS).alias("spans"),
+    )
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -21,6 +32,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.decode(encoded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("secrets.base")
+    return found.select(
+        "doc_id",
+        *(spans.count(base, k).alias(f"n_{secrets.KINDS[k]}") for k in range(secrets.BASE)),
+        F.sha2(spans.listed(base, secrets.KINDS), 256).alias("base_sha256"),
+        spans.listed(F.col("secrets.all"), secrets.KINDS).alias("spans"),
+    )
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(made)
@@ -32,7 +54,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
     "op5_byte_bpe": op5_byte_bpe,
+    "op7_secret_scan": op7_secret_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_sharding": op10_sharding,
 }
