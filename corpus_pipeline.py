@@ -1,12 +1,59 @@
-"""Placeholder of the corpus pipeline's stages; see STAGES."""
+"""A corpus pipeline over ``documents``: quality filter, near-duplicate removal, PII sanitisation, sequence packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. ``run`` writes each
+stage's result to the shared checkpoint folder and goes on from there.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
+from docspark.llm import ngram_join, packing, pii, quality
+from docspark.llm.common import cut, table
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SHINGLE_WORDS = 5
+SIMILAR_PERCENT = 80
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that the classifier scores at the threshold or above."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, out="_score")
+    return scored.filter(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of least id of each component of similar documents; rows without an id are all kept."""
+    found = ngram_join.similar(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
+    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"])
+    return rows.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
+def pii_sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data and the terms that disclose it; ``n_chars`` follows the new text."""
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents and their places in sequences."""
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("quality", quality_filter),
+    ("near_duplicates", near_duplicates),
+    ("pii", pii_sanitisation),
+    ("packing", sequence_packing),
+]
 
-STAGES: list = []
+#: The classifier, the tokenizer and the packing have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,7 +26,7 @@ from .vectors import Shard, search, usable
 SHARD_ROWS = 4096
 M = 16
 EF_BUILD = 64
-EF_SEARCH = 96
+EF_SEARCH = 128
 BATCH = 512
 
 
@@ -82,6 +82,7 @@ def chosen(points: np.ndarray, nodes: np.ndarray, ids: np.ndarray, width: int) -
         bad = (cand < 0) | (cand == node[:, None])
         sim[bad] = -np.inf
         order = np.argsort(-sim, axis=1, kind="stable")
+        order = order[:, : 2 * width]
         sim, cand = np.take_along_axis(sim, order, 1), np.take_along_axis(cand, order, 1)
         vec = np.take_along_axis(vec, order[:, :, None], 1)
         among = vec @ vec.transpose(0, 2, 1)
@@ -121,7 +122,14 @@ def layer_graph(points: np.ndarray, n: int, width: int, upper: list[np.ndarray])
         place = np.arange(len(to)) - np.repeat(begin, count)
         back = np.full((len(target), int(count.max())), -1, dtype=np.int32)
         back[np.repeat(np.arange(len(target)), count), place] = frm
-        graph[target] = chosen(points, target, np.concatenate([graph[target], back], axis=1), width)
+        # lists with room take the links as they are, full ones choose anew
+        held = (graph[target] >= 0).sum(axis=1)
+        room = held + count <= width
+        r, c = np.nonzero((back >= 0) & room[:, None])
+        graph[target[r], held[r] + c] = back[r, c]
+        full = ~room
+        if full.any():
+            graph[target[full]] = chosen(points, target[full], np.concatenate([graph[target[full]], back[full]], axis=1), width)
         have = int(batch[-1]) + 1
     return graph
 

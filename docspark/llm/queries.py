@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, maxscore, ngram_join, packing, pii, quality, secrets, sharding, spans
+from . import ann, bpe, chat, maxscore, ngram_join, packing, pii, quality, secrets, sharding, spans
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -75,6 +79,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_pii": op2_pii,
+    "op3_chat_repair": op3_chat_repair,
     "op4_quality": op4_quality,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_ann": op6_ann,
