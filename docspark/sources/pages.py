@@ -4,25 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 REFERENCE = "struct<title:string,url:string>"
-#: A loaded page.
-PAGE = T.StructType.fromDDL(
+#: Schemas as DDL, since modules are imported before there is a session. A loaded page.
+PAGE = (
     f"page_id string, title string, url string, version_when string, storage string, view string, attachments map<string,{REFERENCE}>, space string, created string, author string"
 )
-EDGE = T.StructType.fromDDL("parent_id string, child_id string, title string, ord int")
-LABEL = T.StructType.fromDDL("page_id string, label string")
-USER = T.StructType.fromDDL("user_key string, display_name string, username string")
-STATE = T.StructType.fromDDL("page_id string, version_when string")
-REMOTE = T.StructType.fromDDL("page_id string, title string, number int, content_hash string")
+EDGE = "parent_id string, child_id string, title string, ord int"
+LABEL = "page_id string, label string"
+USER = "user_key string, display_name string, username string"
+STATE = "page_id string, version_when string"
+REMOTE = "page_id string, title string, number int, content_hash string"
 #: A page as a server's JSON gives it; unknown fields are ignored and missing ones are null.
-PAGE_JSON = T.StructType.fromDDL(
+PAGE_JSON = (
     "id string, title string, version struct<when:string,number:int>, space struct<key:string>, "
     "history struct<createdDate:string,createdBy:struct<displayName:string>>, "
     "body struct<storage:struct<value:string>,view:struct<value:string>>, _links struct<base:string,webui:string>"
 )
-SEARCH_JSON = T.StructType.fromDDL("results array<struct<title:string,space:struct<key:string>,_links:struct<webui:string>>>, start int, `limit` int, size int")
+SEARCH_JSON = "results array<struct<title:string,space:struct<key:string>,_links:struct<webui:string>>>, start int, `limit` int, size int"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
