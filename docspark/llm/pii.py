@@ -141,8 +141,10 @@ def redact(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     _, more = sanitise(df, text, key)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS[:TERM]))
     value = F.coalesce(F.col(text), F.lit(""))
-    rows = df.withColumns({"_key": F.col(key), "_th": F.xxhash64(value), "_base": base_spans(value)})
-    clean = rows.filter(F.size("_base") == 0).select(*df.columns)
+    # the row travels as one column, so that no name of its own can clash
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), F.xxhash64(value).alias("_th"), base_spans(value).alias("_base"))
+    clean = rows.filter(F.size("_base") == 0).select("_row.*")
     dirty = on_document(rows.filter(F.size("_base") > 0), more).withColumn("_all", spans.ordered("_base", "_more"))
     by = lambda s: F.when(s["kind"] == TERM, s["match"]).otherwise(F.element_at(names, s["kind"] + 1))
-    return clean.unionByName(dirty.withColumn(text, spans.replaced(value, F.col("_all"), by)).select(*df.columns))
+    new = spans.replaced(F.col("_row")[text], F.col("_all"), by)
+    return clean.unionByName(dirty.select(*((new if c == text else F.col("_row")[c]).alias(c) for c in df.columns)))

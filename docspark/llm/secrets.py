@@ -120,5 +120,8 @@ def scan(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with every secret in ``text`` replaced by its kind in brackets."""
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    found = scan(df, text, "_secrets")
-    return found.withColumn(text, F.when(F.size("_secrets.all") == 0, F.col(text)).otherwise(spans.replaced(F.col(text), F.col("_secrets.all"), lambda s: F.element_at(names, s["kind"] + 1)))).drop("_secrets")
+    # the row travels as one column, so that no name of its own can clash
+    rows = scan(df.select(F.struct(*df.columns).alias("_row"), F.col(text).alias("_text")), "_text", "_found")
+    found = F.col("_found.all")
+    new = F.when(F.size(found) == 0, F.col("_text")).otherwise(spans.replaced(F.col("_text"), found, lambda s: F.element_at(names, s["kind"] + 1)))
+    return rows.select(*((new if c == text else F.col("_row")[c]).alias(c) for c in df.columns))
