@@ -11,10 +11,11 @@ Documents are sets of word shingles; two link when ``100 * intersection >= perce
 3. Lists are joined by signature trees: leaves hold members of like size; every tree node holds the OR of its members' bitmaps,
    the range of their sizes and the largest count of shingles that share bits. A traversal of the tree against itself prunes
    pairs of tree nodes whose sizes or greatest possible overlap can't link; pairs that remain are compared exactly, unless
-   their members are in one component already. A first round gives each node to one list, in blocks of at most ``BLOCK``, which
-   joins most copies; the second takes all lists in which several components are left. There the largest component's members
+   their members are in one component already. A first round compares nodes with the same first shingle, in blocks of about ``BLOCK``,
+   which joins most copies; the second takes all lists in which several components are left. There the largest component's members
    are only held against the others, so a list of thousands of copies costs no pairs among them. Long lists are dealt into pairs
-   of blocks, so no task holds a whole list, and no link is lost.
+   of blocks, so no task holds a whole list, and no link is lost. Signatures go first; sets follow for the members that
+   signatures leave a partner.
 4. The links between components go through large-star and small-star steps.
 
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text with fewer words than a shingle is one shingle; a
@@ -37,13 +38,14 @@ from .common import cut, shuffle_partitions
 from .components import components
 from .textvec import mix, shingles, slice_hashes, slices, u64, utf8, words
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 SKETCH_BLOCK = 1 << 14
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 BLOCK = 1024
 LEAF = 16
 FANOUT = 8
-SIGNATURE_BITS = 2048
+SIGNATURE_BITS = 4096
+FILTER_BITS = 24
 SEEN = 1 << 18
 
 _U = np.uint64
@@ -82,14 +84,25 @@ def fingerprinted(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+        cells: list[np.ndarray] = []
+
+        def count() -> None:
+            if cells:
+                cell, n = np.unique(np.concatenate(cells), return_counts=True)
+                sketch[cell] += n.astype(np.uint32)
+                cells.clear()
+
         for batch in batches:
             for part in slices(batch, "text"):
                 values, at = sets(*utf8(part.column("text")), width)
                 n = np.diff(at)
-                sketch += np.bincount((values >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch)).astype(np.uint32)
+                cells.append((values >> _U(64 - SKETCH_BITS)).astype(np.uint32))
+                if sum(map(len, cells)) >= FLUSH:
+                    count()
                 node = pa.array(fingerprints(values, at).view(np.int64), mask=n == 0)
                 empty = pa.nulls(len(n))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), node, empty.cast(pa.int32()), empty.cast(pa.binary())], names=names)
+        count()
         for b in range(len(sketch) // SKETCH_BLOCK):
             counts = sketch[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK]
             if counts.any():
@@ -100,8 +113,8 @@ def fingerprinted(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, node long, block int, counts binary")
 
 
-def levels(found: DataFrame) -> np.ndarray:
-    """For each sketch cell, 0 where its count is ordinary, else about the log2 of how far it exceeds the mean cell."""
+def levels(found: DataFrame) -> tuple[np.ndarray, float]:
+    """For each sketch cell about the log2 of how far its count exceeds the mean cell's, at least 0; and that mean."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total = None, None
@@ -122,8 +135,8 @@ def levels(found: DataFrame) -> np.ndarray:
     total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
     for r in parts.toLocalIterator():  # the sketch's fixed number of blocks
         total[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(zlib.decompress(r.counts), dtype=np.int64)
-    mean = max(total.mean(), 4.0)
-    return np.clip(np.log2(np.maximum(total / mean, 1.0)) - 1, 0, 60).astype(np.uint8)
+    mean = max(total.mean(), 2.0)
+    return np.clip(np.log2(np.maximum(total / mean, 1.0)), 0, 60).astype(np.uint8), float(mean)
 
 
 def prefixes(values: np.ndarray, at: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -245,19 +258,69 @@ def shared_lists(packed: DataFrame, percent: int, parts: int) -> DataFrame:
     return dealt.mapInArrow(run, "list long, node long, n long").distinct()
 
 
-def with_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """Rows (node, items) of the documents whose node is in ``wanted`` (node, rep): items are the packed shingles."""
+def marked(ids: DataFrame) -> np.ndarray:
+    """A bit array of fixed size that holds a bit for every id; null ids are not in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches:
+            bits[filter_cell(batch.column(0))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], type=pa.binary())], names=["bits"])
+
+    total = np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8)
+    for r in ids.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():  # at most eight arrays of fixed size
+        total |= np.frombuffer(zlib.decompress(r.bits), dtype=np.uint8)
+    return total
+
+
+def filter_cell(ids: pa.Array) -> np.ndarray:
+    return (mix(ids.fill_null(0).to_numpy().view(np.uint64)) >> _U(64 - FILTER_BITS)).astype(np.int64)
+
+
+def only_marked(df: DataFrame, column: str, bits: np.ndarray, others: bool = False) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among the marked ids, or is null; or all ``others``."""
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell = filter_cell(batch.column(column))
+            keep = (shared.value[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
+            keep |= batch.column(column).is_null().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(keep != others))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def with_sets(docs: DataFrame, wanted: DataFrame, level: np.ndarray, mean: float, width: int, percent: int) -> DataFrame:
+    """(node, token, sub, sig, items) of the documents whose doc_id may be a ``rep`` of ``wanted``.
+
+    A filter of fixed size clears most other texts, so no text is shuffled; those that pass it by chance do no harm. ``items`` are the packed
+    shingles and ``sig`` their bitmap. ``token`` is the set's first shingle in the order, and ``sub`` deals the sets of a common one into parts of
+    about ``BLOCK`` by the sketch's count.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((level, mean))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order, typical = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
                 values, at = sets(*utf8(part.column("text")), width)
+                node = fingerprints(values, at)
+                tokens, owner = prefixes(values, at, order, percent)
+                full = np.flatnonzero(np.diff(at))
+                token = np.zeros(len(node), dtype=np.uint64)
+                token[full] = tokens[np.searchsorted(owner, full)]
+                often = np.ldexp(typical, order[(token >> _U(64 - SKETCH_BITS)).astype(np.int64)])
+                sub = (mix(node ^ token) % np.ceil(often / BLOCK).astype(np.uint64).clip(1)).astype(np.int64)
                 items = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(values)])
-                yield pa.RecordBatch.from_arrays([u64(fingerprints(values, at)), items], names=["node", "items"])
+                bits = signatures(values, at)
+                sig = pa.Array.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer((np.arange(len(bits) + 1) * (SIGNATURE_BITS // 8)).astype(np.int32)), pa.py_buffer(bits)])
+                out = pa.RecordBatch.from_arrays([u64(node), u64(token), pa.array(sub), pa.array(np.diff(at)), sig, items], names=names)
+                yield out.filter(pa.array(np.diff(at) > 0))
 
-    reps = wanted.select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.alias("d").join(reps.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")), "left_semi")
-    return texts.mapInArrow(run, "node long, items binary").join(wanted.select("node"), "node", "left_semi")
+    names = ["node", "token", "sub", "n", "sig", "items"]
+    texts = only_marked(docs, "doc_id", marked(wanted.select("rep")))
+    return texts.mapInArrow(run, "node long, token long, sub long, n long, sig binary, items binary")
 
 
 # ---- signature trees ----
@@ -293,18 +356,25 @@ class Forest:
         return True
 
 
+def signatures(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A bitmap of ``SIGNATURE_BITS`` for each set, as rows of 64-bit words."""
+    bits = np.zeros((len(at) - 1, SIGNATURE_BITS // 64), dtype=np.uint64)
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    bit = (mix(values) & _U(SIGNATURE_BITS - 1)).astype(np.int64)
+    cell, place = np.divmod(np.unique(owner * SIGNATURE_BITS + bit), 64)
+    starts = np.flatnonzero(np.diff(cell, prepend=-1))
+    if len(cell):
+        bits.reshape(-1)[cell[starts]] = np.bitwise_or.reduceat(_U(1) << place.astype(np.uint64), starts)
+    return bits
+
+
 class SignatureTree:
     """A tree over sets: ``layers[0]`` are the members, each layer above holds ORs of bitmaps, size ranges and most excess."""
 
-    def __init__(self, items: list[np.ndarray]):
-        order = sorted(range(len(items)), key=lambda i: (len(items[i]).bit_length(), int(items[i][0]) if len(items[i]) else 0, len(items[i]), i))
-        self.items = [items[i] for i in order]
-        self.order = np.array(order, dtype=np.int64)
-        size = np.array([len(x) for x in self.items], dtype=np.int64)
-        bits = np.zeros((len(items), SIGNATURE_BITS // 64), dtype=np.uint64)
-        owner = np.repeat(np.arange(len(items)), size)
-        bit = (mix(np.concatenate(self.items)) & _U(SIGNATURE_BITS - 1)).astype(np.int64)
-        np.bitwise_or.at(bits, (owner, bit >> 6), _U(1) << (bit & 63).astype(np.uint64))
+    def __init__(self, bits: np.ndarray, size: np.ndarray):
+        # members of like size and like low bits stand together
+        self.order = np.lexsort((np.arange(len(size)), size, bits[:, 0], np.frexp(size)[1]))
+        bits, size = bits[self.order], size[self.order].astype(np.int64)
         excess = size - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         self.layers = [(bits, size, size, excess)]
         self.cuts: list[np.ndarray] = []
@@ -319,9 +389,7 @@ class SignatureTree:
     def possible(self, layer: int, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
         """Whether sets below tree nodes x and y can link, by their sizes and the greatest overlap of their bitmaps."""
         bits, low, high, excess = self.layers[layer]
-        ok = fits(low[x], high[y], percent) | (low[x] >= low[y])
-        ok &= fits(low[y], high[x], percent) | (low[y] >= low[x])
-        ok &= (100 * high[x] >= percent * low[y]) & (100 * high[y] >= percent * low[x])
+        ok = fits(high[x], low[y], percent) & fits(high[y], low[x], percent)
         at = np.flatnonzero(ok)
         common = np.bitwise_count(bits[x[at]] & bits[y[at]]).sum(axis=1, dtype=np.int64)
         most = np.minimum(common + np.minimum(excess[x[at]], excess[y[at]]), np.minimum(high[x[at]], high[y[at]]))
@@ -362,19 +430,41 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def links(labels: np.ndarray, items: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def partners(labels: np.ndarray, bits: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """For each member the number of its group, -1 for none: groups are connected by pairs of other labels that the tree can't rule out."""
+    tree = SignatureTree(bits, size)
+    group = np.arange(len(labels))
+    has = np.zeros(len(labels), dtype=bool)
+    for x, y in tree.pairs(percent):
+        i, j = tree.order[x], tree.order[y]
+        other = labels[i] != labels[j]
+        i, j = i[other], j[other]
+        has[i] = has[j] = True
+        while True:
+            least = np.minimum(group[i], group[j])
+            if (group[i] == least).all() and (group[j] == least).all():
+                break
+            old_i, old_j = group[i], group[j]
+            np.minimum.at(group, old_i, least)
+            np.minimum.at(group, old_j, least)
+            while (group[group] != group).any():
+                group = group[group]
+    return np.where(has, group, -1)
+
+
+def links(labels: np.ndarray, bits: np.ndarray, items: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs of labels, enough to connect all that have linked members; members of one label are connected already."""
-    forest, tree = Forest(labels), SignatureTree(items)
+    forest, tree = Forest(labels), SignatureTree(bits, np.array([len(x) for x in items]))
     out = []
     for x, y in tree.pairs(percent):
         i, j = tree.order[x], tree.order[y]
         at = 0
-        while at < len(x):
+        while at < len(i):
             roots = forest.roots()
             open_ = np.flatnonzero(roots[i[at:]] != roots[j[at:]]) + at
-            at = len(x)
+            at = len(i)
             for k in open_.tolist():
-                a, b = tree.items[x[k]], tree.items[y[k]]
+                a, b = items[i[k]], items[j[k]]
                 both = overlap(a, b)
                 if 100 * both >= percent * (len(a) + len(b) - both):
                     forest.join(int(i[k]), int(j[k]))
@@ -384,42 +474,73 @@ def links(labels: np.ndarray, items: list[np.ndarray], percent: int) -> list[tup
     return out
 
 
+def _rows_of(column: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint64).reshape(len(column), -1)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], key: list[str], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of one key at a time, which come together."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in (*key, *columns)), strict=True):
+            if row[: len(key)] != now:
+                if held:
+                    yield now, held
+                now, held = row[: len(key)], []
+            held.append(row[len(key) :])
+    if held:
+        yield now, held
+
+
 def joined(rows: DataFrame, parts: int, percent: int, key: list[str]) -> DataFrame:
-    """``rows`` (key, label, items), at most a few blocks' worth a key, to edges (u, v) between labels."""
+    """``rows`` (key, label, sig, items), at most a few blocks' worth a key, to edges (u, v) between labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                found = links(np.array([x[0] for x in held], dtype=np.int64), [np.frombuffer(x[1], dtype=np.uint64) for x in held], percent)
-                if found:
-                    u, v = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+        for _, held in _blocks(batches, key, ["label", "sig", "items"]):
+            labels, sig, items = zip(*held, strict=True)
+            found = links(np.array(labels, dtype=np.int64), _rows_of(sig), [np.frombuffer(x, dtype=np.uint64) for x in items], percent) if len(held) > 1 else []
+            if found:
+                u, v = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return rows.select(*key, "label", "sig", "items").repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long")
 
-        now, held = None, []
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in (*key, "label", "items")]
-            for row in zip(*columns, strict=True):
-                if row[: len(key)] != now:
-                    yield from done()
-                    now, held = row[: len(key)], []
-                held.append(row[len(key) :])
-        yield from done()
 
-    return rows.repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(run, "u long, v long")
+def survivors(rows: DataFrame, key: list[str], parts: int, percent: int) -> DataFrame:
+    """(block, node, label) of the rows (key, node, label, n, sig) whose signatures leave them a partner.
 
+    ``block`` is a hash of the members of a group, what such pairs connect; groups with the same members are one, from whatever lists.
+    """
+    names = ["block", "node", "label"]
 
-def first_round(lists: DataFrame, items: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(node, comp) for nodes joined with others in the one list that each is given to; a long list is dealt into blocks."""
-    own = lists.groupBy("node").agg(F.min("list").alias("list"))
-    size = own.groupBy("list").agg(F.count("*").alias("m")).filter("m > 1")
-    own = own.join(size, "list").withColumn("sub", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)))
-    edges = cut(joined(own.join(items, "node").select("list", "sub", F.col("node").alias("label"), "items"), parts, percent, ["list", "sub"]))
-    return components(edges)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _blocks(batches, key, ["node", "label", "n", "sig"]):
+            node, label, n, sig = zip(*held, strict=True)
+            node, label = np.array(node, dtype=np.int64), np.array(label, dtype=np.int64)
+            group = partners(label, _rows_of(sig), np.array(n), percent)
+            keep = np.flatnonzero(group >= 0)
+            if len(keep):
+                keep = keep[np.argsort(group[keep], kind="stable")]
+                starts = np.flatnonzero(np.diff(group[keep], prepend=-1))
+                count = np.diff(np.append(starts, len(keep)))
+                block = mix(np.add.reduceat(mix(node[keep].view(np.uint64)), starts) + count.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([u64(np.repeat(block, count)), pa.array(node[keep]), pa.array(label[keep])], names=names)
+
+    dealt = rows.select(*key, "node", "label", "n", "sig").repartition(parts, *key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
+
+
+def first_round(items: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(v, root) of nodes joined with others of the same first shingle; in blocks of about ``BLOCK``, so not all links are found."""
+    key = ["token", "sub"]
+    rows = items.withColumn("label", F.col("node"))
+    near = marked(survivors(rows, key, parts, percent).select("node"))
+    return components(joined(only_marked(rows, "node", near), parts, percent, key))
 
 
 def second_round(lists: DataFrame, items: DataFrame, comps: DataFrame, percent: int, parts: int) -> DataFrame:
     """Edges between components, from all lists that hold several of them."""
-    rows = lists.join(comps.select(F.col("v").alias("node"), "root"), "node", "left").select("list", "node", F.coalesce("root", "node").alias("label"))
+    rows = lists.join(comps.select(F.col("v").alias("node"), "root"), "node", "left").select("list", "node", "n", F.coalesce("root", "node").alias("label"))
     each = rows.groupBy("list", "label").agg(F.count("*").alias("m"))
     several = each.groupBy("list").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("d"), F.sum("m").alias("all"), F.count("*").alias("c"))
     several = several.filter("c > 1").select("list", "main", F.ceil(F.col("d") / BLOCK).alias("nd"), F.ceil((F.col("all") - F.col("d")) / BLOCK).alias("no"))
@@ -431,9 +552,12 @@ def second_round(lists: DataFrame, items: DataFrame, comps: DataFrame, percent:
     with_others = F.transform(up_to(F.col("no")), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j")))
     with_main = F.transform(up_to(F.col("nd")), lambda i: F.struct(i.alias("i"), F.col("mine").alias("j")))
     among = F.transform(F.filter(up_to(F.col("no")), lambda j: j != F.col("mine")), lambda j: F.struct((-1 - F.least(j, F.col("mine"))).alias("i"), F.greatest(j, F.col("mine")).alias("j")))
-    rows = rows.withColumn("mine", mine).select("list", "node", "label", F.explode(F.when(main, with_others).otherwise(F.concat(with_main, among))).alias("at"))
-    rows = rows.select("list", "at.i", "at.j", "node", "label")
-    return joined(rows.join(items, "node").select("list", "i", "j", "label", "items"), parts, percent, ["list", "i", "j"])
+    rows = rows.withColumn("mine", mine).select("list", "node", "label", "n", F.explode(F.when(main, with_others).otherwise(F.concat(with_main, among))).alias("at"))
+    rows = rows.select("list", "at.i", "at.j", "node", "label", "n")
+    # merge joins at every size, so that a plan measured on a small table is that of a large one
+    near = cut(survivors(rows.hint("merge").join(items.select("node", "sig"), "node"), ["list", "i", "j"], parts, percent))
+    kept = only_marked(items.select("node", "sig", "items"), "node", marked(near.select("node")))
+    return joined(near.hint("merge").join(kept, "node"), parts, percent, ["block"])
 
 
 def similar(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -441,15 +565,15 @@ def similar(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = cut(fingerprinted(docs, width))
-    level = levels(found)
+    level, mean = levels(found)
     found = found.filter("block is null").select("doc_id", "n", "node")
     classes = found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     parts = shuffle_partitions(spark)
     buckets = max(32, 2 * docs.rdd.getNumPartitions())
     lists = cut(shared_lists(packed_prefixes(docs, level, width, percent, buckets), percent, parts))
-    wanted = lists.select("node").distinct().join(classes, "node").select("node", "rep")
-    items = cut(with_sets(docs, wanted, width))
-    comps = first_round(lists, items, percent, parts)
+    wanted = lists.select("node").distinct().join(classes, "node").select("rep")
+    items = cut(with_sets(docs, wanted, level, mean, width, percent))
+    comps = first_round(items, percent, parts)
     edges = cut(second_round(lists, items, comps, percent, parts))
     rest = components(edges)
     # a node's root: by the first round, then by the second
@@ -459,3 +583,18 @@ def similar(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members"))
     known = grouped.join(least.filter("members > 1"), "root").select("node", "component_id")
     return found.join(known, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``df`` with one row of each component of ``found`` (what ``similar`` gives): the one of least id, and of its repeated rows one.
+
+    Rows without an id are all kept. Only texts that a filter of fixed size does not clear of being removed or repeated are shuffled.
+    """
+    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    touched = cut(ids.filter("n > 1 or not stays"))
+    bits = marked(touched.select("doc_id"))
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).cast("long").alias("_key"))
+    clear = only_marked(rows, "_key", bits, others=True)
+    rest = only_marked(rows, "_key", bits).join(touched.select(F.col("doc_id").alias("_key"), "n", "stays"), "_key", "left").filter("stays is null or stays")
+    once = rest.filter("n > 1").withColumn("_th", F.xxhash64(F.col("_row")[text])).dropDuplicates(["_key", "_th"]).select("_row.*")
+    return clear.select("_row.*").unionByName(rest.filter("n is null or n = 1").select("_row.*")).unionByName(once)
