@@ -25,10 +25,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document of least id of each component of similar documents; rows without an id are all kept."""
-    found = ngram_join.similar(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").withColumn("_th", F.xxhash64("text")).dropDuplicates(["doc_id", "_th"])
-    return rows.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    return ngram_join.one_of_each(docs, cut(ngram_join.similar(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)))
 
 
 def pii_sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
