@@ -215,7 +215,7 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class SliceEncoder:
     """Ids of text columns; distinct slices are encoded once and kept. Beyond ``kept`` of them, only those of the last texts stay."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], kept: int = 300_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], kept: int = 150_000):
         self.encode, self.kept = encode, kept
         self._clear()
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import put
-from .textvec import mix, slice_hashes, slices, utf8, words
+from .textvec import SLICE_BYTES, mix, slice_hashes, slices, utf8, words
 
 BITS = 18
 TRAIN_ROWS = 8_000
@@ -96,11 +96,8 @@ def fit(raw: np.ndarray, off: np.ndarray, labels: np.ndarray, epochs: int = EPOC
     """FTRL-proximal over the texts, one at a time, in the order given."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias_z = bias_n = 0.0
-    found = features(raw, off, bits)
     for _ in range(epochs):
-        for i, y in enumerate(labels):
-            index = np.concatenate([ids[b[i] : b[i + 1]] for ids, b in found])
-            value = np.concatenate([np.full(m := int(b[i + 1] - b[i]), SCALE / max(m, 1)) for _, b in found])
+        for y, index, value in samples(raw, off, labels, bits):
             index, at = np.unique(index, return_inverse=True)
             value = np.bincount(at, value, len(index)) if len(index) else value
             zi, ni = z[index], n[index]
@@ -117,6 +114,18 @@ def fit(raw: np.ndarray, off: np.ndarray, labels: np.ndarray, epochs: int = EPOC
     return Model(w.astype(np.float32), float(-bias_z / ((beta + np.sqrt(bias_n)) / alpha + l2)))
 
 
+def samples(raw: np.ndarray, off: np.ndarray, labels: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Label, features and values of each text; features are made for a slice of texts at a time."""
+    at = 0
+    while at < len(labels):
+        to = max(at + 1, int(np.searchsorted(off, off[at] + SLICE_BYTES, side="right")) - 1)
+        found = features(raw[off[at] : off[to]], off[at : to + 1] - off[at], bits)
+        for i in range(to - at):
+            index = np.concatenate([ids[b[i] : b[i + 1]] for ids, b in found])
+            yield int(labels[at + i]), index, np.concatenate([np.full(m := int(b[i + 1] - b[i]), SCALE / max(m, 1)) for _, b in found])
+        at = to
+
+
 def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 
