@@ -122,11 +122,13 @@ def layer_graph(points: np.ndarray, n: int, width: int, upper: list[np.ndarray])
         place = np.arange(len(to)) - np.repeat(begin, count)
         back = np.full((len(target), int(count.max())), -1, dtype=np.int32)
         back[np.repeat(np.arange(len(target)), count), place] = frm
+        back[(back[:, :, None] == graph[target][:, None, :]).any(axis=2)] = -1  # linked already
         # lists with room take the links as they are, full ones choose anew
-        held = (graph[target] >= 0).sum(axis=1)
-        room = held + count <= width
+        held, more = (graph[target] >= 0).sum(axis=1), (back >= 0).sum(axis=1)
+        room = held + more <= width
         r, c = np.nonzero((back >= 0) & room[:, None])
-        graph[target[r], held[r] + c] = back[r, c]
+        nth = np.cumsum(back >= 0, axis=1)[r, c] - 1
+        graph[target[r], held[r] + nth] = back[r, c]
         full = ~room
         if full.any():
             graph[target[full]] = chosen(points, target[full], np.concatenate([graph[target[full]], back[full]], axis=1), width)
