@@ -30,7 +30,7 @@ ROLES = ("system", "user", "assistant")
 # States are the last turn's role, or none.
 NONE, SYSTEM, USER, ASSISTANT = range(4)
 LEGAL = {(NONE, SYSTEM), (NONE, USER), (SYSTEM, USER), (USER, ASSISTANT), (ASSISTANT, USER)}
-MERGE, INSERT, RELABEL, NAME = 1.0, 2.0, 3.0, 1.5
+MERGE, INSERT, RELABEL, NAME = 1.0, 2.0, 3.5, 1.5
 BLOCK = 256
 INFINITE = float("inf")
 
