@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, maxscore, ngram_join, packing, pii, quality, secrets, sharding, spans
-from .common import table
+from .common import spread, table
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return ngram_join.similar(_texts(spark, sf_dir), width=4, percent=85)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.spans_of(table(spark, sf_dir, "documents"))
+    found = pii.spans_of(_texts(spark, sf_dir))
     base = F.col("base")
     return found.select(
         "doc_id",
@@ -32,7 +36,7 @@ def op3_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _texts(spark, sf_dir)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = quality.score(docs, model)
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
@@ -40,8 +44,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = bpe.encode(docs, vocabulary).select(
+    encoded = bpe.encode(_texts(spark, sf_dir), vocabulary).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids"
     )
     return bpe.decode(encoded, vocabulary).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -52,7 +55,7 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.scan(_texts(spark, sf_dir))
     base = F.col("secrets.base")
     return found.select(
         "doc_id",
@@ -67,12 +70,12 @@ def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    made = packing.pieces(_texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.pack(made)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.assign(table(spark, sf_dir, "documents"))
+    placed = sharding.assign(_texts(spark, sf_dir))
     return placed.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
