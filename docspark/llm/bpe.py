@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import bounded_batches
 from .textvec import ragged, slices, utf8
 
 # Symbols of the automaton. A white-space code point is "mid" when the next one is white space or the text
@@ -292,6 +293,7 @@ def _schema(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with ``out``: the ids of ``text`` by the rank file ``vocabulary``, which every executor can open."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = rank_encoder(vocabulary)

@@ -32,3 +32,13 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as there are cores, where its files give under half as many; larger tables are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
+BATCH_ROWS = 1024
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the rows of an Arrow batch, so that batches of long texts don't fill the executors' memory outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)

@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import SliceEncoder
-from .common import cut
+from .common import bounded_batches, cut
 from .textvec import slices, utf8
 
 CAPACITY = 2048
@@ -38,9 +37,8 @@ PIECES = T.StructType([
 ])
 
 
-@lru_cache(maxsize=2)
 def json_encoder(path: str) -> SliceEncoder:
-    """Ids by a tokenizer file; equal slices of a worker's texts are encoded once."""
+    """Ids by a tokenizer file; equal slices of a task's texts are encoded once. Made for each task, so that idle workers hold nothing."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -58,6 +56,7 @@ def json_encoder(path: str) -> SliceEncoder:
 
 def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece: key as doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = json_encoder(tokenizer)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import put
+from .common import bounded_batches
 from .textvec import SLICE_BYTES, mix, slice_hashes, slices, utf8, words
 
 BITS = 18
@@ -156,6 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """``df`` with ``out``, the probability of label 1. The model goes to the executors as a broadcast of fixed size."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
