@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import bounded_batches, cut, shuffle_partitions
 from .components import components
 from .textvec import mix, shingles, slice_hashes, slices, u64, utf8, words
 
@@ -277,16 +277,19 @@ def filter_cell(ids: pa.Array) -> np.ndarray:
     return (mix(ids.fill_null(0).to_numpy().view(np.uint64)) >> _U(64 - FILTER_BITS)).astype(np.int64)
 
 
+def may_be(ids: pa.Array, bits: np.ndarray) -> np.ndarray:
+    """Whether each id may be among the marked ones, or is null."""
+    cell = filter_cell(ids)
+    return (bits[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool) | ids.is_null().to_numpy(zero_copy_only=False)
+
+
 def only_marked(df: DataFrame, column: str, bits: np.ndarray, others: bool = False) -> DataFrame:
     """The rows of ``df`` whose ``column`` may be among the marked ids, or is null; or all ``others``."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = filter_cell(batch.column(column))
-            keep = (shared.value[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
-            keep |= batch.column(column).is_null().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(keep != others))
+            yield batch.filter(pa.array(may_be(batch.column(column), shared.value) != others))
 
     return df.mapInArrow(run, df.schema)
 
@@ -298,12 +301,12 @@ def with_sets(docs: DataFrame, wanted: DataFrame, level: np.ndarray, mean: float
     shingles and ``sig`` their bitmap. ``token`` is the set's first shingle in the order, and ``sub`` deals the sets of a common one into parts of
     about ``BLOCK`` by the sketch's count.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((level, mean))
+    shared = docs.sparkSession.sparkContext.broadcast((level, mean, marked(wanted.select("rep"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, typical = shared.value
+        order, typical, bits = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch.filter(pa.array(may_be(batch.column("doc_id"), bits))), "text"):
                 values, at = sets(*utf8(part.column("text")), width)
                 node = fingerprints(values, at)
                 tokens, owner = prefixes(values, at, order, percent)
@@ -313,14 +316,13 @@ def with_sets(docs: DataFrame, wanted: DataFrame, level: np.ndarray, mean: float
                 often = np.ldexp(typical, order[(token >> _U(64 - SKETCH_BITS)).astype(np.int64)])
                 sub = (mix(node ^ token) % np.ceil(often / BLOCK).astype(np.uint64).clip(1)).astype(np.int64)
                 items = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(values)])
-                bits = signatures(values, at)
-                sig = pa.Array.from_buffers(pa.binary(), len(bits), [None, pa.py_buffer((np.arange(len(bits) + 1) * (SIGNATURE_BITS // 8)).astype(np.int32)), pa.py_buffer(bits)])
+                maps = signatures(values, at)
+                sig = pa.Array.from_buffers(pa.binary(), len(maps), [None, pa.py_buffer((np.arange(len(maps) + 1) * (SIGNATURE_BITS // 8)).astype(np.int32)), pa.py_buffer(maps)])
                 out = pa.RecordBatch.from_arrays([u64(node), u64(token), pa.array(sub), pa.array(np.diff(at)), sig, items], names=names)
                 yield out.filter(pa.array(np.diff(at) > 0))
 
     names = ["node", "token", "sub", "n", "sig", "items"]
-    texts = only_marked(docs, "doc_id", marked(wanted.select("rep")))
-    return texts.mapInArrow(run, "node long, token long, sub long, n long, sig binary, items binary")
+    return docs.mapInArrow(run, "node long, token long, sub long, n long, sig binary, items binary")
 
 
 # ---- signature trees ----
@@ -538,9 +540,11 @@ def first_round(items: DataFrame, percent: int, parts: int) -> DataFrame:
     return components(joined(only_marked(rows, "node", near), parts, percent, key))
 
 
-def second_round(lists: DataFrame, items: DataFrame, comps: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Edges between components, from all lists that hold several of them."""
-    rows = lists.join(comps.select(F.col("v").alias("node"), "root"), "node", "left").select("list", "node", "n", F.coalesce("root", "node").alias("label"))
+def dealt_in_blocks(rows: DataFrame) -> DataFrame:
+    """(list, i, j, node, label, n) of the ``rows`` (list, node, label, n) of lists with several labels, so that each pair of labels' members meets.
+
+    A list's commonest label is its main one: its members' blocks meet all others' blocks, and the others' blocks meet each other.
+    """
     each = rows.groupBy("list", "label").agg(F.count("*").alias("m"))
     several = each.groupBy("list").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("d"), F.sum("m").alias("all"), F.count("*").alias("c"))
     several = several.filter("c > 1").select("list", "main", F.ceil(F.col("d") / BLOCK).alias("nd"), F.ceil((F.col("all") - F.col("d")) / BLOCK).alias("no"))
@@ -548,21 +552,35 @@ def second_round(lists: DataFrame, items: DataFrame, comps: DataFrame, percent:
     main = F.col("label") == F.col("main")
     mine = F.pmod(F.xxhash64("node"), F.when(main, F.col("nd")).otherwise(F.col("no")))
     up_to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    # main blocks meet all others' blocks; the others' blocks meet each other
     with_others = F.transform(up_to(F.col("no")), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j")))
     with_main = F.transform(up_to(F.col("nd")), lambda i: F.struct(i.alias("i"), F.col("mine").alias("j")))
     among = F.transform(F.filter(up_to(F.col("no")), lambda j: j != F.col("mine")), lambda j: F.struct((-1 - F.least(j, F.col("mine"))).alias("i"), F.greatest(j, F.col("mine")).alias("j")))
     rows = rows.withColumn("mine", mine).select("list", "node", "label", "n", F.explode(F.when(main, with_others).otherwise(F.concat(with_main, among))).alias("at"))
-    rows = rows.select("list", "at.i", "at.j", "node", "label", "n")
+    return rows.select("list", "at.i", "at.j", "node", "label", "n")
+
+
+def second_round(lists: DataFrame, items: DataFrame, comps: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Edges between components, from all lists that hold several of them.
+
+    Pairs that signatures leave connect nodes into groups, over all lists; a node is in one group, so its set travels once or, in a group of
+    many blocks, once a pair of blocks.
+    """
+    key = ["list", "i", "j"]
+    rows = lists.join(comps.select(F.col("v").alias("node"), "root"), "node", "left").select("list", "node", "n", F.coalesce("root", "node").alias("label"))
     # merge joins at every size, so that a plan measured on a small table is that of a large one
-    near = cut(survivors(rows.hint("merge").join(items.select("node", "sig"), "node"), ["list", "i", "j"], parts, percent))
+    near = cut(survivors(dealt_in_blocks(rows).hint("merge").join(items.select("node", "sig"), "node"), key, parts, percent))
+    least = near.groupBy("block").agg(F.min("node").alias("u"))
+    group = components(near.join(least, "block").select("u", F.col("node").alias("v")))
+    nodes = near.select("node", "label").distinct().join(group.select(F.col("v").alias("node"), "root"), "node", "left")
+    nodes = nodes.select(F.coalesce("root", "node").alias("list"), "node", "label", F.lit(0).alias("n"))
     kept = only_marked(items.select("node", "sig", "items"), "node", marked(near.select("node")))
-    return joined(near.hint("merge").join(kept, "node"), parts, percent, ["block"])
+    return joined(dealt_in_blocks(nodes).hint("merge").join(kept, "node"), parts, percent, key)
 
 
 def similar(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included)."""
     spark = df.sparkSession
+    bounded_batches(spark)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = cut(fingerprinted(docs, width))
     level, mean = levels(found)
