@@ -143,6 +143,12 @@ def parse_keywords(spark, d):
     return rows.select("doc_id", F.array_join(c.parse_keywords("text"), "|").alias("words"))
 
 
+@query()
+def parse_keywords_all(spark, d):
+    """As ``parse_keywords``, whose SQL keeps to short texts, over the whole table."""
+    return read_table(spark, d, "documents").select("doc_id", F.array_join(c.parse_keywords("text"), "|").alias("words"))
+
+
 @query("""SELECT page_id, nullif(regexp_extract(url || '&pageId=' || page_id, 'pageId=(\\d+)', 1), '') AS id,
  regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) AS server,
  regexp_replace(regexp_replace(lower(trim(url)), '^.*?://', ''), '/.*$', '') AS authority,
