@@ -7,9 +7,10 @@ each term in a window of code points around a mention, corpus co-occurrence give
     IC(entity)        = log2(N / n(entity))
 
 with n in documents out of N: n(term) counts the term in whole texts of all documents, n(term, entity) documents where it
-stands in a window of the entity. PMI reaches IC when the term occurs only with the entity. A term that does so in at least
-``MIN_SUPPORT`` documents is removed where PMI >= REMOVE * IC, and generalised where PMI >= GENERALISE * IC, in the entity's
-windows.
+stands in a window of the entity. PMI reaches IC when the term occurs only with the entity. A term is removed where
+PMI >= REMOVE * IC, and generalised where PMI >= GENERALISE * IC, in the entity's windows. One document alone can't tell a term that
+discloses from a chance one: where n(term, entity) is 1, n(term) counts ``UNSEEN`` more, so such terms are generalised, and in a
+corpus of under 58 documents, where all are rare, kept.
 
 Scale: texts are read once for the patterns and once for term counts; counts are summed before they are shuffled, and only
 documents with entities go further. Nothing is collected.
@@ -41,7 +42,7 @@ LONG_CHAIN = r"[0-9](?:[\x20-]?[0-9]){11}"
 WORD = r"\p{L}{4,}+"
 
 WINDOW = 48
-MIN_SUPPORT = 2
+UNSEEN = 0.5
 REMOVE = 1.0
 GENERALISE = 0.9
 
@@ -94,12 +95,12 @@ def disclosing(df: DataFrame, found: DataFrame, text: str, key: str, window: int
     docs = ["_key", "_th"]
     n_entity = near.select("entity", *docs).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = near.filter("term is not null").select("entity", "term", *docs).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    pairs = pairs.filter(F.col("n_te") >= MIN_SUPPORT)
     terms = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(value), F.lit(WORD), F.lit(0)))).alias("term"))
     n_term = terms.groupBy("term").agg(F.count("*").alias("n_t"))
     total = df.agg(F.count("*").alias("n")).first().n
     scored = pairs.join(n_entity, "entity").join(n_term, "term")
-    pmi = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e")))
+    seen = F.col("n_t") + F.when(F.col("n_te") == 1, UNSEEN).otherwise(0.0)
+    pmi = F.log2(F.col("n_te") * total / (seen * F.col("n_e")))
     content = F.log2(total / F.col("n_e"))
     scored = scored.filter((content > 0) & (pmi >= GENERALISE * content)).select(
         "entity", "term", F.when(pmi >= REMOVE * content, "").otherwise("[TERM]").alias("by")

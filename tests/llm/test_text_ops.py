@@ -321,6 +321,12 @@ def test_pii_terms_and_redaction(spark):
     assert pii.redact(table(spark, [])).count() == 0 and pii.spans_of(table(spark, [])).count() == 0
 
 
+def test_terms_of_an_entity_in_one_document(spark):
+    rows = [(i, f"plain filler number {i}") for i in range(99)] + [(99, "plain filler from Quillfeather at ann@x.org")]
+    out = {r.doc_id: r.text for r in pii.redact(table(spark, rows)).collect()}
+    assert out[99] == "plain filler [TERM] [TERM] at [EMAIL]" and out[5] == rows[5][1]
+
+
 @pytest.mark.parametrize(("name", "base", "kinds"), [("op2_pii", base_pii, pii.KINDS), ("op7_secret_scan", base_secrets, secrets.KINDS)])
 def test_span_queries(spark, name, base, kinds):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
