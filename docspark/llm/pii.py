@@ -1,14 +1,14 @@
 """Personal data by patterns and by information-theoretic sanitisation. DataFrame functions only.
 
 The plain patterns find protected entities (email, ip, card, phone). The method then asks what else gives an entity away: for
-each term in a window of code points around a mention, corpus co-occurrence gives
+each term of a document that mentions an entity, corpus co-occurrence gives
 
     PMI(term; entity) = log2(n(term, entity) * N / (n(term) * n(entity)))
     IC(entity)        = log2(N / n(entity))
 
-with n in documents out of N: n(term) counts the term in whole texts of all documents, n(term, entity) documents where it
-stands in a window of the entity. PMI reaches IC when the term occurs only with the entity. A term is removed where
-PMI >= REMOVE * IC, and generalised where PMI >= GENERALISE * IC, in the entity's windows. One document alone can't tell a term that
+with n in documents out of N: n(term) counts documents with the term, n(term, entity) those with both, in whole texts. PMI
+reaches IC when the term occurs only with the entity. A term is removed where PMI >= REMOVE * IC, and generalised where
+PMI >= GENERALISE * IC, wherever it stands in the entity's documents outside plain spans. One document alone can't tell a term that
 discloses from a chance one: where n(term, entity) is 1, n(term) counts ``UNSEEN`` more, so such terms are generalised, and in a
 corpus of under 58 documents, where all are rare, kept.
 
@@ -41,7 +41,6 @@ OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]
 LONG_CHAIN = r"[0-9](?:[\x20-]?[0-9]){11}"
 WORD = r"\p{L}{4,}+"
 
-WINDOW = 48
 UNSEEN = 0.5
 REMOVE = 1.0
 GENERALISE = 0.9
@@ -70,47 +69,44 @@ def entity_name(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), value)
 
 
-def context(text: Column, span: Column, base: Column, window: int) -> Column:
-    """Terms in the windows before and after a span that touch no plain span."""
-    before_at = F.greatest(span["start"] - window, F.lit(0))
-    before = spans.find(F.substring(text, before_at + 1, span["start"] - before_at), WORD, TERM)
-    after = spans.find(F.substring(text, span["end"] + 1, F.lit(window)), WORD, TERM)
+def words(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
-    def moved(s: Column, by: Column) -> Column:
-        return F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["end"] + by).alias("end"), F.lower(s["match"]).alias("match"))
 
-    both = F.concat(F.transform(before, lambda s: moved(s, before_at)), F.transform(after, lambda s: moved(s, span["end"])))
-    return F.filter(both, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+def disclosing(df: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
+    """Rows ``_key, _th, _more``: the term spans of each document that has any; their match is what replaces them.
 
-
-def disclosing(df: DataFrame, found: DataFrame, text: str, key: str, window: int) -> DataFrame:
-    """Rows ``_key, _th, _more``: the term spans of each document that has any; their match is what replaces them."""
-    value = F.coalesce(F.col(text), F.lit(""))
-    # ``found`` has a text only where a plain span is
-    mentions = found.filter(F.size("_base") > 0).select("_key", "_th", F.explode("_base").alias("s"), "_base", "_text")
-    near = mentions.select(
-        "_key", "_th", entity_name(F.col("s")).alias("entity"), F.explode_outer(context(F.col("_text"), F.col("s"), F.col("_base"), window)).alias("t")
-    )
-    near = cut(near.select("_key", "_th", "entity", F.col("t.match").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end")))
+    Entities of the same documents (told by a hash of these) score alike, so they count as one. A pair is made only where
+    n(term, entity) <= n(entity) lets PMI reach GENERALISE * IC, which leaves out no pair that could be told.
+    """
     docs = ["_key", "_th"]
-    n_entity = near.select("entity", *docs).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = near.filter("term is not null").select("entity", "term", *docs).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    terms = df.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(value), F.lit(WORD), F.lit(0)))).alias("term"))
+    # ``found`` has a text only where a plain span is
+    dirty = found.filter(F.size("_base") > 0).dropDuplicates(docs)
+    entities = dirty.select(*docs, F.explode(F.array_distinct(F.transform("_base", entity_name))).alias("entity"))
+    n_entity = entities.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64(*docs)).alias("same"))
+    mentions = entities.join(n_entity, "entity").select(*docs, "same", "n_e").distinct()
+    terms = df.select(F.explode(words(F.coalesce(F.col(text), F.lit("")))).alias("term"))
     n_term = terms.groupBy("term").agg(F.count("*").alias("n_t"))
     total = df.agg(F.count("*").alias("n")).first().n
-    scored = pairs.join(n_entity, "entity").join(n_term, "term")
+    content = F.log2(total / F.col("n_e"))
+    told = dirty.select(*docs, F.explode(words(F.col("_text"))).alias("term")).join(n_term, "term")
+    may = (content > 0) & (F.log2(total / F.col("n_t")) >= GENERALISE * content - 1e-9)
+    pairs = cut(told.alias("l").join(mentions.alias("r"), [*same_document(), may]).select("l.*", "same", "n_e"))
+    n_pair = pairs.groupBy("same", "n_e", "term", "n_t").agg(F.count("*").alias("n_te"))
     seen = F.col("n_t") + F.when(F.col("n_te") == 1, UNSEEN).otherwise(0.0)
     pmi = F.log2(F.col("n_te") * total / (seen * F.col("n_e")))
-    content = F.log2(total / F.col("n_e"))
-    scored = scored.filter((content > 0) & (pmi >= GENERALISE * content)).select(
-        "entity", "term", F.when(pmi >= REMOVE * content, "").otherwise("[TERM]").alias("by")
-    )
-    told = near.join(scored, ["entity", "term"])
-    span = F.struct(F.col("start"), F.lit(TERM).alias("kind"), F.col("end"), F.col("by").alias("match"))
-    return told.groupBy(*docs).agg(F.array_sort(F.collect_set(span)).alias("_more"))
+    scored = n_pair.filter(pmi >= GENERALISE * content).select("same", "n_e", "term", F.when(pmi >= REMOVE * content, "").otherwise("[TERM]").alias("by"))
+    # a term that several entities tell is removed if one of them asks for that
+    by = pairs.join(scored, ["same", "n_e", "term"]).groupBy(*docs, "term").agg(F.min("by").alias("by"))
+    by = by.groupBy(*docs).agg(F.map_from_entries(F.collect_list(F.struct("term", "by"))).alias("_by"))
+    both = dirty.alias("l").join(by.alias("r"), same_document()).select("l.*", "_by")
+    put = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.element_at("_by", F.lower(s["match"])).alias("match"))
+    clear = lambda s: s["match"].isNotNull() & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return both.select(*docs, F.filter(F.transform(spans.find(F.col("_text"), WORD, TERM), put), clear).alias("_more"))
 
 
-def sanitise(df: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+def sanitise(df: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The documents' plain spans, and the term spans of those that have any.
 
     The first has ``_key``, ``_th`` (a hash of the text; equal keys with equal texts are one document) and ``_base``; the second
@@ -119,12 +115,16 @@ def sanitise(df: DataFrame, text: str = "text", key: str = "doc_id", window: int
     value = F.coalesce(F.col(text), F.lit(""))
     found = df.select(F.col(key).alias("_key"), F.xxhash64(value).alias("_th"), base_spans(value).alias("_base"), value.alias("_text"))
     found = cut(found.withColumn("_text", F.when(F.size("_base") > 0, F.col("_text"))))
-    return found.drop("_text"), disclosing(df, found, text, key, window)
+    return found.drop("_text"), disclosing(df, found, text, key)
+
+
+def same_document() -> list[Column]:
+    return [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("_key", "_th")]
 
 
 def on_document(left: DataFrame, right: DataFrame) -> DataFrame:
     """All columns of ``left`` and ``_more``, an empty array where ``right`` has none."""
-    joined = left.alias("l").join(right.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("_key", "_th")], "left")
+    joined = left.alias("l").join(right.alias("r"), same_document(), "left")
     return joined.select("l.*", F.coalesce("r._more", spans.none()).alias("_more"))
 
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -327,6 +328,30 @@ def test_terms_of_an_entity_in_one_document(spark):
     assert out[99] == "plain filler [TERM] [TERM] at [EMAIL]" and out[5] == rows[5][1]
 
 
+def test_terms_far_from_the_entity(spark):
+    far = "plain filler " * 20
+    rows = [(i, f"plain filler number {i}") for i in range(99)] + [(i, f"Quillfeather {far}at ann@x.org {far}quillfeather") for i in (99, 100)]
+    out = {r.doc_id: r.text for r in pii.redact(table(spark, rows)).collect()}
+    assert out[99] == out[100] == f" {far}at [EMAIL] {far}" and out[5] == rows[5][1]
+
+
+def test_told_terms_are_those_of_all_pairs(spark):
+    rng = random.Random(7)
+    lexicon = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    rows = [(i, " ".join(rng.choices(lexicon, k=6) + [f"p{rng.randint(0, 19)}@x{rng.randint(0, 1)}.org" for _ in range(i % 3 * (i < 60))])) for i in range(120)]
+    mails, terms = ({i: set(re.findall(p, t)) for i, t in rows} for p in (r"\S+@\S+", r"[a-z]{4,}"))
+    docs = lambda by, x: {i for i, found in by.items() if x in found}
+    want = {}
+    for e in set().union(*mails.values()):
+        for t in set().union(*(terms[i] for i in docs(mails, e))):
+            n_e, n_t, n_te = len(docs(mails, e)), len(docs(terms, t)), len(docs(mails, e) & docs(terms, t))
+            if math.log2(n_te * 120 / ((n_t + pii.UNSEEN * (n_te == 1)) * n_e)) >= pii.GENERALISE * math.log2(120 / n_e):
+                for i in docs(mails, e):
+                    want.setdefault(i, set()).add(t)
+    got = {r.doc_id: {rows[r.doc_id][1][s.start : s.end] for s in r["all"] if s.kind == pii.TERM} for r in pii.spans_of(table(spark, rows)).collect()}
+    assert sum(map(len, want.values())) > 10 and got == {i: want.get(i, set()) & terms[i] for i, _ in rows}
+
+
 @pytest.mark.parametrize(("name", "base", "kinds"), [("op2_pii", base_pii, pii.KINDS), ("op7_secret_scan", base_secrets, secrets.KINDS)])
 def test_span_queries(spark, name, base, kinds):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
