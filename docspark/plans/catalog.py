@@ -162,7 +162,7 @@ class Catalog:
             result: dict = {"tools": [{"name": t.name, "inputSchema": t.schema} for t in ALL.values() if t.name in self.enabled]}
         elif method == "tools/call":
             try:
-                rows = self.call(params.get("name", ""), params.get("arguments")).toJSON().take(clamp_limit(None, 100))
+                rows = self.call(params.get("name", ""), params.get("arguments")).toJSON().collect()
                 text, failed = "[" + ",".join(rows) + "]", False
             except Exception as e:
                 text, failed = str(e).splitlines()[0], True
@@ -198,7 +198,10 @@ class Catalog:
         default = PAGE_DEFAULT.get(tool.name.split("_")[0], 50)
         order = "ord" if "ord" in df.columns else df.columns[0]
         start, limit = args.get("startAt", args.get("start")), args.get("maxResults", args.get("limit"))
-        return df.orderBy(order, *(c for c in df.columns[:2] if c != order)).offset(clamp_start(start)).limit(clamp_limit(limit, default))
+        rows = df.orderBy(order, *(c for c in df.columns[:2] if c != order))
+        # who can't ask for a next page gets all rows
+        paged = {"startAt", "start"} & set(tool.optional)
+        return rows.offset(clamp_start(start)).limit(clamp_limit(limit, default)) if paged else rows
 
     _search = _list
 

@@ -92,6 +92,17 @@ def test_json_rpc(spark, tables):
     assert tools.respond('{"method":"x"}') is None and json.loads(tools.respond("nope"))["error"]["code"] == -32700
 
 
+def test_tools_without_paging_give_all_rows(spark, tables):
+    kids = spark.createDataFrame([("1", str(i), f"Kid {i}", i) for i in range(130)], "parent_id string, child_id string, title string, ord int")
+    projects = spark.createDataFrame([(f"P{i}",) for i in range(130)], "project_key string")
+    tools = catalog.Catalog(spark, tables | {"edges": kids, "projects": projects, "spaces": projects, "page_comments": kids.withColumnRenamed("parent_id", "page_id")})
+    assert [r.ord for r in tools.call("confluence_get_child_pages", {"pageId": "1"}).collect()] == list(range(130))
+    assert tools.call("jira_list_projects").count() == 130
+    assert tools.call("confluence_list_spaces").count() == 50 and tools.call("confluence_list_spaces", {"start": 100, "limit": 99}).count() == 30
+    call = '{"id":2,"method":"tools/call","params":{"name":"confluence_get_comments","arguments":{"pageId":"1"}}}'
+    assert len(json.loads(json.loads(tools.respond(call))["result"]["content"][0]["text"])) == 130
+
+
 def test_export_skips_unchanged(spark, tables):
     every = export.export_tree(tables["pages"], tables["edges"], root="1", form="md")
     assert {r.path for r in every.collect()} == {"Root/index.md", "Root/Kid/index.md"}
