@@ -1,4 +1,4 @@
-"""Page trees: closures with folder paths, ancestors, roots. Recursion is a loop of joins with a bounded depth, in SQL."""
+"""Page trees: closures with folder paths, ancestors, roots. Recursion is a loop of joins, in SQL."""
 
 from __future__ import annotations
 
@@ -8,21 +8,26 @@ from pyspark.sql import functions as F
 from docspark.functions.columns import safe_folder
 
 
-def closure(edges: DataFrame, roots: DataFrame, depth: int = 32) -> DataFrame:
+#: Levels of pages after which a closure fails; nothing is left out silently.
+MAX_LEVELS = 1000
+
+
+def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, title, path, depth) of the pages below ``roots`` (id, title); a page that is reached twice keeps its least depth, then path.
 
     ``edges``: (parent_id, child_id, title). The path is made of safe folder names. A page on its own path is not entered again, so cycles end.
+    Without ``depth`` it goes on until no page is reached, and fails beyond ``MAX_LEVELS``.
     """
     spark = edges.sparkSession
     edges.select("parent_id", "child_id", "title").createOrReplaceTempView("_edges")
     roots.select(F.col("id"), F.col("title"), safe_folder("title").alias("path"), F.array("id").alias("seen")).createOrReplaceTempView("_roots")
     rows = spark.sql(f"""
-        WITH RECURSIVE tree(id, title, path, depth, seen) AS (
+        WITH RECURSIVE tree(id, title, path, depth, seen) MAX RECURSION LEVEL {MAX_LEVELS} AS (
             SELECT id, title, path, 0, seen FROM _roots
             UNION ALL
             SELECT e.child_id, e.title, concat(t.path, '/', {_folder_sql("e.title")}), t.depth + 1, array_append(t.seen, e.child_id)
             FROM tree t JOIN _edges e ON e.parent_id = t.id
-            WHERE t.depth < {depth} AND NOT array_contains(t.seen, e.child_id)
+            WHERE {"true" if depth is None else f"t.depth < {depth}"} AND NOT array_contains(t.seen, e.child_id)
         ) SELECT id, title, path, depth FROM tree""")
     first = rows.groupBy("id").agg(F.min(F.struct("depth", "path", "title")).alias("r"))
     return first.select("id", "r.title", "r.path", "r.depth")

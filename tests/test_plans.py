@@ -27,6 +27,12 @@ def test_closure_with_a_cycle(spark):
     assert got == {"a": ("A", 0), "b": ("A/B_1", 1), "c": ("A/C", 1)}
 
 
+def test_closure_of_a_deep_tree(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1), "K") for i in range(120)], "parent_id string, child_id string, title string")
+    got = {r.id: r.depth for r in sitemap.closure(edges, spark.createDataFrame([("0", "R")], "id string, title string")).collect()}
+    assert got == {str(i): i for i in range(121)}
+
+
 def test_cross_path(spark):
     df = spark.createDataFrame([("a/b", "a/c/d"), ("a", "a/x"), ("", "q"), ("p/q", "r")], "a string, b string")
     assert [r[0] for r in df.select(links.cross_path(F.col("a"), F.col("b"))).collect()] == ["../c/d", "x", "q", "../../r"]
