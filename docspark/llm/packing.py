@@ -6,15 +6,18 @@ streams its pieces, longest first, through a bounded-space online best-fit: at m
 free space, with a bitset of the free spaces that occur, so the tightest fit is one bit search. When a new sequence is needed
 and the bound is reached, the fullest one closes. A piece that fills a sequence never opens one.
 
-Defined results: a null or empty text is the end id alone; repeated rows are packed as often as they occur; null ids stay
+Defined results: a null or empty text is the end id alone; a very long text is encoded whole and cut into as many pieces as it takes;
+the key is a number (other keys raise, as the cast does); repeated rows are packed as often as they occur; null ids stay
 null; an empty table gives no pieces; other input columns are not carried, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import SliceEncoder
 from .common import bounded_batches, cut
-from .textvec import slices, utf8
+from .textvec import slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -37,21 +39,72 @@ PIECES = T.StructType([
 ])
 
 
-def json_encoder(path: str) -> SliceEncoder:
-    """Ids by a tokenizer file; equal slices of a task's texts are encoded once. Made for each task, so that idle workers hold nothing."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class FileTokenizer:
+    """Ids by a tokenizer file, as the ``tokenizers`` library gives them without special tokens of its own making.
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-
-    def encode(words: list[bytes]) -> list[list[int]]:
-        out = []
-        for at in range(0, len(words), 4096):
-            out += [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8") for w in words[at : at + 4096]], add_special_tokens=False)]
-        return out
+    Strings of the file's added tokens in a text are those tokens, as the library has it. A file that holds a plain byte-level BPE, whose
+    merges come in the order of their ids, is read as ranks, which tiktoken merges several times faster to the same ids; other files, and
+    texts that tiktoken refuses (white space in a row by the hundred thousand), go to the library itself.
+    """
 
-    return SliceEncoder(encode)
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            ranks, added = plain_ranks(json.load(f))
+        self.fast = None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            self.fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all")
+            except ValueError:
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
+
+def byte_of_mark() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 is itself, the rest follow from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def plain_ranks(spec: dict) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ranks and added tokens of a tokenizer file; no ranks where it is more than a byte-level BPE with merges in the order of their ids."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
+    simple = model.get("type") == "BPE" and not spec.get("normalizer") and not spec.get("truncation") and not spec.get("padding")
+    simple &= split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    simple &= not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    simple &= not any(t.get(k) for t in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not simple:
+        return {}, added
+    vocab, mark = model["vocab"], byte_of_mark()
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [vocab.get(a + b, -1) for a, b in merges]
+    single = {t for t in vocab if len(t) == 1}
+    rising = all(x < y for x, y in zip([-1, *made], made, strict=False))
+    whole = len(single) == 256 and single == set(mark) and {t for t in vocab if t not in added} == single | {a + b for a, b in merges}
+    if not (rising and whole):
+        return {}, added
+    return {bytes(mark[c] for c in t): i for t, i in vocab.items() if t not in added}, added
+
+
+@lru_cache(maxsize=1)
+def file_tokenizer(path: str) -> FileTokenizer:
+    return FileTokenizer(path)
 
 
 def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -59,19 +112,16 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = json_encoder(tokenizer)
+        encoder = file_tokenizer(tokenizer)
+        end = np.array([end_id], dtype="<u4")
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, before = encoder.column(*utf8(part.column("text")))
-                n = np.diff(before)
-                # the end id after every text
-                full = np.full(len(ids) + len(n), end_id, dtype="<u4")
-                keep = np.ones(len(full), dtype=bool)
-                keep[before[1:] + np.arange(len(n))] = False
-                full[keep] = ids
-                base, total = before[:-1] + np.arange(len(n)), n + 1
+                made = [np.concatenate([encoder.ids(t), end]) if t else end for t in part.column("text").to_pylist()]
+                total = np.array([len(x) for x in made], dtype=np.int64)
+                full = np.concatenate(made).astype("<u4", copy=False)
+                base = np.cumsum(total) - total
                 count = -(-total // capacity)
-                row = np.repeat(np.arange(len(n)), count)
+                row = np.repeat(np.arange(len(total)), count)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 first = total - (count - 1) * capacity
                 start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
@@ -128,9 +178,10 @@ def pack(made: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PI
     sequence_id is the group's number times 2**32 plus a count. The groups' number follows the count of pieces, and what a
     group leaves unfilled is a few sequences.
     """
-    made = cut(made)
+    # the number that a piece has in the written table tells repeated rows apart, so that they spread over the groups too
+    made = cut(made.withColumn("_row", F.monotonically_increasing_id()))
     groups = max(1, -(-made.count() // group_pieces))
-    dealt = made.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = made.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_row"), F.lit(groups))).drop("_row")
     dealt = dealt.repartition(groups, "_group").sortWithinPartitions("_group", F.desc("length"), "doc_id", "piece", "ids_crc32")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,5 +197,5 @@ def pack(made: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PI
             keep = [n for n in batch.schema.names if n != "_group"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(numbers, type=pa.int64()), pa.array(offsets, type=pa.int64())], names=[*keep, "sequence_id", "offset"])
 
-    schema = T.StructType([*made.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    schema = T.StructType([*made.drop("_row").schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return dealt.mapInArrow(run, schema)

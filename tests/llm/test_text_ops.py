@@ -6,10 +6,12 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+
 import pytest
 import tiktoken
 from docspark.llm import bpe, packing, pii, quality, queries, secrets, sharding, spans
@@ -117,7 +119,6 @@ def library_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return {k: [*t.encode(v or "", add_special_tokens=False).ids, 0] for k, v in texts.items()}
 
 
@@ -139,6 +140,25 @@ def test_packing_of_odd_rows(spark):
     assert with_ids.ids == library_ids({3: "one"})[3]
 
 
+def test_ids_are_the_library_s(tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftex", " " * 2_000_000, "\n" * 1_000_000 + "x", "a" * 300_000, "don't we'll\u00a0\u2003 \u0661\u06f2 \U0001f600\u0301 x\r\n\r\n y"]
+    texts += ["".join(chr(c) for c in range(a, a + 300) if not 0xD800 <= c < 0xE000) for a in range(0, 0x30000, 3001)]
+    fast = packing.FileTokenizer(path)
+    assert fast.fast is not None
+    assert [[*fast.ids(t).tolist(), 0] for t in texts] == list(library_ids(dict(enumerate(texts))).values())
+    # a file that is more than a plain byte-level BPE goes to the library
+    other = packing.FileTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.fast is None and other.ids("Some Words").tolist() == other.library.encode("Some Words", add_special_tokens=False).ids
+
+
+def test_repeated_rows_spread_over_groups(spark):
+    made = packing.pieces(table(spark, [(None, "same words here")] * 4000), public_tokenizers.path("byte_bpe_50k.json"))
+    rows = packing.pack(made, group_pieces=500).collect()
+    sizes = [*Counter(r.sequence_id >> 32 for r in rows).values()]
+    assert len(rows) == 4000 and len(sizes) == 8 and max(sizes) < 650
+
+
 def test_best_fit_is_tightest_and_closes_the_fullest():
     bins = packing.BestFit(10, 2)
     assert [bins.place(x) for x in (6, 7, 3, 4, 5)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0)]
