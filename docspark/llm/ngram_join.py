@@ -21,7 +21,8 @@ Documents are sets of word shingles; two link when ``100 * intersection >= perce
 Defined results: words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text with fewer words than a shingle is one shingle; a
 null text or one without words has an empty set, links with nothing and is its own component; repeated rows are equal
 sets and so one component; null ids never become a component's id unless it has no other; other input columns are not
-carried, so their names cannot clash; an empty table gives an empty table. Shingles and sets are told apart by 64-bit hashes.
+carried, so their names cannot clash; an empty table gives an empty table; a very long text is one set of all its shingles; ids are
+numbers (others raise, as the cast does). Shingles and sets are told apart by 64-bit hashes: about n * n / 2**65 pairs of n sets are taken for equal by chance.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from .components import components
 from .textvec import mix, shingles, slice_hashes, slices, u64, utf8, words
 
 SKETCH_BITS = 22
+NEAR = 12
+FAR_LEVEL = 8 * (NEAR + 8)
 SKETCH_BLOCK = 1 << 14
 FLUSH = 1 << 19
 BLOCK = 1024
@@ -46,6 +49,7 @@ LEAF = 16
 FANOUT = 8
 SIGNATURE_BITS = 4096
 FILTER_BITS = 24
+FILTER_BLOCK = 1 << 16
 SEEN = 1 << 18
 
 _U = np.uint64
@@ -113,8 +117,23 @@ def fingerprinted(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, node long, block int, counts binary")
 
 
-def levels(found: DataFrame) -> tuple[np.ndarray, float]:
-    """For each sketch cell about the log2 of how far its count exceeds the mean cell's, at least 0; and that mean."""
+def graded(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A level of 0 to 255 for each cell count, rising with it, and about how many documents more than the median cell's a level stands for.
+
+    The cells of rare shingles hold Poisson counts, whose doubled square roots have a deviation of 1 whatever the mean. So steps of an eighth of
+    that tell a half-common shingle from the noise of its cell as well as the sketch can at any size of the corpus; far above, steps are of a quarter of an octave.
+    """
+    root = float(np.sqrt(np.median(total)))
+    z = 2 * (np.sqrt(total) - root)
+    far = FAR_LEVEL + 4 * np.log2(np.maximum(z, NEAR) / NEAR)
+    level = np.clip(np.where(z < NEAR, 8 * (z + 8), far), 0, 255).astype(np.uint8)
+    step = np.arange(256)
+    at = np.where(step < FAR_LEVEL, step / 8 - 8, NEAR * 2.0 ** ((step - FAR_LEVEL) / 4))
+    return level, np.maximum((root + at / 2) ** 2 * (at > 4) - root**2, 1.0)
+
+
+def levels(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """``graded`` over the whole sketch."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total = None, None
@@ -133,24 +152,20 @@ def levels(found: DataFrame) -> tuple[np.ndarray, float]:
 
     parts = found.filter("block is not null").select("block", "counts").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary")
     total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    for r in parts.toLocalIterator():  # the sketch's fixed number of blocks
+    for r in parts.collect():  # the sketch's fixed number of blocks
         total[r.block * SKETCH_BLOCK : (r.block + 1) * SKETCH_BLOCK] = np.frombuffer(zlib.decompress(r.counts), dtype=np.int64)
-    mean = max(total.mean(), 2.0)
-    return np.clip(np.log2(np.maximum(total / mean, 1.0)), 0, 60).astype(np.uint8), float(mean)
+    return graded(total)
 
 
 def prefixes(values: np.ndarray, at: np.ndarray, level: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix shingles of all sets, and which set each belongs to."""
     n = np.diff(at)
     take = np.where(n > 0, prefix_length(n, percent), 0)
-    hot = level[(values >> _U(64 - SKETCH_BITS)).astype(np.int64)]
-    ordered = values
-    if hot.any():
-        ordered = values.copy()
-        run = np.concatenate([[0], np.cumsum(hot > 0)])
-        for i in np.flatnonzero(run[at[1:]] > run[at[:-1]]):
-            a, b = at[i], at[i + 1]
-            ordered[a:b] = values[a:b][np.argsort(hot[a:b], kind="stable")]
+    grade = level[(values >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+    ordered = values.copy()
+    cuts = at.tolist()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        ordered[a:b] = values[a:b][np.argsort(grade[a:b], kind="stable")]
     owner = np.repeat(np.arange(len(n)), take)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(take) - take, take)
     return ordered[at[:-1][owner] + within], owner
@@ -259,18 +274,35 @@ def shared_lists(packed: DataFrame, percent: int, parts: int) -> DataFrame:
 
 
 def marked(ids: DataFrame) -> np.ndarray:
-    """A bit array of fixed size that holds a bit for every id; null ids are not in it."""
+    """A bit array of fixed size that holds a bit for every id; null ids are not in it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each task sends the blocks of the array in which it has a bit; the parts of a block are put together in one task, and only the array itself,
+    of fixed size, comes to the driver. Where ids are so many that most bits are set, more rows pass by chance; none is lost.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, dtype=bool)
         for batch in batches:
             bits[filter_cell(batch.column(0))] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(bits).tobytes(), 1)], type=pa.binary())], names=["bits"])
+        yield from packed(enumerate(np.packbits(bits).reshape(-1, FILTER_BLOCK)))
 
-    total = np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8)
-    for r in ids.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():  # at most eight arrays of fixed size
-        total |= np.frombuffer(zlib.decompress(r.bits), dtype=np.uint8)
-    return total
+    def packed(found) -> Iterator[pa.RecordBatch]:
+        for block, bits in found:
+            if bits.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["block", "bits"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}  # a task's share of a fixed number of blocks
+        for batch in batches:
+            for block, bits in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                found[block] = found.get(block, np.uint8(0)) | np.frombuffer(zlib.decompress(bits), dtype=np.uint8)
+        yield from packed(found.items())
+
+    kind = "block int, bits binary"
+    total = np.zeros(1 << FILTER_BITS - 3, dtype=np.uint8).reshape(-1, FILTER_BLOCK)
+    for r in ids.mapInArrow(mark, kind).repartition("block").mapInArrow(either, kind).collect():  # the array's fixed number of blocks
+        total[r.block] = np.frombuffer(zlib.decompress(r.bits), dtype=np.uint8)
+    return total.reshape(-1)
 
 
 def filter_cell(ids: pa.Array) -> np.ndarray:
@@ -294,17 +326,17 @@ def only_marked(df: DataFrame, column: str, bits: np.ndarray, others: bool = Fal
     return df.mapInArrow(run, df.schema)
 
 
-def with_sets(docs: DataFrame, wanted: DataFrame, level: np.ndarray, mean: float, width: int, percent: int) -> DataFrame:
-    """(node, token, sub, sig, items) of the documents whose doc_id may be a ``rep`` of ``wanted``.
+def with_sets(docs: DataFrame, wanted: DataFrame, level: np.ndarray, excess: np.ndarray, width: int, percent: int) -> DataFrame:
+    """(node, token, sub, parts, n, sig, items) of the documents whose doc_id may be a ``rep`` of ``wanted``.
 
     A filter of fixed size clears most other texts, so no text is shuffled; those that pass it by chance do no harm. ``items`` are the packed
-    shingles and ``sig`` their bitmap. ``token`` is the set's first shingle in the order, and ``sub`` deals the sets of a common one into parts of
+    shingles and ``sig`` their bitmap. ``token`` is the set's first shingle in the order, and ``sub`` deals the sets of a common one into ``parts`` of
     about ``BLOCK`` by the sketch's count.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((level, mean, marked(wanted.select("rep"))))
+    shared = docs.sparkSession.sparkContext.broadcast((level, excess, marked(wanted.select("rep"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, typical, bits = shared.value
+        order, excess, bits = shared.value
         for batch in batches:
             for part in slices(batch.filter(pa.array(may_be(batch.column("doc_id"), bits))), "text"):
                 values, at = sets(*utf8(part.column("text")), width)
@@ -313,16 +345,17 @@ def with_sets(docs: DataFrame, wanted: DataFrame, level: np.ndarray, mean: float
                 full = np.flatnonzero(np.diff(at))
                 token = np.zeros(len(node), dtype=np.uint64)
                 token[full] = tokens[np.searchsorted(owner, full)]
-                often = np.ldexp(typical, order[(token >> _U(64 - SKETCH_BITS)).astype(np.int64)])
-                sub = (mix(node ^ token) % np.ceil(often / BLOCK).astype(np.uint64).clip(1)).astype(np.int64)
+                often = excess[order[(token >> _U(64 - SKETCH_BITS)).astype(np.int64)]]
+                parts = np.ceil(often / BLOCK).astype(np.uint64).clip(1)
+                sub = (mix(node ^ token) % parts).astype(np.int64)
                 items = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(values)])
                 maps = signatures(values, at)
                 sig = pa.Array.from_buffers(pa.binary(), len(maps), [None, pa.py_buffer((np.arange(len(maps) + 1) * (SIGNATURE_BITS // 8)).astype(np.int32)), pa.py_buffer(maps)])
-                out = pa.RecordBatch.from_arrays([u64(node), u64(token), pa.array(sub), pa.array(np.diff(at)), sig, items], names=names)
+                out = pa.RecordBatch.from_arrays([u64(node), u64(token), pa.array(sub), u64(parts), pa.array(np.diff(at)), sig, items], names=names)
                 yield out.filter(pa.array(np.diff(at) > 0))
 
-    names = ["node", "token", "sub", "n", "sig", "items"]
-    return docs.mapInArrow(run, "node long, token long, sub long, n long, sig binary, items binary")
+    names = ["node", "token", "sub", "parts", "n", "sig", "items"]
+    return docs.mapInArrow(run, "node long, token long, sub long, parts long, n long, sig binary, items binary")
 
 
 # ---- signature trees ----
@@ -509,11 +542,11 @@ def joined(rows: DataFrame, parts: int, percent: int, key: list[str]) -> DataFra
 
 
 def survivors(rows: DataFrame, key: list[str], parts: int, percent: int) -> DataFrame:
-    """(block, node, label) of the rows (key, node, label, n, sig) whose signatures leave them a partner.
+    """(u, node, label) of the rows (key, node, label, n, sig) whose signatures leave them a partner.
 
-    ``block`` is a hash of the members of a group, what such pairs connect; groups with the same members are one, from whatever lists.
+    ``u`` is the least node of those that such pairs connect; groups with the same members are one, from whatever lists.
     """
-    names = ["block", "node", "label"]
+    names = ["u", "node", "label"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _blocks(batches, key, ["node", "label", "n", "sig"]):
@@ -522,22 +555,31 @@ def survivors(rows: DataFrame, key: list[str], parts: int, percent: int) -> Data
             group = partners(label, _rows_of(sig), np.array(n), percent)
             keep = np.flatnonzero(group >= 0)
             if len(keep):
-                keep = keep[np.argsort(group[keep], kind="stable")]
-                starts = np.flatnonzero(np.diff(group[keep], prepend=-1))
-                count = np.diff(np.append(starts, len(keep)))
-                block = mix(np.add.reduceat(mix(node[keep].view(np.uint64)), starts) + count.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([u64(np.repeat(block, count)), pa.array(node[keep]), pa.array(label[keep])], names=names)
+                least = np.full(len(node), np.iinfo(np.int64).max)
+                np.minimum.at(least, group[keep], node[keep])
+                yield pa.RecordBatch.from_arrays([pa.array(least[group[keep]]), pa.array(node[keep]), pa.array(label[keep])], names=names)
 
     dealt = rows.select(*key, "node", "label", "n", "sig").repartition(parts, *key).sortWithinPartitions(*key)
     return dealt.mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
 
 
 def first_round(items: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(v, root) of nodes joined with others of the same first shingle; in blocks of about ``BLOCK``, so not all links are found."""
+    """(v, root) of nodes joined with others of the same first shingle; in blocks of about ``BLOCK``, so not all links are found.
+
+    A shingle of several blocks is dealt a second time, in another way, with what the first time joined as labels. Each block then holds members of all
+    the first blocks, so a large group of copies becomes one component here, and no pairs among its blocks are left for the second round.
+    """
     key = ["token", "sub"]
     rows = items.withColumn("label", F.col("node"))
     near = marked(survivors(rows, key, parts, percent).select("node"))
-    return components(joined(only_marked(rows, "node", near), parts, percent, key))
+    edges = cut(joined(only_marked(rows, "node", near), parts, percent, key))
+    once = components(edges)
+    again = items.filter("parts > 1").join(once.select(F.col("v").alias("node"), "root"), "node", "left")
+    again = again.withColumns({"label": F.coalesce("root", "node"), "sub": F.pmod(F.xxhash64("node", "token"), "parts")})
+    more = cut(joined(again, parts, percent, key))
+    if more.isEmpty():
+        return once
+    return components(once.select(F.col("v").alias("u"), F.col("root").alias("v")).unionByName(more))
 
 
 def dealt_in_blocks(rows: DataFrame) -> DataFrame:
@@ -569,8 +611,7 @@ def second_round(lists: DataFrame, items: DataFrame, comps: DataFrame, percent:
     rows = lists.join(comps.select(F.col("v").alias("node"), "root"), "node", "left").select("list", "node", "n", F.coalesce("root", "node").alias("label"))
     # merge joins at every size, so that a plan measured on a small table is that of a large one
     near = cut(survivors(dealt_in_blocks(rows).hint("merge").join(items.select("node", "sig"), "node"), key, parts, percent))
-    least = near.groupBy("block").agg(F.min("node").alias("u"))
-    group = components(near.join(least, "block").select("u", F.col("node").alias("v")))
+    group = components(near.select("u", F.col("node").alias("v")))
     nodes = near.select("node", "label").distinct().join(group.select(F.col("v").alias("node"), "root"), "node", "left")
     nodes = nodes.select(F.coalesce("root", "node").alias("list"), "node", "label", F.lit(0).alias("n"))
     kept = only_marked(items.select("node", "sig", "items"), "node", marked(near.select("node")))
@@ -583,14 +624,14 @@ def similar(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     bounded_batches(spark)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = cut(fingerprinted(docs, width))
-    level, mean = levels(found)
+    level, excess = levels(found)
     found = found.filter("block is null").select("doc_id", "n", "node")
     classes = found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     parts = shuffle_partitions(spark)
     buckets = max(32, 2 * docs.rdd.getNumPartitions())
     lists = cut(shared_lists(packed_prefixes(docs, level, width, percent, buckets), percent, parts))
     wanted = lists.select("node").distinct().join(classes, "node").select("rep")
-    items = cut(with_sets(docs, wanted, level, mean, width, percent))
+    items = cut(with_sets(docs, wanted, level, excess, width, percent))
     comps = first_round(items, percent, parts)
     edges = cut(second_round(lists, items, comps, percent, parts))
     rest = components(edges)
