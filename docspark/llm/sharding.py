@@ -1,17 +1,21 @@
 """Sharding of a table by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Rows with the same text form a group. Groups are dealt over partitions by hash; each partition places its groups, the largest
-first, in the shard whose residual capacity has the highest dot product with the group's (bytes, tokens, rows), all three as
-shares of the partition's totals, among the shards that still have room for its bytes (or the one with the most room left, if none
-has). As every partition fills its shards alike, so do all of them together. A group with more than 1/``split`` of the
-bytes, tokens or rows would unbalance any shard it lands in, so it is dealt into equal subgroups by the hash of the row's id; there
-are at most three times ``split`` such groups, so their list may be broadcast.
-
-Rows are numbered without gaps in each shard by two steps: a number in a bucket of the shard, and the bucket's start from a
-running sum of the buckets' counts.
-
-Defined results: a null text has no bytes and is not in the group of the empty text; null ids count as equal; repeated rows each
-get a place of their own; an empty table gives no rows; other input columns are not carried, so their names cannot clash.
+Rows with the same text form a group. The large groups, above 1/``LARGE`` of a shard in bytes, tokens or rows, come first: they are at most 3 * ``LARGE``
+a shard, so they are listed and placed together. All others are dealt over partitions by hash, as many partitions as the number of rows asks for, and each partition
+fills what the large groups leave of the shards. Placing is the same for both: largest first, in the shard whose residual capacity has the highest dot
+product with the group's (bytes, tokens, rows), all three as shares of the totals, among the shards that still have room for its bytes (or
+the one with the most room left, if none has). As every partition fills its shards alike, so do all of them together. No placement can balance a group that is
+itself much of a shard, so where it is above 1/``parts`` of one its rows are dealt in turn, by their number in the group, into parts of at most that size.
+
+Rows are numbered by one sort over ranges: their places are counts per range, a row a range, plus the place in the range. The result depends on the rows alone, not
+on how they are partitioned; rows equal in id and text may swap places.
+
+Tokens are counted as the runs that a tokenizer could make of a text: up to six letters, up to three digits, single ideographs, single other
+characters that are not white space. They stand for a vocabulary's ids without the price of encoding.
+
+Defined results: a null text has no bytes and is not in the group of the empty text; null and repeated ids are dealt and numbered like others;
+a row of any length is placed whole; ids are numbers (others raise, as the cast does); an empty table gives no rows; other input columns are not
+carried, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -25,57 +29,84 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, shuffle_partitions
+from .common import cut
 
 SHARDS = 24
-SPLIT = 24 * 16
+PARTS = 10
+LARGE = 64
 OVERHEAD = 8
+#: Groups to a partition of the placement, and rows to a range of the numbering.
+PLACED = 1 << 14
+NUMBERED = 1 << 18
+# What counts as one token.
+TOKEN = r"\p{IsIdeographic}|[\p{L}\p{M}&&[^\p{IsIdeographic}]]{1,6}+|\p{N}{1,3}+|[^\s\p{L}\p{M}\p{N}]"
 
 LAW = "bytes"
 
 
-def place(sizes: np.ndarray, shards: int, turn: int) -> np.ndarray:
-    """The shard of each row of ``sizes`` (columns bytes, tokens, rows), which come largest first.
+def place(sizes: np.ndarray, room: np.ndarray, turn: int = 0) -> np.ndarray:
+    """The shard of each row of ``sizes``, which come largest first, as shares of the same totals as ``room``, the shards' capacities; both have
+    columns for bytes, tokens and rows.
 
     ``turn`` moves the order in which equal shards are taken, so that partitions don't favour the same ones.
     """
-    total = sizes.sum(axis=0)
-    share = sizes / np.where(total > 0, total, 1)
-    room = np.full((shards, sizes.shape[1]), 1 / shards)
+    room = np.roll(room, -turn, axis=0)
     out = np.empty(len(sizes), dtype=np.int32)
-    for i, want in enumerate(share):
+    for i, want in enumerate(sizes):
         fits = room[:, 0] >= want[0]
         score = np.where(fits, room @ want, -np.inf) if fits.any() else room[:, 0]
         best = int(np.argmax(score))
         room[best] -= want
-        out[i] = (best + turn) % shards
+        out[i] = (best + turn) % len(room)
     return out
 
 
-def assign(df: DataFrame, shards: int = SHARDS, split: int = SPLIT, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, size, text_crc32, tokens, shard, slot."""
-    spark = df.sparkSession
+def shares(sizes: np.ndarray) -> np.ndarray:
+    total = sizes.sum(axis=0)
+    return sizes / np.where(total > 0, total, 1)
+
+
+def assign(df: DataFrame, shards: int = SHARDS, parts: int = PARTS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row per input row: doc_id, size, text_crc32, tokens, shard, slot. A group above 1/``parts`` of a shard is dealt out."""
     value = F.col(text)
     rows = cut(df.select(
         F.col(key).cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + OVERHEAD).alias("size"),
         F.crc32(F.coalesce(value, F.lit(""))).alias("text_crc32"),
-        (F.coalesce(F.length(value) - F.length(F.translate(value, " \n\t\r", "")), F.lit(0)) + 1).cast("long").alias("tokens"),
+        F.coalesce(F.regexp_count(value, F.lit(TOKEN)), F.lit(0)).cast("long").alias("tokens"),
         F.when(value.isNotNull(), F.xxhash64(value)).alias("h"),
+        F.monotonically_increasing_id().alias("_u"),
     ))
     same = ["h", "text_crc32", "size"]
     groups = rows.groupBy(*same).agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.sum("tokens").alias("t"))
     total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.sum("tokens").alias("t")).first()
     if not total.n:
         return rows.select("doc_id", "size", "text_crc32", "tokens", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    share = F.greatest(F.col("n") / total.n, F.col("b") / total.b, F.col("t") / total.t)
+    whole = np.array([total.b, max(total.t, 1), total.n], dtype=np.float64)
+    share = F.greatest(*(F.col(c) / float(x) for c, x in zip("btn", whole, strict=True))) * shards
+    large = groups.filter(share * LARGE > 1).withColumn("share", share).orderBy(F.desc("share"), *same).collect()  # at most 3 * LARGE * shards rows
     # a group of one row can't be dealt out
-    large = groups.filter((share > 1 / split) & (F.col("n") > 1)).select(*same, F.least(F.ceil(share * split), F.col("n")).cast("int").alias("parts"))
-    rows = on_group(rows, F.broadcast(large), same, "left", F.pmod(F.xxhash64("l.doc_id"), F.coalesce("r.parts", F.lit(1))).alias("sub"))
+    count = [min(-(-g.share * parts // 1), g.n) if g.share * parts > 1 else 1 for g in large]
+    units = [(g, int(c), i) for g, c in zip(large, count, strict=True) for i in range(int(c))]
+    sizes = np.array([[g.b / c, g.t / c, g.n / c] for g, c, _ in units]).reshape(-1, 3) / whole
+    order = np.argsort(-sizes.max(axis=1), kind="stable") if len(units) else np.zeros(0, dtype=np.int64)
+    found = np.empty(len(units), dtype=np.int32)
+    found[order] = place(sizes[order], np.full((shards, 3), 1 / shards))
+    room = np.full((shards, 3), 1 / shards)
+    np.subtract.at(room, found, sizes)
+    room = shares(np.maximum(room, 0))
+    key_kind = "h long, text_crc32 long, size long"
+    spark = df.sparkSession
+    parted = spark.createDataFrame([(g.h, g.text_crc32, g.size, int(c)) for g, c in zip(large, count, strict=True)], f"{key_kind}, parts int")
+    fixed = spark.createDataFrame([(g.h, g.text_crc32, g.size, i, int(x)) for (g, _, i), x in zip(units, found, strict=True)], f"{key_kind}, sub int, shard int")
+    marked = on_group(rows, F.broadcast(parted), same, "left", F.col("r.parts").alias("parts"))
+    hot = numbered(marked.filter("parts > 1"), same, total.n).withColumn("sub", F.pmod("_at", "parts").cast("int")).drop("_at")
+    hot = hot.unionByName(marked.filter("parts = 1").withColumn("sub", F.lit(0))).drop("parts")
+    rows = marked.filter("parts is null").drop("parts").withColumn("sub", F.lit(0))
     unit = [*same, "sub"]
-    parts = max(1, min(shuffle_partitions(spark), total.n // 4096))
     dealt = rows.groupBy(*unit).agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
-    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(*unit), F.lit(parts)).cast("int")).repartition(parts, "_part")
+    places = max(1, total.n // PLACED)
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(*unit), F.lit(places)).cast("int")).repartition(places, "_part")
     dealt = dealt.sortWithinPartitions("_part", F.desc("b"), *unit)
     schema = T.StructType([*(dealt.schema[c] for c in unit), T.StructField("shard", T.IntegerType())])
 
@@ -86,8 +117,8 @@ def assign(df: DataFrame, shards: int = SHARDS, split: int = SPLIT, text: str =
         def flush() -> Iterator[pa.RecordBatch]:
             for at in range(0, len(held_table := pa.Table.from_batches(held)), WINDOW):
                 piece = held_table.slice(at, WINDOW).combine_chunks()
-                sizes = np.column_stack([piece.column(c).to_numpy().astype(np.float64) for c in ("b", "t", "n")])
-                yield from piece.select(unit).append_column("shard", pa.array(place(sizes, shards, part or 0))).to_batches()
+                sizes = shares(np.column_stack([piece.column(c).to_numpy().astype(np.float64) for c in ("b", "t", "n")]))
+                yield from piece.select(unit).append_column("shard", pa.array(place(sizes, room, (part or 0) % shards))).to_batches()
 
         for batch in batches:
             at = batch.column("_part").to_numpy()
@@ -105,7 +136,9 @@ def assign(df: DataFrame, shards: int = SHARDS, split: int = SPLIT, text: str =
 
     placed = dealt.mapInArrow(run, schema)
     joined = on_group(rows, placed, unit, "inner", F.col("r.shard").alias("shard"))
-    return numbered(cut(joined.select("doc_id", "size", "text_crc32", "tokens", "shard")), spark)
+    joined = joined.unionByName(on_group(hot, F.broadcast(fixed), unit, "inner", F.col("r.shard").alias("shard")))
+    out = numbered(joined, ["shard"], total.n)
+    return out.select("doc_id", "size", "text_crc32", "tokens", "shard", F.col("_at").alias("slot"))
 
 
 def on_group(left: DataFrame, right: DataFrame, keys: list[str], how: str, more: Column) -> DataFrame:
@@ -117,14 +150,19 @@ def on_group(left: DataFrame, right: DataFrame, keys: list[str], how: str, more:
 WINDOW = 1 << 16
 
 
-def numbered(df: DataFrame, spark) -> DataFrame:
-    """``df`` with slot: numbers from 0 without gaps in each shard."""
-    buckets = shuffle_partitions(spark)
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int"))
-    order = W.partitionBy("shard", "_bucket").orderBy("doc_id", "text_crc32")
-    starts = df.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-    starts = starts.withColumn("_start", F.sum("_n").over(W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)))
-    # shards times buckets rows, whatever the table's size
-    starts = F.broadcast(starts.select("shard", "_bucket", F.coalesce("_start", F.lit(0)).alias("_start")))
-    inside = df.withColumn("_in", F.row_number().over(order) - 1)
-    return inside.join(starts, ["shard", "_bucket"]).select("doc_id", "size", "text_crc32", "tokens", "shard", (F.col("_start") + F.col("_in")).cast("long").alias("slot"))
+def numbered(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``df`` with ``_at``: numbers from 0 without gaps for each value of ``keys``, by id and text; ``n`` is about the table's rows.
+
+    Rows are sorted into ranges and written, so that the counts of the ranges and the places in them come from the same rows. ``_u`` only parts rows that
+    are equal otherwise, so that a common id is spread over ranges.
+    """
+    order = [*keys, "doc_id", "text_crc32", "size", "_u"]
+    ranges = max(1, -(-n // NUMBERED))
+    sorted_ = cut(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    # a row for each range and each of the keys' values that begin in it or go on
+    starts = sorted_.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    starts = starts.withColumn("_start", F.sum("_n").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)))
+    starts = starts.select(*keys, "_range", F.coalesce("_start", F.lit(0)).alias("_start"))
+    inside = sorted_.withColumn("_in", F.row_number().over(W.partitionBy("_range", *keys).orderBy(*order)) - 1)
+    both = on_group(inside, starts, ["_range", *keys], "inner", F.col("r._start").alias("_start"))
+    return both.withColumn("_at", (F.col("_start") + F.col("_in")).cast("long")).drop("_range", "_start", "_in")
