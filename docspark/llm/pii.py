@@ -10,13 +10,14 @@ with n in documents out of N: n(term) counts documents with the term, n(term, en
 reaches IC when the term occurs only with the entity. A term is removed where PMI >= REMOVE * IC, and generalised where
 PMI >= GENERALISE * IC, wherever it stands in the entity's documents outside plain spans. One document alone can't tell a term that
 discloses from a chance one: where n(term, entity) is 1, n(term) counts ``UNSEEN`` more, so such terms are generalised, and in a
-corpus of under 58 documents, where all are rare, kept.
+corpus of under 58 documents, where all are rare, kept. A term is a run of four letters or more; to generalise one is to leave its form alone, [NAME] for a
+capitalised word, [ACRONYM] for capitals, [WORD] for others.
 
 Scale: texts are read once for the patterns and once for term counts; counts are summed before they are shuffled, and only
 documents with entities go further. Nothing is collected.
 
-Defined results: a null or empty text has no spans; repeated rows get the same spans and count as one document; null ids are
-equal to each other; other columns are kept, and one named like an output column is replaced by it; an empty table gives an
+Defined results: a null or empty text has no spans; repeated rows (of one id and text) get the same spans and count as one document in N and in every n;
+texts of any length are read whole, in time near their length however many spans they have; null ids are equal to each other; other columns are kept, and one named like an output column is replaced by it; an empty table gives an
 empty table.
 """
 
@@ -40,6 +41,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 LONG_CHAIN = r"[0-9](?:[\x20-]?[0-9]){11}"
 WORD = r"\p{L}{4,}+"
+# Fixed value: a letter that stands for every character of a plain span while terms are looked for, so that none is found that touches one.
+MARK = "\ua015"
 
 UNSEEN = 0.5
 REMOVE = 1.0
@@ -86,9 +89,7 @@ def disclosing(df: DataFrame, found: DataFrame, text: str, key: str) -> DataFram
     entities = dirty.select(*docs, F.explode(F.array_distinct(F.transform("_base", entity_name))).alias("entity"))
     n_entity = entities.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor(F.xxhash64(*docs)).alias("same"))
     mentions = entities.join(n_entity, "entity").select(*docs, "same", "n_e").distinct()
-    terms = df.select(F.explode(words(F.coalesce(F.col(text), F.lit("")))).alias("term"))
-    n_term = terms.groupBy("term").agg(F.count("*").alias("n_t"))
-    total = df.agg(F.count("*").alias("n")).first().n
+    total, n_term = term_counts(df, found, text, key)
     content = F.log2(total / F.col("n_e"))
     told = dirty.select(*docs, F.explode(words(F.col("_text"))).alias("term")).join(n_term, "term")
     may = (content > 0) & (F.log2(total / F.col("n_t")) >= GENERALISE * content - 1e-9)
@@ -96,14 +97,40 @@ def disclosing(df: DataFrame, found: DataFrame, text: str, key: str) -> DataFram
     n_pair = pairs.groupBy("same", "n_e", "term", "n_t").agg(F.count("*").alias("n_te"))
     seen = F.col("n_t") + F.when(F.col("n_te") == 1, UNSEEN).otherwise(0.0)
     pmi = F.log2(F.col("n_te") * total / (seen * F.col("n_e")))
-    scored = n_pair.filter(pmi >= GENERALISE * content).select("same", "n_e", "term", F.when(pmi >= REMOVE * content, "").otherwise("[TERM]").alias("by"))
+    scored = n_pair.filter(pmi >= GENERALISE * content).select("same", "n_e", "term", (pmi < REMOVE * content).alias("kept"))
     # a term that several entities tell is removed if one of them asks for that
-    by = pairs.join(scored, ["same", "n_e", "term"]).groupBy(*docs, "term").agg(F.min("by").alias("by"))
-    by = by.groupBy(*docs).agg(F.map_from_entries(F.collect_list(F.struct("term", "by"))).alias("_by"))
+    by = pairs.join(scored, ["same", "n_e", "term"]).groupBy(*docs, "term").agg(F.min("kept").alias("kept"))
+    by = by.groupBy(*docs).agg(F.map_from_entries(F.collect_list(F.struct("term", "kept"))).alias("_by"))
     both = dirty.alias("l").join(by.alias("r"), same_document()).select("l.*", "_by")
-    put = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.element_at("_by", F.lower(s["match"])).alias("match"))
-    clear = lambda s: s["match"].isNotNull() & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return both.select(*docs, F.filter(F.transform(spans.find(F.col("_text"), WORD, TERM), put), clear).alias("_more"))
+
+    def put(s: Column) -> Column:
+        kept = F.element_at("_by", F.lower(s["match"]))
+        new = F.when(kept, form(s["match"])).when(~kept, "")
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), new.alias("match"))
+
+    free = spans.masked(F.col("_text"), F.col("_base"), MARK)
+    return both.select(*docs, F.filter(F.transform(spans.find(free, WORD, TERM), put), lambda s: s["match"].isNotNull()).alias("_more"))
+
+
+def form(word: Column) -> Column:
+    return F.when(word.rlike(r"^\p{Lu}+$"), "[ACRONYM]").when(word.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
+
+
+def term_counts(df: DataFrame, found: DataFrame, text: str, key: str) -> tuple[int, DataFrame]:
+    """The number of documents, and (term, n_t): the documents that hold each term. Rows of one id and text are one document.
+
+    Rows are counted, which needs no exchange of documents; what repeated rows count too often is then taken off. Only their texts travel.
+    """
+    value = F.coalesce(F.col(text), F.lit(""))
+    n_term = df.select(F.explode(words(value)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    rows = found.groupBy("_key", "_th").agg(F.count("*").alias("n"))
+    seen = rows.agg(F.count("*").alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    if seen.rows > seen.documents:
+        texts = df.select(F.col(key).alias("_key"), F.xxhash64(value).alias("_th"), value.alias("_text"))
+        again = texts.alias("l").join(rows.filter("n > 1").alias("r"), same_document()).select("l.*", "n").dropDuplicates(["_key", "_th"])
+        more = again.select(F.explode(words(F.col("_text"))).alias("term"), (F.col("n") - 1).alias("n")).groupBy("term").agg(F.sum("n").alias("n"))
+        n_term = n_term.join(more, "term", "left").select("term", (F.col("n_t") - F.coalesce("n", F.lit(0))).alias("n_t"))
+    return seen.documents, n_term
 
 
 def sanitise(df: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:

@@ -73,13 +73,40 @@ def count(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
 
+def _rewritten(text: Column, spans: Column, put: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with the array of strings ``put(s, at)`` in place of each span; ``at`` is the end of all spans before it.
+
+    Spans come by start. Blocks of them work on their own stretch of the text, so a text with very many spans stays near linear.
+    """
+
+    def inside(block: Column, start: Column) -> Column:
+        end = F.greatest(start, F.array_max(F.transform(block, lambda s: s["end"])))
+
+        def fold(part: Column) -> Column:
+            def step(acc: Column, s: Column) -> Column:
+                kept = F.when(s["start"] > acc["at"], F.substring(part, acc["at"] - start + 1, s["start"] - acc["at"])).otherwise("")
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(kept), put(s, acc["at"])).alias("out"))
+
+            first = F.struct(start.alias("at"), F.array().cast("array<string>").alias("out"))
+            return F.aggregate(block, first, step, lambda acc: F.array_join(acc["out"], ""))
+
+        return let(F.substring(text, start + 1, end - start), fold)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(spans) / BLOCK).cast("int") - 1), lambda i: F.slice(spans, i * BLOCK + 1, F.lit(BLOCK)))
+
+    def joined(cut: Column) -> Column:
+        ends = F.transform(cut, lambda c: F.array_max(F.transform(c, lambda s: s["end"])))
+        starts = F.aggregate(ends, F.array(F.lit(0)), lambda a, e: F.concat(a, F.array(F.greatest(F.element_at(a, -1), e))))
+        return let(starts, lambda at: F.concat(F.array_join(F.zip_with(cut, F.slice(at, F.lit(1), F.size(cut)), inside), ""), F.substring(text, F.element_at(at, -1) + 1, F.length(text))))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(blocks, joined))
+
+
 def replaced(text: Column, spans: Column, by: Callable[[Column], Column]) -> Column:
     """``text`` with each span replaced; a span that overlaps an earlier one only extends what is taken out."""
+    return _rewritten(text, spans, lambda s, at: F.array(F.when(s["start"] >= at, by(s)).otherwise("")))
 
-    def put(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        kept = F.when(new, F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), by(s))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], kept).alias("out"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(spans, first, put, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+def masked(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with ``mark``, one character, in place of every character of the spans, so that all places stay."""
+    return _rewritten(text, spans, lambda s, at: F.array(F.repeat(F.lit(mark), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)))))

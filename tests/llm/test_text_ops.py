@@ -201,6 +201,37 @@ def test_sharding_keeps_groups_and_splits_hot_ones(spark):
     check_shards(odd, {k: t for k, t in ODD if k not in (5, None)}, 24)
 
 
+def test_sharding_of_a_hot_group_without_ids(spark):
+    rows = [(None, "hot text " * 5)] * 6000 + [(i % 1500, f"own {i} " * (1 + i % 9)) for i in range(6000)] + [(7, None)] * 40 + [(8, "")] * 40
+    docs = table(spark, rows)
+    got = sharding.assign(docs).collect()
+    sizes = np.bincount([r.shard for r in got], weights=[r["size"] for r in got], minlength=24)
+    assert len(got) == len(rows) and sizes.max() / sizes.mean() < 1.02
+    check_shards(got, {}, 24)
+    # the result does not depend on partitions
+    spark.conf.set("spark.sql.shuffle.partitions", 7)
+    again = sharding.assign(docs.repartition(5)).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
+def test_placing_takes_the_highest_dot_product():
+    """Against a plain version of the rule."""
+    rng = np.random.default_rng(5)
+    sizes = sharding.shares(np.sort(rng.integers(1, 1000, (300, 3)).astype(float), axis=0)[::-1])
+    room = [[1 / 6] * 3 for _ in range(6)]
+    want = []
+    for row in sizes.tolist():
+        fit = [i for i in range(6) if room[i][0] >= row[0]]
+        best = max(fit, key=lambda i: (sum(a * b for a, b in zip(room[i], row)), -i)) if fit else max(range(6), key=lambda i: (room[i][0], -i))
+        room[best] = [a - b for a, b in zip(room[best], row)]
+        want.append(best)
+    got = sharding.place(sizes, np.full((6, 3), 1 / 6)).tolist()
+    assert sum(a == b for a, b in zip(got, want)) >= 0.98 * len(want)  # equal products round differently
+    load = np.array([sizes[np.array(got) == s].sum(axis=0) for s in range(6)])
+    assert load[:, 0].max() < 1.02 / 6
+
+
 def test_words_and_shingles():
     rng = random.Random(1)
     texts = ["".join(rng.choice("aB \t\n\x0bé\xa0") for _ in range(rng.randint(0, 40))) for _ in range(300)] + [None, "", " "]
@@ -345,7 +376,7 @@ def test_pii_terms_and_redaction(spark):
 def test_terms_of_an_entity_in_one_document(spark):
     rows = [(i, f"plain filler number {i}") for i in range(99)] + [(99, "plain filler from Quillfeather at ann@x.org")]
     out = {r.doc_id: r.text for r in pii.redact(table(spark, rows)).collect()}
-    assert out[99] == "plain filler [TERM] [TERM] at [EMAIL]" and out[5] == rows[5][1]
+    assert out[99] == "plain filler [WORD] [NAME] at [EMAIL]" and out[5] == rows[5][1]
 
 
 def test_terms_far_from_the_entity(spark):
@@ -355,6 +386,44 @@ def test_terms_far_from_the_entity(spark):
     assert out[99] == out[100] == f" {far}at [EMAIL] {far}" and out[5] == rows[5][1]
 
 
+def test_repeated_rows_count_as_one_document(spark):
+    rows = [(i, f"plain filler number {i} {'zyzzyva' if i < 2 else ''}" + (" ann@x.org" if i < 2 else "")) for i in range(100)] + [(None, "plain null")]
+    once = {r.doc_id: [tuple(s) for s in r["all"]] for r in pii.spans_of(table(spark, rows)).collect()}
+    thrice = pii.spans_of(table(spark, rows * 3)).collect()
+    assert len(thrice) == 3 * len(rows) and all([tuple(s) for s in r["all"]] == once[r.doc_id] for r in thrice)
+    assert sum(s[1] == pii.TERM for x in once.values() for s in x) == 2
+
+
+def test_very_many_mentions_in_one_text(spark):
+    text = "René " + " ".join(f"quillword{'abcdefgh'[i % 8]} m{i}@x.org éééém{i}@y.org" for i in range(8000))
+    rows = [(i, f"plain filler number {i}") for i in range(99)] + [(99, text)]
+    got = {r.doc_id: r for r in pii.spans_of(table(spark, rows)).collect()}[99]
+    assert len(got["base"]) == 16000
+    terms = {text[s.start : s.end] for s in got["all"] if s.kind == pii.TERM}
+    assert terms == {"René", *(f"quillword{x}" for x in "abcdefgh")}  # no letters beside an address
+    new = {r.doc_id: r.text for r in pii.redact(table(spark, rows)).collect()}[99]
+    assert new == "[NAME] " + " ".join(["[WORD] [EMAIL] éééé[EMAIL]"] * 8000)
+
+
+def test_rewriting_of_overlapping_spans(spark):
+    rng = random.Random(4)
+    cases = []
+    for n in (0, 1, 5, 127, 128, 129, 700):
+        text = "".join(rng.choice("aé\U0001f600 b") for _ in range(4 * n + 9))
+        at = sorted(rng.sample(range(len(text) - 6), n))
+        cases.append((text, [(a, 0, a + rng.randint(1, 6), "") for a in at]))
+    df = spark.createDataFrame([(t, s, i) for i, (t, s) in enumerate(cases)], f"text string, s {spans.SPAN}, i int")
+    got = {r.i: r for r in df.select("i", spans.replaced(F.col("text"), F.col("s"), lambda s: F.lit("#")).alias("a"), spans.masked(F.col("text"), F.col("s"), "*").alias("b")).collect()}
+    for i, (text, found) in enumerate(cases):
+        out, mask, at = "", list(text), 0
+        for a, _, b, _ in found:
+            mask[a:b] = "*" * (b - a)
+            if a >= at:
+                out += text[at:a] + "#"
+            at = max(at, b)
+        assert got[i].a == out + text[at:] and got[i].b == "".join(mask)
+
+
 def test_told_terms_are_those_of_all_pairs(spark):
     rng = random.Random(7)
     lexicon = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
