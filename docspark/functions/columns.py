@@ -274,11 +274,6 @@ def encode_path(path: Column | str) -> Column:
     return F.array_join(F.transform(F.split(_c(path), "/"), lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))), "/")
 
 
-def link_host_anonymised(text: Column | str, host: str = "https://confluence.example.com") -> Column:
-    out = F.regexp_replace(_c(text), r'https?://[^/\s"]+', host)
-    return F.regexp_replace(out, r'(?<=/display/~)[^/\s"?&]+', "user")
-
-
 # ---- search strings ----
 
 

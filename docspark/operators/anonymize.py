@@ -6,11 +6,13 @@ state. Stand-ins may coincide for different values; they tell nothing of the val
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import hmac
 import json
 import re
 from collections.abc import Callable, Iterator
+from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,24 +30,28 @@ SURNAMES = "Reed Lane Ford Hill Wood Stone Brook Field Marsh Dale Moor West Nort
 # Suffixes that a file name keeps, and macro parameters that stay.
 SUFFIXES = (".drawio.png", ".drawio", ".png", ".jpeg", ".jpg", ".gif", ".svg", ".puml", ".json", ".xml", ".pdf", ".docx", ".xlsx")
 KEPT_PARAMETERS = frozenset(("language", "start-numbering-with"))
-HTML_FIELDS = frozenset(("content", "view", "body", "value", "storage"))
-FIELD_KINDS = {
-    **dict.fromkeys(("url", "href", "base", "self", "link", "webui", "tinyui", "download"), "url"),
-    **dict.fromkeys(("userkey", "accountid"), "user_key"),
-    "username": "login",
-    **dict.fromkeys(("displayname", "fullname", "author"), "name"),
-    **dict.fromkeys(("title", "content-title", "name"), "title"),
-    **dict.fromkeys(("space", "spacekey", "space-key"), "space_key"),
-    "filename": "file_name",
-    **dict.fromkeys(("date", "datetime", "when", "created", "createddate", "lastmodified", "friendlywhen"), "date"),
-}
+#: Path segments and file endings of a URL that tell the kind of a page and nothing of its owner.
+ROUTES = frozenset("display spaces pages viewpage.action browse projects repos wiki rest api content download attachments label issue search".split())
+#: What the words of a JSON field's name say of its value; the first line of which all words occur decides.
+FIELD_WORDS = (
+    ("user_key", "user key"), ("user_key", "account id"), ("space_key", "space"), ("file_name", "file"), ("login", "user name"), ("name", "display name"),
+    ("name", "full name"), ("name", "author"), ("title", "title"), ("title", "name"), ("date", "date"), ("date", "when"), ("date", "created"), ("date", "modified"),
+    ("url", "url"), ("url", "href"), ("url", "link"), ("url", "base"), ("url", "self"), ("url", "webui"), ("url", "tinyui"), ("url", "download"),
+)
+#: The words that run together in names of fields.
+SPLIT_WORDS = ("user", "account", "display", "full", "space", "file", "created", "modified")
 # letter runs that are not file suffixes, attribute names or parts of a longer run
 RUN = re.compile(r"(?<![^\W\d_])(?<!\.)[^\W\d_]{2,}(?![^\W\d_])(?!:)")
 
 
+#: Words whose stand-ins a task remembers.
+KNOWN = 1 << 17
+
+
 class Anonymizer:
     def __init__(self, key: str = "42"):
         self.key = key.encode()
+        self.known: dict[str, str] = {}
 
     def draw(self, kind: str, value: str, n: int) -> int:
         return int.from_bytes(hmac.digest(self.key, f"{kind}\0{value}".encode("utf-8", "surrogatepass"), hashlib.sha256)[:8], "big") % n
@@ -58,29 +64,37 @@ class Anonymizer:
 
     # generators; null stays null
 
+    def letters(self, kind: str, v: str, count: int, alphabet: str) -> str:
+        """``count`` signs, all from one draw."""
+        n, out = self.draw(kind, v, len(alphabet) ** count), ""
+        for _ in range(count):
+            n, i = divmod(n, len(alphabet))
+            out += alphabet[i]
+        return out
+
     def name(self, v: str) -> str:
-        return f"{NAMES[self.draw('first', v, len(NAMES))]} {SURNAMES[self.draw('last', v, len(SURNAMES))]}"
+        first, last = divmod(self.draw("name", v, len(NAMES) * len(SURNAMES)), len(SURNAMES))
+        return f"{NAMES[first]} {SURNAMES[last]}"
 
     def login(self, v: str) -> str:
-        return f"user{100_000 + self.draw('login', v, 900_000)}"
+        return f"{self.word('login', v)}.{self.letters('login#', v, 4, '0123456789')}"
 
     def user_key(self, v: str) -> str:
-        return (hmac.new(self.key, v.encode("utf-8", "surrogatepass"), hashlib.sha512).hexdigest() * (len(v) // 128 + 1))[: max(8, len(v))]
+        return hashlib.shake_256(self.key + b"\0" + v.encode("utf-8", "surrogatepass")).hexdigest(max(8, len(v)))[: max(8, len(v))]
 
     def title(self, v: str) -> str:
-        return self.phrase("title", v, 2 + self.draw("title#", v, 3)).capitalize()
-
-    def letters(self, kind: str, v: str, count: int) -> str:
-        return "".join(chr(65 + self.draw(kind, f"{v}\0{i}", 26)) for i in range(count))
+        """As many words as there were, eight at most."""
+        return self.phrase("title", v, max(1, min(8, len(v.split())))).capitalize()
 
     def space_key(self, v: str) -> str:
-        return self.letters("space", v, 2 + self.draw("space#", v, 6))
+        return self.letters("space", v, max(2, min(10, len(v))), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
     def issue_key(self, v: str) -> str:
-        return f"{self.letters('issue', v, 2 + self.draw('issue#', v, 3))}-{100 + self.draw('issue-', v, 9000)}"
+        project, _, number = v.partition("-")
+        return f"{self.space_key(project)}-{1 + self.draw('issue', v, 10 ** max(3, len(number)))}"
 
     def anchor(self, v: str) -> str:
-        return f"anchor_{1000 + self.draw('anchor', v, 9000)}"
+        return "a-" + self.letters("anchor", v, 8, "0123456789abcdef")
 
     def base_name(self, v: str) -> str:
         return f"file_{self.draw('file', v, 10**9)}"
@@ -92,18 +106,44 @@ class Anonymizer:
         return self.base_name(v[: len(v) - len(suffix)]) + suffix
 
     def date(self, v: str) -> str:
-        return f"{2020 + self.draw('year', v, 5):04d}-{1 + self.draw('month', v, 12):02d}-{1 + self.draw('day', v, 28):02d}"
+        day = datetime.date(2019, 1, 1) + datetime.timedelta(days=self.draw("date", v, 3650))
+        return day.isoformat()
 
     def url(self, v: str) -> str:
-        v = re.sub(r'https?://[^/\s"]+', "https://confluence.example.com", v)
-        v = re.sub(r'(?<=/display/~)[^/\s"?&]+', "user", v)
-        return re.sub(r"(?<=pageId=)\d+", lambda m: str(1_000_000 + self.draw("page", m.group(), 9_000_000)), v)
+        """Component by component: the host, every path segment that is no route, every value of the query and the fragment."""
+        try:
+            at = urlsplit(v)
+        except ValueError:
+            return self.slug(v)
+        host = f"{self.word('host', at.hostname)}.example" if at.hostname else ""
+        path = "/".join(self._segment(x) for x in at.path.split("/"))
+        query = urlencode([(k, self.slug(x)) for k, x in parse_qsl(at.query, keep_blank_values=True)])
+        return urlunsplit((at.scheme, host, path, query, self.anchor(at.fragment) if at.fragment else ""))
+
+    def _segment(self, v: str) -> str:
+        if not v or v.lower() in ROUTES:
+            return v
+        return "~" + self.login(v[1:]) if v[0] == "~" else self.file_name(v) if v.lower().endswith(SUFFIXES) else self.slug(v)
+
+    def slug(self, v: str) -> str:
+        if not v:
+            return v
+        return self.letters("number", v, len(v), "123456789") if v.isdigit() else self.phrase("slug", v, 2).replace(" ", "-")
 
     # texts
 
     def scrub(self, text: str) -> str:
         """Every run of two letters and more by a word, the same for the same run."""
-        return RUN.sub(lambda m: self.word("word", m.group()), text)
+        return RUN.sub(self._known, text)
+
+    def _known(self, match: re.Match) -> str:
+        run = match.group()
+        word = self.known.get(run)
+        if word is None:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            word = self.known[run] = self.word("word", run)
+        return word
 
     def inline(self, text: str) -> str:
         """As many words as there were; white space at the edges stays."""
@@ -201,12 +241,29 @@ class Anonymizer:
         return self._field((field or "").lower(), node) if isinstance(node, str) and node.strip() else node
 
     def _field(self, field: str, text: str) -> str:
-        if field in HTML_FIELDS or re.search(r"</|<ac:|<p|<table", text):
+        """By what the value is where it shows that, else by the words of the field's name."""
+        if looks_like_markup(text):
             return self.html(text)
-        kind = FIELD_KINDS.get(field) or ("url" if "://" in text else None)
+        words = {*re.findall("[a-z]+", re.sub(f"({'|'.join(SPLIT_WORDS)})", r" \1 ", field))}
+        kind = next((k for k, needed in FIELD_WORDS if words.issuperset(needed.split())), None)
+        if kind is None and urlsplit_or_none(text):
+            kind = "url"
         return getattr(self, kind)(text) if kind else text
 
 
+def looks_like_markup(text: str) -> bool:
+    """Whether the engine's own parser finds an element in the text."""
+    return "<" in text and ">" in text and bool(parse(text).elements())
+
+
+def urlsplit_or_none(text: str):
+    try:
+        at = urlsplit(text)
+    except ValueError:
+        return None
+    return at if at.scheme and at.netloc and not text.strip().count(" ") else None
+
+
 def _column(df: DataFrame, text: str, by: Callable[[Anonymizer], Callable[[str], str]], key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         change = by(Anonymizer(key))

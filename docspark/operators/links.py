@@ -10,10 +10,15 @@ MISSING = "http://mock"
 
 def page_links(pages: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """(key, pos, href, label) of every ``<a>`` of rendered pages, by patterns and so in the JVM."""
-    tags = F.regexp_extract_all(F.col(html), F.lit(r'(?s)<a\b[^>]*\bhref="[^"]*"[^>]*>.*?</a>'), F.lit(0))
+    tags = F.regexp_extract_all(F.col(html), F.lit(r"""(?s)<a\b[^>]*?\bhref=(?:"[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>.*?</a>"""), F.lit(0))
     rows = pages.select(key, F.posexplode(tags).alias("pos", "tag"))
     label = F.trim(F.regexp_replace(F.regexp_replace("tag", "<[^>]+>", ""), r"\s+", " "))
-    return rows.select(key, "pos", F.regexp_extract("tag", r'\bhref="([^"]*)"', 1).alias("href"), label.alias("label"))
+    return rows.select(key, "pos", _href(F.col("tag")).alias("href"), label.alias("label"))
+
+
+def _href(tag: Column) -> Column:
+    value = F.regexp_extract(tag, r"""\bhref=("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.regexp_replace(value, r"""^["']|["']$""", "")
 
 
 def view_map(links: DataFrame, key: str = "page_id") -> DataFrame:
@@ -26,9 +31,11 @@ def resolve(links: DataFrame, cached: DataFrame, sitemap: DataFrame, view: DataF
     """``links`` (page_id, kind, key, space) with title and url; both null where nothing has the link.
 
     cached (kind, key, space, title, url); sitemap (title, path); view (page_id, label, href); search (title, space, url, rank); users
-    (user_key, title, url); attachments (page_id, name, title, url). All sides but ``links`` hold one row a key, or the first is taken.
+    (user_key, title, url); attachments (page_id, name, title, url). Of several rows of a key the least by its other columns is taken.
     """
     first = search.groupBy("title", "space").agg(F.min_by("url", "rank").alias("url"))
+    cached, sitemap, users = _first(cached, "kind", "key", "space"), _first(sitemap, "title"), _first(users, "user_key")
+    view, attachments = _first(view, "page_id", "label"), _first(attachments, "page_id", "name")
     bare = F.regexp_extract("l.key", "^([^#]*)", 1)
     fragment = F.regexp_extract("l.key", "(#.*)$", 1)
     is_page, is_user, is_file = (F.col("l.kind") == k for k in ("page", "user", "attachment"))
@@ -45,6 +52,22 @@ def resolve(links: DataFrame, cached: DataFrame, sitemap: DataFrame, view: DataF
     return rows.select("l.*", title.alias("title"), url.alias("url"))
 
 
+def _first(side: DataFrame, *keys: str) -> DataFrame:
+    """One row a key."""
+    rest = [c for c in side.columns if c not in keys]
+    return side.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, "_r.*")
+
+
+def resolve_local(links: DataFrame, view: DataFrame, attachments: DataFrame) -> DataFrame:
+    """As ``resolve`` from what a page brings along: its rendered view and its attachments. Users and other pages' links stay open."""
+    rows = links.alias("l")
+    is_page, is_file = F.col("l.kind") == "page", F.col("l.kind") == "attachment"
+    rows = rows.join(_first(view, "page_id", "label").alias("v"), is_page & (F.col("l.page_id") == F.col("v.page_id")) & (F.col("l.key") == F.col("v.label")), "left")
+    rows = rows.join(_first(attachments, "page_id", "name").alias("a"), is_file & (F.col("l.page_id") == F.col("a.page_id")) & (F.col("l.key") == F.col("a.name")), "left")
+    url = F.coalesce(F.col("v.href"), F.col("a.url"))
+    return rows.select("l.*", F.coalesce(F.col("a.title"), F.when(url.isNotNull(), F.col("l.key"))).alias("title"), url.alias("url"))
+
+
 def rendered(resolved: DataFrame) -> DataFrame:
     """What a link prints as: an unresolved one points to a stand-in and is labelled by its key."""
     label = F.coalesce("title", F.concat(F.lit("Links"), F.initcap("kind"), F.lit("["), F.col("key"), F.lit("]")))

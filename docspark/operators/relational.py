@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docspark.shared import cut
+
 
 def clamp_limit(n: int | None, default: int = 50, most: int = 100) -> int:
     return max(1, min(default if n is None else int(n), most))
@@ -21,17 +23,15 @@ def page(df: DataFrame, order: list, start: int | None = 0, limit: int | None =
 
 
 def numbered_pages(df: DataFrame, order: list, size: int = 100) -> DataFrame:
-    """``df`` with page_no and place: every row's place in an offset pager, by sorted ranges and not by one task."""
-    spark = df.sparkSession
-    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    """``df`` with page_no and place: every row's place in an offset pager, by sorted ranges and not by one task.
+
+    The ranges are written first, so that their counts and the places in them come from the same rows.
+    """
+    rows = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = rows.groupBy("_part").agg(F.count("*").alias("n"))  # one row a partition
+    starts = counts.select("_part", (F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("_start"))
     rows = rows.withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1)
-    counts = rows.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()  # one row a partition
-    starts, at = [], 0
-    for r in counts:
-        starts.append((r._part, at))
-        at += r.n
-    known = spark.createDataFrame(starts, "_part int, _start long")
-    placed = rows.join(F.broadcast(known), "_part").withColumn("place", F.col("_start") + F.col("_in"))
+    placed = rows.join(F.broadcast(starts), "_part").withColumn("place", F.col("_start") + F.col("_in"))
     return placed.withColumn("page_no", F.floor(F.col("place") / size)).drop("_part", "_in", "_start")
 
 

@@ -1,41 +1,54 @@
-"""Page trees: closures with folder paths, ancestors, roots. Recursion is a loop of joins, in SQL."""
+"""Page trees: closures with folder paths, ancestors, roots. Recursion is a loop of joins."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions.columns import safe_folder
+from docspark.shared import cut
 
 
-#: Levels of pages after which a closure fails; nothing is left out silently.
-MAX_LEVELS = 1000
+#: Levels that are kept apart before they are written as one table.
+MERGED = 16
 
 
 def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, title, path, depth) of the pages below ``roots`` (id, title); a page that is reached twice keeps its least depth, then path.
 
-    ``edges``: (parent_id, child_id, title). The path is made of safe folder names. A page on its own path is not entered again, so cycles end.
-    Without ``depth`` it goes on until no page is reached, and fails beyond ``MAX_LEVELS``.
+    ``edges``: (parent_id, child_id, title). The path is made of safe folder names. Level by level, the pages reached are joined with their children, and those
+    that an earlier level holds are left out, so cycles end and each page is entered once, however many paths lead to it. It ends where a level is
+    empty, or at ``depth``. Each level is written to the shared checkpoint folder.
+    """
+    kids = edges.select(F.col("parent_id"), F.col("child_id"), F.col("title").alias("_title"), safe_folder("title").alias("_folder"))
+    best = lambda rows: rows.groupBy("id").agg(F.min(F.struct("path", "title")).alias("r")).select("id", "r.title", "r.path")
+    level = cut(best(roots.select(F.col("id"), F.col("title"), safe_folder("title").alias("path"))).withColumn("depth", F.lit(0)))
+    done, apart, at = None, [level], 0
+    while not level.isEmpty() and (depth is None or at < depth):
+        at += 1
+        below = level.select(F.col("id").alias("parent_id"), "path").join(kids, "parent_id")
+        rows = best(below.select(F.col("child_id").alias("id"), F.col("_title").alias("title"), F.concat("path", F.lit("/"), "_folder").alias("path")))
+        for seen in ([] if done is None else [done]) + apart:
+            rows = rows.join(seen.select("id"), "id", "left_anti")
+        level = cut(rows.withColumn("depth", F.lit(at)))
+        apart.append(level)
+        if len(apart) == MERGED:
+            done, apart = cut(reduce(DataFrame.unionByName, apart if done is None else [done, *apart])), []
+    return reduce(DataFrame.unionByName, apart if done is None else [done, *apart])
+
+
+def within(edges: DataFrame, pages: DataFrame, root: str, levels: int = 10) -> DataFrame:
+    """``pages`` (page_id) with ``inside``: whether ``root`` is among the page or its ancestors, up to ``levels`` of them.
+
+    ``edges`` gives each page's parent. A chain that is longer, that ends elsewhere or goes in a circle is not inside.
     """
-    spark = edges.sparkSession
-    edges.select("parent_id", "child_id", "title").createOrReplaceTempView("_edges")
-    roots.select(F.col("id"), F.col("title"), safe_folder("title").alias("path"), F.array("id").alias("seen")).createOrReplaceTempView("_roots")
-    rows = spark.sql(f"""
-        WITH RECURSIVE tree(id, title, path, depth, seen) MAX RECURSION LEVEL {MAX_LEVELS} AS (
-            SELECT id, title, path, 0, seen FROM _roots
-            UNION ALL
-            SELECT e.child_id, e.title, concat(t.path, '/', {_folder_sql("e.title")}), t.depth + 1, array_append(t.seen, e.child_id)
-            FROM tree t JOIN _edges e ON e.parent_id = t.id
-            WHERE {"true" if depth is None else f"t.depth < {depth}"} AND NOT array_contains(t.seen, e.child_id)
-        ) SELECT id, title, path, depth FROM tree""")
-    first = rows.groupBy("id").agg(F.min(F.struct("depth", "path", "title")).alias("r"))
-    return first.select("id", "r.title", "r.path", "r.depth")
-
-
-def _folder_sql(title: str) -> str:
-    name = f"regexp_replace(regexp_replace(trim(coalesce({title}, '')), '[<>:\"/\\\\\\\\|?*\\\\x00-\\\\x1F]', '_'), '[. ]+$', '')"
-    return f"CASE WHEN trim({name}) = '' THEN 'page' ELSE {name} END"
+    up = edges.select(F.col("child_id").alias("_at"), F.col("parent_id").alias("_parent"))
+    rows = pages.withColumns({"_at": F.col("page_id"), "inside": F.col("page_id") == root})
+    for _ in range(levels):
+        rows = rows.join(up, "_at", "left").withColumns({"_at": F.col("_parent"), "inside": F.col("inside") | F.coalesce(F.col("_parent") == root, F.lit(False))}).drop("_parent")
+    return rows.drop("_at")
 
 
 def collisions(tree: DataFrame) -> DataFrame:
@@ -51,6 +64,6 @@ def ancestors(path: Column) -> Column:
 
 
 def folder_tree(files: DataFrame, path: str = "path") -> DataFrame:
-    """(folder, depth) of all folders above files, each once."""
+    """(folder, depth) of all folders above files, each once; a reader who needs parents first orders by depth, then folder."""
     rows = files.select(F.explode(ancestors(F.col(path))).alias("folder")).distinct()
     return rows.select("folder", F.size(F.split("folder", "/")).alias("depth"))

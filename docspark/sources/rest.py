@@ -23,10 +23,9 @@ class PagedReader(DataSourceReader):
         self.folder, self.size = options["path"], int(options.get("pagesize", 100))
 
     def partitions(self) -> list[Page]:
-        out, start = [], 0
-        while (file := Path(self.folder) / f"{start}.json").exists():
-            out.append(Page(str(file)))
-            start += self.size
+        found, out = {p.name for p in Path(self.folder).iterdir()}, []
+        while (name := f"{len(out) * self.size}.json") in found:
+            out.append(Page(str(Path(self.folder) / name)))
         return out or [Page("")]
 
     def read(self, partition: Page) -> Iterator[tuple]:

@@ -12,15 +12,39 @@ from pyspark.sql import functions as F
 
 
 def write_files(df: DataFrame, folder: str, path: str = "path", content: str = "content") -> None:
-    """Each row's text as a file below ``folder``, a shared one; written by the executors, rows of one path are written once."""
+    """Each row's text or bytes as a file below ``folder``, a shared one; written by the executors.
+
+    Different contents for one path, and paths that lead out of the folder, are errors and nothing is written.
+    """
+    rows = df.select(F.col(path).alias("path"), F.col(content).alias("content")).distinct()
+    parts = F.split("path", r"[/\\\\]")
+    bad = rows.groupBy("path").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col("path").isNull() | F.col("path").startswith("/") | F.array_contains(parts, ".."))
+    if found := bad.select("path").limit(5).collect():
+        raise ValueError("paths that several files share or that lead elsewhere: " + ", ".join(str(r.path) for r in found))
 
     def run(rows: Iterator) -> None:
         for row in rows:
             file = Path(folder) / row[0]
             file.parent.mkdir(parents=True, exist_ok=True)
-            file.write_text(row[1] or "", "utf-8")
-
-    df.select(path, content).dropDuplicates([path]).foreachPartition(run)
+            if isinstance(row[1], (bytes, bytearray)):
+                file.write_bytes(row[1])
+            else:
+                file.write_text(row[1] or "", "utf-8")
+
+    rows.foreachPartition(run)
+
+
+def debug_files(pages: DataFrame, links: DataFrame | None = None, folder: str = "source") -> DataFrame:
+    """(path, content) of what a page was made from: its storage markup, its rendered view, the whole row as JSON and its links."""
+    at = F.concat(F.lit(f"{folder}/"), "page_id")
+    kinds = [("storage.html", F.col("storage"))] + ([("view.html", F.col("view"))] if "view" in pages.columns else []) + [("json", F.to_json(F.struct(*pages.columns)))]
+    files = F.array(*(F.struct(F.concat(at, F.lit(f".{k}")).alias("path"), v.alias("content")) for k, v in kinds))
+    out = pages.select(F.explode(files).alias("f")).select("f.*").filter("content is not null")
+    if links is None:
+        return out
+    rows = links.select("page_id", F.to_json(F.struct(*(c for c in links.columns if c != "page_id"))).alias("j"))
+    told = rows.groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_list("j")), "\n").alias("content"))
+    return out.unionByName(told.select(F.concat(at, F.lit(".links.json")).alias("path"), "content"))
 
 
 def upsert(stored: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

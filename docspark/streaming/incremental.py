@@ -10,27 +10,43 @@ from docspark.functions.columns import content_hash
 from docspark.operators.convert import to_text
 
 
-def convert_stream(spark: SparkSession, source: str, target: str, state: str, schema: str = "page_id string, html string", form: str = "md") -> StreamingQuery:
+def convert_stream(
+    spark: SparkSession, source: str, target: str, state: str, schema: str = "page_id string, html string", form: str = "md", order: str | None = None
+) -> StreamingQuery:
     """Convert pages that arrive as Parquet files in ``source``; ``target`` and ``state`` are tables in shared folders.
 
-    Within a batch the last row of a page by its hash wins; pages whose hash is stored already are skipped by an anti-join. The state is written after
-    the result, so a batch that is run again converts its pages again and the readers of ``target`` take each page's last row by ``batch``.
+    Within a batch the row of a page with the greatest ``order`` (a version) wins, by hash among equals. A page is skipped where its hash is the one that it has now, so a page
+    that returns to an earlier text is converted again. The state (page_id, hash, batch) is written after the result; a batch that is run again converts its
+    pages again, and readers take each page's last row by ``batch``.
     """
     pages = spark.readStream.schema(schema).parquet(source)
 
     def one(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         rows = batch.withColumn("hash", content_hash("html"))
-        rows = rows.groupBy("page_id").agg(F.max_by(F.struct("html", "hash"), "hash").alias("r")).select("page_id", "r.html", "r.hash")
+        by = F.struct(*([order] if order else []), "hash")
+        rows = rows.groupBy("page_id").agg(F.max_by(F.struct("html", "hash"), by).alias("r")).select("page_id", "r.html", "r.hash")
         if _exists(session, state):
-            rows = rows.join(session.read.parquet(state).select("page_id", "hash"), ["page_id", "hash"], "left_anti")
-        made = to_text(rows, "html", form).withColumn("batch", F.lit(number))
+            rows = rows.join(current(session, state, number).select("page_id", "hash"), ["page_id", "hash"], "left_anti")
+        made = to_text(rows, "html", form).withColumn("batch", F.lit(number).cast("long"))
         made.write.mode("append").parquet(target)
-        session.read.parquet(target).filter(F.col("batch") == number).select("page_id", "hash").write.mode("append").parquet(state)
+        session.read.parquet(target).filter(F.col("batch") == number).select("page_id", "hash", "batch").distinct().write.mode("append").parquet(state)
 
     return pages.writeStream.foreachBatch(one).option("checkpointLocation", f"{state}_checkpoint").trigger(availableNow=True).start()
 
 
+def current(spark: SparkSession, state: str, before: int | None = None) -> DataFrame:
+    """(page_id, hash, batch): what each page has now, or had ``before`` a batch."""
+    rows = spark.read.parquet(state)
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    return rows.groupBy("page_id").agg(F.max(F.struct("batch", "hash")).alias("r")).select("page_id", "r.hash", "r.batch")
+
+
+def compacted(spark: SparkSession, state: str, target: str) -> None:
+    """Write the state without what later batches replaced to another folder, from which the next run goes on."""
+    current(spark, state).write.mode("errorifexists").parquet(target)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     from pyspark.errors import AnalysisException
 
