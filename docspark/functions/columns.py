@@ -269,6 +269,13 @@ def server_url(url: Column | str) -> Column:
     return _first(F.regexp_extract(_c(url), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1))
 
 
+def normal_path(folder: Column | str, target: Column | str) -> Column:
+    """A path as seen from a folder, without ``.`` and ``..``; those above the top are dropped."""
+    parts = F.filter(F.split(F.concat_ws("/", _c(folder), _c(target)), "/"), lambda x: ~x.isin("", "."))
+    up = lambda a, x: F.when(x == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/")
+
+
 def encode_path(path: Column | str) -> Column:
     """A path with each segment URL-encoded."""
     return F.array_join(F.transform(F.split(_c(path), "/"), lambda x: F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))), "/")

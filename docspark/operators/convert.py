@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,9 +15,9 @@ BLOCK = "node_id int, parent_id int, ord int, depth int, kind string, level int,
 LINK = "ord int, kind string, key string, space string"
 
 
-def _mapped(df: DataFrame, html: str, fields: T.StructType, make) -> DataFrame:
-    """``df`` without ``html``, with ``fields`` that ``make(markup, row's other values)`` gives for each row: any number of rows."""
-    keep = [c for c in df.columns if c != html and c not in fields.names]
+def _mapped(df: DataFrame, html: str, fields: T.StructType, make, given: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` without ``html`` and ``given``, with ``fields`` that ``make(markup, *values of given)`` gives for each row: any number of rows."""
+    keep = [c for c in df.columns if c not in (html, *given) and c not in fields.names]
     kinds = T.StructType([*(df.schema[c] for c in keep), *fields])
     arrow = [T_to_arrow(f.dataType) for f in fields]
 
@@ -25,8 +26,8 @@ def _mapped(df: DataFrame, html: str, fields: T.StructType, make) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows, which = [], []
-                for i, markup in enumerate(part.column(html).to_pylist()):
-                    made = make(markup)
+                for i, values in enumerate(zip(*(part.column(c).to_pylist() for c in (html, *given)), strict=True)):
+                    made = make(*values)
                     rows += made
                     which += [i] * len(made)
                 take = pa.array(which, type=pa.int32())
@@ -42,17 +43,32 @@ def T_to_arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def to_text(df: DataFrame, html: str = "html", form: str = "md", options: blocks.Options | None = None, images: str | None = None) -> DataFrame:
-    """Adds ``title`` (of the head, or null) and ``text``, the body in AsciiDoc or Markdown."""
+def to_text(
+    df: DataFrame, html: str = "html", form: str = "md", options: blocks.Options | None = None, images: str | None = None, links: str | None = None, children: str | None = None
+) -> DataFrame:
+    """Adds ``title`` (of the head, or null) and ``text``, the body in AsciiDoc or Markdown; and ``files`` (path, content) where options set some aside.
+
+    ``links`` names a column of the page's resolved links, an array of (kind, key, space, title, url), and ``children`` one of (title, url); a row brings its own
+    along and both are left out of the result.
+    """
     options = options or blocks.Options()
 
-    def make(markup: str | None) -> list[tuple]:
+    def make(markup: str | None, *values) -> list[tuple]:
+        own = dict(zip(given, values, strict=True))
+        mine = options
+        if given:
+            known = {(x["kind"], x["key"], x["space"]): (x["title"], x["url"]) for x in own.get(links) or ()}
+            mine = replace(options, links={**options.links, **known}, children=tuple((x["title"], x["url"]) for x in own.get(children) or ()) or options.children)
         root = dom.parse(markup)
         title = root.first("title")
-        body = blocks.build(dom.body(root), blocks.State(options))
-        return [(title.text() if title else None, writers.writer(form, images)(body))]
-
-    return _mapped(df, html, T.StructType.fromDDL("title string, text string"), make)
+        state = blocks.State(mine)
+        text = writers.writer(form, images)(blocks.build(dom.body(root), state))
+        row = (title.text() if title else None, text)
+        return [row if options.in_memory else (*row, [{"path": p, "content": c} for p, c in state.files])]
+
+    given = tuple(c for c in (links, children) if c)
+    files = "" if options.in_memory else ", files array<struct<path:string,content:string>>"
+    return _mapped(df, html, T.StructType.fromDDL(f"title string, text string{files}"), make, given)
 
 
 def files_of(df: DataFrame, html: str = "html", options: blocks.Options | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ def view_map(links: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def resolve(links: DataFrame, cached: DataFrame, sitemap: DataFrame, view: DataFrame, search: DataFrame, users: DataFrame, attachments: DataFrame) -> DataFrame:
-    """``links`` (page_id, kind, key, space) with title and url; both null where nothing has the link.
+    """``links`` (page_id, kind, key, space) with title and url, both null where nothing has the link, and ``local``: whether the url is a path of the sitemap.
 
     cached (kind, key, space, title, url); sitemap (title, path); view (page_id, label, href); search (title, space, url, rank); users
     (user_key, title, url); attachments (page_id, name, title, url). Of several rows of a key the least by its other columns is taken.
@@ -49,7 +49,7 @@ def resolve(links: DataFrame, cached: DataFrame, sitemap: DataFrame, view: DataF
     local = F.concat(F.col("m.path"), fragment)
     url = F.coalesce(F.col("c.url"), local, F.col("v.href"), F.col("s.url"), F.col("u.url"), F.col("a.url"))
     title = F.coalesce(F.col("c.title"), F.col("u.title"), F.col("a.title"), F.when(url.isNotNull(), F.col("l.key")))
-    return rows.select("l.*", title.alias("title"), url.alias("url"))
+    return rows.select("l.*", title.alias("title"), url.alias("url"), (F.col("c.url").isNull() & F.col("m.path").isNotNull()).alias("local"))
 
 
 def _first(side: DataFrame, *keys: str) -> DataFrame:

@@ -505,22 +505,26 @@ def render(source: str, c: Context | None = None) -> tuple[str, dict[str, str],
     return r.blocks(), c.attributes, list(dict.fromkeys(c.images))
 
 
-def to_storage(files: DataFrame, titles: dict[str, str] | None = None, declared: dict[str, str] | None = None, path: str = "path", content: str = "content") -> DataFrame:
+def to_storage(files: DataFrame, titles: str | None = None, declared: str | None = None, path: str = "path", content: str = "content") -> DataFrame:
     """``files`` with storage, title, page_id and attachments.
 
-    ``titles`` and ``declared`` (file of each anchor) hold one entry a file of the tree that is published; larger trees resolve references
-    by the joins in ``links`` first.
+    ``titles`` and ``declared`` name columns that a row brings along and that are left out of the result: maps from the files that it refers to, to their titles, and
+    from the anchors that it refers to, to the files that declare them.
     """
+    given = [c for c in (titles, declared) if c]
+    keep = [c for c in files.columns if c not in given]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
-            for p, s in zip(batch.column(path).to_pylist(), batch.column(content).to_pylist(), strict=True):
-                body, attributes, images = render(s, Context(p or "", titles or {}, declared or {}))
+            empty = [None] * batch.num_rows
+            maps = [batch.column(c).to_pylist() if c else empty for c in (titles, declared)]
+            for p, s, t, d in zip(batch.column(path).to_pylist(), batch.column(content).to_pylist(), *maps, strict=True):
+                body, attributes, images = render(s, Context(p or "", dict(t or {}), dict(d or {})))
                 made.append((body, attributes.get("doctitle"), attributes.get("confluency-id"), images))
             columns = list(zip(*made, strict=True)) or [(), (), (), ()]
             kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(list(x), type=k) for x, k in zip(columns, kinds, strict=True))], names=[*batch.schema.names, "storage", "title", "page_id", "attachments"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(list(x), type=k) for x, k in zip(columns, kinds, strict=True))], names=[*keep, "storage", "title", "page_id", "attachments"])
 
-    schema = T.StructType([*files.schema, *T.StructType.fromDDL("storage string, title string, page_id string, attachments array<string>")])
+    schema = T.StructType([*(files.schema[c] for c in keep), *T.StructType.fromDDL("storage string, title string, page_id string, attachments array<string>")])
     return files.mapInArrow(run, schema)

@@ -30,9 +30,8 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> Dat
         at += 1
         below = level.select(F.col("id").alias("parent_id"), "path").join(kids, "parent_id")
         rows = best(below.select(F.col("child_id").alias("id"), F.col("_title").alias("title"), F.concat("path", F.lit("/"), "_folder").alias("path")))
-        for seen in ([] if done is None else [done]) + apart:
-            rows = rows.join(seen.select("id"), "id", "left_anti")
-        level = cut(rows.withColumn("depth", F.lit(at)))
+        seen = reduce(DataFrame.unionByName, apart if done is None else [done, *apart])
+        level = cut(rows.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(at)))
         apart.append(level)
         if len(apart) == MERGED:
             done, apart = cut(reduce(DataFrame.unionByName, apart if done is None else [done, *apart])), []

@@ -10,8 +10,9 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docspark.operators.relational import clamp_limit, clamp_start, enabled_tools, link_types, version_pair
 from docspark.sources.sinks import add_labels, deleted, upsert
@@ -29,7 +30,7 @@ jira_create_issue_link(type, inwardIssue, outwardIssue, host?) | append issue_li
 jira_create_remote_issue_link(issueKey, url, title, host?) | append remote_links | issue_key=issueKey url=url title=title
 jira_create_sprint(name, boardId, startDate?, endDate?, goal?, host?) | append sprints | name=name board_id=boardId start_date=startDate end_date=endDate goal=goal
 jira_create_version(projectKey?, name, description?, released?, host?) | append versions | project_key=projectKey name=name description=description released=released
-jira_delete_issue(issueKey, deleteSubtasks?, host?) | delete issues | issue_key=issueKey
+jira_delete_issue(issueKey, deleteSubtasks?, host?) | delete_issue issues | issue_key=issueKey
 jira_download_attachments(issueKey, targetDir, host?) | get issue_attachments | issue_key=issueKey
 jira_get_attachments(issueKey, host?) | get issue_attachments | issue_key=issueKey
 jira_get_board_backlog(boardId, maxResults?, startAt?, host?) | list backlog | board_id=boardId
@@ -55,7 +56,7 @@ jira_list_team() | get team |
 jira_list_templates() | templates templates |
 jira_remove_issue_link(linkId, host?) | delete issue_links | link_id=linkId
 jira_remove_watcher(issueKey, username, host?) | delete watchers | issue_key=issueKey username=username
-jira_search(jql, maxResults?, startAt?, host?) | search issues | ?=jql
+jira_search(jql, maxResults?, startAt?, host?) | query issues | ?=jql
 jira_search_fields(host?) | get fields |
 jira_transition_issue(issueKey, transitionId, host?) | update issues | issue_key=issueKey transition_id=transitionId
 jira_update_issue(issueKey, fields, host?) | update_fields issues | issue_key=issueKey fields=fields
@@ -78,13 +79,13 @@ confluence_get_page_diff(pageId, fromVersion, toVersion?, format?, host?) | diff
 confluence_get_page_history(pageId, host?) | get page_versions | page_id=pageId
 confluence_get_user(userKey, host?) | one wiki_users | user_key=userKey
 confluence_list_spaces(limit?, start?, host?) | list spaces |
-confluence_move_page(pageId, targetId, position?, host?) | update edges | child_id=pageId parent_id=targetId
+confluence_move_page(pageId, targetId, position?, host?) | move edges | child_id=pageId parent_id=targetId
 confluence_publish_adoc(source, url?, pageId?, host?) | publish pages | page_id=pageId
 confluence_reply_to_comment(pageId, parentCommentId, body, host?) | append page_comments | page_id=pageId parent_comment_id=parentCommentId body=body
 confluence_search(query, spaceKey?, host?) | tiers pages | space=spaceKey
 confluence_upload_attachment(pageId, filePath, host?) | append page_attachments | page_id=pageId name=filePath
 bitbucket_browse(projectKey, repoSlug, path?, at?, limit?, start?, host?) | list repo_files | project_key=projectKey repo_slug=repoSlug folder=path at=at
-bitbucket_get_file(projectKey, repoSlug, path, at?, start?, limit?, host?) | get repo_files | project_key=projectKey repo_slug=repoSlug path=path at=at
+bitbucket_get_file(projectKey, repoSlug, path, at?, start?, limit?, host?) | file repo_files | project_key=projectKey repo_slug=repoSlug path=path at=at
 bitbucket_get_pull_request(projectKey, repoSlug, id, host?) | one pull_requests | project_key=projectKey repo_slug=repoSlug id=id
 bitbucket_get_pull_request_activities(projectKey, repoSlug, id, limit?, start?, host?) | list pull_request_activities | project_key=projectKey repo_slug=repoSlug id=id
 bitbucket_get_pull_request_diff(projectKey, repoSlug, id, contextLines?, host?) | get pull_request_diffs | project_key=projectKey repo_slug=repoSlug id=id
@@ -96,6 +97,10 @@ bitbucket_search(query, projectKey?, repoSlug?, limit?, start?, host?) | search
 """
 # What a listing's page holds where the caller does not say, and at most.
 PAGE_DEFAULT = {"bitbucket": 25}
+PROTOCOL = "2024-11-05"
+# Arguments that are whole numbers, and those that are yes or no.
+WHOLE = frozenset(("limit", "start", "startAt", "maxResults", "fromVersion", "toVersion", "contextLines"))
+YES_NO = frozenset(("deleteSubtasks", "includeChildren", "includeAttachments", "exportColors", "debug", "skipUnchanged", "fast", "released"))
 
 
 class ToolError(ValueError):
@@ -131,6 +136,20 @@ def read_tools() -> dict[str, Tool]:
 ALL = read_tools()
 
 
+def typed(name: str, value):
+    """Whole numbers and yes or no may come as text."""
+    if name in WHOLE:
+        try:
+            return int(value)
+        except (TypeError, ValueError):
+            raise ToolError(f"Not a whole number: {name}") from None
+    if name in YES_NO and isinstance(value, str):
+        if value.lower() not in ("true", "false"):
+            raise ToolError(f"Neither true nor false: {name}")
+        return value.lower() == "true"
+    return value
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], defaults: dict[str, str] | None = None, kinds: list[str] | None = None):
         self.spark, self.tables, self.defaults = spark, dict(tables), defaults or {}
@@ -146,7 +165,7 @@ class Catalog:
             raise ToolError(f"Missing argument: {', '.join(missing)}")
         if tool.table not in self.tables:
             raise ToolError(f"No table: {tool.table}")
-        args = {**{k: v for k, v in self.defaults.items() if k in tool.optional}, **args}
+        args = {**{k: v for k, v in self.defaults.items() if k in tool.optional}, **{k: typed(k, v) for k, v in args.items()}}
         return getattr(self, f"_{tool.action}")(tool, args)
 
     def respond(self, request: str) -> str | None:
@@ -158,8 +177,12 @@ class Catalog:
         key, method, params = message.get("id"), message.get("method"), message.get("params") or {}
         if "id" not in message:
             return None
-        if method == "tools/list":
-            result: dict = {"tools": [{"name": t.name, "inputSchema": t.schema} for t in ALL.values() if t.name in self.enabled]}
+        if method == "ping":
+            result: dict = {}
+        elif method == "initialize":
+            result = {"protocolVersion": params.get("protocolVersion", PROTOCOL), "capabilities": {"tools": {}}, "serverInfo": {"name": "docspark", "version": "1"}}
+        elif method == "tools/list":
+            result = {"tools": [{"name": t.name, "inputSchema": t.schema} for t in ALL.values() if t.name in self.enabled]}
         elif method == "tools/call":
             try:
                 rows = self.call(params.get("name", ""), params.get("arguments")).toJSON().collect()
@@ -173,15 +196,17 @@ class Catalog:
 
     # ---- reads ----
 
+    def _on_host(self, df: DataFrame, args: dict) -> DataFrame:
+        """The rows of the server that the caller names, where a table holds those of several."""
+        return df.filter(F.lower("host") == str(args["host"]).lower()) if args.get("host") and "host" in df.columns else df
+
     def _rows(self, tool: Tool, args: dict) -> DataFrame:
-        df = self.tables[tool.table]
+        df = self._on_host(self.tables[tool.table], args)
         for column, arg in tool.columns:
             if arg not in args:
                 continue
             if column.startswith("~"):
                 df = df.filter(F.lower(column[1:]).contains(str(args[arg]).lower()))
-            elif column == "?":
-                df = df.filter(str(args[arg]))
             elif column in df.columns:
                 df = df.filter(F.col(column) == F.lit(args[arg]).cast(df.schema[column].dataType))
         return df
@@ -205,6 +230,25 @@ class Catalog:
 
     _search = _list
 
+    def _query(self, tool: Tool, args: dict) -> DataFrame:
+        from .jql import SearchError, search
+
+        df = self._on_host(self.tables[tool.table], args)
+        try:
+            rows, order = search(df, str(args["jql"]))
+        except SearchError as e:
+            raise ToolError(str(e)) from None
+        rows = rows.orderBy(*order, *df.columns[:2])
+        return rows.offset(clamp_start(args.get("startAt"))).limit(clamp_limit(args.get("maxResults"), 50))
+
+    def _file(self, tool: Tool, args: dict) -> DataFrame:
+        """A file's content, or its lines from ``start`` on, ``limit`` of them."""
+        df = self._rows(tool, args)
+        if args.get("start") is None and args.get("limit") is None:
+            return df
+        lines = F.slice(F.split("content", "\n"), F.lit(clamp_start(args.get("start")) + 1), F.lit(int(args["limit"]) if args.get("limit") is not None else 1 << 30))
+        return df.withColumn("content", F.array_join(lines, "\n"))
+
     def _first(self, tool: Tool, args: dict) -> DataFrame:
         return self._rows(tool, args).orderBy("page_id").limit(1)
 
@@ -223,7 +267,12 @@ class Catalog:
         return df if form == "storage" else to_text(df, "storage", "md" if form in ("md", "markdown") else "adoc").withColumn("format", F.lit(form))
 
     def _diff(self, tool: Tool, args: dict) -> DataFrame:
+        form = str(args.get("format", "storage")).lower()
         rows = self._rows(tool, args)
+        if form != "storage":
+            from docspark.operators.convert import to_text
+
+            rows = to_text(rows.withColumnRenamed("text", "_html"), "_html", "md" if form in ("md", "markdown") else "adoc").drop("title")
         to = args.get("toVersion") or rows.agg(F.max("version")).first()[0]
         return version_pair(rows, "page_id", int(args["fromVersion"]), int(to or 0))
 
@@ -240,7 +289,21 @@ class Catalog:
     def _export(self, tool: Tool, args: dict) -> DataFrame:
         from .export import export_tree
 
-        return export_tree(self.tables["pages"], self.tables["edges"], args.get("pageId"), args.get("spaceKey"), str(args.get("format", "adoc")))
+        from docspark.functions.columns import display_space, page_id, space_key
+
+        root, space = args.get("pageId"), args.get("spaceKey")
+        if root is None and space is None:
+            url = F.lit(str(args.get("url") or ""))
+            root, space = self.spark.range(1).select(page_id(url), display_space(url)).first()
+        if root is None and space is None:
+            raise ToolError("Give a pageId, a url or a spaceKey")
+        space = None if root or space is None else self.spark.range(1).select(space_key(F.lit(str(space)))).first()[0]
+        state = self.tables.get("export_state") if args.get("skipUnchanged") else None
+        sides = {k: self.tables[k] for k in ("cached", "users", "attachments") if k in self.tables}
+        made = export_tree(
+            self.tables["pages"], self.tables["edges"], root, space, str(args.get("format", "adoc")), state, sides, args.get("includeChildren", True), args.get("exportColors", True)
+        )
+        return made.withColumn("path", F.concat(F.lit(str(args["targetDir"]).rstrip("/") + "/"), "path"))
 
     # ---- writes ----
 
@@ -252,8 +315,8 @@ class Catalog:
         """Rows in the table's schema; ids that are missing are drawn from the row itself."""
         df = self.tables[tool.table]
         key = df.columns[0]
-        new = self.spark.createDataFrame([tuple(None if r.get(c) is None else str(r[c]) for c in df.columns) for r in rows], ", ".join(f"`{c}` string" for c in df.columns))
-        new = new.select(*(F.col(c).try_cast(df.schema[c].dataType).alias(c) for c in df.columns))
+        new = self.spark.createDataFrame([tuple(as_text(r.get(c)) for c in df.columns) for r in rows], ", ".join(f"`{c}` string" for c in df.columns))
+        new = new.select(*(as_kind(F.col(c), df.schema[c].dataType).alias(c) for c in df.columns))
         if df.schema[key].dataType.typeName() == "string":
             new = new.withColumn(key, F.coalesce(key, F.sha2(F.to_json(F.struct(*df.columns)), 256)))
         return new
@@ -273,7 +336,7 @@ class Catalog:
         (key, arg), *rest = tool.columns
         hit = F.col(key) == F.lit(args[arg]).cast(df.schema[key].dataType)
         values = {c: args[a] for c, a in rest if a in args and c in df.columns} | {c: v for c, v in (more or {}).items() if c in df.columns}
-        return self._set(tool, df.withColumns({c: F.when(hit, F.lit(v).cast(df.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()}))
+        return self._set(tool, df.withColumns({c: F.when(hit, as_kind(F.lit(as_text(v)), df.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()}))
 
     def _update_fields(self, tool: Tool, args: dict) -> DataFrame:
         return self._update(tool, args, dict(args["fields"]))
@@ -288,6 +351,35 @@ class Catalog:
         gone = self.spark.createDataFrame([tuple(str(args[a]) for _, a in tool.columns)], ", ".join(f"`{c}` string" for c in keys))
         return self._set(tool, deleted(df, gone.select(*(F.col(c).cast(df.schema[c].dataType) for c in keys)), keys))
 
+    def _delete_issue(self, tool: Tool, args: dict) -> DataFrame:
+        """With its subtasks where the caller says so; an issue that has some is not deleted otherwise."""
+        df = self.tables[tool.table]
+        if "parent_key" in df.columns:
+            below = F.col("parent_key") == str(args["issueKey"])
+            if args.get("deleteSubtasks"):
+                self.tables[tool.table] = df.filter(~F.coalesce(below, F.lit(False)))
+            elif not df.filter(below).isEmpty():
+                raise ToolError(f"{args['issueKey']} has subtasks")
+        return self._delete(tool, args)
+
+    def _move(self, tool: Tool, args: dict) -> DataFrame:
+        """Below the target, as its last page, or with ``position`` before or after it among its siblings."""
+        df, position = self.tables[tool.table], str(args.get("position", "append")).lower()
+        if position not in ("append", "before", "after"):
+            raise ToolError(f"Unknown position: {position}")
+        hit, target = F.col("child_id") == str(args["pageId"]), str(args["targetId"])
+        if position == "append":
+            last = df.filter(F.col("parent_id") == target).agg(F.coalesce(F.max("ord") + 1, F.lit(0))).first()[0]
+            moved = {"parent_id": F.when(hit, target).otherwise(F.col("parent_id")), "ord": F.when(hit, last).otherwise(F.col("ord")).cast("int")}
+            return self._set(tool, df.withColumns(moved))
+        at = df.filter(F.col("child_id") == target).select("parent_id", "ord").first()
+        if at is None:
+            raise ToolError(f"{target} has no place in a tree")
+        place = at.ord + (position == "after")
+        later = ~hit & F.col("parent_id").eqNullSafe(F.lit(at.parent_id)) & (F.col("ord") >= place)
+        moved = {"parent_id": F.when(hit, F.lit(at.parent_id)).otherwise(F.col("parent_id")), "ord": F.when(hit, place).when(later, F.col("ord") + 1).otherwise(F.col("ord")).cast("int")}
+        return self._set(tool, df.withColumns(moved))
+
     def _link_typed(self, tool: Tool, args: dict) -> DataFrame:
         wanted = self.spark.createDataFrame([(args["type"],)], "wanted string")
         found = link_types(wanted, self.tables["link_types"]).first()
@@ -308,11 +400,28 @@ class Catalog:
         from docspark.functions.columns import page_id
         from docspark.operators.publish import to_storage
 
+        from .export import publish_files, publishable
+
         given = args.get("pageId")
+        if isinstance(args["source"], dict):  # a tree: texts by path
+            files = self.spark.createDataFrame(list(args["source"].items()), "path string, content string")
+            made = publish_files(publishable(files)).select(F.coalesce("page_id", F.sha2("path", 256)).alias("page_id"), "title", "storage")
+            return self._set(tool, upsert(self.tables["pages"], made, ["page_id"]))
         files = self.spark.createDataFrame([("index.adoc", args["source"], given, args.get("url"))], "path string, content string, given string, url string")
-        made = to_storage(files).select(F.coalesce("given", page_id("url"), "page_id", F.sha2("path", 256)).alias("page_id"), "title", "storage")
+        made = to_storage(publishable(files)).select(F.coalesce("given", page_id("url"), "page_id", F.sha2("path", 256)).alias("page_id"), "title", "storage")
         return self._set(tool, upsert(self.tables["pages"], made, ["page_id"]))
 
 
+def as_text(value) -> str | None:
+    return None if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+
+
+def as_kind(text: Column, kind: T.DataType) -> Column:
+    """A text as a value of a column: lists and objects are read as JSON, an element alone is a list of one."""
+    if isinstance(kind, T.ArrayType):
+        return F.when(F.trim(text).startswith("["), F.from_json(text, kind)).when(text.isNotNull(), F.array(text.try_cast(kind.elementType)))
+    return F.from_json(text, kind) if isinstance(kind, (T.StructType, T.MapType)) else text.try_cast(kind)
+
+
 def handlers() -> dict[str, Callable]:
     return {name: getattr(Catalog, f"_{t.action}") for name, t in ALL.items()}

@@ -5,29 +5,102 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.functions.columns import content_hash, header, replace_id
-from docspark.operators.convert import to_text
+from docspark.functions.columns import ID_ATTRIBUTE, content_hash, file_title, header, normal_path, replace_id
+from docspark.operators import blocks, links
+from docspark.operators.convert import link_rows, to_text
+from docspark.operators.publish import to_storage
 from docspark.operators.relational import actions, changed
 from docspark.operators.sitemap import closure
+from docspark.operators.split import LONG, is_long, sections
 
 
-def export_tree(pages: DataFrame, edges: DataFrame, root: str | None = None, space: str | None = None, form: str = "adoc", state: DataFrame | None = None) -> DataFrame:
-    """(path, page_id, version_when, content) of every page below a root, or of a space's roots; with ``state`` only of pages whose version changed."""
+#: What can be left out of an export: the sides from which links are resolved.
+SIDES = {
+    "cached": "kind string, key string, space string, title string, url string",
+    "users": "user_key string, title string, url string",
+    "attachments": "page_id string, name string, title string, url string",
+}
+
+
+def page_links_resolved(rows: DataFrame, pages: DataFrame, tree: DataFrame, form: str, sides: dict[str, DataFrame] | None = None, cross: bool = True) -> DataFrame:
+    """(page_id, kind, key, space, title, url) of the links of ``rows`` (page_id, path, storage) that something has.
+
+    A link to a page of ``tree`` is a path as seen from the linking page's folder; with ``cross`` off, it goes to the page's address.
+    """
+    spark = rows.sparkSession
+    side = {k: (sides or {}).get(k) for k in SIDES}
+    if side["attachments"] is None and "attachments" in pages.columns:
+        side["attachments"] = pages.select("page_id", F.explode("attachments").alias("name", "a")).select("page_id", "name", F.coalesce("a.title", "name").alias("title"), "a.url")
+    side = {k: spark.createDataFrame([], SIDES[k]) if v is None else v for k, v in side.items()}
+    wanted = link_rows(rows.select("page_id", "storage"), "storage").drop("ord")
+    local = tree.select("title", F.concat("path", F.lit(f"/index.{form}")).alias("path")).filter(F.lit(cross))
+    view = links.view_map(links.page_links(pages.select("page_id", "view"), "view")) if "view" in pages.columns else spark.createDataFrame([], "page_id string, label string, href string")
+    found = pages.select("title", "space" if "space" in pages.columns else F.lit(None).cast("string").alias("space"), "url" if "url" in pages.columns else F.lit(None).cast("string").alias("url"))
+    anywhere = found.withColumn("space", F.lit(None).cast("string")).unionByName(found.filter("space is not null")).filter("url is not null").withColumn("rank", F.col("url"))
+    out = links.resolve(wanted, side["cached"], local, view, anywhere, side["users"], side["attachments"]).filter("url is not null")
+    out = out.join(rows.select("page_id", "path"), "page_id")
+    return out.select("page_id", "kind", "key", "space", "title", F.when(F.col("local"), links.cross_path(F.col("path"), F.col("url"))).otherwise(F.col("url")).alias("url"))
+
+
+def export_tree(
+    pages: DataFrame, edges: DataFrame, root: str | None = None, space: str | None = None, form: str = "adoc", state: DataFrame | None = None, sides: dict[str, DataFrame] | None = None,
+    children: bool = True, colours: bool = True, cross: bool = True, lines: int = LONG,
+) -> DataFrame:
+    """(path, page_id, version_when, content) of every file of the pages below a root, or of a space's roots; with ``state`` only of pages whose version changed.
+
+    A page is a folder with an index file. Its links and its list of children are resolved by joins and travel with its row; a page of ``lines`` lines or more is cut at
+    its headings, and long code goes to files of its own. Without ``children`` only the roots themselves are exported.
+    """
     top = pages.filter(F.col("page_id") == root) if root else pages
     if space:
         top = top.filter(F.col("space") == space)
     if not root:
         top = top.join(edges.select(F.col("child_id").alias("page_id")), "page_id", "left_anti")
-    tree = closure(edges, top.select(F.col("page_id").alias("id"), "title"))
+    tree = closure(edges, top.select(F.col("page_id").alias("id"), "title"), None if children else 0)
     wanted = pages if state is None else changed(pages, state, "page_id", "version_when")
     rows = wanted.join(tree.select(F.col("id").alias("page_id"), "path"), "page_id")
     form = "md" if form.lower() in ("md", "markdown") else "adoc"
+    known = page_links_resolved(rows, pages, tree, form, sides, cross)
+    known = known.groupBy("page_id").agg(F.collect_list(F.struct("kind", "key", "space", "title", "url")).alias("_links"))
+    below = edges.join(tree.select(F.col("id").alias("child_id"), F.col("path").alias("_to")), "child_id").join(rows.select(F.col("page_id").alias("parent_id"), "path"), "parent_id")
+    order = F.col("ord") if "ord" in edges.columns else F.lit(0)
+    entry = F.struct(order.alias("ord"), "title", links.cross_path(F.col("path"), F.concat("_to", F.lit(f"/index.{form}"))).alias("url"))
+    below = below.groupBy(F.col("parent_id").alias("page_id")).agg(F.array_sort(F.collect_list(entry)).alias("_children"))
+    rows = rows.withColumnRenamed("title", "page_title").join(known, "page_id", "left").join(below, "page_id", "left")
     named = {"confluency-id": "page_id", "confluency-version": "version_when", "confluency-url": "url", "confluency-space": "space", "confluency-author": "author", "confluency-created": "created"}
-    made = to_text(rows.withColumnRenamed("title", "page_title"), "storage", form, images="attache" if form == "md" else None)
+    options = blocks.Options(in_memory=False, colours=colours)
+    made = to_text(rows, "storage", form, options, "attache" if form == "md" else None, "_links", "_children")
     attributes = {k: F.col(v).cast("string") for k, v in named.items() if v in made.columns}
     labels = F.col("labels") if "labels" in made.columns else F.array().cast("array<string>")
     content = header(F.col("page_title"), attributes, labels, F.col("text"), form)
-    return made.select(F.concat("path", F.lit(f"/index.{form}")).alias("path"), "page_id", *(c for c in ("version_when",) if c in made.columns), content.alias("content"))
+    keep = ["path", "page_id", *(c for c in ("version_when",) if c in made.columns)]
+    made = made.select(*keep, "files", content.alias("content"))
+    whole = made.filter(~is_long("content", lines)).select(*keep, F.lit(f"index.{form}").alias("file"), "content")
+    parts = sections(made.filter(is_long("content", lines)).select(*keep, "content"), "content", form).select(*keep, "file", "content")
+    extra = made.select(*keep, F.explode("files").alias("f")).select(*keep, F.col("f.path").alias("file"), "f.content")
+    every = whole.unionByName(parts).unionByName(extra)
+    return every.select(F.concat_ws("/", "path", "file").alias("path"), *keep[1:], "content")
+
+
+def publishable(files: DataFrame) -> DataFrame:
+    """``files`` (path, content) in the order of their paths, without those whose header says that they stay unpublished."""
+    mark = F.lower(F.trim(F.regexp_extract("content", rf"(?m)^{ID_ATTRIBUTE}[ \t]*(.*)$", 1)))
+    return files.filter(F.coalesce(mark != "ignore", F.lit(True))).orderBy("path")
+
+
+def publish_files(files: DataFrame) -> DataFrame:
+    """Files (path, content) of a tree as storage markup; titles of other files and the files of anchors come by joins on what each file names."""
+    tokens = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_./%-]+\.adoc"), F.lit(0)))
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    named = files.select("path", F.explode(F.transform(tokens, lambda t: normal_path(folder, t))).alias("other"))
+    titles = files.select(F.col("path").alias("other"), file_title("content", "path").alias("title"))
+    titles = named.distinct().join(titles, "other").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("other", "title"))).alias("_titles"))
+    points = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?:<<|xref:)#?([A-Za-z0-9_:.\-]+)"), F.lit(1)))
+    declared = links.anchors(files).select("anchor", F.col("path").alias("file"))
+    declared = files.select("path", F.explode(points).alias("anchor")).join(declared, "anchor")
+    declared = declared.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("anchor", "file"))).alias("_declared"))
+    rows = files.join(titles, "path", "left").join(declared, "path", "left")
+    return to_storage(rows, titles="_titles", declared="_declared")
 
 
 def publish_plan(rendered: DataFrame, remote: DataFrame) -> DataFrame:

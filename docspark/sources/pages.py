@@ -67,3 +67,44 @@ def read_links(spark: SparkSession, path: str) -> DataFrame:
     """A stored link cache (kind, key, space, title, url) without the links that were not found."""
     schema = "kind string, key string, space string, title string, url string"
     return spark.read.schema(schema).json(path).filter("url is not null")
+
+
+def labels_of(df: DataFrame, json: str = "json") -> DataFrame:
+    """``df`` with ``labels``: the names of a label response, ``label`` where a name is missing, without blanks; none where the response can't be read."""
+    found = F.from_json(F.col(json), "results array<struct<name:string,label:string>>")["results"]
+    names = F.filter(F.transform(found, lambda x: F.trim(F.coalesce(x["name"], x["label"]))), lambda x: F.coalesce(x != "", F.lit(False)))
+    return df.withColumn("labels", F.coalesce(names, F.array().cast("array<string>")))
+
+
+def followed(responses: DataFrame, first: DataFrame) -> DataFrame:
+    """(page, seq, title, url): the items of paged responses (url, json) from the ``first`` ones (url) on, through ``_links.next`` until there is none.
+
+    Recorded responses stand for the server; a response that leads back ends its chain.
+    """
+    from docspark.operators.sitemap import closure
+
+    body = "results array<struct<title:string,_links:struct<download:string>>>, _links struct<next:string>"
+    known = responses.select(F.col("url").alias("at"), F.from_json("json", body).alias("j"))
+    steps = known.filter("j._links.next is not null").select(F.col("at").alias("parent_id"), F.col("j._links.next").alias("child_id"), F.lit("").alias("title"))
+    chain = closure(steps, first.select(F.col("url").alias("id"), F.lit("").alias("title")))
+    rows = chain.join(known, F.col("id") == F.col("at")).select("depth", F.posexplode("j.results").alias("pos", "item"))
+    return rows.select(F.col("depth").alias("page"), F.col("pos").alias("seq"), F.col("item.title").alias("title"), F.col("item._links.download").alias("url"))
+
+
+def attachments_of(items: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``followed`` items by title; the last one of a title wins."""
+    return items.groupBy(*keys, "title").agg(F.max_by("url", F.struct("page", "seq")).alias("url"))
+
+
+def spaces_of(df: DataFrame, json: str = "json") -> DataFrame:
+    """(key, name) of space listings; those without a key are left out."""
+    rows = df.select(F.explode(F.from_json(F.col(json), "results array<struct<key:string,name:string>>")["results"]).alias("s"))
+    return rows.select("s.key", "s.name").filter("key is not null")
+
+
+def users_of(df: DataFrame, json: str = "json", status: str = "status", base: str = "") -> DataFrame:
+    """(user_key, title, url) of user responses; title and url are null where the server did not answer with success."""
+    u = F.from_json(F.col(json), "userKey string, username string, displayName string")
+    ok = F.col(status).between(200, 299)
+    url = F.concat(F.lit(f"{base}/display/~"), F.coalesce(u["username"], u["userKey"]))
+    return df.select("user_key", F.when(ok, u["displayName"]).alias("title"), F.when(ok, url).alias("url"))
