@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pure import ALIASES, LANGUAGES, PALETTE
@@ -209,6 +209,13 @@ def style_colour(style: Column | str) -> Column:
     return F.when(name.isin(*(n for n in PALETTE if n != "black")), name)
 
 
+def colour_parts(df: DataFrame, html: str) -> DataFrame:
+    """(part) of the ``color`` parts of all elements' styles, each once."""
+    styles = F.regexp_extract_all(F.col(html), F.lit(r"""\bstyle\s*=\s*("[^"]*"|'[^']*')"""), F.lit(1))
+    parts = F.flatten(F.transform(styles, lambda s: F.transform(F.split(F.substring(s, F.lit(2), F.length(s) - 2), ";"), lambda p: F.trim(p))))
+    return df.select(F.explode(F.array_distinct(F.filter(parts, lambda p: p.startswith("color")))).alias("part")).distinct()
+
+
 def column_width(style: Column | str, width: Column | str) -> Column:
     """Whole pixels of a column, from its style or its width attribute; none if not above 0."""
     styled = F.regexp_extract(F.coalesce(_c(style), F.lit("")), r"width\s*:\s*(\d+(?:\.\d+)?)", 1)

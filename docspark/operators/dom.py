@@ -153,7 +153,7 @@ class _Builder(HTMLParser):
             self._reopen()
         e = Element(tag, {k: v or "" for k, v in reversed(attrs)})
         self.open[-1].kids.append(e)
-        if tag not in VOID and not (empty and (":" in tag or "-" in tag)):
+        if tag not in VOID and not empty:
             self.open.append(e)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:

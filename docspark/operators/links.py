@@ -41,15 +41,18 @@ def resolve(links: DataFrame, cached: DataFrame, sitemap: DataFrame, view: DataF
     is_page, is_user, is_file = (F.col("l.kind") == k for k in ("page", "user", "attachment"))
     rows = links.alias("l")
     rows = rows.join(cached.alias("c"), (F.col("l.kind") == F.col("c.kind")) & (F.col("l.key") == F.col("c.key")) & F.col("l.space").eqNullSafe(F.col("c.space")), "left")
-    rows = rows.join(sitemap.alias("m"), is_page & (bare == F.col("m.title")), "left")
+    # a title may hold the sign that begins a fragment, so the whole key is looked up first
+    rows = rows.join(sitemap.alias("n"), is_page & (F.col("l.key") == F.col("n.title")), "left")
+    rows = rows.join(sitemap.alias("m"), is_page & (fragment != "") & (bare == F.col("m.title")), "left")
     rows = rows.join(view.alias("v"), is_page & (F.col("l.page_id") == F.col("v.page_id")) & (F.col("l.key") == F.col("v.label")), "left")
-    rows = rows.join(first.alias("s"), is_page & (bare == F.col("s.title")) & F.col("l.space").eqNullSafe(F.col("s.space")), "left")
+    rows = rows.join(first.alias("t"), is_page & (F.col("l.key") == F.col("t.title")) & F.col("l.space").eqNullSafe(F.col("t.space")), "left")
+    rows = rows.join(first.alias("s"), is_page & (fragment != "") & (bare == F.col("s.title")) & F.col("l.space").eqNullSafe(F.col("s.space")), "left")
     rows = rows.join(users.alias("u"), is_user & (F.col("l.key") == F.col("u.user_key")), "left")
     rows = rows.join(attachments.alias("a"), is_file & (F.col("l.page_id") == F.col("a.page_id")) & (F.col("l.key") == F.col("a.name")), "left")
-    local = F.concat(F.col("m.path"), fragment)
-    url = F.coalesce(F.col("c.url"), local, F.col("v.href"), F.col("s.url"), F.col("u.url"), F.col("a.url"))
+    local = F.coalesce(F.col("n.path"), F.concat(F.col("m.path"), fragment))
+    url = F.coalesce(F.col("c.url"), local, F.col("v.href"), F.col("t.url"), F.col("s.url"), F.col("u.url"), F.col("a.url"))
     title = F.coalesce(F.col("c.title"), F.col("u.title"), F.col("a.title"), F.when(url.isNotNull(), F.col("l.key")))
-    return rows.select("l.*", title.alias("title"), url.alias("url"), (F.col("c.url").isNull() & F.col("m.path").isNotNull()).alias("local"))
+    return rows.select("l.*", title.alias("title"), url.alias("url"), (F.col("c.url").isNull() & local.isNotNull()).alias("local"))
 
 
 def _first(side: DataFrame, *keys: str) -> DataFrame:

@@ -223,7 +223,7 @@ class Catalog:
         default = PAGE_DEFAULT.get(tool.name.split("_")[0], 50)
         order = "ord" if "ord" in df.columns else df.columns[0]
         start, limit = args.get("startAt", args.get("start")), args.get("maxResults", args.get("limit"))
-        rows = df.orderBy(order, *(c for c in df.columns[:2] if c != order))
+        rows = df.orderBy(order, *(c for c in df.columns[:4] if c != order))
         # who can't ask for a next page gets all rows
         paged = {"startAt", "start"} & set(tool.optional)
         return rows.offset(clamp_start(start)).limit(clamp_limit(limit, default)) if paged else rows

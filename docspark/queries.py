@@ -10,12 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark import construct_queries, function_queries, tool_queries
 from docspark.functions import columns as c
 from docspark.operators import anonymize, blocks, convert, links, publish, relational, sitemap, split
 from docspark.sources.pages import read_table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(tool_queries.QUERIES | construct_queries.QUERIES | function_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(tool_queries.ORACLE_SQL | construct_queries.ORACLE_SQL | function_queries.ORACLE_SQL)
 
 
 def query(sql: str | None = None):
@@ -77,11 +78,6 @@ def predicate_pushdown(spark, d):
     return read_table(spark, d, "documents").filter((F.lower("lang") == "de") & (F.col("n_chars") > 1000)).select("doc_id", "lang", "source")
 
 
-@query("""SELECT style FROM (SELECT DISTINCT unnest(regexp_extract_all(html, '<style>([^<]*)</style>', 1)) AS style FROM pages)""")
-def distinct_styles(spark, d):
-    return _pages(spark, d).select(F.explode(F.regexp_extract_all("html", F.lit("<style>([^<]*)</style>"), F.lit(1))).alias("style")).distinct()
-
-
 # ---- scalar functions ----
 
 
@@ -137,15 +133,8 @@ def newline_threshold(spark, d):
     return read_table(spark, d, "documents").select("doc_id", c.newlines("text").cast("long").alias("n"), split.is_long("text", 10).alias("long"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS words FROM documents WHERE n_chars < 400")
+@query("SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS words FROM documents")
 def parse_keywords(spark, d):
-    rows = read_table(spark, d, "documents").filter("n_chars < 400")
-    return rows.select("doc_id", F.array_join(c.parse_keywords("text"), "|").alias("words"))
-
-
-@query()
-def parse_keywords_all(spark, d):
-    """As ``parse_keywords``, whose SQL keeps to short texts, over the whole table."""
     return read_table(spark, d, "documents").select("doc_id", F.array_join(c.parse_keywords("text"), "|").alias("words"))
 
 

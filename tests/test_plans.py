@@ -163,3 +163,81 @@ def test_stream_converts_only_what_changed(spark, tmp_path):
     incremental.convert_stream(spark, source, target, state).awaitTermination()
     assert spark.read.parquet(target).count() == 3
     assert {r.page_id: r.text for r in incremental.latest(spark, target).collect()} == {"1": "a", "2": "c"}
+
+
+def test_stream_follows_a_page_that_returns_to_an_earlier_text(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for rows in ([("1", "<p>a</p>", 1)], [("1", "<p>b</p>", 2), ("1", "<p>old</p>", 1)], [("1", "<p>a</p>", 3)], [("1", "<p>a</p>", 4)]):
+        spark.createDataFrame(rows, "page_id string, html string, version int").write.mode("append").parquet(source)
+        incremental.convert_stream(spark, source, target, state, "page_id string, html string, version int", order="version").awaitTermination()
+        now = {r.page_id: r.text for r in incremental.latest(spark, target).collect()}
+        assert now == {"1": rows[0][1][3]}
+    assert spark.read.parquet(target).count() == 3 and incremental.current(spark, state).count() == 1
+    incremental.compacted(spark, state, f"{state}2")
+    assert spark.read.parquet(f"{state}2").count() == 1
+
+
+def test_numbered_pages_of_skewed_rows(spark):
+    df = spark.range(5000).selectExpr("CASE WHEN id % 3 = 0 THEN 0 ELSE id END AS k", "id", "repeat('x', 200) AS wide")
+    got = [(r.k, r.id, r.place, r.page_no) for r in relational.numbered_pages(df, ["k", "id"], 64).collect()]
+    want = sorted((0 if i % 3 == 0 else i, i) for i in range(5000))
+    assert sorted(got) == [(k, i, n, n // 64) for n, (k, i) in enumerate(want)]
+
+
+def test_closure_of_many_paths(spark):
+    """Layers that are linked fully have 6 ** 8 paths and 48 pages."""
+    edges = spark.createDataFrame([(f"{a}.{i}", f"{a + 1}.{j}", f"P{j}") for a in range(8) for i in range(6) for j in range(6)], "parent_id string, child_id string, title string")
+    got = sitemap.closure(edges, spark.createDataFrame([("0.0", "R")], "id string, title string")).collect()
+    assert len(got) == 1 + 8 * 6 and max(r.depth for r in got) == 8 and {r.path for r in got if r.depth == 2} == {f"R/P0/P{j}" for j in range(6)}
+
+
+def test_queries_of_issues(spark, tables):
+    tools = catalog.Catalog(spark, tables)
+    keys = lambda q: [r.issue_key for r in tools.call("jira_search", {"jql": q}).collect()]
+    assert keys('summary ~ "one" ORDER BY issue_key') == ["A-1"] and keys("order by key desc") == ["A-2", "A-1"]
+    assert keys("key in (A-1, 'a-2') and not assignee is empty") == ["A-1"] and keys('text ~ "TWO" or assignee = ANN') == ["A-1", "A-2"]
+    for bad in ("1 = 1", "summary like '%'", "summary = 'a' drop", "(key = 1", "nothing = 1", "key"):
+        with pytest.raises(catalog.ToolError):
+            tools.call("jira_search", {"jql": bad})
+
+
+def test_tools_read_typed_arguments_and_lists(spark, tables):
+    issues = spark.createDataFrame([("A-1", ["x"], 1, None), ("A-2", None, 2, "A-1")], "issue_key string, labels array<string>, points int, parent_key string")
+    tools = catalog.Catalog(spark, tables | {"issues": issues})
+    made = tools.call("jira_create_issue", {"issueType": "Bug", "summary": "s", "labels": ["a", "b"]})
+    assert [r.labels for r in made.filter("size(labels) = 2").collect()] == [["a", "b"]]
+    assert tools.call("jira_update_issue", {"issueKey": "A-1", "fields": {"labels": ["q"], "points": "7"}}).filter("labels[0] = 'q' and points = 7").count() == 1
+    with pytest.raises(catalog.ToolError):
+        tools.call("jira_delete_issue", {"issueKey": "A-1"})
+    with pytest.raises(catalog.ToolError):
+        tools.call("jira_search", {"jql": "key = 1", "maxResults": "many"})
+
+
+def test_files_stay_in_their_folder_and_apart(spark, tmp_path):
+    for rows in ([("a", "1"), ("a", "2")], [("../x", "1")], [("/x", "1")], [(None, "1")]):
+        with pytest.raises(ValueError, match="paths"):
+            sinks.write_files(spark.createDataFrame(rows, "path string, content string"), str(tmp_path))
+    sinks.write_files(spark.createDataFrame([("a/b", bytearray(b"\x00\xff")), ("a/b", bytearray(b"\x00\xff"))], "path string, content binary"), str(tmp_path))
+    assert (tmp_path / "a/b").read_bytes() == b"\x00\xff"
+
+
+def test_bundles(spark):
+    files = [("s/storage.html", b"<p>Secret words</p>"), ("s/page.json", b'{"title":"Secret","n":1}'), ("s/attache/plan.pdf", b"x"), ("s/other.txt", b"x")]
+    from docspark.plans import bundles
+
+    made = bundles.anonymized_export(spark.createDataFrame([(p, bytearray(b)) for p, b in files], "path string, bytes binary"))
+    got = {r.path: bytes(r.bytes) for r in made.collect()}
+    assert len(got) == 3 and not any(b"Secret" in b for b in got.values()) and not any("plan" in p for p in got) and all(p.startswith("s/") for p in got)
+    assert bundles.counted(made, bundles.EXPORT_KINDS).first().asDict() == {"html": 1, "json": 1, "attachment": 1}
+    assert bundles.report_archive(spark, bundles.bug_report({"a": "b"}, lambda: spark.range(2)))[:2] == b"PK"
+
+
+def test_anonymised_urls():
+    from docspark.operators.anonymize import Anonymizer
+
+    a = Anonymizer("k")
+    out = a.url("https://wiki.corp.com:8443/display/~jdoe/Secret+Page?pageId=12345&spaceKey=ABC#top")
+    assert not any(x in out for x in ("corp", "jdoe", "Secret", "12345", "ABC", "top")) and "/display/~" in out and "pageId=" in out and out == a.url("https://wiki.corp.com:8443/display/~jdoe/Secret+Page?pageId=12345&spaceKey=ABC#top")
+    made = json.loads(a.json('{"displayName":"Jane Doe","userKey":"8a7f","title":"My plan","when":"2023-02-03","webui":"/display/X/My","value":"<p>Plan</p>","n":3,"x":"kept"}'))
+    assert made["n"] == 3 and made["x"] == "kept" and "Plan" not in made["value"] and made["value"].startswith("<p>")
+    assert not {"Jane Doe", "8a7f", "My plan", "2023-02-03", "/display/X/My"} & set(map(str, made.values()))

@@ -45,5 +45,5 @@ def test_keywords_of_all_texts(spark, tmp_path):
     texts = {1: "a, b,, c ", 2: "long, " * 5000 + "end", 3: "no count, x", 4: None, 5: ""}
     rows = [(i, t, None if i == 3 else len(t or "")) for i, t in texts.items()]
     spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.words for r in queries.parse_keywords_all(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.words for r in queries.parse_keywords(spark, str(tmp_path)).collect()}
     assert got == {i: "|".join(x.strip(" ") for x in (t or "").split(",") if x.strip(" ")) for i, t in texts.items()}
