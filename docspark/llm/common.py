@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
+from docspark.shared import cut as cut
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -11,19 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder in spark.checkpoint.dir, which all executors share, and read it from there on.
-
-    A lost executor then costs a read of those files and not the plan above them. A folder of this process's own is set
-    only where the session names none, as in tests on one machine.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docspark-"))
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

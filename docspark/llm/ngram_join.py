@@ -84,7 +84,7 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def fingerprinted(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of documents (doc_id, n, node) and, with a ``block``, of each task's part of the sketch."""
+    """Rows of documents (doc_id, th: a hash of the text, n, node) and, with a ``block``, of each task's part of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
@@ -105,16 +105,16 @@ def fingerprinted(docs: DataFrame, width: int) -> DataFrame:
                     count()
                 node = pa.array(fingerprints(values, at).view(np.int64), mask=n == 0)
                 empty = pa.nulls(len(n))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), node, empty.cast(pa.int32()), empty.cast(pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(n), node, empty.cast(pa.int32()), empty.cast(pa.binary())], names=names)
         count()
         for b in range(len(sketch) // SKETCH_BLOCK):
             counts = sketch[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK]
             if counts.any():
-                one = [pa.nulls(1, pa.int64())] * 3
+                one = [pa.nulls(1, pa.int64())] * 4
                 yield pa.RecordBatch.from_arrays([*one, pa.array([b], pa.int32()), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
 
-    names = ["doc_id", "n", "node", "block", "counts"]
-    return docs.mapInArrow(run, "doc_id long, n long, node long, block int, counts binary")
+    names = ["doc_id", "th", "n", "node", "block", "counts"]
+    return docs.withColumn("th", F.xxhash64("text")).mapInArrow(run, "doc_id long, th long, n long, node long, block int, counts binary")
 
 
 def graded(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -619,13 +619,15 @@ def second_round(lists: DataFrame, items: DataFrame, comps: DataFrame, percent:
 
 
 def similar(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included)."""
+    """One row per input row: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included), th (a hash of the text) and
+    root, which names the component of a row that is not alone in its own.
+    """
     spark = df.sparkSession
     bounded_batches(spark)
     docs = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = cut(fingerprinted(docs, width))
     level, excess = levels(found)
-    found = found.filter("block is null").select("doc_id", "n", "node")
+    found = found.filter("block is null").select("doc_id", "th", "n", "node")
     classes = found.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     parts = shuffle_partitions(spark)
     buckets = max(32, 2 * docs.rdd.getNumPartitions())
@@ -640,20 +642,25 @@ def similar(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     root = one.select("node", F.coalesce("b", "a").alias("root")).unionByName(rest.select(F.col("v").alias("node"), "root").join(comps.select(F.col("v").alias("node")), "node", "left_anti"))
     grouped = classes.join(root, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members"))
-    known = grouped.join(least.filter("members > 1"), "root").select("node", "component_id")
-    return found.join(known, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = grouped.join(least.filter("members > 1"), "root").select("node", "component_id", "root")
+    return found.join(known, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "th", "root")
 
 
 def one_of_each(df: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``df`` with one row of each component of ``found`` (what ``similar`` gives): the one of least id, and of its repeated rows one.
+    """``df`` with one row of each component of ``found`` (what ``similar`` gives): the one of least id, then least hash of the text; ids come before nulls.
 
-    Rows without an id are all kept. Only texts that a filter of fixed size does not clear of being removed or repeated are shuffled.
+    Rows are told apart by id and text, so an id that stands on several texts loses none that has no near copy; of rows that are equal in both, one stays. Only
+    texts that a filter of fixed size does not clear of being removed or repeated are shuffled.
     """
-    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    touched = cut(ids.filter("n > 1 or not stays"))
-    bits = marked(touched.select("doc_id"))
-    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).cast("long").alias("_key"))
-    clear = only_marked(rows, "_key", bits, others=True)
-    rest = only_marked(rows, "_key", bits).join(touched.select(F.col("doc_id").alias("_key"), "n", "stays"), "_key", "left").filter("stays is null or stays")
-    once = rest.filter("n > 1").withColumn("_th", F.xxhash64(F.col("_row")[text])).dropDuplicates(["_key", "_th"]).select("_row.*")
+    rows = found.filter("root is not null").groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    best = rows.groupBy("root").agg(F.min(first).alias("best"))
+    touched = rows.join(best, "root").withColumn("stays", first.eqNullSafe(F.col("best"))).filter("n > 1 or not stays")
+    touched = cut(touched.select(F.xxhash64("doc_id", "th").alias("_k"), "doc_id", "th", "n", "stays"))
+    bits = marked(touched.select("_k"))
+    mine = df.select(F.struct(*df.columns).alias("_row"), F.col(key).cast("long").alias("_key"), F.xxhash64(text).alias("_th")).withColumn("_k", F.xxhash64("_key", "_th"))
+    clear = only_marked(mine, "_k", bits, others=True)
+    same = [F.col("l._k") == F.col("r._k"), F.col("l._key").eqNullSafe(F.col("r.doc_id")), F.col("l._th").eqNullSafe(F.col("r.th"))]
+    rest = only_marked(mine, "_k", bits).alias("l").join(touched.alias("r"), same, "left").filter("r.stays is null or r.stays").select("l.*", "r.n")
+    once = rest.filter("n > 1").dropDuplicates(["_key", "_th"]).select("_row.*")
     return clear.select("_row.*").unionByName(rest.filter("n is null or n = 1").select("_row.*")).unionByName(once)

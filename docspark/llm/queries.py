@@ -17,7 +17,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar(_texts(spark, sf_dir), width=4, percent=85)
+    return ngram_join.similar(_texts(spark, sf_dir), width=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
