@@ -1,7 +1,8 @@
 """A corpus pipeline over ``documents``: quality filter, near-duplicate removal, PII sanitisation, sequence packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. ``run`` writes each
-stage's result to the shared checkpoint folder and goes on from there.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever they are named: rows travel as one
+column beside the stage's own. ``run`` writes each stage's result to the shared checkpoint folder and goes on from there. Null and empty texts are scored by the
+bias of the classifier, link with nothing, hold nothing to sanitise and are packed as an end id; texts of any length stay whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,18 +20,21 @@ SIMILAR_PERCENT = 80
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the classifier scores at the threshold or above."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, out="_score")
-    return scored.filter(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    name = "_score"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return quality.score(docs, model, out=name).filter(F.col(name) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each component of similar documents; rows without an id are all kept."""
+    """Keep one document of each component of similar documents: that of the least id."""
     return ngram_join.one_of_each(docs, cut(ngram_join.similar(docs, width=SHINGLE_WORDS, percent=SIMILAR_PERCENT)))
 
 
 def pii_sanitisation(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data and the terms that disclose it; ``n_chars`` follows the new text."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Replace personal data and the terms that disclose it; ``n_chars``, where the table has it, follows the new text."""
+    made = pii.redact(docs)
+    return made.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else made
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
