@@ -23,16 +23,20 @@ from pyspark.sql import functions as F
 
 from .vectors import Shard, search, usable
 
-SHARD_ROWS = 4096
+SHARD_ROWS = 16384
 M = 16
-EF_BUILD = 64
+EF_BUILD = 48
 EF_SEARCH = 128
 BATCH = 512
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two below their greatest component, which is exact and keeps squares of huge and tiny ones in range."""
+    return np.ldexp(x, 1 - np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    peak = np.abs(x).max(axis=1, keepdims=True)
-    x = x / peak
+    x = scaled(x)
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
@@ -73,7 +77,10 @@ def beam(points: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: np.n
 
 
 def chosen(points: np.ndarray, nodes: np.ndarray, ids: np.ndarray, width: int) -> np.ndarray:
-    """At most ``width`` of each node's candidates (-1: none), spread out: one is passed over if it is nearer to a chosen one."""
+    """At most ``width`` of each node's candidates (-1: none), spread out: one is passed over if it is nearer to a chosen one.
+
+    Where that leaves fewer than half, the nearest that were passed over follow, so that vectors of one direction don't stand apart from all others.
+    """
     out = np.full((len(nodes), width), -1, dtype=np.int32)
     for at in range(0, len(nodes), 256):
         node, cand = nodes[at : at + 256], ids[at : at + 256]
@@ -89,13 +96,14 @@ def chosen(points: np.ndarray, nodes: np.ndarray, ids: np.ndarray, width: int) -
         closest = np.full(sim.shape, -np.inf, dtype=np.float32)
         count = np.zeros(len(node), dtype=np.int64)
         repeat = np.zeros(sim.shape, dtype=bool)
-        for c in range(cand.shape[1]):
-            take = np.isfinite(sim[:, c]) & (sim[:, c] > closest[:, c]) & (count < width) & ~repeat[:, c]
-            rows = np.flatnonzero(take)
-            out[at + rows, count[rows]] = cand[rows, c]
-            count[rows] += 1
-            closest[rows] = np.maximum(closest[rows], among[rows, c])
-            repeat[rows] |= cand[rows] == cand[rows, c][:, None]
+        for most, spread in ((width, True), (width // 2, False)):
+            for c in range(cand.shape[1]):
+                take = np.isfinite(sim[:, c]) & (count < most) & ~repeat[:, c]
+                rows = np.flatnonzero(take & (sim[:, c] > closest[:, c]) if spread else take)
+                out[at + rows, count[rows]] = cand[rows, c]
+                count[rows] += 1
+                closest[rows] = np.maximum(closest[rows], among[rows, c])
+                repeat[rows] |= cand[rows] == cand[rows, c][:, None]
     return out
 
 
@@ -169,12 +177,13 @@ def finder(k: int):
             shard.order = stored["order"]
             shard.layers = [stored[f"layer{i}"] for i in range(len(stored.files) - 1)]
             shard.points = unit(shard.vecs)[shard.order]
-            shard.norms = np.sqrt((shard.vecs * shard.vecs).sum(axis=1))
-        q = unit(queries)
+            shard.scaled = scaled(shard.vecs)
+            shard.norms = np.sqrt((shard.scaled * shard.scaled).sum(axis=1))
+        q, original = unit(queries), scaled(queries)
         ids, _ = beam(shard.points, shard.layers[-1], q, descend(shard.points, shard.layers[:-1], q), EF_SEARCH)
         for i, row in enumerate(ids):
             at = shard.order[row[row >= 0][: 2 * k + 2]]
-            score = (shard.vecs[at] * queries[i]).sum(axis=1) / (shard.norms[at] * np.sqrt((queries[i] * queries[i]).sum()))
+            score = (shard.scaled[at] * original[i]).sum(axis=1) / (shard.norms[at] * np.sqrt((original[i] * original[i]).sum()))
             lens = shard.ends[at + 1] - shard.ends[at]
             who = np.concatenate([shard.ids_of(x) for x in at]) if len(at) else np.zeros(0, dtype=np.int64)
             score = np.repeat(score, lens)

@@ -23,8 +23,6 @@ def spread(df: DataFrame) -> DataFrame:
 BATCH_ROWS = 1024
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that batches of long texts don't fill the executors' memory outside the heap."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound the rows of an Arrow batch, so that batches of long texts or packed vectors don't fill the executors' memory outside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

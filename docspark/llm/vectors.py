@@ -2,7 +2,8 @@
 
 Equal vectors are one *class* with its least ids, as many as any answer can need; so a vector that a third of the rows hold is
 indexed and searched once. Classes are dealt to shards of about ``rows`` by hash. Query classes travel in packed blocks; each block
-meets each shard, which is the stated query set against all rows in blocks.
+meets each shard, which is the stated query set against all rows in blocks. Ids are numbers (others raise, as the cast does); an id that stands on
+several vectors is a candidate by each of them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_partitions
+from .common import bounded_batches, cut, shuffle_partitions
 
 QUERY_BLOCK = 512
 
@@ -114,20 +115,23 @@ class Shard:
         return self.ids[self.ends[i] : self.ends[i + 1]]
 
 
-def searched(index: DataFrame, queries: DataFrame, find: Callable[[Shard, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]], parts: int, score: str) -> DataFrame:
+def searched(index: DataFrame, queries: DataFrame, find: Callable[[Shard, np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]], shards: int, copies: int, score: str) -> DataFrame:
     """(h, found: array of (s, id)) for each query class and shard; ``find`` gives scores and ids of each query, best first.
 
-    The best have the greatest score, then the least id.
+    The best have the greatest score, then the least id. A task unpacks one shard's index, which comes first in it, and then meets query blocks one after the other; the index
+    travels ``copies`` times, and not with each block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, shard = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in ("shard", "dim")}
-                if key != tuple(row.values()):
-                    key = tuple(row.values())
-                    shard = Shard(row | {n: batch.column(n)[i].as_py() for n in ("vecs", "ids", "ends", "extra")})
+                row = {n: batch.column(n)[i].as_py() for n in ("shard", "dim", "part")}
+                if not batch.column("hs")[i].is_valid:
+                    key, shard = row, Shard(row | {n: batch.column(n)[i].as_py() for n in ("vecs", "ids", "ends", "extra")})
+                    continue
+                if row != key:  # the shard has no vectors of this length
+                    continue
                 hs = np.frombuffer(batch.column("hs")[i].as_py(), dtype=np.int64)
                 qs = np.frombuffer(batch.column("qs")[i].as_py(), dtype=np.float64).reshape(len(hs), -1)
                 scores, ids = zip(*find(shard, qs), strict=True)
@@ -136,7 +140,11 @@ def searched(index: DataFrame, queries: DataFrame, find: Callable[[Shard, np.nda
                 yield pa.RecordBatch.from_arrays([pa.array(hs), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["h", "found"])
 
     kind = pa.float64() if score == "double" else pa.int64()
-    rows = queries.repartition(parts, "shard", "dim", "hs").join(index, ["shard", "dim"]).sortWithinPartitions("shard", "dim")
+    none = F.lit(None).cast("binary")
+    stored = index.select("shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("part"), none.alias("hs"), none.alias("qs"), "vecs", "ids", "ends", "extra")
+    asked = queries.select("shard", "dim", F.pmod(F.xxhash64("hs"), F.lit(copies)).cast("int").alias("part"), "hs", "qs", *(none.alias(c) for c in ("vecs", "ids", "ends", "extra")))
+    key = ["shard", "dim", "part"]
+    rows = stored.unionByName(asked).repartition(shards * copies, *key).sortWithinPartitions(*key, F.col("hs").isNotNull())
     return rows.mapInArrow(run, f"h long, found array<struct<s:{score},id:long>>")
 
 
@@ -156,10 +164,13 @@ def merged(answers: DataFrame, members: DataFrame, keep: int, k: int) -> DataFra
 def search(df: DataFrame, is_query: Column, k: int, rows: int, build: Callable, find: Callable, score: str) -> DataFrame:
     """All steps over ``df`` (id, vec); the ids for which ``is_query`` holds are the queries."""
     spark = df.sparkSession
-    parts = shuffle_partitions(spark)
+    bounded_batches(spark, rows=64)
     found, shards = classes(df, k + 1, rows)
     index = indexed(found, shards, build)
     members = df.filter(is_query).select(F.col("id").alias("query_id"), F.xxhash64("vec").alias("h")).distinct()
-    asked = found.join(members.select("h").distinct(), "h", "left_semi")
-    answers = searched(index, blocks(asked, shards, max(1, min(parts, 64))), find, parts, score)
+    asked = cut(found.join(members.select("h").distinct(), "h", "left_semi").select("h", "vec"))
+    many = -(-asked.count() // QUERY_BLOCK)
+    # as many copies of the index as keep all cores busy, with a few query blocks each
+    copies = max(1, min(shuffle_partitions(spark) // shards, many // 4))
+    answers = searched(index, blocks(asked, shards, max(1, many)), find, shards, copies, score)
     return merged(answers, members, k + 1, k)

@@ -265,6 +265,16 @@ def test_blocks_give_what_the_whole_gives(spark, monkeypatch):
     assert chat.repair(df.limit(0)).count() == 0
 
 
+def test_huge_and_tiny_vectors(spark):
+    rows = [(0, [1e200, 1e200, 0.0]), (1, [1e200, 0.0, 0.0]), (2, [3e-200, 3e-200, 1e-200]), (3, [1.0, 1.0, 0.0]), (4, [float("nan"), 1.0, 0.0]), (5, [0.0, 0.0, 0.0]), (6, None), (7, [1.0, None, 2.0]), (8, [1.0, 1.0]), (None, [1.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, round(r.score, 9)) for r in ann.nearest(df, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(3, 1.0), (2, round(6 / 38**0.5, 9)), (1, round(0.5**0.5, 9))]
+    small = [(r.query_id, r.vec_id, r.score) for r in maxscore.top_k(df.filter("vec_id > 1"), F.col("vec_id") == 3).orderBy("rank").collect()]
+    assert small == [(3, 2, 0), (3, 5, 0)]
+    assert {r.vec_id for r in maxscore.top_k(df, F.col("vec_id") == 3).collect()} == {2, 5}  # those beyond exact scores take no part
+
+
 def test_levels_follow_counts_above_the_noise():
     rng = np.random.default_rng(2)
     for mean in (0.3, 5, 1200):
