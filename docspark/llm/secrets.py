@@ -3,9 +3,9 @@
 The method: candidates are whole runs of 20 or more token characters. Each belongs to the narrowest of the character classes hex,
 alphanumeric and base64; a window of 20 characters slides over it, and the window's Shannon entropy is kept up to date from
 the counts of its characters as one enters and one leaves. A candidate whose highest window entropy reaches its class's
-threshold is a secret, unless the allow-list knows it or it overlaps a match of the plain patterns.
+threshold is a secret, unless the allow-list knows it. Matches of the plain patterns are taken out first, and what is left of a run is a candidate of its own.
 
-Defined results: a null or empty text has no spans; repeated rows get the same spans; all other columns are kept, and one
+Defined results: a null or empty text has no spans; texts and runs of any length are read whole; repeated rows get the same spans; all other columns are kept, and one
 named like the output column is replaced by it; an empty table gives an empty table.
 """
 
@@ -30,15 +30,11 @@ HEX = r"[0-9a-f]{24,}+"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 
 WINDOW = 20
-# Each class's alphabet and the bits a window of it must reach.
-CLASSES = {
-    "hex": ("0123456789abcdef", 3.0),
-    "alphanumeric": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 3.6),
-    "base64": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-", 3.7),
-}
+# Each class's characters and the bits a window of them must reach.
+CLASSES = {"hex": ("0-9a-f", 3.0), "alphanumeric": ("0-9A-Za-z", 3.6), "base64": ("0-9A-Za-z+/_=-", 3.7)}
 # Candidates that are not secrets.
 ALLOWED = (
-    r"^[A-Za-z_=/+-]+$",  # words
+    r"^(?!.*[A-Z][a-z][A-Z])[A-Za-z_=/+-]+$",  # words; most random letters of both cases have one small letter between capitals
     r"^[0-9_=/+-]+$",  # numbers
     r"(?i)example|placeholder|sample|dummy|x{6,}",
     r"(?i)0123456789|abcdefghij|qwerty",
@@ -46,51 +42,40 @@ ALLOWED = (
 )
 
 
-def window_entropy(value: Column, alphabet: str, window: int = WINDOW) -> Column:
+def window_entropy(value: Column, window: int = WINDOW) -> Column:
     """The highest Shannon entropy, in bits, of any ``window`` characters in a row; null for shorter values.
 
     With counts c of a window's characters the entropy is log2(window) - sum(c * log2(c)) / window; the sum changes by one
-    term for the character that enters and by one for that which leaves.
+    term for the character that enters and by one for that which leaves. Only these two are counted, in their window, so a step costs the same in a value of any length.
     """
-    weight = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
-    place = lambda i: F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1)))
-
-    def bump(acc: Column, at: Column, by: int) -> Column:
-        now = F.element_at(acc["counts"], at)
-        return F.struct(
-            F.transform(acc["counts"], lambda c, k: F.when(k + 1 == at, c + by).otherwise(c)).alias("counts"),
-            (acc["sum"] + F.element_at(weight, now + by + 1) - F.element_at(weight, now + 1)).alias("sum"),
-            acc["best"].alias("best"),
-        )
-
-    def move(acc: Column, i: Column) -> Column:
-        left = F.when(i > window, spans.let(place(i - window), lambda at: bump(acc, at, -1))).otherwise(acc)
-        entered = spans.let(left, lambda a: spans.let(place(i), lambda at: bump(a, at, 1)))
-        return spans.let(
-            entered,
-            lambda a: F.struct(
-                a["counts"].alias("counts"),
-                a["sum"].alias("sum"),
-                F.when(i >= window, F.least(a["best"], a["sum"])).otherwise(a["best"]).alias("best"),
-            ),
-        )
-
-    first = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("best"))
-    least = F.aggregate(F.sequence(F.lit(1), F.length(value)), first, move, lambda acc: acc["best"])
-    return F.when(F.length(value) >= window, math.log2(window) - least / window)
+    weight = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)))
+
+    def over(chars: Column) -> Column:
+        def term(i: Column, start: Column, size: Column | int) -> Column:
+            """What character i adds to the sum of the window of ``size`` from ``start``, which holds it."""
+            count = F.size(F.filter(F.slice(chars, start, F.lit(size) if isinstance(size, int) else size), lambda x: x == F.element_at(chars, i)))
+            return spans.let(count, lambda c: F.element_at(weight, c + 1) - F.element_at(weight, c))
+
+        def move(acc: Column, i: Column) -> Column:
+            gone = F.when(i > window, term(i - window, i - window, window)).otherwise(0.0)
+            new = acc["sum"] - gone + term(i, F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window)))
+            return spans.let(new, lambda s: F.struct(s.alias("sum"), F.when(i >= window, F.least(acc["best"], s)).otherwise(acc["best"]).alias("best")))
+
+        first = F.struct(F.lit(0.0).alias("sum"), F.lit(1e9).alias("best"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), first, move, lambda acc: acc["best"])
+
+    return F.when(F.length(value) >= window, math.log2(window) - spans.let(F.split(value, ""), over) / window)
 
 
 def secret_like(value: Column) -> Column:
     """Whether a candidate's entropy reaches the threshold of its class and no allow-list pattern holds."""
-    hexes = value.rlike("^[0-9a-f]+$")
-    alphanumeric = value.rlike("^[0-9A-Za-z]+$")
-    high = F.when(hexes, window_entropy(value, CLASSES["hex"][0]) >= CLASSES["hex"][1])
-    high = high.when(alphanumeric, window_entropy(value, CLASSES["alphanumeric"][0]) >= CLASSES["alphanumeric"][1])
-    high = high.otherwise(window_entropy(value, CLASSES["base64"][0]) >= CLASSES["base64"][1])
+    need = F.lit(CLASSES["base64"][1])
+    for name in ("alphanumeric", "hex"):
+        need = F.when(value.rlike(f"^[{CLASSES[name][0]}]+$"), CLASSES[name][1]).otherwise(need)
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | value.rlike(pattern)
-    return F.when(allowed, False).otherwise(high)
+    return F.when(allowed, False).otherwise(window_entropy(value) >= need)
 
 
 def base_spans(text: Column) -> Column:
@@ -102,9 +87,9 @@ def base_spans(text: Column) -> Column:
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
-    found = F.when(text.rlike(CANDIDATE), spans.find(text, CANDIDATE, BASE)).otherwise(spans.none())
-    clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.filter(F.filter(found, clear), lambda s: secret_like(s["match"]))
+    """Secrets by entropy in what the plain spans leave of a text; a run that a plain span cuts is what stands on either side of it."""
+    free = spans.masked(text, base, " ")
+    return F.when(text.rlike(CANDIDATE), spans.let(free, lambda t: F.filter(spans.find(t, CANDIDATE, BASE), lambda s: secret_like(s["match"])))).otherwise(spans.none())
 
 
 def scan(df: DataFrame, text: str = "text", out: str = "secrets") -> DataFrame:
