@@ -7,7 +7,7 @@ value is its share of the text's n-grams of that family, so a text's length does
 Training takes at most ``TRAIN_ROWS`` labelled documents, those with the least hash of their id, which is a documented bound of
 the fit and no bound of the scoring: every text is scored whole. The model is ``2 ** BITS`` numbers, whatever the table's size.
 
-Defined results: a null or empty text scores by the bias alone; repeated rows score alike; rows whose label is null are not
+Defined results: a null or empty text scores by the bias alone; texts of any length are scored whole; repeated rows score alike; rows whose label is null are not
 learned from; without any labels every score is 0.5; other columns are kept, and one named like an output column is
 replaced by it; an empty table gives an empty table.
 """
@@ -93,12 +93,17 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def fit(raw: np.ndarray, off: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, alpha: float = 0.3, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-3, bits: int = BITS) -> Model:
-    """FTRL-proximal over the texts, one at a time, in the order given."""
+def fit(raw: np.ndarray, off: np.ndarray, labels: np.ndarray, **options) -> Model:
+    """``fit_parts`` of one part."""
+    return fit_parts([(raw, off, labels)], **options)
+
+
+def fit_parts(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = EPOCHS, alpha: float = 0.3, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-3, bits: int = BITS) -> Model:
+    """FTRL-proximal over the texts of all parts (bytes, offsets, labels), one at a time, in the order given."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     bias_z = bias_n = 0.0
     for _ in range(epochs):
-        for y, index, value in samples(raw, off, labels, bits):
+        for y, index, value in (x for part in parts for x in samples(*part, bits)):
             index, at = np.unique(index, return_inverse=True)
             value = np.bincount(at, value, len(index)) if len(index) else value
             zi, ni = z[index], n[index]
@@ -136,6 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 
     The chosen ids are at most ``rows``, so they may be broadcast to the documents, and the fit runs in one task on an executor.
     """
+    bounded_batches(docs.sparkSession)
     chosen = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~F.coalesce(held_out(key), F.lit(True)))
     chosen = chosen.groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_key"), "_key").limit(rows)
@@ -143,10 +149,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     sample = sample.select(F.xxhash64("_key").alias("o"), "_key", "text", "_label").orderBy("o", "_key", "text").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches).combine_chunks()
-        if not table.num_rows:
+        # batches stay apart, so that texts of more than 2 GB together keep their offsets
+        parts = [(*utf8(b.column("text")), b.column("_label").to_numpy()) for b in batches if b.num_rows]
+        if not parts:
             return
-        model = fit(*utf8(table.column("text").combine_chunks()), table.column("_label").to_numpy())
+        model = fit_parts(parts)
         yield pa.RecordBatch.from_arrays([pa.array([model.weights.tobytes()], type=pa.binary()), pa.array([model.bias])], names=["weights", "bias"])
 
     fitted = sample.coalesce(1).mapInArrow(run, "weights binary, bias double").collect()

@@ -276,6 +276,49 @@ def test_quality_of_odd_rows(spark):
     assert quality.train(table(spark, ODD), labels.limit(0)).scores(*utf8(pa.array(["x"])))[0] == 0.5
 
 
+def naive_ftrl(texts, labels, bits, epochs=2, alpha=0.3, beta=1.0, l1=2e-3, l2=1e-3):
+    """The update rule a coordinate at a time, on features that are counted one by one."""
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    bias = lambda: -bz / ((beta + math.sqrt(bn)) / alpha + l2)
+
+    def values(text):
+        out = Counter()
+        for index, before in quality.features(*utf8(pa.array([text])), bits):
+            for i in index.tolist():
+                out[i] += quality.SCALE / int(before[-1])
+        return out
+
+    for _ in range(epochs):
+        for text, y in zip(texts, labels, strict=True):
+            x = values(text)
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-(sum(w[i] * v for i, v in x.items()) + bias())))
+            b = bias()
+            for i, v in x.items():
+                g = (p - y) * v
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            d = p - y
+            bz += d - (math.sqrt(bn + d * d) - math.sqrt(bn)) / alpha * b
+            bn += d * d
+    return lambda text: 1 / (1 + math.exp(-(sum(weight(i) * v for i, v in values(text).items()) + bias())))
+
+
+def test_the_fit_is_ftrl():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "Beta.", "g4mma", "XX!!", "delta"]) for _ in range(rng.randint(0, 30))) for _ in range(60)]
+    labels = [int("XX!!" not in t) for t in texts]
+    want = naive_ftrl(texts, labels, 12)
+    parts = [(*utf8(pa.array(texts[a:b])), np.array(labels[a:b])) for a, b in ((0, 7), (7, 8), (8, 60))]
+    model = quality.fit_parts(parts, bits=12)
+    got = model.weights, model.bias
+    for t in texts:
+        feats = quality.features(*utf8(pa.array([t])), 12)
+        total = got[1] + sum(quality.SCALE * float(got[0][i].sum()) / max(len(i), 1) for i, _ in feats)
+        assert abs(1 / (1 + math.exp(-total)) - want(t)) < 1e-5
+
+
 def test_scores_do_not_depend_on_the_batch():
     texts = ["a b c.", "X!! X!! X!!", "", "b c d e f g"]
     model = quality.fit(*utf8(pa.array(texts)), np.array([1, 0, 1, 1]))
@@ -346,9 +389,9 @@ def test_window_entropy(spark):
     rng = random.Random(6)
     values = ["".join(rng.choice("abcdef0123456789") for _ in range(n)) for n in (20, 21, 33, 90)] + ["a" * 25]
     df = spark.createDataFrame([(v,) for v in values], "v string")
-    for r in df.select("v", secrets.window_entropy(F.col("v"), secrets.CLASSES["alphanumeric"][0]).alias("e")).collect():
+    for r in df.select("v", secrets.window_entropy(F.col("v")).alias("e")).collect():
         assert abs(r.e - entropy(r.v)) < 1e-9
-    assert df.select(secrets.window_entropy(F.lit("short"), "abc")).first()[0] is None
+    assert df.select(secrets.window_entropy(F.lit("short"))).first()[0] is None
 
 
 def test_entropy_secrets_and_allow_list(spark):
@@ -359,6 +402,36 @@ def test_entropy_secrets_and_allow_list(spark):
     assert secrets.redact(spark.createDataFrame([("password=hunter22 ok",)], "text string")).first().text == "[ASSIGN] ok"
 
 
+def plain_entropy(value, window=20):
+    best = -1.0
+    for i in range(len(value) - window + 1):
+        counts = Counter(value[i : i + window]).values()
+        best = max(best, -sum(c / window * math.log2(c / window) for c in counts))
+    return best
+
+
+def test_entropy_spans_are_those_of_all_windows(spark):
+    rng = random.Random(6)
+    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCabc123+/_=-", "aab", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]
+    runs = ["".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(15, 70))) for _ in range(200)]
+    runs += ["AKIA" + "Z1Y2X3W4V5U6T7S8" + "/" + "wJalrXUtnFEMIbK7MDENGbPxRfiCYzq83hTd0sLv", "p" * 3000 + "aB3dE5gH7jK9mN1pQ4rS" + "q" * 3000, "xKqZbTwRmPvLcNdFgHjYs", "someVeryLongCamelCaseName", "/a/path/of/words/and_more"]
+    got = secrets.scan(spark.createDataFrame([(i, f"é {t} end") for i, t in enumerate(runs)], "i int, text string")).collect()
+    for r in got:
+        text, base = r.text, base_secrets(r.text)
+        free = list(text)
+        for a, _, b in base:
+            free[a:b] = " " * (b - a)
+        want = []
+        for m in re.finditer(secrets.CANDIDATE, "".join(free)):
+            if len(m[0]) >= 20 and not any(re.search(p, m[0]) for p in secrets.ALLOWED):
+                name = next(k for k in ("hex", "alphanumeric", "base64") if re.fullmatch(f"[{secrets.CLASSES[k][0]}]+", m[0]))
+                if plain_entropy(m[0]) >= secrets.CLASSES[name][1] - 1e-12:
+                    want.append((m.start(), m.end()))
+        assert [(s.start, s.end) for s in r.secrets["all"] if s.kind == secrets.BASE] == want, text
+    kinds = {r.i: [s.kind for s in r.secrets["all"]] for r in got}
+    assert kinds[200] == [1, 3] and kinds[201] == [3] and kinds[202] == [3] and kinds[203] == [] and kinds[204] == []
+
+
 def test_pii_terms_and_redaction(spark):
     rows = [(i, f"mail ann@x.org zyzzyva{i % 2} filler" if i < 4 else f"clean text filler number {i}") for i in range(40)] + ODD + [(50, "call +4930123456789 or a@b.co")]
     df = table(spark, rows)
