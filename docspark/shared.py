@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the folder in spark.checkpoint.dir, which all executors share, and read it from there on.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this session's checkpoints in spark.checkpoint.dir, which all executors share.
 
     Only a session on one machine may name no folder; then one of this process's own is set.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="docspark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it from there on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
