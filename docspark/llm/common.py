@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from docspark.shared import cut as cut
+from docspark.shared import shared_folder
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -10,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder beside the checkpoints, which all machines share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

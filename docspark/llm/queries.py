@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, maxscore, ngram_join, packing, pii, quality, secrets, sharding, spans
-from .common import spread, table
+from . import ann, bpe, chat, itemsets, maxscore, merkle, ngram_join, packing, pii, quality, secrets, sharding, spans, warc
+from .common import cut, new_folder, spread, table
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +81,40 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lower).otherwise(F.col("text"))
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    # both leaves are made while the text is at hand; the text goes no further
+    rows = docs.select("doc_id", "lang", merkle.leaf(*columns, F.col("text")).alias("given"), merkle.leaf(*columns, tampered).alias("now"))
+    made = merkle.manifest(rows, F.col("given"))
+    made = made.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), merkle.folded(F.col("now"), F.col("path")).alias("folded_root"))
+    return made.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    found = cut(warc.records(spark, folder, with_payload=False))
+    return warc.pages(warc.captures(found)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    closed, made, support, total = itemsets.closed_sets(table(spark, sf_dir, "sale_lines"))
+    found = itemsets.with_rules(closed, made, support, total)
+    listed = F.array_join(F.transform("rules", lambda r: F.concat_ws(":", *(r[c].cast("string") for c in "cas"))), ";")
+    best = F.array_min(F.transform("rules", lambda r: F.struct(r["a"].alias("a"), r["c"].alias("c"))))
+    return found.select(
+        F.array_join(F.col("z").cast("array<string>"), ",").alias("items"),
+        F.size("z").cast("long").alias("n_items"),
+        F.col("s").cast("long").alias("support"),
+        F.size("rules").cast("long").alias("n_rules"),
+        best["c"].alias("best_item"),
+        F.sha2(listed, 256).alias("rules_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_pii": op2_pii,
@@ -90,7 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maxscore": op8_maxscore,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_sharding": op10_sharding,
+    "op11_merkle": op11_merkle,
+    "op12_warc": op12_warc,
+    "op13_itemsets": op13_itemsets,
 }
-
-#: SQL exists where it can express the whole result; the others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
