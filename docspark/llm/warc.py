@@ -110,7 +110,7 @@ def fields_of(lines: list[bytes]) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     for x in lines:
         if x[:1] in (b" ", b"\t") and out:
-            out[-1] = (out[-1][0], out[-1][1] + " " + x.strip().decode("utf-8", "replace"))
+            out[-1] = (out[-1][0], f"{out[-1][1]} {x.strip().decode('utf-8', 'replace')}".strip())
         elif m := HEADER.match(x):
             out.append((m.group(1).decode("utf-8", "replace").lower(), m.group(2).decode("utf-8", "replace")))
     return out
@@ -235,7 +235,7 @@ def captures(found: DataFrame) -> DataFrame:
 def pages(assembled: DataFrame) -> DataFrame:
     """``captures`` to (page_id, url, payload_bytes, payload_digest, record_type, refers_to): revisits with what they refer to."""
     one = assembled.filter("capture is not null").select(
-        "record_id", F.element_at(F.filter(F.transform("metadata", lambda m: m["page_id"]), lambda x: x.isNotNull()), 1).alias("page_id"),
+        "record_id", F.try_element_at(F.filter(F.transform("metadata", lambda m: m["page_id"]), lambda x: x.isNotNull()), F.lit(1)).alias("page_id"),
         F.col("capture.uri").alias("url"), F.col("capture.type").alias("record_type"), F.col("capture.refers_to").alias("refers_id"),
         "capture.payload_bytes", F.coalesce("capture.payload_digest", "capture.declared").alias("payload_digest"),
     )
