@@ -28,31 +28,32 @@ SMALL = 16
 SENT_ROWS = 100_000
 
 
+#: Rows to a partition of the tables between levels, which are small beside the baskets.
+PART_ROWS = 20_000
+
+
+def settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` written once, in as many partitions as its rows ask for, and their number."""
+    out = cut(df)
+    rows = out.count()
+    return out.coalesce(1 + rows // PART_ROWS), rows
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SENT_ROWS else df
 
 
-def frequent_rows(df: DataFrame, basket: str, item: str) -> tuple[DataFrame, int, int]:
-    """The distinct (basket, item) of items with enough rows, the number of baskets, and the least support."""
+def frequent(df: DataFrame, basket: str, item: str) -> tuple[DataFrame, DataFrame, int, int]:
+    """Distinct baskets (items: ascending, w: how many) of frequent items, written once; the items' supports (i, s); the number of baskets; the least support."""
     rows = df.select(F.col(basket).cast("long").alias("b"), F.col(item).cast("long").alias("i")).dropna()
     total = rows.agg(F.countDistinct("b").alias("n")).first().n
     least = max(LEAST, -(-total // PER_BASKETS))
-    # an item's rows are no fewer than its baskets
-    often = cut(rows.groupBy("i").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("i"))
-    return rows.join(small_side(often, often.count()), "i").select("b", "i").distinct(), total, least
-
-
-def weighted(pairs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct baskets (items: ascending, w: how many), written once; and the supports (i, s) of the frequent items, to which the baskets are cut."""
-    lists = pairs.groupBy("b").agg(F.sort_array(F.collect_list("i")).alias("items"))  # frequent items only
-    found = cut(lists.groupBy("items").agg(F.count("*").alias("w")))
-    support = cut(found.select(F.explode("items").alias("i"), "w").groupBy("i").agg(F.sum("w").alias("s")))
-    rare = cut(support.filter(F.col("s") < least).select("i"))
-    if not rare.isEmpty():
-        # rows of such items may repeat in their baskets; the baskets are made again without them
-        pairs = pairs.join(small_side(rare, rare.count()), "i", "left_anti")
-        found = cut(pairs.groupBy("b").agg(F.sort_array(F.collect_list("i")).alias("items")).groupBy("items").agg(F.count("*").alias("w")))
-    return found, support.filter(F.col("s") >= least)
+    # an item's rows are no fewer than its baskets, so most items go before any row is moved
+    often, many = settled(rows.groupBy("i").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("i"))
+    pairs = cut(rows.join(small_side(often, many), "i").select("b", "i").distinct())
+    support, many = settled(pairs.groupBy("i").agg(F.count("*").alias("s")).filter(F.col("s") >= least))
+    lists = pairs.join(small_side(support.select("i"), many), "i").groupBy("b").agg(F.sort_array(F.collect_list("i")).alias("items"))  # frequent items only
+    return cut(lists.groupBy("items").agg(F.count("*").alias("w"))), support, total, least
 
 
 def set_aside(found: DataFrame, least: int) -> int:
@@ -78,7 +79,7 @@ class Baskets:
         edge = set_aside(found, least)
         self.light = found.filter(F.size("items") <= edge)
         large = found.filter(F.size("items") > edge).withColumn("h", F.xxhash64("items"))
-        self.heavy = cut(large.select("h", F.explode("items").alias("i"), "w"))
+        self.heavy, _ = settled(large.select("h", F.explode("items").alias("i"), "w"))
         self.weight = self.heavy.select("h", "w").distinct().agg(F.sum("w")).first()[0] or 0
 
     def add(self, counted: DataFrame, holding: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
@@ -94,7 +95,7 @@ class Baskets:
         else:
             prefix = counted.select("g", F.slice("g", F.lit(1), F.size("g") - 1).alias("p"), last.alias("i"))
             held = prefix.join(holding.select(F.col("g").alias("p"), "h"), "p").join(self.heavy, ["h", "i"]).select("g", "h", "w")
-        held = cut(held)
+        held, _ = settled(held)
         sums = held.groupBy("g").agg(F.sum("w").alias("more"))
         return counted.join(sums, "g", "left").withColumn("s", F.col("light") + F.coalesce("more", F.lit(0))).drop("more"), held
 
@@ -106,14 +107,11 @@ def generators(baskets: Baskets, support: DataFrame, total: int, least: int) ->
     single = support.select(F.array("i").alias("g"), "s").filter(F.col("s") < total)
     first = single.join(first, "g").select("g", "light", "s")
     _, held = baskets.add(first.drop("s"), None)
-    level, rows = cut(first), all_rows.select("g", "items", "w")
+    (level, many), rows = settled(first), all_rows.select("g", "items", "w")
     out, places, large = [], [], []
     size = 1
-    while True:
-        many = level.count()
-        if not many:
-            break
-        rows = cut(rows.join(small_side(level.select("g"), many), "g", "left_semi"))
+    while many:
+        rows, _ = settled(rows.join(small_side(level.select("g"), many), "g", "left_semi"))
         out.append(level)
         places.append(rows)
         if held is not None:
@@ -130,14 +128,13 @@ def generators(baskets: Baskets, support: DataFrame, total: int, least: int) ->
             pairs = ends.join(ends.select("p", F.col("z").alias("y")), "p").filter("z < y").select(F.concat("p", F.array("z", "y")).alias("g"))
             parts = pairs.select("g", F.explode(subsets("g")).alias("sub"))
             whole = parts.join(level.select(F.col("g").alias("sub")), "sub").groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") == size + 1)
-            possible = cut(whole.select("g"))
-            grown = grown.join(small_side(possible, possible.count()), "g", "left_semi")
+            grown = grown.join(small_side(*settled(whole.select("g"))), "g", "left_semi")
         counted = grown.groupBy("g").agg(F.sum("w").alias("light")).filter(F.col("light") >= least - baskets.weight)
-        counted, held = baskets.add(cut(counted) if held is not None else counted, held)
-        enough = cut(counted.filter(F.col("s") >= least).select("g", "light", "s"))
-        below = enough.select("g", F.explode(subsets("g")).alias("sub")).join(level.select(F.col("g").alias("sub"), F.col("s").alias("t")), "sub")
-        below = below.groupBy("g").agg(F.min("t").alias("t"))
-        level = cut(enough.join(below, "g").filter(F.col("s") < F.col("t")).select("g", "light", "s"))
+        counted, held = baskets.add(settled(counted)[0] if held is not None else counted, held)
+        enough, _ = settled(counted.filter(F.col("s") >= least).select("g", "light", "s"))
+        known = small_side(level.select(F.col("g").alias("sub"), F.col("s").alias("t")), many)
+        below = enough.select("g", "light", "s", F.explode(subsets("g")).alias("sub")).join(known, "sub").groupBy("g", "light", "s").agg(F.min("t").alias("t"))
+        level, many = settled(below.filter(F.col("s") < F.col("t")).select("g", "light", "s"))
         rows = grown.select("g", "items", "w")
         size += 1
     union = lambda some: None if not some else some[0] if len(some) == 1 else some[0].unionByName(union(some[1:]))
@@ -150,7 +147,7 @@ def closures(found: DataFrame, places: DataFrame, large: DataFrame | None, baske
     common = held.join(found.withColumnRenamed("light", "n"), ["g", "n"]).select("g", "i", "s")
     if large is not None:
         # large baskets are asked only for the items that all others share
-        common = cut(common)
+        common, _ = settled(common)
         need = large.groupBy("g").agg(F.sum("w").alias("need"))
         both = common.join(large, "g").join(baskets.heavy.select("h", "i"), ["h", "i"]).groupBy("g", "i").agg(F.sum("w").alias("have"))
         common = common.join(need, "g", "left").join(both, ["g", "i"], "left").filter(F.coalesce("need", F.lit(0)) == F.coalesce("have", F.lit(0)))
@@ -163,7 +160,7 @@ def supports(sets: DataFrame, found: DataFrame, closed: DataFrame, single: DataF
     A closure is the superset of greatest support; it is looked for among the closed sets with the subset's rarest item.
     """
     known = found.select(F.col("g").alias("x"), F.col("s").alias("a")).unionByName(closed.select(F.col("z").alias("x"), F.col("s").alias("a"))).distinct()
-    marked = cut(sets.join(known, "x", "left"))
+    marked, _ = settled(sets.join(known, "x", "left"))
     open_ = marked.filter("a is null").select("x")
     items = open_.select("x", F.explode("x").alias("i")).join(single, "i")
     key = items.groupBy("x").agg(F.min_by("i", F.struct("s", "i")).alias("i"))
@@ -174,8 +171,7 @@ def supports(sets: DataFrame, found: DataFrame, closed: DataFrame, single: DataF
 
 def closed_sets(df: DataFrame, basket: str = "sale_id", item: str = "item_id") -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """The closed frequent itemsets (z, s), the generators (g, light, s), the items' supports (i, s), and the number of baskets."""
-    pairs, total, least = frequent_rows(df, basket, item)
-    found, support = weighted(pairs, least)
+    found, support, total, least = frequent(df, basket, item)
     baskets = Baskets(found, least)
     made, places, large = generators(baskets, support, total, least)
     # the empty set is a generator as well; its closure are the items of all baskets
@@ -184,14 +180,14 @@ def closed_sets(df: DataFrame, basket: str = "sale_id", item: str = "item_id") -
         none = support.select(F.array("i").alias("g"), F.col("s").alias("light"), "s").limit(0)
         return cut(of_all), none, support, total
     closed = closures(made, places, large, baskets).select("z", "s").distinct().unionByName(of_all)
-    return cut(closed), made, support, total
+    return settled(closed)[0], made, support, total
 
 
 def with_rules(closed: DataFrame, made: DataFrame, support: DataFrame, total: int) -> DataFrame:
     """``closed`` with ``rules``: array of (c, a, s) by c, the items that the rest of the set implies."""
     large = closed.filter(F.size("z") >= 2)
     each = large.select("z", "s", F.posexplode(F.arrays_zip(F.col("z").alias("c"), subsets("z").alias("x"))).alias("p", "q")).select("z", "s", "q.c", "q.x")
-    each = cut(each)
+    each, _ = settled(each)
     known = supports(each.select("x").distinct(), made, closed, support)
     both = each.join(known, "x").join(support.select(F.col("i").alias("c"), F.col("s").alias("t")), "c")
     exact = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  # products beyond a long don't overflow
