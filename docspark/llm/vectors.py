@@ -16,15 +16,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, shuffle_partitions
+from .common import cut, few_rows_a_batch, shuffle_partitions
 
 QUERY_BLOCK = 512
 
 
 def usable(vector: Column) -> Column:
-    """Whether a vector is neither null nor empty and has no null, NaN or infinite component."""
+    """Whether a vector is not null and has no null, NaN or infinite component; an empty one is usable."""
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    return F.coalesce((F.size(vector) > 0) & F.forall(vector, good), F.lit(False))
+    return F.coalesce(F.forall(vector, good), F.lit(False))
 
 
 def classes(df: DataFrame, keep: int, rows: int) -> tuple[DataFrame, int]:
@@ -62,7 +62,11 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """Lists of the same length as rows."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(lists), -1)
+    return flat.reshape(len(lists), len(flat) // max(1, len(lists)))
+
+
+def unpacked(data: bytes, dim: int, rows: int) -> np.ndarray:
+    return np.frombuffer(data, dtype=np.float64).reshape(rows, dim) if dim else np.zeros((rows, 0))
 
 
 def blob(x: np.ndarray) -> bytes:
@@ -106,9 +110,9 @@ class Shard:
     """An unpacked index row."""
 
     def __init__(self, row: dict):
-        self.vecs = np.frombuffer(row["vecs"], dtype=np.float64).reshape(-1, row["dim"])
         self.ids = np.frombuffer(row["ids"], dtype=np.int64)
         self.ends = np.frombuffer(row["ends"], dtype=np.int32)
+        self.vecs = unpacked(row["vecs"], row["dim"], len(self.ends) - 1)
         self.extra = row["extra"]
 
     def ids_of(self, i: int) -> np.ndarray:
@@ -133,7 +137,7 @@ def searched(index: DataFrame, queries: DataFrame, find: Callable[[Shard, np.nda
                 if row != key:  # the shard has no vectors of this length
                     continue
                 hs = np.frombuffer(batch.column("hs")[i].as_py(), dtype=np.int64)
-                qs = np.frombuffer(batch.column("qs")[i].as_py(), dtype=np.float64).reshape(len(hs), -1)
+                qs = unpacked(batch.column("qs")[i].as_py(), row["dim"], len(hs))
                 scores, ids = zip(*find(shard, qs), strict=True)
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = pa.StructArray.from_arrays([pa.array(np.concatenate(scores), type=kind), pa.array(np.concatenate(ids), type=pa.int64())], names=["s", "id"])
@@ -162,15 +166,15 @@ def merged(answers: DataFrame, members: DataFrame, keep: int, k: int) -> DataFra
 
 
 def search(df: DataFrame, is_query: Column, k: int, rows: int, build: Callable, find: Callable, score: str) -> DataFrame:
-    """All steps over ``df`` (id, vec); the ids for which ``is_query`` holds are the queries."""
+    """All steps over ``df`` (id, vec), written once; the ids for which ``is_query`` holds are the queries."""
     spark = df.sparkSession
-    bounded_batches(spark, rows=64)
-    found, shards = classes(df, k + 1, rows)
-    index = indexed(found, shards, build)
-    members = df.filter(is_query).select(F.col("id").alias("query_id"), F.xxhash64("vec").alias("h")).distinct()
-    asked = cut(found.join(members.select("h").distinct(), "h", "left_semi").select("h", "vec"))
-    many = -(-asked.count() // QUERY_BLOCK)
-    # as many copies of the index as keep all cores busy, with a few query blocks each
-    copies = max(1, min(shuffle_partitions(spark) // shards, many // 4))
-    answers = searched(index, blocks(asked, shards, max(1, many)), find, shards, copies, score)
-    return merged(answers, members, k + 1, k)
+    with few_rows_a_batch(spark, 64):
+        found, shards = classes(df, k + 1, rows)
+        index = indexed(found, shards, build)
+        members = df.filter(is_query).select(F.col("id").alias("query_id"), F.xxhash64("vec").alias("h")).distinct()
+        asked = cut(found.join(members.select("h").distinct(), "h", "left_semi").select("h", "vec"))
+        many = -(-asked.count() // QUERY_BLOCK)
+        # as many copies of the index as keep all cores busy, with a few query blocks each
+        copies = max(1, min(shuffle_partitions(spark) // shards, many // 4))
+        answers = searched(index, blocks(asked, shards, max(1, many)), find, shards, copies, score)
+        return cut(merged(answers, members, k + 1, k))
