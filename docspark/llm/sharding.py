@@ -4,8 +4,8 @@ Rows with the same text form a group. The large groups, above 1/``LARGE`` of a s
 a shard, so they are listed and placed together. All others are dealt over partitions by hash, as many partitions as the number of rows asks for, and each partition
 fills what the large groups leave of the shards. Placing is the same for both: largest first, in the shard whose residual capacity has the highest dot
 product with the group's (bytes, tokens, rows), all three as shares of the totals, among the shards that still have room for its bytes (or
-the one with the most room left, if none has). As every partition fills its shards alike, so do all of them together. No placement can balance a group that is
-itself much of a shard, so where it is above 1/``parts`` of one its rows are dealt in turn, by their number in the group, into parts of at most that size.
+the one with the most room left, if none has). As every partition fills its shards alike, so do all of them together. A group stays whole wherever it fits; only
+where no shard has as much room left, as for every group above the mean shard, its rows are dealt in turn, by their number in the group, into parts of at most 1/``parts`` of a shard.
 
 Rows are numbered by one sort over ranges: their places are counts per range, a row a range, plus the place in the range. The result depends on the rows alone, not
 on how they are partitioned; rows equal in id and text may swap places.
@@ -24,20 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, numbered, on_group
 
 SHARDS = 24
 PARTS = 10
 LARGE = 64
 OVERHEAD = 8
-#: Groups to a partition of the placement, and rows to a range of the numbering.
+#: Groups to a partition of the placement.
 PLACED = 1 << 14
-NUMBERED = 1 << 18
+#: Rows of a shard are numbered by these; _u only parts rows that are equal otherwise.
+ORDER = ["doc_id", "text_crc32", "size", "_u"]
 # What counts as one token.
 TOKEN = r"\p{IsIdeographic}|[\p{L}\p{M}&&[^\p{IsIdeographic}]]{1,6}+|\p{N}{1,3}+|[^\s\p{L}\p{M}\p{N}]"
 
@@ -51,13 +51,28 @@ def place(sizes: np.ndarray, room: np.ndarray, turn: int = 0) -> np.ndarray:
     ``turn`` moves the order in which equal shards are taken, so that partitions don't favour the same ones.
     """
     room = np.roll(room, -turn, axis=0)
-    out = np.empty(len(sizes), dtype=np.int32)
+    return np.array([(put(room, want) + turn) % len(room) for want in sizes], dtype=np.int32)
+
+
+def put(room: np.ndarray, want: np.ndarray) -> int:
+    """The shard that takes ``want``, which it has less room for then."""
+    fits = room[:, 0] >= want[0]
+    score = np.where(fits, room @ want, -np.inf) if fits.any() else room[:, 0]
+    best = int(np.argmax(score))
+    room[best] -= want
+    return best
+
+
+def place_large(sizes: np.ndarray, rows: list[int], room: np.ndarray, parts: int) -> list[list[int]]:
+    """The shards of the parts of each large group: first of those that a shard has room for, largest first; the others are then dealt out in parts of 1/``parts`` of a shard."""
+    out: list[list[int]] = [[] for _ in sizes]
+    for i, want in enumerate(sizes):
+        if (room[:, 0] >= want[0]).any():
+            out[i] = [put(room, want)]
     for i, want in enumerate(sizes):
-        fits = room[:, 0] >= want[0]
-        score = np.where(fits, room @ want, -np.inf) if fits.any() else room[:, 0]
-        best = int(np.argmax(score))
-        room[best] -= want
-        out[i] = (best + turn) % len(room)
+        if not out[i]:
+            count = max(1, min(rows[i], int(-(-want.max() * len(room) * parts // 1))))
+            out[i] = [put(room, want / count) for _ in range(count)]
     return out
 
 
@@ -67,7 +82,7 @@ def shares(sizes: np.ndarray) -> np.ndarray:
 
 
 def assign(df: DataFrame, shards: int = SHARDS, parts: int = PARTS, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per input row: doc_id, size, text_crc32, tokens, shard, slot. A group above 1/``parts`` of a shard is dealt out."""
+    """One row per input row: doc_id, size, text_crc32, tokens, shard, slot. A group that no shard has room for is dealt out."""
     value = F.col(text)
     rows = cut(df.select(
         F.col(key).cast("long").alias("doc_id"),
@@ -85,22 +100,16 @@ def assign(df: DataFrame, shards: int = SHARDS, parts: int = PARTS, text: str =
     whole = np.array([total.b, max(total.t, 1), total.n], dtype=np.float64)
     share = F.greatest(*(F.col(c) / float(x) for c, x in zip("btn", whole, strict=True))) * shards
     large = groups.filter(share * LARGE > 1).withColumn("share", share).orderBy(F.desc("share"), *same).collect()  # at most 3 * LARGE * shards rows
-    # a group of one row can't be dealt out
-    count = [min(-(-g.share * parts // 1), g.n) if g.share * parts > 1 else 1 for g in large]
-    units = [(g, int(c), i) for g, c in zip(large, count, strict=True) for i in range(int(c))]
-    sizes = np.array([[g.b / c, g.t / c, g.n / c] for g, c, _ in units]).reshape(-1, 3) / whole
-    order = np.argsort(-sizes.max(axis=1), kind="stable") if len(units) else np.zeros(0, dtype=np.int64)
-    found = np.empty(len(units), dtype=np.int32)
-    found[order] = place(sizes[order], np.full((shards, 3), 1 / shards))
+    sizes = np.array([[g.b, g.t, g.n] for g in large]).reshape(-1, 3) / whole
     room = np.full((shards, 3), 1 / shards)
-    np.subtract.at(room, found, sizes)
+    found = place_large(sizes, [g.n for g in large], room, parts)
     room = shares(np.maximum(room, 0))
     key_kind = "h long, text_crc32 long, size long"
     spark = df.sparkSession
-    parted = spark.createDataFrame([(g.h, g.text_crc32, g.size, int(c)) for g, c in zip(large, count, strict=True)], f"{key_kind}, parts int")
-    fixed = spark.createDataFrame([(g.h, g.text_crc32, g.size, i, int(x)) for (g, _, i), x in zip(units, found, strict=True)], f"{key_kind}, sub int, shard int")
+    parted = spark.createDataFrame([(g.h, g.text_crc32, g.size, len(at)) for g, at in zip(large, found, strict=True)], f"{key_kind}, parts int")
+    fixed = spark.createDataFrame([(g.h, g.text_crc32, g.size, i, x) for g, at in zip(large, found, strict=True) for i, x in enumerate(at)], f"{key_kind}, sub int, shard int")
     marked = on_group(rows, F.broadcast(parted), same, "left", F.col("r.parts").alias("parts"))
-    hot = numbered(marked.filter("parts > 1"), same, total.n).withColumn("sub", F.pmod("_at", "parts").cast("int")).drop("_at")
+    hot = numbered(marked.filter("parts > 1"), same, ORDER, total.n).withColumn("sub", F.pmod("_at", "parts").cast("int")).drop("_at")
     hot = hot.unionByName(marked.filter("parts = 1").withColumn("sub", F.lit(0))).drop("parts")
     rows = marked.filter("parts is null").drop("parts").withColumn("sub", F.lit(0))
     unit = [*same, "sub"]
@@ -137,32 +146,9 @@ def assign(df: DataFrame, shards: int = SHARDS, parts: int = PARTS, text: str =
     placed = dealt.mapInArrow(run, schema)
     joined = on_group(rows, placed, unit, "inner", F.col("r.shard").alias("shard"))
     joined = joined.unionByName(on_group(hot, F.broadcast(fixed), unit, "inner", F.col("r.shard").alias("shard")))
-    out = numbered(joined, ["shard"], total.n)
+    out = numbered(joined, ["shard"], ORDER, total.n)
     return out.select("doc_id", "size", "text_crc32", "tokens", "shard", F.col("_at").alias("slot"))
 
 
-def on_group(left: DataFrame, right: DataFrame, keys: list[str], how: str, more: Column) -> DataFrame:
-    """All columns of ``left`` and one more; nulls in the keys are equal."""
-    return left.alias("l").join(right.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in keys], how).select("l.*", more)
-
-
 #: Groups that a partition places at once; their shares of the capacities are those of this many.
 WINDOW = 1 << 16
-
-
-def numbered(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """``df`` with ``_at``: numbers from 0 without gaps for each value of ``keys``, by id and text; ``n`` is about the table's rows.
-
-    Rows are sorted into ranges and written, so that the counts of the ranges and the places in them come from the same rows. ``_u`` only parts rows that
-    are equal otherwise, so that a common id is spread over ranges.
-    """
-    order = [*keys, "doc_id", "text_crc32", "size", "_u"]
-    ranges = max(1, -(-n // NUMBERED))
-    sorted_ = cut(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
-    # a row for each range and each of the keys' values that begin in it or go on
-    starts = sorted_.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    starts = starts.withColumn("_start", F.sum("_n").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)))
-    starts = starts.select(*keys, "_range", F.coalesce("_start", F.lit(0)).alias("_start"))
-    inside = sorted_.withColumn("_in", F.row_number().over(W.partitionBy("_range", *keys).orderBy(*order)) - 1)
-    both = on_group(inside, starts, ["_range", *keys], "inner", F.col("r._start").alias("_start"))
-    return both.withColumn("_at", (F.col("_start") + F.col("_in")).cast("long")).drop("_range", "_start", "_in")
