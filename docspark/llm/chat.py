@@ -3,15 +3,16 @@
 A legal conversation is an optional system turn, then user and assistant turns by turns, the assistant last. Each turn keeps its role or is
 relabelled; a turn with the role of the one before is merged into it; where one turn is missing, an empty one is inserted. Dynamic
 programming over the automaton of legal turns finds the cheapest repair; every turn is a 4 x 4 matrix of costs from the last role to the
-next, and matrices combine by (min, +), which is associative. So a conversation is cut into blocks by its turn numbers: blocks give
-their matrices, the blocks' matrices give each block's entry and exit states, and blocks are then repaired on their own. A
-conversation of any length is spread over tasks; only its blocks' matrices, 16 numbers a block, come together.
+next, and matrices combine by (min, +), which is associative. So a conversation is cut into blocks by its turn numbers, and a block of very many turns with the same
+numbers into parts, by a sort of such turns over ranges: parts give
+their matrices, these give each part's entry and exit states, and parts are then repaired on their own. A
+conversation of any length is spread over tasks; only its parts' matrices, 16 numbers a part, come together.
 
 The result has one row per repaired turn in place of one long text, and its ``rendered`` pieces, joined in the order of (block, at), are the
 conversation's training text; ``conversations`` joins them for conversations of ordinary length.
 
 Defined results: a null or unknown role is relabelled at a lower cost; a null text is empty and kept; turns come by number, nulls
-first, then by role and text; repeated rows are turns of their own and merge; rows with a null conversation id are one
+first, then by role and text, which may be of any length; repeated rows are turns of their own and merge; rows with a null conversation id are one
 conversation; other columns are not carried; an empty table gives an empty table. Markers in a text are escaped.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import cut, numbered, on_group, shuffle_partitions
 from .vectors import grouped
 
 ROLES = ("system", "user", "assistant")
@@ -34,7 +35,7 @@ MERGE, INSERT, RELABEL, NAME = 1.0, 2.0, 3.5, 1.5
 BLOCK = 256
 INFINITE = float("inf")
 
-RESULT = "conv_id long, block long, at int, turn long, role string, new_role string, action string, text string, rendered string, conv_cost double"
+RESULT = "conv_id long, block long, at long, turn long, role string, new_role string, action string, text string, rendered string, conv_cost double"
 
 
 def between(a: int, b: int) -> tuple[float, int | None] | None:
@@ -123,27 +124,27 @@ def repaired(turns: list[tuple], entry: int, exit_: int, last: bool) -> Iterator
 
 
 def block_states(matrices: DataFrame, parts: int) -> DataFrame:
-    """(conv_id, block, entry, exit, last, conv_cost) of every block."""
+    """(conv_id, block, part, entry, exit, last, conv_cost) of every part of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (conv,), rows in grouped(batches, ["conv_id"]):
             flat = rows.column("m").to_pylist()
             states, cost = path([[m[4 * a : 4 * a + 4] for a in range(4)] for m in flat], NONE, None)
             n = len(flat)
-            out = [pa.array([conv] * n, pa.int64()), rows.column("block").combine_chunks(), pa.array([NONE, *states[:-1]], pa.int32()), pa.array(states, pa.int32())]
-            out += [pa.array([False] * (n - 1) + [True]), pa.array([cost] * n)]
-            yield pa.RecordBatch.from_arrays(out, names=["conv_id", "block", "entry", "exit", "last", "conv_cost"])
+            out = [pa.array([conv] * n, pa.int64()), *(rows.column(c).combine_chunks() for c in ("block", "part"))]
+            out += [pa.array([NONE, *states[:-1]], pa.int32()), pa.array(states, pa.int32()), pa.array([False] * (n - 1) + [True]), pa.array([cost] * n)]
+            yield pa.RecordBatch.from_arrays(out, names=["conv_id", "block", "part", "entry", "exit", "last", "conv_cost"])
 
-    dealt = matrices.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "block")
-    return dealt.mapInArrow(run, "conv_id long, block long, entry int, exit int, last boolean, conv_cost double")
+    dealt = matrices.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "block", "part")
+    return dealt.mapInArrow(run, "conv_id long, block long, part long, entry int, exit int, last boolean, conv_cost double")
 
 
 def block_matrices(turns: DataFrame, parts: int) -> DataFrame:
-    """(conv_id, block, m: 16 costs) of every block."""
+    """(conv_id, block, part, m: 16 costs) of every part of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[tuple, list] = {}
-        for (conv, block), rows in grouped(batches, ["conv_id", "block"]):
+        for (conv, block, part), rows in grouped(batches, KEY):
             roles = tuple(role_number(r) for r in rows.column("role").to_pylist())
             m = kept.get(roles)
             if m is None:
@@ -152,26 +153,49 @@ def block_matrices(turns: DataFrame, parts: int) -> DataFrame:
                     m = combined(m, MATRICES[r])
                 if len(kept) < 4096:
                     kept[roles] = m
-            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([block], pa.int64()), pa.array([[x for line in m for x in line]], pa.list_(pa.float64()))], names=["conv_id", "block", "m"])
+            at = [pa.array([x], pa.int64()) for x in (conv, block, part)]
+            yield pa.RecordBatch.from_arrays([*at, pa.array([[x for line in m for x in line]], pa.list_(pa.float64()))], names=[*KEY, "m"])
 
-    dealt = turns.select("conv_id", "block", "turn", "role", "o").repartition(parts, "conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "o")
-    return dealt.mapInArrow(run, "conv_id long, block long, m array<double>")
+    dealt = turns.select(*KEY, *ORDER).repartition(parts, *KEY).sortWithinPartitions(*KEY, *ORDER)
+    return dealt.mapInArrow(run, "conv_id long, block long, part long, m array<double>")
+
+
+#: A part of a block, and the order of its turns.
+KEY = ["conv_id", "block", "part"]
+ORDER = ["turn", "role", "o"]
+
+
+def parted(turns: DataFrame) -> DataFrame:
+    """``turns`` with ``part``: 0, but in blocks of more than 4 * BLOCK turns, which only repeated numbers make, the number of the run of BLOCK turns."""
+    same = ["conv_id", "block"]
+    full = turns.groupBy(*same).agg(F.count("*").alias("n")).filter(F.col("n") > 4 * BLOCK)
+    total = full.agg(F.sum("n")).first()[0]
+    if not total:
+        return turns.withColumn("part", F.lit(0).cast("long"))
+    marked = cut(on_group(turns, full, same, "left", F.col("r.n").alias("n")))
+    many = marked.filter("n is not null").drop("n").withColumn("_u", F.monotonically_increasing_id())
+    many = numbered(many, same, [*ORDER, "text", "_u"], total).withColumn("part", F.floor(F.col("_at") / BLOCK)).drop("_at", "_u")
+    return marked.filter("n is null").drop("n").withColumn("part", F.lit(0).cast("long")).unionByName(many)
 
 
 def repair(df: DataFrame) -> DataFrame:
     """Repaired turns of ``df`` (conv_id, turn, role, text), by (conv_id, block, at); see RESULT."""
     parts = shuffle_partitions(df.sparkSession)
     turns = df.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    turns = turns.withColumns({"block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))), "o": F.xxhash64("text")})
+    turns = parted(turns.withColumns({"block": F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))), "o": F.xxhash64("text")}))
     states = block_states(block_matrices(turns, parts), parts)
-    both = turns.alias("t").join(states.alias("s"), F.col("t.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("t.block") == F.col("s.block")))
-    rows = both.select("t.*", "s.entry", "s.exit", "s.last", "s.conv_cost").sortWithinPartitions("conv_id", "block", "turn", "role", "o", "text")
+    both = turns.alias("t").join(states.alias("s"), F.col("t.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("t.block") == F.col("s.block")) & (F.col("t.part") == F.col("s.part")))
+    state = ["entry", "exit", "last", "conv_cost"]
+    # a broadcast of the states leaves turns where they were read, so a part's turns are brought together here
+    rows = both.select("t.*", *(f"s.{c}" for c in state)).repartition(parts, *KEY).sortWithinPartitions(*KEY, *ORDER, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for (conv, block, entry, exit_, last, cost), part in grouped(batches, ["conv_id", "block", "entry", "exit", "last", "conv_cost"]):
-            given = list(zip(*(part.column(c).to_pylist() for c in ("turn", "role", "text")), strict=True))
-            held += [(conv, block, i, *row, cost) for i, row in enumerate(repaired(given, entry, exit_, last))]
+        for (conv, block, part, entry, exit_, last, cost), found in grouped(batches, [*KEY, *state]):
+            given = list(zip(*(found.column(c).to_pylist() for c in ("turn", "role", "text")), strict=True))
+            # parts make fewer turns than this
+            first = part * 4 * BLOCK
+            held += [(conv, block, first + i, *row, cost) for i, row in enumerate(repaired(given, entry, exit_, last))]
             if len(held) >= 2048:
                 yield made(held)
                 held = []
@@ -179,7 +203,7 @@ def repair(df: DataFrame) -> DataFrame:
             yield made(held)
 
     names = [x.split()[0] for x in RESULT.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), *[pa.string()] * 5, pa.float64()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.float64()]
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, type=k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
