@@ -12,6 +12,7 @@ named like the output column is replaced by it; an empty table gives an empty ta
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
 # Each class's characters and the bits a window of them must reach.
 CLASSES = {"hex": ("0-9a-f", 3.0), "alphanumeric": ("0-9A-Za-z", 3.6), "base64": ("0-9A-Za-z+/_=-", 3.7)}
+#: The characters of candidates.
+ALPHABET = string.digits + string.ascii_letters + "+/_=-"
 # Candidates that are not secrets.
 ALLOWED = (
     r"^(?!.*[A-Z][a-z][A-Z])[A-Za-z_=/+-]+$",  # words; most random letters of both cases have one small letter between capitals
@@ -43,28 +46,29 @@ ALLOWED = (
 
 
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits, of any ``window`` characters in a row; null for shorter values.
+    """The highest Shannon entropy, in bits, of any ``window`` characters in a row of ``ALPHABET``; null for shorter values.
 
-    With counts c of a window's characters the entropy is log2(window) - sum(c * log2(c)) / window; the sum changes by one
-    term for the character that enters and by one for that which leaves. Only these two are counted, in their window, so a step costs the same in a value of any length.
+    With counts c of a window's characters the entropy is log2(window) - sum(c * log2(c)) / window. The counts are kept: a step takes one character
+    from them and adds one, and the sum changes by one term for each, so a step costs the same in a value of any length.
     """
     weight = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)))
+    term = lambda n: F.element_at(weight, n + 1) - F.element_at(weight, n)  # noqa: E731  # of the n-th of a character
 
-    def over(chars: Column) -> Column:
-        def term(i: Column, start: Column, size: Column | int) -> Column:
-            """What character i adds to the sum of the window of ``size`` from ``start``, which holds it."""
-            count = F.size(F.filter(F.slice(chars, start, F.lit(size) if isinstance(size, int) else size), lambda x: x == F.element_at(chars, i)))
-            return spans.let(count, lambda c: F.element_at(weight, c + 1) - F.element_at(weight, c))
-
+    def over(codes: Column) -> Column:
         def move(acc: Column, i: Column) -> Column:
-            gone = F.when(i > window, term(i - window, i - window, window)).otherwise(0.0)
-            new = acc["sum"] - gone + term(i, F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window)))
-            return spans.let(new, lambda s: F.struct(s.alias("sum"), F.when(i >= window, F.least(acc["best"], s)).otherwise(acc["best"]).alias("best")))
-
-        first = F.struct(F.lit(0.0).alias("sum"), F.lit(1e9).alias("best"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), first, move, lambda acc: acc["best"])
-
-    return F.when(F.length(value) >= window, math.log2(window) - spans.let(F.split(value, ""), over) / window)
+            new = F.element_at(codes, i)
+            gone = F.when(i > window, F.element_at(codes, F.greatest(i - window, F.lit(1)))).otherwise(0)
+            counts = F.transform(acc["counts"], lambda c, at: c + (at + 1 == new).cast("int") - (at + 1 == gone).cast("int"))
+            left = F.when(gone > 0, term(F.element_at(acc["counts"], F.greatest(gone, F.lit(1))))).otherwise(0.0)
+            added = term(F.element_at(acc["counts"], new) - (gone == new).cast("int") + 1)
+            total = acc["sum"] - left + added
+            return spans.let(total, lambda s: F.struct(counts.alias("counts"), s.alias("sum"), F.when(i >= window, F.least(acc["best"], s)).otherwise(acc["best"]).alias("best")))
+
+        first = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("best"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), first, move, lambda acc: acc["best"])
+
+    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return F.when(F.length(value) >= window, math.log2(window) - spans.let(codes, over) / window)
 
 
 def secret_like(value: Column) -> Column:
