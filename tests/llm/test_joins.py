@@ -1,6 +1,7 @@
 """N-gram join, components, vector searches, chat repair and the pipeline against brute force."""
 
 import itertools
+import math
 import random
 import re
 
@@ -265,6 +266,46 @@ def test_blocks_give_what_the_whole_gives(spark, monkeypatch):
     assert chat.repair(df.limit(0)).count() == 0
 
 
+def test_many_turns_with_one_number(spark, monkeypatch):
+    """A hot number, or none at all, is cut into parts, which give what the whole gives."""
+    rng = random.Random(10)
+    rows = [(1, 3, rng.choice(["user", "assistant", None]), f"t{rng.randrange(50)}") for _ in range(400)] + [(None, None, rng.choice(["user", "x"]), "n") for _ in range(300)]
+    rows += [(1, t, "user", f"u{t}") for t in range(40)] + [(1, 500, "assistant", "long " * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    whole = chat.repair(df).collect()
+    monkeypatch.setattr(chat, "BLOCK", 16)
+    many = chat.repair(df).collect()
+    parts = chat.parted(df.withColumns({"block": F.coalesce(F.floor(F.col("turn") / 16), F.lit(-1)), "o": F.xxhash64("text")})).groupBy("conv_id", "block", "part").count().collect()
+    assert max(r["count"] for r in parts) <= 64 and sum(r["count"] for r in parts) == len(rows)
+    in_order = lambda found: [(r.conv_id is None, r.turn, r.role, r.text) for r in sorted(found, key=lambda r: (r.conv_id or 0, r.block, r.at)) if r.action not in ("insert", "end")]
+    assert in_order(many) == in_order(whole) and {(r.conv_id, r.conv_cost) for r in many} == {(r.conv_id, r.conv_cost) for r in whole}
+    assert len({(r.conv_id, r.block, r.at) for r in many}) == len(many)
+
+
+def test_op3_as_registered(spark):
+    """The registered query against the cheapest repair of each conversation, found by trying all for short ones and by one pass over whole ones."""
+    given = {}
+    for r in sorted(spark.read.parquet(f"{SMALL}/conversations.parquet").collect(), key=lambda r: (r.conv_id is not None, r.conv_id or 0, r.turn is not None, r.turn or 0, r.role or "")):
+        given.setdefault(r.conv_id, []).append(r)
+    got = {}
+    for r in queries.op3_chat_repair(spark, SMALL).collect():
+        got.setdefault(r.conv_id, []).append(r)
+    assert set(got) == set(given)
+    for conv, turns in given.items():
+        roles = [chat.role_number(r.role) for r in turns]
+        costs = {chat.NONE: 0.0}
+        for old in roles:
+            costs = {b: min(c + s[0] for a, c in costs.items() if (s := chat.between(a, b))) + chat.relabel_cost(old, b) for b in (1, 2, 3) if any(chat.between(a, b) for a in costs)}
+        best = min(c + chat.end_cost(s) for s, c in costs.items())
+        assert {r.conv_cost for r in got[conv]} == {best} and (len(roles) > 6 or cheapest(roles) == best)
+        assert sum(r.action not in ("insert", "end") for r in got[conv]) == len(turns)
+
+
+def test_op1_as_registered(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    assert sorted(map(tuple, queries.op1_ngram_join(spark, SMALL).collect())) == sorted(brute(docs, 4, 85))
+
+
 def test_huge_and_tiny_vectors(spark):
     rows = [(0, [1e200, 1e200, 0.0]), (1, [1e200, 0.0, 0.0]), (2, [3e-200, 3e-200, 1e-200]), (3, [1.0, 1.0, 0.0]), (4, [float("nan"), 1.0, 0.0]), (5, [0.0, 0.0, 0.0]), (6, None), (7, [1.0, None, 2.0]), (8, [1.0, 1.0]), (None, [1.0, 1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -272,7 +313,35 @@ def test_huge_and_tiny_vectors(spark):
     assert got == [(3, 1.0), (2, round(6 / 38**0.5, 9)), (1, round(0.5**0.5, 9))]
     small = [(r.query_id, r.vec_id, r.score) for r in maxscore.top_k(df.filter("vec_id > 1"), F.col("vec_id") == 3).orderBy("rank").collect()]
     assert small == [(3, 2, 0), (3, 5, 0)]
-    assert {r.vec_id for r in maxscore.top_k(df, F.col("vec_id") == 3).collect()} == {2, 5}  # those beyond exact scores take no part
+    # components beyond a long are the nearest long
+    assert [(r.vec_id, r.score) for r in maxscore.top_k(df, F.col("vec_id") == 3).orderBy("rank").collect()] == [(0, 2**63 - 1), (1, 2**63 - 1), (2, 0), (5, 0)]
+
+
+@pytest.mark.parametrize("size", [1e3, 2e7, 2.0**31, 1e15])
+def test_scores_of_large_components_are_exact(spark, monkeypatch, size):
+    """Against whole numbers of any length, with vectors of all sizes in one shard; scores beyond a long are the nearest long."""
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 120)
+    rng = random.Random(int(size))
+    some = lambda: [rng.uniform(-1, 1) * (size if rng.random() < 0.7 else 1) for _ in range(6)]
+    rows = [(i, some() if rng.random() < 0.5 else [rng.uniform(-1, 1) for _ in range(6)]) for i in range(260)]
+    rows += [(260, [1.0, 2.0]), (280, [2e7, 1.0]), (282, [3.0, 1.0]), (300, []), (301, []), (302, [])]
+    terms = {i: [math.floor(64 * x) for x in v] for i, v in rows}
+    got = {}
+    for r in maxscore.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    clip = lambda x: max(1 - 2**63, min(2**63 - 1, x))
+    for q in range(0, 301, 20):
+        others = [(clip(sum(a * b for a, b in zip(terms[q], v, strict=True))), -i) for i, v in terms.items() if i != q and len(v) == len(terms[q])]
+        assert sorted(got.get(q, [])) == [(k, -i, s) for k, (s, i) in enumerate(sorted(others, reverse=True)[:7], 1)]
+    assert {(q, v) for q in (300,) for _, v, _ in got[q]} == {(300, 301), (300, 302)}
+    assert sorted(got[260])[0][1] == 280
+
+
+def test_searches_leave_the_session_as_it_was(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    assert maxscore.top_k(df, F.col("vec_id") == 0).count() and ann.nearest(df, F.col("vec_id") == 0).count() and spark.conf.get(name) == before
 
 
 def test_levels_follow_counts_above_the_noise():

@@ -201,6 +201,27 @@ def test_sharding_keeps_groups_and_splits_hot_ones(spark):
     check_shards(odd, {k: t for k, t in ODD if k not in (5, None)}, 24)
 
 
+def test_groups_stay_whole_where_they_fit(spark):
+    """No group of the given documents is above a shard, so none is split; the law holds."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = queries.op10_sharding(spark, "/root/testdata/sf0.01").collect()
+    where = {}
+    for r in got:
+        where.setdefault(docs[r.doc_id], set()).add(r.shard)
+    assert len(got) == len(docs) and all(len(x) == 1 for x in where.values())
+    loads = np.bincount([r.shard for r in got], weights=[r["size"] for r in got], minlength=24)
+    assert loads.max() / loads.mean() < 1.06
+
+
+def test_a_group_without_room_is_dealt_out():
+    """A group above a shard gives way to those that fit whole; a row alone is never split."""
+    room = np.full((4, 3), 0.31)
+    sizes = np.array([[x] * 3 for x in (0.33, 0.19, 0.19, 0.19, 0.19, 0.15)])
+    found = sharding.place_large(sizes, [50, 9, 9, 9, 9, 1], room, 10)
+    assert [len(x) > 1 for x in found] == [True, False, False, False, False, False]
+    assert len({x[0] for x in found[1:5]}) == 4 and len(found[0]) == 14
+
+
 def test_sharding_of_a_hot_group_without_ids(spark):
     rows = [(None, "hot text " * 5)] * 6000 + [(i % 1500, f"own {i} " * (1 + i % 9)) for i in range(6000)] + [(7, None)] * 40 + [(8, "")] * 40
     docs = table(spark, rows)
