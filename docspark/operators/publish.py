@@ -2,7 +2,7 @@
 
 The subset: header and attributes, sections, paragraphs with alignment roles, nested lists, task and description lists, tables with widths, spans and
 AsciiDoc cells, listings, diagrams, admonitions, examples, sidebars, quotes, verses, images, the table of contents, includes, anchors, cross
-references, links and inline formatting. Full AsciiDoc is not claimed.
+references, links and inline formatting. Includes of pages become macros; those of other files are put in place by ``includes``. Full AsciiDoc is not claimed.
 """
 
 from __future__ import annotations
@@ -193,6 +193,11 @@ def attribute_line(line: str, b: Block) -> None:
             b.positional.append(value)
 
 
+def unescaped(line: str) -> str:
+    """A line whose backslash keeps it from being a directive, without it."""
+    return line[1:] if line.startswith("\\include::") else line
+
+
 class Reader:
     """Storage markup of the lines of a document or a cell."""
 
@@ -284,12 +289,12 @@ class Reader:
             return f'<ac:structured-macro ac:name="toc"><ac:parameter ac:name="maxLevel">{depth if depth.isdigit() else 2}</ac:parameter></ac:structured-macro>'
         if m := re.match(r"^include::([^\[]+)\[.*\]\s*$", line):
             self.at += 1
-            if m.group(1).endswith(".adoc"):
+            if m.group(1).lower().endswith(".adoc"):
                 title = c.other(m.group(1))
                 link = f'<ac:link><ri:page ri:content-title="{attr(title)}"/></ac:link>'
                 shown = f'<ac:structured-macro ac:name="include"><ac:parameter ac:name="">{link}</ac:parameter></ac:structured-macro>'
                 return f"<h2>{to_page(title, None, text(title))}</h2>{shown}"
-            return ""
+            return f"<p>Unresolved directive - {text(line.strip())}</p>"  # of a file alone; a tree's are put in place before it is read
         if _LIST.match(line):
             return place + self.list(b)
         if _TERM.match(line):
@@ -303,7 +308,7 @@ class Reader:
             self.at += 1
         found = self.lines[begin : self.at]
         self.at += 1
-        return found
+        return [unescaped(x) for x in found]
 
     def inside(self, lines: list[str]) -> str:
         return Reader(lines, self.c).blocks()
@@ -346,7 +351,7 @@ class Reader:
         begin = self.at
         while self.more() and (line := self.lines[self.at]).strip() and (self.at == begin or not self.breaks(line)):
             self.at += 1
-        body = "\n".join(self.lines[begin : self.at])
+        body = "\n".join(unescaped(x) for x in self.lines[begin : self.at])
         if (m := re.match(r"^(NOTE|TIP|CAUTION|WARNING|IMPORTANT): ", body)) or b.style.upper() in ADMONITIONS:
             name = m.group(1) if m else b.style.upper()
             return macro(ADMONITIONS[name], parameter("title", b.title), rich=f"<p>{inline(body[m.end() :] if m else body, self.c)}</p>")

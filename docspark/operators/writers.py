@@ -66,8 +66,10 @@ class AsciiDoc(Writer):
     def on_code(self, n: Node) -> str:
         language = n.a["language"]
         head = '[plantuml, format="png"]' if language == "plantuml" else f"[source, {language}]" if language else "[source]"
-        inside = f"include::{n.a['path']}[]" if n.a["path"] is not None else n.text
-        return f"{self._title(n.a['title'])}{head}\n----\n{inside}\n----"
+        inside = f"include::{n.a['path']}[]" if n.a["path"] is not None else re.sub(r"(?m)^(?=include::)", r"\\", n.text)
+        # longer than any line of dashes in the code
+        fence = "-" * max([4, *(len(x) + 1 for x in re.findall(r"(?m)^(-{4,})[ \t]*$", n.text or ""))])
+        return f"{self._title(n.a['title'])}{head}\n{fence}\n{inside}\n{fence}"
 
     def on_figure(self, n: Node, mark: str = "image::") -> str:
         a = n.a

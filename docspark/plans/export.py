@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions.columns import ID_ATTRIBUTE, content_hash, file_title, header, normal_path, replace_id
-from docspark.operators import blocks, links
+from docspark.operators import blocks, includes, links
 from docspark.operators.convert import link_rows, to_text
 from docspark.operators.publish import to_storage
 from docspark.operators.relational import actions, changed
@@ -83,13 +83,17 @@ def export_tree(
 
 
 def publishable(files: DataFrame) -> DataFrame:
-    """``files`` (path, content) in the order of their paths, without those whose header says that they stay unpublished."""
+    """``files`` (path, content) without those whose header says that they stay unpublished. Order is for who writes: sorting contents here would be undone by the joins that follow."""
     mark = F.lower(F.trim(F.regexp_extract("content", rf"(?m)^{ID_ATTRIBUTE}[ \t]*(.*)$", 1)))
-    return files.filter(F.coalesce(mark != "ignore", F.lit(True))).orderBy("path")
+    return files.filter(F.coalesce(mark != "ignore", F.lit(True)))
 
 
 def publish_files(files: DataFrame) -> DataFrame:
-    """Files (path, content) of a tree as storage markup; titles of other files and the files of anchors come by joins on what each file names."""
+    """The AsciiDoc files of a tree (path, content) as storage markup; titles of other files and the files of anchors come by joins on what each file names.
+
+    Other files of the tree are what its directives include.
+    """
+    files = includes.expanded(files).filter(F.lower("path").endswith(".adoc"))
     tokens = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_./%-]+\.adoc"), F.lit(0)))
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     named = files.select("path", F.explode(F.transform(tokens, lambda t: normal_path(folder, t))).alias("other"))
