@@ -1,7 +1,8 @@
 """Structure-preserving anonymisation of AsciiDoc, storage markup and JSON.
 
-Stand-ins are drawn by a keyed hash of kind and value, so the same value gets the same stand-in in every partition and run with the key, without any
-state. Stand-ins may coincide for different values; they tell nothing of the value without the key.
+Stand-ins depend on a key, the kind and the value alone, so the same value gets the same stand-in in every partition and run with the key, without any
+state. Those of words, names, logins, keys, titles, files, anchors and addresses are one to one (``standins``), so what two anonymised tables could be joined on they still can, and no file takes
+another's name. Running prose in markup and dates are drawn by a keyed hash and may coincide.
 """
 
 from __future__ import annotations
@@ -17,93 +18,86 @@ from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .dom import Element, Raw, parse, serialize
+from .standins import StandIns
 
 WORDS = (
     "amber anchor basin beacon birch bridge brook canyon cedar cinder cliff cloud cobalt coral crater creek delta dune ember fern field fjord flint forest "
     "garden glacier grove harbor hazel heath island ivory juniper lagoon lantern ledge linen maple marble meadow mesa moss oasis orchard pebble pine "
     "plateau prairie quartz ravine reed ridge river saffron sage shore silver slate spring spruce summit thicket timber tundra valley willow"
 ).split()
-NAMES = "Alex Robin Sam Casey Jordan Taylor Morgan Quinn Riley Avery Rowan Sasha Kim Noel Dana Jules".split()
-SURNAMES = "Reed Lane Ford Hill Wood Stone Brook Field Marsh Dale Moor West North Banks Rivers Glen".split()
 # Suffixes that a file name keeps, and macro parameters that stay.
 SUFFIXES = (".drawio.png", ".drawio", ".png", ".jpeg", ".jpg", ".gif", ".svg", ".puml", ".json", ".xml", ".pdf", ".docx", ".xlsx")
 KEPT_PARAMETERS = frozenset(("language", "start-numbering-with"))
 #: Path segments and file endings of a URL that tell the kind of a page and nothing of its owner.
 ROUTES = frozenset("display spaces pages viewpage.action browse projects repos wiki rest api content download attachments label issue search".split())
-#: What the words of a JSON field's name say of its value; the first line of which all words occur decides.
-FIELD_WORDS = (
-    ("user_key", "user key"), ("user_key", "account id"), ("space_key", "space"), ("file_name", "file"), ("login", "user name"), ("name", "display name"),
-    ("name", "full name"), ("name", "author"), ("title", "title"), ("title", "name"), ("date", "date"), ("date", "when"), ("date", "created"), ("date", "modified"),
-    ("url", "url"), ("url", "href"), ("url", "link"), ("url", "base"), ("url", "self"), ("url", "webui"), ("url", "tinyui"), ("url", "download"),
-)
-#: The words that run together in names of fields.
-SPLIT_WORDS = ("user", "account", "display", "full", "space", "file", "created", "modified")
+# The fields of the format's records, by what they hold.
+FIELDS = {
+    "url": "url href base self link webui tinyui download",
+    "user_key": "userkey accountid",
+    "login": "username",
+    "name": "displayname fullname",
+    "title": "title content-title name",
+    "space_key": "space spacekey space-key",
+    "file_name": "filename",
+    "date": "date datetime when created lastmodified friendlywhen",
+}
+#: Fields of other records.
+MORE_FIELDS = {"name": "author owner", "login": "email", "date": "modified updated"}
+KIND_OF = {field: kind for table in (FIELDS, MORE_FIELDS) for kind, fields in table.items() for field in fields.split()}
+# The field whose object's names are files; lines of block attributes, which stay; attribute entries, whose names stay.
+FILES_BY_NAME = "attachment"
+ATTRIBUTES_LINE = re.compile(r"\s*\[.*\]\s*")
+ENTRY_LINE = re.compile(r"(:!?[\w.-]+:)(.*)")
 # letter runs that are not file suffixes, attribute names or parts of a longer run
 RUN = re.compile(r"(?<![^\W\d_])(?<!\.)[^\W\d_]{2,}(?![^\W\d_])(?!:)")
 
 
-#: Words whose stand-ins a task remembers.
-KNOWN = 1 << 17
-
-
 class Anonymizer:
     def __init__(self, key: str = "42"):
         self.key = key.encode()
-        self.known: dict[str, str] = {}
+        self.of = StandIns(self.key)
 
     def draw(self, kind: str, value: str, n: int) -> int:
         return int.from_bytes(hmac.digest(self.key, f"{kind}\0{value}".encode("utf-8", "surrogatepass"), hashlib.sha256)[:8], "big") % n
 
-    def word(self, kind: str, value: str) -> str:
-        return WORDS[self.draw(kind, value, len(WORDS))]
-
     def phrase(self, kind: str, value: str, count: int) -> str:
-        return " ".join(self.word(kind, f"{value}\0{i}") for i in range(count))
+        return " ".join(WORDS[self.draw(kind, f"{value}\0{i}", len(WORDS))] for i in range(count))
 
-    # generators; null stays null
-
-    def letters(self, kind: str, v: str, count: int, alphabet: str) -> str:
-        """``count`` signs, all from one draw."""
-        n, out = self.draw(kind, v, len(alphabet) ** count), ""
-        for _ in range(count):
-            n, i = divmod(n, len(alphabet))
-            out += alphabet[i]
-        return out
+    # generators, each one to one; null stays null
 
     def name(self, v: str) -> str:
-        first, last = divmod(self.draw("name", v, len(NAMES) * len(SURNAMES)), len(SURNAMES))
-        return f"{NAMES[first]} {SURNAMES[last]}"
+        return self.of.words(v)
+
+    title = name
 
     def login(self, v: str) -> str:
-        return f"{self.word('login', v)}.{self.letters('login#', v, 4, '0123456789')}"
+        return self.of.shape("login", v)
 
     def user_key(self, v: str) -> str:
-        return hashlib.shake_256(self.key + b"\0" + v.encode("utf-8", "surrogatepass")).hexdigest(max(8, len(v)))[: max(8, len(v))]
-
-    def title(self, v: str) -> str:
-        """As many words as there were, eight at most."""
-        return self.phrase("title", v, max(1, min(8, len(v.split())))).capitalize()
+        return self.of.hexadecimal("user", v)
 
     def space_key(self, v: str) -> str:
-        return self.letters("space", v, max(2, min(10, len(v))), "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        return self.of.shape("space", v)
 
     def issue_key(self, v: str) -> str:
-        project, _, number = v.partition("-")
-        return f"{self.space_key(project)}-{1 + self.draw('issue', v, 10 ** max(3, len(number)))}"
+        """The key of the project, as elsewhere, and another number."""
+        project, dash, number = v.partition("-")
+        return self.space_key(project) + dash + self.of.shape("issue", number)
 
     def anchor(self, v: str) -> str:
-        return "a-" + self.letters("anchor", v, 8, "0123456789abcdef")
+        return self.of.shape("anchor", v)
 
     def base_name(self, v: str) -> str:
-        return f"file_{self.draw('file', v, 10**9)}"
+        return self.of.shape("file", v)
 
     def file_name(self, v: str) -> str:
-        if not v.strip():
-            return v
-        suffix = next((s for s in SUFFIXES if v.lower().endswith(s)), "")
-        return self.base_name(v[: len(v) - len(suffix)]) + suffix
+        """Another name with the same suffix."""
+        n = len(suffix_of(v))
+        base, suffix = v[: len(v) - n], v[len(v) - n :]
+        return self.of.within("file", base, lambda x: len(suffix_of(x + suffix)) == n) + suffix if base.strip() else v
 
     def date(self, v: str) -> str:
         day = datetime.date(2019, 1, 1) + datetime.timedelta(days=self.draw("date", v, 3650))
@@ -115,35 +109,26 @@ class Anonymizer:
             at = urlsplit(v)
         except ValueError:
             return self.slug(v)
-        host = f"{self.word('host', at.hostname)}.example" if at.hostname else ""
+        host = f"{self.of.shape('host', at.hostname)}.example" if at.hostname else ""
         path = "/".join(self._segment(x) for x in at.path.split("/"))
         query = urlencode([(k, self.slug(x)) for k, x in parse_qsl(at.query, keep_blank_values=True)])
         return urlunsplit((at.scheme, host, path, query, self.anchor(at.fragment) if at.fragment else ""))
 
     def _segment(self, v: str) -> str:
-        if not v or v.lower() in ROUTES:
+        if segment_kind(v) == "route":
             return v
-        return "~" + self.login(v[1:]) if v[0] == "~" else self.file_name(v) if v.lower().endswith(SUFFIXES) else self.slug(v)
+        if segment_kind(v) == "user":
+            return "~" + self.login(v[1:])
+        return self.file_name(v) if segment_kind(v) == "file" else self.of.within("slug", v, lambda x: segment_kind(x) == "other")
 
     def slug(self, v: str) -> str:
-        if not v:
-            return v
-        return self.letters("number", v, len(v), "123456789") if v.isdigit() else self.phrase("slug", v, 2).replace(" ", "-")
+        return self.of.shape("slug", v)
 
     # texts
 
     def scrub(self, text: str) -> str:
-        """Every run of two letters and more by a word, the same for the same run."""
-        return RUN.sub(self._known, text)
-
-    def _known(self, match: re.Match) -> str:
-        run = match.group()
-        word = self.known.get(run)
-        if word is None:
-            if len(self.known) >= KNOWN:
-                self.known.clear()
-            word = self.known[run] = self.word("word", run)
-        return word
+        """Every run of two letters and more by another, the same for the same run."""
+        return RUN.sub(lambda m: self.of.word(m.group()), text)
 
     def inline(self, text: str) -> str:
         """As many words as there were; white space at the edges stays."""
@@ -160,8 +145,10 @@ class Anonymizer:
         """Block attribute lines stay; of attribute entries the value is scrubbed, of other lines all words."""
         out = []
         for line in text.split("\n"):
-            entry = re.fullmatch(r"(:!?[\w.-]+:)(.*)", line)
-            out.append(line if re.fullmatch(r"\s*\[.*\]\s*", line) else entry.group(1) + self.scrub(entry.group(2)) if entry else self.scrub(line))
+            if not ATTRIBUTES_LINE.fullmatch(line):
+                entry = ENTRY_LINE.fullmatch(line)
+                line = entry.group(1) + self.scrub(entry.group(2)) if entry else self.scrub(line)
+            out.append(line)
         return "\n".join(out)
 
     # markup
@@ -228,29 +215,39 @@ class Anonymizer:
 
     def json(self, text: str) -> str:
         try:
-            return json.dumps(self._json(json.loads(text), None), ensure_ascii=False)
+            found = [json.loads(text)]
         except ValueError:
             return self.scrub(text)
-
-    def _json(self, node, field: str | None):
-        if isinstance(node, dict):
-            rename = field == "attachment"
-            return {self.file_name(k) if rename else k: self._json(v, k) for k, v in node.items()}
-        if isinstance(node, list):
-            return [self._json(x, field) for x in node]
-        return self._field((field or "").lower(), node) if isinstance(node, str) and node.strip() else node
+        # places whose values are still to be seen, each with the name of the field that it belongs to
+        open_: list[tuple] = [(found, 0, "")]
+        while open_:
+            box, at, field = open_.pop()
+            value = box[at]
+            if isinstance(value, str):
+                box[at] = self._field(field, value) if value.strip() else value
+            elif isinstance(value, list):
+                open_ += [(value, i, field) for i in range(len(value))]
+            elif isinstance(value, dict):
+                box[at] = {self.file_name(k) if field == FILES_BY_NAME else k: v for k, v in value.items()}
+                open_ += [(box[at], new, k.lower()) for new, k in zip(box[at], value, strict=True)]
+        return json.dumps(found[0], ensure_ascii=False)
 
     def _field(self, field: str, text: str) -> str:
-        """By what the value is where it shows that, else by the words of the field's name."""
+        """By what the value is where it shows that, else by the field's name."""
         if looks_like_markup(text):
             return self.html(text)
-        words = {*re.findall("[a-z]+", re.sub(f"({'|'.join(SPLIT_WORDS)})", r" \1 ", field))}
-        kind = next((k for k, needed in FIELD_WORDS if words.issuperset(needed.split())), None)
-        if kind is None and urlsplit_or_none(text):
-            kind = "url"
+        kind = KIND_OF.get(field) or ("url" if urlsplit_or_none(text) else None)
         return getattr(self, kind)(text) if kind else text
 
 
+def suffix_of(name: str) -> str:
+    return next((s for s in SUFFIXES if name.lower().endswith(s)), "")
+
+
+def segment_kind(v: str) -> str:
+    return "route" if not v or v.lower() in ROUTES else "user" if v[0] == "~" else "file" if suffix_of(v) else "other"
+
+
 def looks_like_markup(text: str) -> bool:
     """Whether the engine's own parser finds an element in the text."""
     return "<" in text and ">" in text and bool(parse(text).elements())
@@ -289,6 +286,23 @@ def anonymize_json(df: DataFrame, text: str = "json", key: str = "42") -> DataFr
     return _column(df, text, lambda a: a.json, key)
 
 
+def stand_ins(df: DataFrame, kind: str = "kind", value: str = "value", key: str = "42") -> DataFrame:
+    """``df`` with ``stand_in`` for each value, by a kind of KINDS; null for other kinds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = Anonymizer(key)
+        for batch in batches:
+            pairs = zip(batch.column(kind).to_pylist(), batch.column(value).to_pylist(), strict=True)
+            made = [getattr(a, k)(v) if k in KINDS and v is not None else None for k, v in pairs]
+            yield batch.append_column("stand_in", pa.array(made, type=pa.string()))
+
+    return df.mapInArrow(run, T.StructType([*df.schema, T.StructField("stand_in", T.StringType())]))
+
+
+#: What ``stand_ins`` makes.
+KINDS = ("name", "login", "user_key", "title", "space_key", "issue_key", "anchor", "base_name", "file_name", "date", "url", "slug")
+
+
 def attachment_names(df: DataFrame, name: str = "name") -> DataFrame:
     """Adds ``new_name``: file_N and the kept suffix; N by the order of distinct base names within ``page_id``."""
     from pyspark.sql import Window as W
