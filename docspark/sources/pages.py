@@ -86,7 +86,7 @@ def followed(responses: DataFrame, first: DataFrame) -> DataFrame:
     body = "results array<struct<title:string,_links:struct<download:string>>>, _links struct<next:string>"
     known = responses.select(F.col("url").alias("at"), F.from_json("json", body).alias("j"))
     steps = known.filter("j._links.next is not null").select(F.col("at").alias("parent_id"), F.col("j._links.next").alias("child_id"), F.lit("").alias("title"))
-    chain = closure(steps, first.select(F.col("url").alias("id"), F.lit("").alias("title")))
+    chain = closure(steps, first.select(F.col("url").alias("id"), F.lit("").alias("title")), paths=False)
     rows = chain.join(known, F.col("id") == F.col("at")).select("depth", F.posexplode("j.results").alias("pos", "item"))
     return rows.select(F.col("depth").alias("page"), F.col("pos").alias("seq"), F.col("item.title").alias("title"), F.col("item._links.download").alias("url"))
 
