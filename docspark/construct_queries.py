@@ -36,9 +36,7 @@ def construct(name: str, markup: str, adoc: str, md: str, **options) -> None:
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = read_table(spark, d, "customer").select("c_custkey", _filled(markup).alias("html"))
-        own = blocks.Options(**options)
-        first = convert.to_text(rows.withColumn("_again", F.col("html")), "html", "adoc", own).drop("title").withColumnRenamed("text", "adoc")
-        return convert.to_text(first, "_again", "md", own, "attache").select("c_custkey", "adoc", F.col("text").alias("md"))
+        return convert.to_texts(rows, "html", {"adoc": None, "md": "attache"}, blocks.Options(**options))
 
     QUERIES[f"block_{name}"] = run
     ORACLE_SQL[f"block_{name}"] = f"SELECT c_custkey, {_sql(adoc)} AS adoc, {_sql(md)} AS md FROM customer"

@@ -71,6 +71,17 @@ def to_text(
     return _mapped(df, html, T.StructType.fromDDL(f"title string, text string{files}"), make, given)
 
 
+def to_texts(df: DataFrame, html: str = "html", forms: dict[str, str | None] | None = None, options: blocks.Options | None = None) -> DataFrame:
+    """Adds a column for each of ``forms``, named like the form; the values are folders of images, or None. A page is parsed once for all of them."""
+    options, forms = options or blocks.Options(), forms or {"adoc": None, "md": "attache"}
+
+    def make(markup: str | None) -> list[tuple]:
+        tree = blocks.build(dom.body(dom.parse(markup)), blocks.State(options))
+        return [tuple(writers.writer(f, images)(tree) for f, images in forms.items())]
+
+    return _mapped(df, html, T.StructType.fromDDL(", ".join(f"`{f}` string" for f in forms)), make)
+
+
 def files_of(df: DataFrame, html: str = "html", options: blocks.Options | None = None) -> DataFrame:
     """One row per file that long code blocks are written to: ``path``, ``content``."""
     options = options or blocks.Options(in_memory=False)
