@@ -273,11 +273,22 @@ def local_links(spark, d):
     return links.resolve_local(wanted, view, files).select("c_custkey", "kind", "title", "url")
 
 
-@query("SELECT p_partkey AS page_id, p_partkey <= 10 AS inside FROM part")
+# index files stand in some folders; a run of them from a file's folder up, with no gap, leads to the root
+_ROOT_FILES = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'r' || doc_id % 3 || '/s' || doc_id % 5 || '/t' || doc_id % 7 ELSE 'r' || doc_id % 3 || '/s' || doc_id % 5 END
+ || CASE WHEN doc_id % 11 = 0 THEN '/index.adoc' ELSE '/' || source || doc_id || '.adoc' END AS path FROM documents
+ UNION ALL SELECT -1 - doc_id, 'r' || doc_id % 2 || '/index.adoc' FROM documents"""
+
+
+@query(f"""WITH f AS ({_ROOT_FILES}), g AS (SELECT *, regexp_replace(path, '/[^/]*$', '') AS folder FROM f), i AS (SELECT DISTINCT folder FROM g WHERE path LIKE '%/index.adoc'),
+ h AS (SELECT DISTINCT folder, regexp_replace(folder, '/[^/]*$', '') AS p1, split_part(folder, '/', 1) AS p2, length(folder) - length(replace(folder, '/', '')) AS n FROM g)
+SELECT g.doc_id, CASE WHEN n = 0 OR p1 NOT IN (SELECT folder FROM i) THEN g.folder WHEN n = 1 THEN p1 WHEN p2 IN (SELECT folder FROM i) THEN p2 ELSE p1 END AS root FROM g JOIN h USING (folder)""")
 def root_search(spark, d):
-    rows = read_table(spark, d, "part")
-    edges = rows.filter("p_partkey > 0").selectExpr("p_partkey AS child_id", "p_partkey - 1 AS parent_id")
-    return sitemap.within(edges, rows.select(F.col("p_partkey").alias("page_id")), 0)
+    docs = read_table(spark, d, "documents")
+    low = "'r' || doc_id % 3 || '/s' || doc_id % 5"
+    files = docs.selectExpr("doc_id", f"CASE WHEN doc_id % 2 = 0 THEN {low} || '/t' || doc_id % 7 ELSE {low} END || CASE WHEN doc_id % 11 = 0 THEN '/index.adoc' ELSE '/' || source || doc_id || '.adoc' END AS path")
+    files = files.unionByName(docs.selectExpr("-1 - doc_id AS doc_id", "'r' || doc_id % 2 || '/index.adoc' AS path"))
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    return files.withColumn("folder", folder).join(sitemap.publish_roots(files), "folder").select("doc_id", "root")
 
 
 @query("SELECT 'a' || c_nationkey AS path, count(*) AS n FROM customer GROUP BY 1 HAVING count(*) > 1")
@@ -380,11 +391,59 @@ def json_rpc_replies(spark, d):
 _SKELETON = "regexp_replace({}, '\\p{{L}}{{2,}}', 'x', 'g')"
 
 
-@query("SELECT doc_id, " + _SKELETON.format("text") + " AS skeleton FROM documents")
+@query("SELECT doc_id, " + _SKELETON.format("text") + " AS skeleton, 0 AS unchanged FROM documents")
 def anonymized_skeleton(spark, d):
-    """Runs of letters change; what stands between them, line by line, does not."""
-    made = anonymize.anonymize_adoc(read_table(spark, d, "documents").select("doc_id", "text"))
-    return made.select("doc_id", F.regexp_replace("text", r"\p{L}{2,}", "x").alias("skeleton"))
+    """Every run of letters changes; what stands between them, line by line, does not."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    made = anonymize.anonymize_adoc(docs.withColumn("given", F.col("text")))
+    # runs that are to change: those that are no suffix and no name of an attribute, outside of lines of attributes
+    runs = lambda x: F.regexp_extract_all(F.regexp_replace(x, r"(?m)^\s*\[.*\]\s*$", ""), F.lit(r"(?<![\p{L}.])\p{L}{2,}(?![\p{L}:])"), F.lit(0))
+    same = F.size(F.filter(F.zip_with(runs("given"), runs("text"), lambda a, b: a.eqNullSafe(b)), lambda x: x))
+    return made.select("doc_id", F.regexp_replace("text", r"\p{L}{2,}", "x").alias("skeleton"), same.alias("unchanged"))
+
+
+# fields that tell of someone, a field that does not, and a table of files
+_PERSONAL = ("displayName", "username", "userKey", "title", "spaceKey", "url", "body", "fileName")
+
+
+@query("SELECT event_id, event_type AS kind, user_id AS number, 8 AS changed, 'png' AS suffix, '<p></p>' AS markup FROM events")
+def anonymized_records(spark, d):
+    """Records of every event: personal fields all change, others stay, markup and file suffixes keep their form."""
+    value = lambda k: {"url": "concat('https://w.example/x/', event_type, user_id)", "body": "concat('<p>', event_type, user_id, '</p>')", "fileName": "concat(event_type, user_id, '.png')"}.get(k, "concat(event_type, ' u', user_id)")
+    events = read_table(spark, d, "events")
+    rows = events.selectExpr("event_id", "to_json(named_struct(" + ", ".join(f"'{k}', {value(k)}" for k in _PERSONAL) + ", 'kind', event_type, 'number', user_id)) AS given").withColumn("json", F.col("given"))
+    made = anonymize.anonymize_json(rows, "json")
+    old, new = (lambda k: F.get_json_object("given", f"$.{k}")), (lambda k: F.get_json_object("json", f"$.{k}"))
+    changed = F.size(F.filter(F.array(*(old(k) != new(k) for k in _PERSONAL)), lambda x: x))
+    return made.select(
+        "event_id", new("kind").alias("kind"), new("number").cast("long").alias("number"), changed.alias("changed"),
+        F.regexp_extract(new("fileName"), r"\.(\w+)$", 1).alias("suffix"), F.regexp_replace(new("body"), "[^<>/p]|p(?=[a-z])|(?<=[a-z])p", "").alias("markup"),
+    )
+
+
+@query("SELECT lang, count(DISTINCT w) AS words, count(DISTINCT w) AS stand_ins, 0 AS unchanged FROM (SELECT lang, unnest(regexp_extract_all(text, '\\p{L}{2,}')) AS w FROM documents) GROUP BY lang")
+def distinct_words(spark, d):
+    """As many stand-ins as words, over all texts."""
+    words = read_table(spark, d, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}{2,}"), F.lit(0))).alias("w")).distinct()
+    made = anonymize.anonymize_adoc(words.withColumn("new", F.col("w")), "new")
+    return made.groupBy("lang").agg(F.countDistinct("w").alias("words"), F.countDistinct("new").alias("stand_ins"), F.count_if(F.col("w") == F.col("new")).alias("unchanged"))
+
+
+# as in a bundle: columns of keys, names, files and addresses of one table each
+_KINDS = {
+    "name": "concat('Ann ', initcap(c_mktsegment), ' ', c_name)", "login": "concat(lower(c_mktsegment), '.', c_custkey)", "user_key": "lower(hex(c_custkey))", "title": "concat(c_mktsegment, ' plan ', c_custkey)",
+    "space_key": "concat('S', c_custkey)", "issue_key": "concat('PR-', c_custkey)", "anchor": "concat('a', c_custkey)", "file_name": "concat('f', c_custkey, '.drawio.png')", "url": "concat('https://h.example/display/S', c_nationkey, '/P', c_custkey, '?pageId=', c_custkey)",
+}
+
+
+@query("SELECT kind, count(DISTINCT c_custkey) AS given, count(DISTINCT c_custkey) AS stand_ins FROM customer, (VALUES " + ", ".join(f"('{k}')" for k in _KINDS) + ") v(kind) GROUP BY kind")
+def distinct_stand_ins(spark, d):
+    """As many stand-ins of each kind as values."""
+    rows = read_table(spark, d, "customer").selectExpr(
+        "explode(map(" + ", ".join(f"'{k}', {v}" for k, v in _KINDS.items()) + ")) AS (kind, given)"
+    )
+    made = anonymize.stand_ins(rows, "kind", "given")
+    return made.groupBy("kind").agg(F.countDistinct("given").alias("given"), F.countDistinct("stand_in").alias("stand_ins"))
 
 
 @query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '.drawio.png' WHEN 1 THEN '.PDF' ELSE '' END AS suffix, CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS VARCHAR) AS number FROM customer")

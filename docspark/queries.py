@@ -10,13 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark import construct_queries, function_queries, tool_queries
+from docspark import construct_queries, function_queries, tool_queries, tree_queries
 from docspark.functions import columns as c
 from docspark.operators import anonymize, blocks, convert, links, publish, relational, sitemap, split
 from docspark.sources.pages import read_table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(tool_queries.QUERIES | construct_queries.QUERIES | function_queries.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(tool_queries.ORACLE_SQL | construct_queries.ORACLE_SQL | function_queries.ORACLE_SQL)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(tool_queries.QUERIES | construct_queries.QUERIES | function_queries.QUERIES | tree_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(tool_queries.ORACLE_SQL | construct_queries.ORACLE_SQL | function_queries.ORACLE_SQL | tree_queries.ORACLE_SQL)
 
 
 def query(sql: str | None = None):
