@@ -372,10 +372,12 @@ def link(e: Element, state: State) -> list[Node]:
     return [Node("cross", body.text(), a={"anchor": e.get("ac:anchor")})] if body else []
 
 
-def links_of(root: Element) -> list[tuple[str, str, str | None]]:
-    """Distinct link keys of a page, in order."""
+def links_of(root: Element, diagrams: bool = False) -> list[tuple[str, str, str | None]]:
+    """Distinct link keys of a page, in order; with ``diagrams`` also the diagrams that it shows."""
     out: dict[tuple, None] = {}
     for e in root.walk():
+        if diagrams and e.name == "ac:structured-macro" and e.get("ac:name") in ("drawio", "inc-drawio") and (name := diagram_name(parameters(e))):
+            out["diagram", name, None] = None
         key = link_key(e) if e.name == "ac:link" else None
         if e.name == "ac:structured-macro" and e.get("ac:name") == "profile" and (user := e.first("ri:user")) and user.get("ri:userkey").strip():
             key = "user", user.get("ri:userkey"), None
@@ -500,13 +502,27 @@ def _swagger(name, params, body, state):
     return [Node("paragraph", kids=[Node("link", kids=[Node("text", "OpenAPI спецификация (swagger)")], a={"url": path})])]
 
 
+# Fixed value: what stands for a diagram that nothing can be shown of.
+NO_DIAGRAM = "Diagram attachment access error: cannot display diagram"
+
+
+def diagram_name(params: dict) -> str:
+    return (_present(params.get("diagramName")) or _present(params.get("diagramDisplayName")) or "").strip()
+
+
 @macros("drawio", "inc-drawio")
 def _drawio(name, params, body, state):
-    diagram = (_present(params.get("diagramName")) or _present(params.get("diagramDisplayName")) or "").strip()
+    """The file that was found for the diagram, where someone looked; else the name that it would have."""
+    diagram = diagram_name(params)
     if not diagram:
         return []
-    file = diagram if diagram.endswith(".drawio") else f"{diagram}.drawio"
-    return [Node("figure", a={"target": f"{file}.png", "alt": diagram, "width": None, "height": None, "caption": None})]
+    if ("diagram", diagram, None) in state.options.links:
+        file = state.options.links["diagram", diagram, None][1]
+        if file is None:
+            return paragraph([Node("text", NO_DIAGRAM)])
+    else:
+        file = f"{diagram if diagram.endswith('.drawio') else f'{diagram}.drawio'}.png"
+    return [Node("figure", a={"target": file, "alt": diagram, "width": None, "height": None, "caption": None})]
 
 
 @macros("include", "excerpt-include")

@@ -122,11 +122,11 @@ def block_rows(df: DataFrame, html: str = "html", options: blocks.Options | None
     return _mapped(df, html, T.StructType.fromDDL(BLOCK), make)
 
 
-def link_rows(df: DataFrame, html: str = "html") -> DataFrame:
-    """One row per distinct link key of a page."""
+def link_rows(df: DataFrame, html: str = "html", diagrams: bool = False) -> DataFrame:
+    """One row per distinct link key of a page; with ``diagrams`` also one per diagram, of that kind."""
 
     def make(markup: str | None) -> list[tuple]:
-        return [(i, *key) for i, key in enumerate(blocks.links_of(dom.parse(markup)))]
+        return [(i, *key) for i, key in enumerate(blocks.links_of(dom.parse(markup), diagrams))]
 
     return _mapped(df, html, T.StructType.fromDDL(LINK), make)
 

@@ -39,14 +39,16 @@ def resolve(links: DataFrame, cached: DataFrame, sitemap: DataFrame, view: DataF
     bare = F.regexp_extract("l.key", "^([^#]*)", 1)
     fragment = F.regexp_extract("l.key", "(#.*)$", 1)
     is_page, is_user, is_file = (F.col("l.kind") == k for k in ("page", "user", "attachment"))
+    # a link that names no space has an empty one or none
+    same_space = lambda side: F.nullif(F.col("l.space"), F.lit("")).eqNullSafe(F.nullif(F.col(f"{side}.space"), F.lit("")))
     rows = links.alias("l")
-    rows = rows.join(cached.alias("c"), (F.col("l.kind") == F.col("c.kind")) & (F.col("l.key") == F.col("c.key")) & F.col("l.space").eqNullSafe(F.col("c.space")), "left")
+    rows = rows.join(cached.alias("c"), (F.col("l.kind") == F.col("c.kind")) & (F.col("l.key") == F.col("c.key")) & same_space("c"), "left")
     # a title may hold the sign that begins a fragment, so the whole key is looked up first
     rows = rows.join(sitemap.alias("n"), is_page & (F.col("l.key") == F.col("n.title")), "left")
     rows = rows.join(sitemap.alias("m"), is_page & (fragment != "") & (bare == F.col("m.title")), "left")
     rows = rows.join(view.alias("v"), is_page & (F.col("l.page_id") == F.col("v.page_id")) & (F.col("l.key") == F.col("v.label")), "left")
-    rows = rows.join(first.alias("t"), is_page & (F.col("l.key") == F.col("t.title")) & F.col("l.space").eqNullSafe(F.col("t.space")), "left")
-    rows = rows.join(first.alias("s"), is_page & (fragment != "") & (bare == F.col("s.title")) & F.col("l.space").eqNullSafe(F.col("s.space")), "left")
+    rows = rows.join(first.alias("t"), is_page & (F.col("l.key") == F.col("t.title")) & same_space("t"), "left")
+    rows = rows.join(first.alias("s"), is_page & (fragment != "") & (bare == F.col("s.title")) & same_space("s"), "left")
     rows = rows.join(users.alias("u"), is_user & (F.col("l.key") == F.col("u.user_key")), "left")
     rows = rows.join(attachments.alias("a"), is_file & (F.col("l.page_id") == F.col("a.page_id")) & (F.col("l.key") == F.col("a.name")), "left")
     local = F.coalesce(F.col("n.path"), F.concat(F.col("m.path"), fragment))

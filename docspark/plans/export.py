@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions.columns import ID_ATTRIBUTE, content_hash, file_title, header, normal_path, replace_id
-from docspark.operators import blocks, includes, links
+from docspark.operators import blocks, diagrams, includes, links
 from docspark.operators.convert import link_rows, to_text
 from docspark.operators.publish import to_storage
 from docspark.operators.relational import actions, changed
 from docspark.operators.sitemap import closure
 from docspark.operators.split import LONG, is_long, sections
+from docspark.shared import cut
 
 
 #: What can be left out of an export: the sides from which links are resolved.
@@ -22,8 +23,10 @@ SIDES = {
 }
 
 
-def page_links_resolved(rows: DataFrame, pages: DataFrame, tree: DataFrame, form: str, sides: dict[str, DataFrame] | None = None, cross: bool = True) -> DataFrame:
-    """(page_id, kind, key, space, title, url) of the links of ``rows`` (page_id, path, storage) that something has.
+def page_links_resolved(
+    rows: DataFrame, pages: DataFrame, tree: DataFrame, form: str, sides: dict[str, DataFrame] | None = None, cross: bool = True, wanted: DataFrame | None = None
+) -> DataFrame:
+    """(page_id, kind, key, space, title, url) of the links of ``rows`` (page_id, path, storage) that something has; ``wanted`` are these links where they are known.
 
     A link to a page of ``tree`` is a path as seen from the linking page's folder; with ``cross`` off, it goes to the page's address.
     """
@@ -32,7 +35,7 @@ def page_links_resolved(rows: DataFrame, pages: DataFrame, tree: DataFrame, form
     if side["attachments"] is None and "attachments" in pages.columns:
         side["attachments"] = pages.select("page_id", F.explode("attachments").alias("name", "a")).select("page_id", "name", F.coalesce("a.title", "name").alias("title"), "a.url")
     side = {k: spark.createDataFrame([], SIDES[k]) if v is None else v for k, v in side.items()}
-    wanted = link_rows(rows.select("page_id", "storage"), "storage").drop("ord")
+    wanted = link_rows(rows.select("page_id", "storage"), "storage").drop("ord") if wanted is None else wanted
     local = tree.select("title", F.concat("path", F.lit(f"/index.{form}")).alias("path")).filter(F.lit(cross))
     view = links.view_map(links.page_links(pages.select("page_id", "view"), "view")) if "view" in pages.columns else spark.createDataFrame([], "page_id string, label string, href string")
     found = pages.select("title", "space" if "space" in pages.columns else F.lit(None).cast("string").alias("space"), "url" if "url" in pages.columns else F.lit(None).cast("string").alias("url"))
@@ -44,10 +47,13 @@ def page_links_resolved(rows: DataFrame, pages: DataFrame, tree: DataFrame, form
 
 def export_tree(
     pages: DataFrame, edges: DataFrame, root: str | None = None, space: str | None = None, form: str = "adoc", state: DataFrame | None = None, sides: dict[str, DataFrame] | None = None,
-    children: bool = True, colours: bool = True, cross: bool = True, lines: int = LONG,
+    children: bool = True, colours: bool = True, cross: bool = True, lines: int = LONG, attached: DataFrame | None = None, debug: bool = False,
 ) -> DataFrame:
     """(path, page_id, version_when, content) of every file of the pages below a root, or of a space's roots; with ``state`` only of pages whose version changed.
 
+    With ``attached`` (page_id, name, bytes), the pages' attachments and the diagrams put together from them are files too, in a further column ``bytes``; a diagram of which nothing can be
+    shown is told of. With ``debug``, what each page was made from lies in its folder ``source``.
+
     A page is a folder with an index file. Its links and its list of children are resolved by joins and travel with its row; a page of ``lines`` lines or more is cut at
     its headings, and long code goes to files of its own. Without ``children`` only the roots themselves are exported.
     """
@@ -60,7 +66,15 @@ def export_tree(
     wanted = pages if state is None else changed(pages, state, "page_id", "version_when")
     rows = wanted.join(tree.select(F.col("id").alias("page_id"), "path"), "page_id")
     form = "md" if form.lower() in ("md", "markdown") else "adoc"
-    known = page_links_resolved(rows, pages, tree, form, sides, cross)
+    wanted_links = link_rows(rows.select("page_id", "storage"), "storage", diagrams=attached is not None).drop("ord")
+    if attached is not None:
+        wanted_links = cut(wanted_links)  # parsed once for links and diagrams
+    known = page_links_resolved(rows, pages, tree, form, sides, cross, wanted_links.filter("kind <> 'diagram'"))
+    if attached is not None:
+        own = attached.join(rows.select("page_id"), "page_id", "left_semi").select("page_id", "name", "bytes")
+        shown = cut(diagrams.assembled(wanted_links.filter("kind = 'diagram'").select("page_id", F.col("key").alias("diagram")), own))
+        none = F.lit(None).cast("string")
+        known = known.unionByName(shown.select("page_id", F.lit("diagram").alias("kind"), F.col("diagram").alias("key"), none.alias("space"), F.col("diagram").alias("title"), F.col("file").alias("url")))
     known = known.groupBy("page_id").agg(F.collect_list(F.struct("kind", "key", "space", "title", "url")).alias("_links"))
     below = edges.join(tree.select(F.col("id").alias("child_id"), F.col("path").alias("_to")), "child_id").join(rows.select(F.col("page_id").alias("parent_id"), "path"), "parent_id")
     order = F.col("ord") if "ord" in edges.columns else F.lit(0)
@@ -79,7 +93,38 @@ def export_tree(
     parts = sections(made.filter(is_long("content", lines)).select(*keep, "content"), "content", form).select(*keep, "file", "content")
     extra = made.select(*keep, F.explode("files").alias("f")).select(*keep, F.col("f.path").alias("file"), "f.content")
     every = whole.unionByName(parts).unionByName(extra)
-    return every.select(F.concat_ws("/", "path", "file").alias("path"), *keep[1:], "content")
+    if debug:
+        every = every.unionByName(sources_of(rows, keep))
+    if attached is not None:
+        made_files = shown.filter("file is not null").select("page_id", F.col("file").alias("name"), "bytes")
+        files = own.filter("bytes is not null").groupBy("page_id", "name").agg(F.min("bytes").alias("bytes")).join(made_files, ["page_id", "name"], "left_anti").unionByName(made_files.distinct())
+        files = files.join(rows.select(*keep), "page_id").select(*keep, F.concat(F.lit("attache/"), "name").alias("file"), F.lit(None).cast("string").alias("content"), "bytes")
+        every = every.withColumn("bytes", F.lit(None).cast("binary")).unionByName(files)
+    return every.select(F.concat_ws("/", "path", "file").alias("path"), *keep[1:], "content", *(["bytes"] if attached is not None else []))
+
+
+def sources_of(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """What each page was made from: its storage markup, its rendered view, the whole row and its resolved links."""
+    row = [c for c in rows.columns if c not in ("path", "_links", "_children")]
+    kinds = {"storage.html": F.col("storage"), "view.html": F.col("view") if "view" in rows.columns else F.lit(None).cast("string"), "page.json": F.to_json(F.struct(*row)), "links.json": F.to_json("_links")}
+    files = F.array(*(F.struct(F.lit(f"source/{k}").alias("file"), v.alias("content")) for k, v in kinds.items()))
+    return rows.select(*keep, F.explode(files).alias("f")).select(*keep, "f.file", "f.content").filter("content is not null")
+
+
+def with_links(rows: DataFrame, pages: DataFrame, form: str, sides: dict[str, DataFrame] | None = None, fast: bool = False) -> DataFrame:
+    """``rows`` (page_id, storage, ...) with ``_links``, their resolved links: from all that is known or, ``fast``, from what a page brings along."""
+    spark = rows.sparkSession
+    if fast:
+        wanted = link_rows(rows.select("page_id", "storage"), "storage").drop("ord")
+        none = spark.createDataFrame([], "page_id string, label string, href string")
+        view = links.view_map(links.page_links(rows.select("page_id", "view"), "view")) if "view" in rows.columns else none
+        files = (sides or {}).get("attachments")
+        found = links.resolve_local(wanted, view, spark.createDataFrame([], SIDES["attachments"]) if files is None else files).filter("url is not null")
+    else:
+        nowhere = spark.createDataFrame([], "title string, path string")
+        found = page_links_resolved(rows.withColumn("path", F.lit("")), pages, nowhere, form, sides)
+    found = found.groupBy("page_id").agg(F.collect_list(F.struct("kind", "key", "space", "title", "url")).alias("_links"))
+    return rows.join(found, "page_id", "left")
 
 
 def publishable(files: DataFrame) -> DataFrame:
