@@ -25,7 +25,7 @@ jira_add_watcher(issueKey, username, host?) | append watchers | issue_key=issueK
 jira_add_worklog(issueKey, timeSpent, comment?, started?, host?) | append worklogs | issue_key=issueKey time_spent=timeSpent comment=comment started=started
 jira_assign_issue(issueKey, username, host?) | update issues | issue_key=issueKey assignee=username
 jira_batch_create_issues(issues, host?) | append_rows issues | rows=issues
-jira_create_issue(projectKey?, issueType, summary, description?, assignee?, reporter?, labels?, epicKey?, links?, fields?, customFields?, components?, fixVersions?, priority?, host?) | append issues | project_key=projectKey issue_type=issueType summary=summary description=description assignee=assignee reporter=reporter labels=labels epic_key=epicKey links=links fields=fields custom_fields=customFields components=components fix_versions=fixVersions priority=priority
+jira_create_issue(projectKey?, issueType, summary, description?, assignee?, reporter?, labels?, epicKey?, links?, fields?, customFields?, components?, fixVersions?, priority?, host?) | create_issue issues | project_key=projectKey issue_type=issueType summary=summary description=description assignee=assignee reporter=reporter labels=labels epic_key=epicKey links=links fields=fields custom_fields=customFields components=components fix_versions=fixVersions priority=priority
 jira_create_issue_link(type, inwardIssue, outwardIssue, host?) | append issue_links | type=type inward=inwardIssue outward=outwardIssue
 jira_create_remote_issue_link(issueKey, url, title, host?) | append remote_links | issue_key=issueKey url=url title=title
 jira_create_sprint(name, boardId, startDate?, endDate?, goal?, host?) | append sprints | name=name board_id=boardId start_date=startDate end_date=endDate goal=goal
@@ -262,9 +262,19 @@ class Catalog:
     def _page(self, tool: Tool, args: dict) -> DataFrame:
         from docspark.operators.convert import to_text
 
+        from .export import with_links
+
         form = str(args.get("format", "storage")).lower()
         df = self._rows(tool, args)
-        return df if form == "storage" else to_text(df, "storage", "md" if form in ("md", "markdown") else "adoc").withColumn("format", F.lit(form))
+        if form == "storage":
+            return df
+        kind = "md" if form in ("md", "markdown") else "adoc"
+        rows = with_links(df.withColumn("page_id", F.col("page_id").cast("string")), self.tables["pages"], kind, self._sides(), bool(args.get("fast")))
+        return to_text(rows, "storage", kind, links="_links").withColumn("format", F.lit(form))
+
+    def _sides(self) -> dict[str, DataFrame]:
+        """The tables from which links are resolved, those of them that there are."""
+        return {k: self.tables[k] for k in ("cached", "users", "attachments") if k in self.tables and {"url"} <= set(self.tables[k].columns)}
 
     def _diff(self, tool: Tool, args: dict) -> DataFrame:
         form = str(args.get("format", "storage")).lower()
@@ -299,9 +309,9 @@ class Catalog:
             raise ToolError("Give a pageId, a url or a spaceKey")
         space = None if root or space is None else self.spark.range(1).select(space_key(F.lit(str(space)))).first()[0]
         state = self.tables.get("export_state") if args.get("skipUnchanged") else None
-        sides = {k: self.tables[k] for k in ("cached", "users", "attachments") if k in self.tables}
         made = export_tree(
-            self.tables["pages"], self.tables["edges"], root, space, str(args.get("format", "adoc")), state, sides, args.get("includeChildren", True), args.get("exportColors", True)
+            self.tables["pages"], self.tables["edges"], root, space, str(args.get("format", "adoc")), state, self._sides(), args.get("includeChildren", True), args.get("exportColors", True),
+            attached=self.tables.get("attachment_bytes") if args.get("includeAttachments", True) else None, debug=bool(args.get("debug")),
         )
         return made.withColumn("path", F.concat(F.lit(str(args["targetDir"]).rstrip("/") + "/"), "path"))
 
@@ -317,8 +327,13 @@ class Catalog:
         key = df.columns[0]
         new = self.spark.createDataFrame([tuple(as_text(r.get(c)) for c in df.columns) for r in rows], ", ".join(f"`{c}` string" for c in df.columns))
         new = new.select(*(as_kind(F.col(c), df.schema[c].dataType).alias(c) for c in df.columns))
-        if df.schema[key].dataType.typeName() == "string":
-            new = new.withColumn(key, F.coalesce(key, F.sha2(F.to_json(F.struct(*df.columns)), 256)))
+        kind = df.schema[key].dataType
+        if kind.typeName() == "string":
+            return new.withColumn(key, F.coalesce(key, F.sha2(F.to_json(F.struct(*df.columns)), 256)))
+        if kind.typeName() in ("byte", "short", "integer", "long") and key.endswith("id") and key not in {c for c, _ in tool.columns}:
+            # the next numbers, in the order of the rows
+            last = df.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).first()[0]
+            new = new.coalesce(1).withColumn(key, F.coalesce(key, (F.lit(last + 1) + F.monotonically_increasing_id()).cast(kind)))
         return new
 
     def _append(self, tool: Tool, args: dict) -> DataFrame:
@@ -329,7 +344,74 @@ class Catalog:
         return self._set(tool, self.tables[tool.table].unionByName(self._made(tool, [{c1: args[a1], c2: x} for x in args[a2]])))
 
     def _append_rows(self, tool: Tool, args: dict) -> DataFrame:
-        return self._set(tool, self.tables[tool.table].unionByName(self._made(tool, list(args["issues"]))))
+        """Rows by the table's columns, or by the names of arguments; those need a project, a type and a summary."""
+        rows = args["issues"]
+        if not isinstance(rows, list) or not rows or not all(isinstance(r, dict) for r in rows):
+            raise ToolError("issues must be a list of one issue or more")
+        names = {"projectKey": "project_key", "issueType": "issue_type"}
+        made = []
+        for r in rows:
+            if names.keys() & r.keys():
+                r = {"projectKey": r.get("projectKey") or self.defaults.get("projectKey"), **{k: v for k, v in r.items() if k != "projectKey"}}
+                if missing := [k for k in ("projectKey", "issueType", "summary") if not str(r.get(k) or "").strip()]:
+                    raise ToolError(f"Missing argument: {', '.join(missing)}")
+            made.append({names.get(k, k): v for k, v in r.items()})
+        key = self.tables[tool.table].columns[0]
+        new = [r for r in made if r.get(key) is None and r.get("project_key")]
+        for r, k in zip(new, self._next_keys(self.tables[tool.table], [r["project_key"] for r in new]), strict=True):
+            r[key] = k
+        return self._set(tool, self.tables[tool.table].unionByName(self._made(tool, made)))
+
+    @staticmethod
+    def _next_keys(df: DataFrame, projects: list[str]) -> list[str]:
+        """A new key for each project of the list, numbered on from the greatest of the project's keys."""
+        key, number = df.columns[0], F.regexp_extract(F.col(df.columns[0]), r"-(\d+)$", 1).try_cast("long")
+        project = F.regexp_replace(key, r"-\d+$", "")
+        last = {r.p: r.n for r in df.filter(project.isin(*set(projects))).groupBy(project.alias("p")).agg(F.max(number).alias("n")).collect()}
+        out = []
+        for p in projects:
+            last[p] = (last.get(p) or 0) + 1
+            out.append(f"{p}-{last[p]}")
+        return out
+
+    def _create_issue(self, tool: Tool, args: dict) -> DataFrame:
+        """One row (key, warnings): the new issue, with what follows its creation step by step.
+
+        The issue itself is all or nothing; assignee, reporter, epic and links are each checked against the table that has them, where there is one, and what fails is a warning. Other fields go to
+        columns of their names, those of ``fields`` and then of ``customFields`` last.
+        """
+        if not str(args.get("projectKey") or "").strip():
+            raise ToolError("Missing argument: projectKey")
+        df = self.tables[tool.table]
+        direct = {c: args[a] for c, a in tool.columns if a in args and a not in ("links", "fields", "customFields")}
+        values = direct | dict(args.get("fields") or {}) | dict(args.get("customFields") or {})
+        later = {c: values.pop(c, None) for c in ("assignee", "reporter", "epic_key")}
+        warnings = [f"{c}: no such field" for c in values if c not in df.columns]
+        key = str(values.get(df.columns[0]) or self._next_keys(df, [args["projectKey"]])[0])
+        row = self._made(tool, [values | {df.columns[0]: key}]).first().asDict()
+        known = {"assignee": ("users", "username"), "reporter": ("users", "username"), "epic_key": ("issues", df.columns[0])}
+        for column, value in later.items():
+            if value is None or not str(value).strip():
+                continue
+            table, name = known[column]
+            if column not in df.columns:
+                warnings.append(f"{column}: no such field")
+            elif table in self.tables and self.tables[table].filter(F.col(name) == str(value)).isEmpty():
+                warnings.append(f"{column} '{value}': not found")
+            else:
+                row[column] = value
+        self._set(tool, df.unionByName(self.spark.createDataFrame([tuple(row[c] for c in df.columns)], df.schema)))
+        for link in args.get("links") or []:
+            kind, issue = (link.get("type"), link.get("issue")) if isinstance(link, dict) else (None, None)
+            if not kind or not issue:
+                warnings.append("link: type and issue are needed")
+                continue
+            inward, outward = (issue, key) if str(link.get("direction", "outward")).lower() == "inward" else (key, issue)
+            try:
+                self.call("jira_link_issues", {"inwardIssue": inward, "outwardIssue": outward, "type": kind})
+            except ToolError as e:
+                warnings.append(f"link {kind} {issue}: {e}")
+        return self.spark.createDataFrame([(key, warnings)], "key string, warnings array<string>")
 
     def _update(self, tool: Tool, args: dict, more: dict | None = None) -> DataFrame:
         df = self.tables[tool.table]

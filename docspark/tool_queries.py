@@ -96,22 +96,46 @@ def tool(name: str, args: dict, sql: str, columns: str | None = None, more: tupl
 
 # ---- issues ----
 
+_KEY = "'K-' || CAST((SELECT max(CAST(substr(issue_key, 3) AS BIGINT)) + 1 FROM {T}) AS VARCHAR)"
+
 tool("jira_add_comment", {"issueKey": "K-1", "body": "new"}, "SELECT * FROM {T} UNION ALL SELECT 'K-1', NULL, 'new'")
 tool("jira_add_issues_to_sprint", {"sprintId": 3, "issueKeys": ["K-1", "K-2"]}, "SELECT * FROM {T} UNION ALL SELECT * FROM (VALUES (3, 'K-1'), (3, 'K-2'))")
 tool("jira_add_watcher", {"issueKey": "K-1", "username": "ann"}, "SELECT * FROM {T} UNION ALL SELECT 'K-1', 'ann'")
 tool("jira_add_worklog", {"issueKey": "K-1", "timeSpent": "2h", "started": "now"}, "SELECT * FROM {T} UNION ALL SELECT 'K-1', '2h', NULL, 'now'")
 tool("jira_assign_issue", {"issueKey": "K-5", "username": "bob"}, "SELECT * REPLACE (CASE WHEN issue_key = 'K-5' THEN 'bob' ELSE assignee END AS assignee) FROM {T}")
 tool(
-    "jira_batch_create_issues", {"issues": [{"issue_key": "N-1", "summary": "one", "transition_id": 2}, {"issue_key": "N-2", "project_key": "P9"}]},
-    "SELECT * FROM {T} UNION ALL SELECT 'N-1', NULL, NULL, 'one', NULL, NULL, NULL, 2 UNION ALL SELECT 'N-2', 'P9', NULL, NULL, NULL, NULL, NULL, NULL",
+    "jira_batch_create_issues", {"issues": [{"issue_key": "N-1", "summary": "one", "transition_id": 2}, {"projectKey": "P9", "issueType": "Bug", "summary": "two"}, {"projectKey": "K", "issueType": "Bug", "summary": "three", "assignee": "c1"}]},
+    f"SELECT * FROM {{T}} UNION ALL SELECT 'N-1', NULL, NULL, 'one', NULL, NULL, NULL, 2 UNION ALL SELECT 'P9-1', 'P9', 'Bug', 'two', NULL, NULL, NULL, NULL UNION ALL SELECT {_KEY}, 'K', 'Bug', 'three', 'c1', NULL, NULL, NULL",
 )
+_ISSUE = {
+    "projectKey": "K", "issueType": "Bug", "summary": "broken", "assignee": "c3", "reporter": "nobody", "epicKey": "K-1", "fields": {"transition_id": 2, "unknown": "x"},
+    "links": [{"type": "in asia", "issue": "K-2"}, {"type": "OUT EUROPE", "issue": "K-3", "direction": "inward"}, {"type": "zzz", "issue": "K-4"}, {"issue": "K-5"}],
+}
 tool(
-    "jira_create_issue", {"projectKey": "P9", "issueType": "Bug", "summary": "broken", "assignee": "ann", "epicKey": "K-1"},
-    "SELECT * EXCLUDE (issue_key) FROM {T} UNION ALL SELECT 'P9', 'Bug', 'broken', 'ann', 'K-1', NULL, NULL", "project_key; issue_type; summary; assignee; epic_key; parent_key; transition_id",
+    "jira_create_issue", _ISSUE,
+    f"SELECT {_KEY} AS key, 'unknown: no such field|reporter: no such field|link zzz K-4: Unknown link type zzz; known: ' || (SELECT string_agg(name, ', ' ORDER BY ord) FROM {{link_types}}) || '|link: type and issue are needed' AS warnings",
+    "key; array_join(warnings, '|') AS warnings", more=("users", "link_types", "issue_links"),
 )
-tool("jira_create_issue_link", {"type": "Blocks", "inwardIssue": "K-1", "outwardIssue": "K-9"}, "SELECT * FROM {T} UNION ALL SELECT NULL, 'Blocks', 'K-1', 'K-9'")
+
+
+def _after_creation(table: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        made = Catalog(spark, {t: spark_table(spark, d, t) for t in ("issues", "users", "link_types", "issue_links")})
+        made.call("jira_create_issue", _ISSUE)
+        return made.tables[table]
+
+    return run
+
+
+QUERIES |= {"created_issue": _after_creation("issues"), "created_links": _after_creation("issue_links")}
+ORACLE_SQL["created_issue"] = f"SELECT * FROM {{T}} UNION ALL SELECT {_KEY}, 'K', 'Bug', 'broken', 'c3', 'K-1', NULL, 2".replace("{T}", duck_table("issues"))
+ORACLE_SQL["created_links"] = (
+    f"SELECT * FROM {{L}} UNION ALL SELECT (SELECT max(link_id) + 1 FROM {{L}}), (SELECT name FROM {{N}} WHERE inward = 'in ASIA'), {_KEY}, 'K-2'"
+    f" UNION ALL SELECT (SELECT max(link_id) + 2 FROM {{L}}), (SELECT name FROM {{N}} WHERE outward = 'out EUROPE'), 'K-3', {_KEY}"
+).replace("{T}", duck_table("issues")).replace("{L}", duck_table("issue_links")).replace("{N}", duck_table("link_types"))
+tool("jira_create_issue_link", {"type": "Blocks", "inwardIssue": "K-1", "outwardIssue": "K-9"}, "SELECT * FROM {T} UNION ALL SELECT (SELECT max(link_id) + 1 FROM {T}), 'Blocks', 'K-1', 'K-9'")
 tool("jira_create_remote_issue_link", {"issueKey": "K-1", "url": "http://x", "title": "t"}, "SELECT * FROM {T} UNION ALL SELECT 'K-1', 'http://x', 't'")
-tool("jira_create_sprint", {"name": "next", "boardId": 2, "goal": "g"}, "SELECT * FROM {T} UNION ALL SELECT NULL, 'next', 2, NULL, NULL, NULL, 'g'")
+tool("jira_create_sprint", {"name": "next", "boardId": 2, "goal": "g"}, "SELECT * FROM {T} UNION ALL SELECT (SELECT max(sprint_id) + 1 FROM {T}), 'next', 2, NULL, NULL, NULL, 'g'")
 tool("jira_create_version", {"projectKey": "P1", "name": "1.0", "released": True}, "SELECT * FROM {T} UNION ALL SELECT 'P1', '1.0', NULL, true")
 tool("jira_delete_issue", {"issueKey": "K-11", "deleteSubtasks": "true"}, "SELECT * FROM {T} WHERE issue_key <> 'K-11' AND parent_key IS DISTINCT FROM 'K-11'")
 tool("jira_download_attachments", {"issueKey": "K-3", "targetDir": "/x"}, "SELECT * FROM {T} WHERE issue_key = 'K-3'")
@@ -129,7 +153,7 @@ tool("jira_get_transitions", {"issueKey": "K-2"}, "SELECT * FROM {T} WHERE issue
 tool("jira_get_issue_watchers", {"issueKey": "K-10"}, "SELECT * FROM {T} WHERE issue_key = 'K-10'")
 tool("jira_get_workflow", {"issueType": "TYPE1"}, "SELECT * FROM {T} WHERE trim(workflow) <> '' AND lower(issue_type) = 'type1'")
 tool("jira_get_worklog", {"issueKey": "K-10"}, "SELECT * FROM {T} WHERE issue_key = 'K-10'")
-tool("jira_link_issues", {"inwardIssue": "K-1", "outwardIssue": "K-2", "type": "OUT asia"}, "SELECT * FROM {T} UNION ALL SELECT NULL, (SELECT name FROM {link_types} WHERE outward = 'out ASIA'), 'K-1', 'K-2'", more=("link_types",))
+tool("jira_link_issues", {"inwardIssue": "K-1", "outwardIssue": "K-2", "type": "OUT asia"}, "SELECT * FROM {T} UNION ALL SELECT (SELECT max(link_id) + 1 FROM {T}), (SELECT name FROM {link_types} WHERE outward = 'out ASIA'), 'K-1', 'K-2'", more=("link_types",))
 tool("jira_link_to_epic", {"epicKey": "K-1", "issueKeys": ["K-3", "K-4"]}, "SELECT * REPLACE (CASE WHEN issue_key IN ('K-3', 'K-4') THEN 'K-1' ELSE epic_key END AS epic_key) FROM {T}")
 tool("jira_list_assignable_users", {"projectKey": "P1", "query": "#0000000"}, "SELECT * FROM {T} WHERE project_key = 'P1' AND contains(lower(display_name), '#0000000') ORDER BY username, display_name LIMIT 50")
 tool("jira_list_boards", {"projectKeyOrId": "P0"}, "SELECT * FROM {T} WHERE project_key = 'P0'")
@@ -206,7 +230,7 @@ tool(
     """WITH t AS (SELECT *, CASE WHEN title = 'building' THEN 1 WHEN contains(lower(title), 'building') THEN 2 WHEN contains(lower(storage), 'building') THEN 3 END AS tier FROM {T} WHERE space = 'S2')
  SELECT * FROM t WHERE tier = (SELECT min(tier) FROM t)""",
 )
-tool("confluence_upload_attachment", {"pageId": "3", "filePath": "a.png"}, "SELECT * FROM {T} UNION ALL SELECT NULL, '3', 'a.png'")
+tool("confluence_upload_attachment", {"pageId": "3", "filePath": "a.png"}, "SELECT * FROM {T} UNION ALL SELECT (SELECT max(attachment_id) + 1 FROM {T}), '3', 'a.png'")
 
 # ---- code ----
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.operators import includes
+from docspark.operators import diagrams, includes
 from docspark.plans import export
 from docspark.sources.pages import read_table
 
@@ -25,6 +27,10 @@ def query(sql: str | None = None):
     return add
 
 
+def png(chunks: tuple[tuple[bytes, bytes], ...]) -> bytes:
+    return b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b)) for k, b in chunks)
+
+
 # ---- transclusion ----
 
 # each document brings a page and two parts; a notice that all of them include stands beside them
@@ -112,3 +118,49 @@ def export_publish_round_trip(spark, d):
     made = export.publish_files(files)
     code = F.replace(F.regexp_extract("storage", r"(?s)<!\[CDATA\[(.*)\]\]>", 1), F.lit("]]]]><![CDATA[>"), F.lit("]]>"))
     return made.select(F.regexp_extract("path", "^d([0-9]+)/", 1).cast("long").alias("doc_id"), code.alias("code"))
+
+
+# ---- diagrams and attachments of an export ----
+
+_PNG = png(((b"IHDR", bytes((0, 0, 0, 1, 0, 0, 0, 1, 8, 0, 0, 0, 0))), (b"IDAT", zlib.compress(b"\x00\x00")), (b"IEND", b"")))
+_SOURCE = "concat('<mxfile>', source, '</mxfile>')"
+
+
+def _attached(docs: DataFrame) -> DataFrame:
+    """By a document's number: a source and a PNG, a source and an SVG, a picture that is ready, and only a picture, of which no diagram can be made."""
+    some = lambda rest, name, data: docs.filter(f"doc_id % 4 = {rest}").selectExpr("CAST(doc_id AS STRING) AS page_id", f"'{name}' AS name", f"{data} AS bytes")
+    source = f"CAST({_SOURCE} AS BINARY)"
+    out = some(0, "plan", source).unionByName(some(0, "plan.png", f"unhex('{_PNG.hex()}')")).unionByName(some(1, "plan", source))
+    out = out.unionByName(some(1, "plan.svg", "CAST('<?xml?><svg content=\"old\" width=\"5\"><g/></svg>' AS BINARY)"))
+    return out.unionByName(some(2, "plan.drawio.svg", "CAST(lang AS BINARY)")).unionByName(some(3, "plan.png", f"unhex('{_PNG.hex()}')"))
+
+
+# the chunk's length, kind, keyword and percent-encoded text, behind signature and header
+_CHUNK = "'%3Cmxfile%3E' || source || '%3C%2Fmxfile%3E'"
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'plan.drawio.png' WHEN 3 THEN NULL ELSE 'plan.drawio.svg' END AS file,
+ CASE doc_id % 4 WHEN 0 THEN lpad(to_hex(7 + length({_CHUNK})), 8, '0') || hex('tEXtmxfile') || '00' || hex({_CHUNK})
+  WHEN 1 THEN hex('<?xml?><svg width="5" content="&lt;mxfile&gt;' || source || '&lt;/mxfile&gt;"><g/></svg>') WHEN 2 THEN hex(lang) END AS shown FROM documents""")
+def diagram_assembly(spark, d):
+    docs = read_table(spark, d, "documents")
+    wanted = docs.select(F.col("doc_id").cast("string").alias("page_id"), F.lit("plan").alias("diagram"))
+    made = diagrams.assembled(wanted, _attached(docs))
+    # of a picture, the chunk that was put in
+    size = F.conv(F.hex(F.substring("bytes", 34, 4)), 16, 10).cast("int")
+    shown = F.when(F.col("file") == "plan.drawio.png", F.expr("substring(bytes, 34, 8 + _size)")).otherwise(F.col("bytes"))
+    return made.withColumn("_size", size).select(F.col("page_id").cast("long").alias("doc_id"), "file", F.hex(shown).alias("shown"))
+
+
+@query("""WITH f AS (SELECT doc_id, unnest(CASE doc_id % 4 WHEN 0 THEN ['index.adoc', 'attache/plan', 'attache/plan.png', 'attache/plan.drawio.png'] WHEN 1 THEN ['index.adoc', 'attache/plan', 'attache/plan.svg', 'attache/plan.drawio.svg']
+ WHEN 2 THEN ['index.adoc', 'attache/plan.drawio.svg'] ELSE ['index.adoc', 'attache/plan.png'] END) AS file FROM documents)
+SELECT 'd' || doc_id || '/' || file AS path, CASE WHEN file <> 'index.adoc' THEN NULL WHEN doc_id % 4 = 3 THEN 'Diagram attachment access error: cannot display diagram'
+ ELSE 'image::plan.drawio.' || CASE WHEN doc_id % 4 = 0 THEN 'png' ELSE 'svg' END || '[plan]' END AS shown, file = 'index.adoc' AS text FROM f""")
+def export_attachments(spark, d):
+    docs = read_table(spark, d, "documents")
+    macro = '<ac:structured-macro ac:name="drawio"><ac:parameter ac:name="diagramName">plan</ac:parameter></ac:structured-macro>'
+    pages = docs.select(F.col("doc_id").cast("string").alias("page_id"), F.concat(F.lit("d"), "doc_id").alias("title"), F.lit(macro).alias("storage"), F.lit("v").alias("version_when"))
+    edges = spark.createDataFrame([], "parent_id string, child_id string, title string")
+    files = export.export_tree(pages, edges, attached=_attached(docs))
+    line = F.regexp_extract("content", r"(?m)^(image::.*|Diagram .*)$", 1)
+    return files.select("path", line.alias("shown"), F.col("bytes").isNull().alias("text"))

@@ -73,8 +73,16 @@ def test_tools(spark, tables):
     assert tools.call("jira_get_issue", {"issueKey": "A-1"}).first().summary == "one"
     assert tools.call("jira_search", {"jql": "assignee is null"}).count() == 1
     assert tools.call("jira_assign_issue", {"issueKey": "A-2", "username": "bob"}).filter("assignee = 'bob'").count() == 1
-    assert tools.call("jira_create_issue", {"issueType": "Bug", "summary": "new"}).count() == 3
-    assert tools.call("jira_delete_issue", {"issueKey": "A-1"}).count() == 2
+    made = tools.call("jira_create_issue", {"projectKey": "A", "issueType": "Bug", "summary": "new", "assignee": "ann", "links": [{"type": "blocks", "issue": "A-1"}, {"type": "blocks"}]}).first()
+    assert made.key == "A-3" and made.warnings == ["project_key: no such field", "issue_type: no such field", "link: type and issue are needed"]
+    assert tools.tables["issues"].filter("issue_key = 'A-3' and summary = 'new' and assignee = 'ann'").count() == 1 and tools.tables["issue_links"].filter("inward = 'A-3' and outward = 'A-1'").count() == 1
+    with pytest.raises(catalog.ToolError):
+        tools.call("jira_create_issue", {"issueType": "Bug", "summary": "new"})
+    for bad in ([], [{"projectKey": "A", "summary": "no type"}], ["x"]):
+        with pytest.raises(catalog.ToolError):
+            tools.call("jira_batch_create_issues", {"issues": bad})
+    tools = catalog.Catalog(spark, tables)
+    assert tools.call("jira_delete_issue", {"issueKey": "A-1"}).count() == 1
     assert tools.call("jira_link_issues", {"inwardIssue": "A-2", "outwardIssue": "A-3", "type": "IS BLOCKED BY"}).filter("type = 'Blocks'").count() == 2
     with pytest.raises(catalog.ToolError):
         tools.call("jira_link_issues", {"inwardIssue": "x", "outwardIssue": "y", "type": "zzz"})
@@ -204,7 +212,8 @@ def test_queries_of_issues(spark, tables):
 def test_tools_read_typed_arguments_and_lists(spark, tables):
     issues = spark.createDataFrame([("A-1", ["x"], 1, None), ("A-2", None, 2, "A-1")], "issue_key string, labels array<string>, points int, parent_key string")
     tools = catalog.Catalog(spark, tables | {"issues": issues})
-    made = tools.call("jira_create_issue", {"issueType": "Bug", "summary": "s", "labels": ["a", "b"]})
+    assert tools.call("jira_create_issue", {"projectKey": "B", "issueType": "Bug", "summary": "s", "labels": ["a", "b"]}).first().key == "B-1"
+    made = tools.tables["issues"]
     assert [r.labels for r in made.filter("size(labels) = 2").collect()] == [["a", "b"]]
     assert tools.call("jira_update_issue", {"issueKey": "A-1", "fields": {"labels": ["q"], "points": "7"}}).filter("labels[0] = 'q' and points = 7").count() == 1
     with pytest.raises(catalog.ToolError):
