@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docspark.functions import columns as c
 from docspark.functions.pure import ALIASES, LANGUAGES
 from docspark.operators import anonymize, convert, links, relational, sitemap
-from docspark.plans import bundles, catalog, export
+from docspark.plans import bundles, export, requests
 from docspark.sources import config, pages, sinks
 from docspark.sources.pages import read_table
 
@@ -98,15 +98,13 @@ def value_or_list(spark, d):
     return rows.select("c_custkey", F.array_join(pages.as_list("json", "$.x"), "|").alias("items"))
 
 
-_CONFIG = json.dumps({"port": 99, "transport": "http", "endpoints": [{"host": "${HOST}", "kind": "JIRA"}, {"host": "b", "kind": "${UNSET}"}], "team": [{"username": "u", "role": "r"}]})
-
-
-@query(_values([("endpoint", "a", "JIRA"), ("endpoint", "b", None), ("team", "u", "r"), ("setting", "port", "77"), ("setting", "transport", "stdio"), ("setting", "bindHost", "0.0.0.0")], "what, name, value"))
+@query("""SELECT n_nationkey, o AS ord, CASE WHEN o = 0 THEN 'h-' || lower(n_name) WHEN o = 1 THEN 'n' || n_nationkey END AS host, CASE WHEN o = 1 THEN NULL WHEN n_regionkey = 0 THEN 'JIRA' ELSE 'CONFLUENCE' END AS kind
+ FROM nation, (VALUES (0), (1), (2)) v(o)""")
 def config_scan(spark, d):
-    found = config.read_config(_CONFIG, {"HOST": "a", "DOCSPARK_TRANSPORT": "stdio", "DOCSPARK_PORT": "88"}, ["--port=77", "--bindHost", "0.0.0.0"])
-    rows = [("endpoint", *r) for r in config.rows_of(found, "endpoints", ("host", "kind"))] + [("team", *r) for r in config.rows_of(found, "team", ("username", "role"))]
-    rows += [("setting", k, str(found[k])) for k in ("port", "transport", "bindHost")]
-    return spark.createDataFrame(rows, "what string, name string, value string")
+    """Endpoints of configurations in which names of the environment stand; a name that is not set is empty, and so null."""
+    rows = read_table(spark, d, "nation").selectExpr("n_nationkey", """concat('{"port": 1, "endpoints": [{"host": "h-', lower(n_name), '", "kind": "${', IF(n_regionkey = 0, 'FIRST', 'SECOND'), '}"}, {"host": "n', n_nationkey,
+ '", "kind": "${UNSET}"}, {"kind": "${', IF(n_regionkey = 0, 'FIRST', 'SECOND'), '}", "host": " "}]}') AS json""")
+    return config.endpoints_of(rows, {"FIRST": "JIRA", "SECOND": "CONFLUENCE"}).select("n_nationkey", "ord", "host", "kind")
 
 
 # ---- functions ----
@@ -133,9 +131,11 @@ def output_formats(spark, d):
 _LANGUAGE_NAMES = [(k.upper(), v if v in LANGUAGES else None) for k, v in ALIASES.items()] + [(x, ALIASES.get(x, x) if ALIASES.get(x, x) in LANGUAGES else None) for x in LANGUAGES] + [("klingon", None)]
 
 
-@query(_values(_LANGUAGE_NAMES, "name, language"))
+@query(f"SELECT p_partkey, x.name, x.language FROM part JOIN ({_values([(i, *r) for i, r in enumerate(_LANGUAGE_NAMES)], 'i, name, language')}) x ON x.i = p_partkey % {len(_LANGUAGE_NAMES)}")
 def code_languages(spark, d):
-    return spark.createDataFrame([(n,) for n, _ in _LANGUAGE_NAMES], "name string").select("name", c.code_language("name").alias("language"))
+    names = F.array(*(F.lit(n) for n, _ in _LANGUAGE_NAMES))
+    rows = read_table(spark, d, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % len(_LANGUAGE_NAMES) + 1).cast("int")).alias("name"))
+    return rows.select("p_partkey", "name", c.code_language("name").alias("language"))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'py' WHEN c_custkey % 4 = 0 THEN 'json' WHEN c_custkey % 4 = 1 THEN 'xml' END AS language, CASE WHEN c_custkey % 4 = 0 THEN 'json' ELSE 'yaml' END AS spec FROM customer""")
@@ -150,10 +150,11 @@ _ADMONITIONS = [
 ]
 
 
-@query(_values(_ADMONITIONS, "name, admonition, macro, alert"))
+@query(f"SELECT p_partkey, x.name, x.admonition, x.macro, x.alert FROM part JOIN ({_values([(i, *r) for i, r in enumerate(_ADMONITIONS)], 'i, name, admonition, macro, alert')}) x ON x.i = p_partkey % {len(_ADMONITIONS)}")
 def admonition_maps(spark, d):
-    rows = spark.createDataFrame([(r[0],) for r in _ADMONITIONS], "name string")
-    return rows.select("name", c.admonition_of_macro("name").alias("admonition"), c.macro_of_admonition("name").alias("macro"), c.alert_of_admonition("name").alias("alert"))
+    names = F.array(*(F.lit(r[0]) for r in _ADMONITIONS))
+    rows = read_table(spark, d, "part").select("p_partkey", F.element_at(names, (F.col("p_partkey") % len(_ADMONITIONS) + 1).cast("int")).alias("name"))
+    return rows.select("p_partkey", "name", c.admonition_of_macro("name").alias("admonition"), c.macro_of_admonition("name").alias("macro"), c.alert_of_admonition("name").alias("alert"))
 
 
 @query("""SELECT DISTINCT part FROM (SELECT 'color: rgb(' || c_nationkey || ',0,0)' AS part FROM customer UNION ALL SELECT 'color:' || lower(c_mktsegment) FROM customer)""")
@@ -360,30 +361,33 @@ def debug_sink(spark, d):
     return sinks.debug_files(_customers(spark, d, page_id="CAST(c_custkey AS STRING)", storage="concat('<p>', c_mktsegment, '</p>')").drop("c_custkey"))
 
 
-@query(_values([("report.txt", "title: broken\nversion: 1\npayload: ValueError: no rows\n")], "path, content"))
+@query("""SELECT 'r' || c_custkey || '/report.txt' AS path, 'title: ' || c_name || chr(10) || CASE WHEN c_custkey % 3 = 1 THEN 'version: ' || c_nationkey || chr(10) ELSE '' END || 'payload: ' || lower(c_mktsegment) || chr(10) AS content FROM customer""")
 def bug_report(spark, d):
-    def failing():
-        raise ValueError("no rows")
+    """A report of every customer; fields without a value are left out."""
+    rows = _customers(spark, d, id="concat('r', c_custkey)", title="c_name", version="element_at(array(' ', CAST(c_nationkey AS STRING), NULL), CAST(c_custkey % 3 + 1 AS INT))", payload="lower(c_mktsegment)")
+    return bundles.reports(rows, "id", ["title", "version", "payload"])
 
-    files = bundles.bug_report({"title": "broken", "version": "1", "empty": " ", "none": None}, failing)
-    return spark.createDataFrame(list(files.items()), "path string, content string")
 
-
-_REPLIES = [
-    ('{"jsonrpc":"2.0","id":1,"method":"ping"}', '{"jsonrpc": "2.0", "id": 1, "result": {}}'),
-    ("nonsense", '{"jsonrpc": "2.0", "id": null, "error": {"code": -32700, "message": "Parse error"}}'),
-    ('{"id":2,"method":"x/y"}', '{"jsonrpc": "2.0", "id": 2, "error": {"code": -32601, "message": "Method not found: x/y"}}'),
-    ('{"method":"notifications/initialized"}', None),
-    ('{"id":"a","method":"tools/call","params":{"name":"jira_list_team"}}', '{"jsonrpc": "2.0", "id": "a", "result": {"content": [{"type": "text", "text": "[{\\"id\\":0}]"}], "isError": false}}'),
-    ('{"id":3,"method":"tools/call","params":{"name":"nothing"}}', '{"jsonrpc": "2.0", "id": 3, "result": {"content": [{"type": "text", "text": "Unknown tool: nothing"}], "isError": true}}'),
-    ('{"id":4,"method":"tools/call","params":{"name":"jira_get_issue"}}', '{"jsonrpc": "2.0", "id": 4, "result": {"content": [{"type": "text", "text": "Missing argument: issueKey"}], "isError": true}}'),
-]
+_ERROR = """'{"jsonrpc": "2.0", "id": ' || k || ', "error": {"code": -32601, "message": "Method not found: x/' || c_custkey || '"}}'"""
+_FAILED = """'{"jsonrpc": "2.0", "id": ' || k || ', "result": {"content": [{"type": "text", "text": "' || m || '"}], "isError": true}}'"""
 
 
-@query(_values(_REPLIES, "request, reply"))
+@query(f"""WITH q AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE '"a' || c_custkey || '"' END AS k,
+ CASE WHEN c_custkey % 7 = 4 THEN 'Unknown tool: no' || c_nationkey WHEN c_custkey % 7 = 5 THEN 'Missing argument: body' END AS m FROM customer)
+SELECT c_custkey, CASE WHEN c_custkey % 7 = 6 THEN 'jira_get_issue' END AS tool, CASE WHEN c_custkey % 7 = 6 THEN 'K-' || c_custkey END AS issue, CASE c_custkey % 7
+ WHEN 0 THEN '{{"jsonrpc": "2.0", "id": ' || k || ', "result": {{}}}}' WHEN 1 THEN '{{"jsonrpc": "2.0", "id": null, "error": {{"code": -32700, "message": "Parse error"}}}}'
+ WHEN 2 THEN {_ERROR} WHEN 4 THEN {_FAILED} WHEN 5 THEN {_FAILED} END AS reply FROM q""")
 def json_rpc_replies(spark, d):
-    tools = catalog.Catalog(spark, {"team": spark.range(1).select("id")})
-    return spark.createDataFrame([(r, tools.respond(r)) for r, _ in _REPLIES], "request string, reply string")
+    """Pings, broken lines, unknown methods, notifications, and calls of unknown tools, without an argument and in order."""
+    key = """IF(c_custkey % 2 = 0, CAST(c_custkey AS STRING), concat('"a', c_custkey, '"'))"""
+    lines = [
+        f"""concat('{{"jsonrpc":"2.0","id":', {key}, ',"method":"ping"}}')""", "concat('{broken ', c_custkey)", f"""concat('{{"id":', {key}, ',"method":"x/', c_custkey, '"}}')""", "'{\"method\":\"notifications/initialized\"}'",
+        f"""concat('{{"id":', {key}, ',"method":"tools/call","params":{{"name":"no', c_nationkey, '"}}}}')""",
+        f"""concat('{{"id":', {key}, ',"method":"tools/call","params":{{"name":"jira_add_comment","arguments":{{"issueKey":"K-1","body":" "}}}}}}')""",
+        f"""concat('{{"id":', {key}, ',"method":"tools/call","params":{{"name":"jira_get_issue","arguments":{{"issueKey":"K-', c_custkey, '"}}}}}}')""",
+    ]
+    rows = _customers(spark, d, request=f"element_at(array({', '.join(lines)}), CAST(c_custkey % 7 + 1 AS INT))")
+    return requests.answered(rows).select("c_custkey", "tool", F.col("arguments")["issueKey"].alias("issue"), "reply")
 
 
 # ---- anonymised texts keep their form ----

@@ -57,18 +57,35 @@ def counted(bundle: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 EXPORT_KINDS, IMPORT_KINDS = ("html", "json", "attachment"), ("adoc", "other")
 
 
+#: Rows that a report may hold; a larger payload is a table of its own and not part of one.
+PAYLOAD_ROWS = 10_000
+
+
+def payload_lines(df: DataFrame) -> str:
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("j")).limit(PAYLOAD_ROWS + 1).collect()
+    if len(rows) > PAYLOAD_ROWS:
+        raise ValueError(f"more than {PAYLOAD_ROWS} rows")
+    return "\n".join(r.j for r in rows)
+
+
 def bug_report(fields: dict[str, str | None], payload: Callable[[], DataFrame] | None = None) -> dict[str, str]:
     """The files of a report: ``report.txt`` with every field that has a value, and ``payload.jsonl`` of a small table. A payload that fails is told of and nothing more."""
     lines = [f"{k}: {v}" for k, v in fields.items() if v and str(v).strip()]
     out = {}
     if payload is not None:
         try:
-            out["payload.jsonl"] = "\n".join(payload().toJSON().collect())
+            out["payload.jsonl"] = payload_lines(payload())
         except Exception as e:
             lines.append(f"payload: {type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}")
     return {"report.txt": "\n".join(lines) + "\n", **out}
 
 
+def reports(df: DataFrame, name: str, fields: list[str]) -> DataFrame:
+    """(path, content) of a report of every row: a line for each field that has a value."""
+    lines = F.array(*(F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(f"{c}: "), F.col(c).cast("string"), F.lit("\n"))) for c in fields))
+    return df.select(F.concat(F.col(name), F.lit("/report.txt")).alias("path"), F.array_join(F.filter(lines, lambda x: x.isNotNull()), "").alias("content"))
+
+
 def report_archive(spark, files: dict[str, str]) -> bytes:
     return archive(spark.createDataFrame(list(files.items()), "path string, content string"))
 

@@ -7,6 +7,7 @@ later calls see. A bad call raises ``ToolError``; ``respond`` gives the JSON env
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspark.operators.relational import clamp_limit, clamp_start, enabled_tools, link_types, version_pair
+from docspark.shared import shared_folder
 from docspark.sources.sinks import add_labels, deleted, upsert
 
 # Every tool's name and arguments (? optional), then what it does: action, table, and column=argument pairs.
@@ -98,6 +100,8 @@ bitbucket_search(query, projectKey?, repoSlug?, limit?, start?, host?) | search
 # What a listing's page holds where the caller does not say, and at most.
 PAGE_DEFAULT = {"bitbucket": 25}
 PROTOCOL = "2024-11-05"
+#: Rows that a reply holds itself.
+REPLY_ROWS = 10_000
 # Arguments that are whole numbers, and those that are yes or no.
 WHOLE = frozenset(("limit", "start", "startAt", "maxResults", "fromVersion", "toVersion", "contextLines"))
 YES_NO = frozenset(("deleteSubtasks", "includeChildren", "includeAttachments", "exportColors", "debug", "skipUnchanged", "fast", "released"))
@@ -185,8 +189,7 @@ class Catalog:
             result = {"tools": [{"name": t.name, "inputSchema": t.schema} for t in ALL.values() if t.name in self.enabled]}
         elif method == "tools/call":
             try:
-                rows = self.call(params.get("name", ""), params.get("arguments")).toJSON().collect()
-                text, failed = "[" + ",".join(rows) + "]", False
+                text, failed = self._told(self.call(params.get("name", ""), params.get("arguments"))), False
             except Exception as e:
                 text, failed = str(e).splitlines()[0], True
             result = {"content": [{"type": "text", "text": text}], "isError": failed}
@@ -194,6 +197,15 @@ class Catalog:
             return json.dumps({"jsonrpc": "2.0", "id": key, "error": {"code": -32601, "message": f"Method not found: {method}"}})
         return json.dumps({"jsonrpc": "2.0", "id": key, "result": result}, ensure_ascii=False)
 
+    def _told(self, df: DataFrame) -> str:
+        """A result's rows as a JSON list; one of more than REPLY_ROWS is written as JSON lines to the shared folder, and the reply names the place."""
+        rows = df.select(F.to_json(F.struct(*df.columns)).alias("j")).limit(REPLY_ROWS + 1).collect()
+        if len(rows) <= REPLY_ROWS:
+            return "[" + ",".join(r.j for r in rows) + "]"
+        folder = f"{shared_folder(self.spark)}/reply-{uuid.uuid4().hex}"
+        df.write.json(folder)
+        return json.dumps({"rows": folder})
+
     # ---- reads ----
 
     def _on_host(self, df: DataFrame, args: dict) -> DataFrame:

@@ -259,11 +259,15 @@ def anchor_theta_join(spark, d):
     return found.select(F.col("path").alias("page_id"), "anchor", "target")
 
 
-@query("SELECT * FROM (VALUES ('is blocked by','Blocks'), ('BLOCKS','Blocks'), ('clones','Cloners'), ('nothing',NULL)) v(wanted, type)")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Is In N' WHEN 1 THEN ' HOLDS n' ELSE 'nothing' END || p_size AS wanted,
+ 'T' || CASE WHEN p_partkey % 3 = 1 AND p_size % 2 = 1 AND p_size - 1 IN (SELECT n_nationkey FROM nation) THEN p_size - 1 WHEN p_partkey % 3 < 2 AND p_size IN (SELECT n_nationkey FROM nation) THEN p_size END AS type FROM part""")
 def link_type_join(spark, d):
-    types = spark.createDataFrame([("Blocks", "is blocked by", "blocks", 0), ("Cloners", "is cloned by", "clones", 1), ("Dup", "blocks", "duplicates", 2)], "name string, inward string, outward string, ord int")
-    wanted = spark.createDataFrame([("is blocked by",), ("BLOCKS",), ("clones",), ("nothing",)], "wanted string")
-    return relational.link_types(wanted, types)
+    # an odd nation's outward label is also that of the nation before it, which comes first
+    types = read_table(spark, d, "nation").selectExpr("concat('T', n_nationkey) AS name", "concat('is in n', n_nationkey) AS inward", "concat('holds n', n_nationkey) AS outward", "n_nationkey AS ord")
+    more = types.filter("ord % 2 = 0").selectExpr("name", "inward", "concat('Holds N', ord + 1) AS outward", "ord")
+    wanted = read_table(spark, d, "part").selectExpr("p_partkey", "concat(element_at(array('Is In N', ' HOLDS n', 'nothing'), CAST(p_partkey % 3 + 1 AS INT)), p_size) AS wanted")
+    found = relational.link_types(wanted.select("wanted").distinct(), types.unionByName(more))
+    return wanted.join(found, "wanted").select("p_partkey", "wanted", "type")
 
 
 @query("""SELECT page_id AS id, CASE page_id % 3 WHEN 0 THEN 'JIRA' WHEN 1 THEN 'CONFLUENCE' ELSE 'BITBUCKET' END AS kind,

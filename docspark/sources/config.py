@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 # Settings that the environment or an argument may give.
 SETTINGS = {"bindHost": "127.0.0.1", "port": 8080, "transport": "stdio", "defaultJiraProject": None, "defaultConfluenceSpace": None}
 LISTS = ("endpoints", "team", "templates")
@@ -42,3 +45,18 @@ def read_config(text: str | None, env: dict[str, str] | None = None, argv: list[
 def rows_of(config: dict, name: str, columns: tuple[str, ...]) -> list[tuple]:
     """A configured list as rows, missing fields null and blank ones too, for a small table."""
     return [tuple(x.get(c) if x.get(c) not in ("", None) else None for c in columns) for x in config.get(name) or []]
+
+
+def expanded_text(text: Column, env: dict[str, str]) -> Column:
+    """``expanded`` for a column."""
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(r"\$\{([^}]*)\}"), F.lit(1)))
+    known = F.create_map(*(F.lit(x) for pair in env.items() for x in pair)).cast("map<string,string>")
+    return F.aggregate(names, text, lambda t, n: F.replace(t, F.concat(F.lit("${"), n, F.lit("}")), F.coalesce(F.try_element_at(known, n), F.lit(""))))
+
+
+def endpoints_of(df: DataFrame, env: dict[str, str], json: str = "json") -> DataFrame:
+    """``df`` without ``json``, with ord, host and kind of every endpoint of a table of configurations; blank fields are null."""
+    found = F.from_json(F.col(json), "endpoints array<struct<host:string,kind:string>>")["endpoints"]
+    rows = df.select(*(c for c in df.columns if c != json), F.posexplode(found).alias("ord", "_e"))
+    value = lambda c: F.nullif(F.trim(expanded_text(F.col(f"_e.{c}"), env)), F.lit(""))
+    return rows.withColumns({"host": value("host"), "kind": value("kind")}).drop("_e")
