@@ -122,3 +122,6 @@ published("link", "https://x.y[{x}]", '<p><a href="https://x.y">{x}</a></p>')
 published("table", "|===\n|A |{x}\n\n|1\n|2\n|===", "<table><thead><tr><th>A</th><th>{x}</th></tr></thead><tbody><tr><td>1</td><td>2</td></tr></tbody></table>")
 published("toc", "toc::[]\n\n{x}", '<ac:structured-macro ac:name="toc"><ac:parameter ac:name="maxLevel">2</ac:parameter></ac:structured-macro><p>{x}</p>')
 published("escapes", "{x} < b & c", "<p>{x} &lt; b &amp; c</p>")
+published("callouts", "[source]\n----\na <1>\n----\n<1> {x}\n<.> b *c*", '<ac:structured-macro ac:name="code"><ac:plain-text-body><![CDATA[a <1>]]></ac:plain-text-body></ac:structured-macro><ol><li>{x}</li><li>b <strong>c</strong></li></ol>')
+published("conditionals", ":a: 1\n\nifdef::a[]\n{x}\nifndef::a[]\nno\nendif::[]\nendif::[]\n\nifdef::b[no]\nifeval::[{a} >= 1]\nyes\nendif::[]", "<p>{x}</p><p>yes</p>")
+published("footnotes", "a footnote:[{x}] b footnote:n[two] c footnote:n[]", "<p>a <sup>[1]</sup> b <sup>[2]</sup> c <sup>[2]</sup></p><hr/><p>[1] {x}</p><p>[2] two</p>")

@@ -8,6 +8,7 @@ references, links and inline formatting. Includes of pages become macros; those
 from __future__ import annotations
 
 import html
+import posixpath
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -73,19 +74,33 @@ class Context:
     plantuml: str = "plantuml"
     attributes: dict[str, str] = field(default_factory=dict)
     images: list[str] = field(default_factory=list)
+    root: str = ""
+    notes: list[str] = field(default_factory=list)
+    named_notes: dict[str, int] = field(default_factory=dict)
+
+    def known(self, target: str) -> str | None:
+        """The title of another file, as seen from this one's folder, else from the root of its tree."""
+        here, top = (posixpath.normpath(posixpath.join(x, target)) for x in (posixpath.dirname(self.path), self.root))
+        return self.titles.get(here) or self.titles.get(top) or self.titles.get(target)
 
     def other(self, target: str) -> str:
-        import posixpath
+        return self.known(target) or re.sub(r"\.[^.]*$", "", target.split("/")[-1])
 
-        path = posixpath.normpath(posixpath.join(posixpath.dirname(self.path), target))
-        return self.titles.get(path) or self.titles.get(target) or re.sub(r"\.[^.]*$", "", target.split("/")[-1])
+    def note(self, name: str | None, body: str) -> int:
+        """The number of a footnote; one that has a name and no text is that of before."""
+        if name and not body and name in self.named_notes:
+            return self.named_notes[name]
+        self.notes.append(body)
+        if name:
+            self.named_notes[name] = len(self.notes)
+        return len(self.notes)
 
 
 # ---- inline ----
 
 _MARKS = (("**", "strong"), ("__", "em"), ("``", "code"), ("##", "mark"), ("*", "strong"), ("_", "em"), ("`", "code"), ("^", "sup"), ("~", "sub"))
 _INLINE = re.compile(
-    r"(?P<pass>\+\+\+(?P<raw>.*?)\+\+\+)|(?P<image>image:(?P<img>[^\s:\[][^\s\[]*)\[(?P<imga>[^\]]*)\])|(?P<xref><<(?P<xid>[^,>]+)(?:,\s*(?P<xtext>[^>]*))?>>)"
+    r"(?P<pass>\+\+\+(?P<raw>.*?)\+\+\+)|(?P<note>footnote:(?P<nid>[\w-]*)\[(?P<ntext>(?:\\\]|[^\]])*)\])|(?P<image>image:(?P<img>[^\s:\[][^\s\[]*)\[(?P<imga>[^\]]*)\])|(?P<xref><<(?P<xid>[^,>]+)(?:,\s*(?P<xtext>[^>]*))?>>)"
     r"|(?P<xmacro>xref:(?P<xfile>[^\[\s]+)\[(?P<xlabel>[^\]]*)\])|(?P<anchor>\[\[(?P<aid>[\w:.\-]+)(?:,[^\]]*)?\]\]|anchor:(?P<aid2>[\w:.\-]+)\[[^\]]*\])"
     r"|(?P<link>(?:link:(?P<target>[^\s\[]+)|(?P<url>https?://[^\s\[\]<>]+))(?:\[(?P<label>(?:\\\]|[^\]])*)\])?)"
     r"|(?P<role>\[\.(?P<rname>[\w-]+)\](?P<rmark>##?)(?P<rtext>.+?)(?P=rmark))|(?P<br> \+\n)"
@@ -105,6 +120,9 @@ def inline(source: str, c: Context) -> str:
         g = m.groupdict()
         if g["pass"]:
             return keep(g["raw"])
+        if g["note"]:
+            body = g["ntext"].replace("\\]", "]")
+            return keep(f"<sup>[{c.note(g['nid'] or None, inline(body, c) if body else '')}]</sup>")
         if g["image"]:
             c.images.append(g["img"])
             return keep(image(g["img"], g["imga"].split(",")[0] or None, None, None, None, inline=True))
@@ -138,6 +156,11 @@ def inline(source: str, c: Context) -> str:
             return keep(f"<u>{body}</u>" if g["rname"] == "underline" else f'<span class="{attr(g["rname"])}">{body}</span>')
         return keep("<br/>")
 
+    def mentioned(m: re.Match) -> str:
+        """A file that is named as code, where there is such a file."""
+        title = c.known(html.unescape(m.group(1)))
+        return m.group() if title is None else to_page(title, m.group(2) and html.unescape(m.group(2)), text(title))
+
     out = text(_INLINE.sub(one, source))
     for mark, tag in _MARKS:
         m = re.escape(mark)
@@ -145,6 +168,7 @@ def inline(source: str, c: Context) -> str:
             out = re.sub(rf"{m}(?=\S)(.+?)(?<=\S){m}", rf"<{tag}>\1</{tag}>", out, flags=re.DOTALL)
         else:
             out = re.sub(rf"(?<![\w{m}]){m}(?=\S)(.+?)(?<=\S){m}(?![\w{m}])", rf"<{tag}>\1</{tag}>", out, flags=re.DOTALL)
+    out = re.sub(r"(?i)<code>([^<>#\x00]+\.adoc)(?:#([^<>\x00]+))?</code>", mentioned, out)
     while "\x00" in out:
         out = re.sub(r"\x00(\d+)\x00", lambda m: held[int(m.group(1))], out)
     return out.replace("\n", " ")
@@ -153,6 +177,8 @@ def inline(source: str, c: Context) -> str:
 # ---- blocks ----
 
 _LIST = re.compile(r"^\s*(?P<mark>\*{1,6}|-|\.{1,6}|\d+\.)\s+(?P<text>.*)$")
+_CALLOUT = re.compile(r"^<(?:\d+|\.)>\s+(?P<text>.*)$")
+_CONDITION = re.compile(r"^(ifdef|ifndef|ifeval|endif)::([^\[\s]*)\[(.*)\]\s*$")
 _TERM = re.compile(r"^(?P<term>[^\s:|].*?)::(?:\s+(?P<text>.*))?$")
 
 
@@ -295,6 +321,8 @@ class Reader:
                 shown = f'<ac:structured-macro ac:name="include"><ac:parameter ac:name="">{link}</ac:parameter></ac:structured-macro>'
                 return f"<h2>{to_page(title, None, text(title))}</h2>{shown}"
             return f"<p>Unresolved directive - {text(line.strip())}</p>"  # of a file alone; a tree's are put in place before it is read
+        if _CALLOUT.match(line):
+            return place + self.callouts()
         if _LIST.match(line):
             return place + self.list(b)
         if _TERM.match(line):
@@ -397,6 +425,19 @@ class Reader:
         out += [f"</li></{tag(m)}>" for m in reversed(marks)]
         return "".join(out)
 
+    def callouts(self) -> str:
+        """The notes to a listing's marks, as an ordered list."""
+        out = []
+        while self.more() and (m := _CALLOUT.match(self.lines[self.at])):
+            self.at += 1
+            lines = [m.group("text")]
+            while self.more() and (line := self.lines[self.at]).strip() and not _CALLOUT.match(line) and line.strip() != "+" and not self.breaks(line):
+                lines.append(line.strip())
+                self.at += 1
+            text_of = "\n".join(lines)
+            out.append(f"<li>{inline(text_of, self.c)}{self.attached()}</li>")
+        return f"<ol>{''.join(out)}</ol>"
+
     def attached(self) -> str:
         """Blocks joined to an item by a line with ``+``."""
         out = []
@@ -502,30 +543,71 @@ class Reader:
         return f"<{tag}{spans}>{body}</{tag}>"
 
 
+def holds(kind: str, names: str, given: str, attributes: dict[str, str]) -> bool:
+    """Whether a condition is true: of several names one (comma) or all (plus) must be set; two values are compared as numbers where both are, else as texts."""
+    if kind == "ifeval":
+        m = re.fullmatch(r"\s*(.+?)\s*(==|!=|<=|>=|<|>)\s*(.+?)\s*", re.sub(r"\{([\w-]+)\}", lambda x: attributes.get(x.group(1), ""), given))
+        if m is None:
+            return False
+        a, b = (x.strip("\"'") for x in m.group(1, 3))
+        if all(re.fullmatch(r"-?\d+(\.\d+)?", x) for x in (a, b)):
+            a, b = float(a), float(b)
+        return {"==": a == b, "!=": a != b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[m.group(2)]
+    found = [n in attributes for n in re.split("[,+]", names) if n]
+    some = all(found) if "+" in names else any(found)
+    return some if kind == "ifdef" else not some
+
+
+def conditioned(lines: list[str], known: dict[str, str]) -> list[str]:
+    """The lines whose conditions are true. Attributes count from the line that sets them on; an end without a beginning is dropped."""
+    attributes, open_, out = dict(known), [], []
+    for line in lines:
+        if m := _CONDITION.match(line):
+            kind, names, given = m.groups()
+            if kind == "endif":
+                open_ = open_[:-1]
+            elif kind != "ifeval" and given:
+                if all(open_) and holds(kind, names, given, attributes):
+                    out.append(given)
+            else:
+                open_.append(all(open_) and holds(kind, names, given, attributes))
+        elif all(open_):
+            if m := re.match(r"^:(!?)([\w-]+)(!?):(?:\s+(.*))?$", line):
+                if m.group(1) or m.group(3):
+                    attributes.pop(m.group(2), None)
+                else:
+                    attributes[m.group(2)] = (m.group(4) or "").strip()
+            out.append(line)
+    return out
+
+
 def render(source: str, c: Context | None = None) -> tuple[str, dict[str, str], list[str]]:
-    """Storage markup, the header's attributes, and the files to attach."""
+    """Storage markup, the header's attributes, and the files to attach. Footnotes stand at the end."""
     c = c or Context()
-    r = Reader(re.split(r"\r\n|\r|\n", source or ""), c)
+    lines = re.split(r"\r\n|\r|\n", source or "")
+    r = Reader(conditioned(lines, c.attributes) if source and "::" in source else lines, c)
     r.header()
-    return r.blocks(), c.attributes, list(dict.fromkeys(c.images))
+    body = r.blocks()
+    notes = "".join(f"<p>[{i}] {x}</p>" for i, x in enumerate(c.notes, 1))
+    return body + (f"<hr/>{notes}" if notes else ""), c.attributes, list(dict.fromkeys(c.images))
 
 
-def to_storage(files: DataFrame, titles: str | None = None, declared: str | None = None, path: str = "path", content: str = "content") -> DataFrame:
+def to_storage(files: DataFrame, titles: str | None = None, declared: str | None = None, path: str = "path", content: str = "content", root: str | None = None) -> DataFrame:
     """``files`` with storage, title, page_id and attachments.
 
-    ``titles`` and ``declared`` name columns that a row brings along and that are left out of the result: maps from the files that it refers to, to their titles, and
+    ``root`` names a column of the folder from which targets are seen as well; ``titles`` and ``declared`` name columns that a row brings along and that are left out of the result: maps from the files that it refers to, to their titles, and
     from the anchors that it refers to, to the files that declare them.
     """
-    given = [c for c in (titles, declared) if c]
+    given = [c for c in (titles, declared, root) if c]
     keep = [c for c in files.columns if c not in given]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             empty = [None] * batch.num_rows
-            maps = [batch.column(c).to_pylist() if c else empty for c in (titles, declared)]
-            for p, s, t, d in zip(batch.column(path).to_pylist(), batch.column(content).to_pylist(), *maps, strict=True):
-                body, attributes, images = render(s, Context(p or "", dict(t or {}), dict(d or {})))
+            maps = [batch.column(c).to_pylist() if c else empty for c in (titles, declared, root)]
+            for p, s, t, d, top in zip(batch.column(path).to_pylist(), batch.column(content).to_pylist(), *maps, strict=True):
+                body, attributes, images = render(s, Context(p or "", dict(t or {}), dict(d or {}), root=top or ""))
                 made.append((body, attributes.get("doctitle"), attributes.get("confluency-id"), images))
             columns = list(zip(*made, strict=True)) or [(), (), (), ()]
             kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))

@@ -10,7 +10,7 @@ from docspark.operators import blocks, diagrams, includes, links
 from docspark.operators.convert import link_rows, to_text
 from docspark.operators.publish import to_storage
 from docspark.operators.relational import actions, changed
-from docspark.operators.sitemap import closure
+from docspark.operators.sitemap import closure, publish_roots
 from docspark.operators.split import LONG, is_long, sections
 from docspark.shared import cut
 
@@ -141,7 +141,11 @@ def publish_files(files: DataFrame) -> DataFrame:
     files = includes.expanded(files).filter(F.lower("path").endswith(".adoc"))
     tokens = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_./%-]+\.adoc"), F.lit(0)))
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    named = files.select("path", F.explode(F.transform(tokens, lambda t: normal_path(folder, t))).alias("other"))
+    # a target is seen from the folder of its file, else from the root of the tree
+    roots = publish_roots(files).select(F.col("folder").alias("_folder"), F.col("root").alias("_root"))
+    files = files.withColumn("_folder", folder).join(roots, "_folder", "left").drop("_folder")
+    seen = F.flatten(F.transform(tokens, lambda t: F.array(normal_path(folder, t), normal_path(F.coalesce("_root", F.lit("")), t))))
+    named = files.select("path", F.explode(F.array_distinct(seen)).alias("other"))
     titles = files.select(F.col("path").alias("other"), file_title("content", "path").alias("title"))
     titles = named.distinct().join(titles, "other").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("other", "title"))).alias("_titles"))
     points = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?:<<|xref:)#?([A-Za-z0-9_:.\-]+)"), F.lit(1)))
@@ -149,7 +153,7 @@ def publish_files(files: DataFrame) -> DataFrame:
     declared = files.select("path", F.explode(points).alias("anchor")).join(declared, "anchor")
     declared = declared.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("anchor", "file"))).alias("_declared"))
     rows = files.join(titles, "path", "left").join(declared, "path", "left")
-    return to_storage(rows, titles="_titles", declared="_declared")
+    return to_storage(rows, titles="_titles", declared="_declared", root="_root")
 
 
 def publish_plan(rendered: DataFrame, remote: DataFrame) -> DataFrame:

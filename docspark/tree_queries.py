@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.operators import diagrams, includes
+from docspark.operators import diagrams, includes, split
 from docspark.plans import export
 from docspark.sources.pages import read_table
 
@@ -120,6 +120,33 @@ def export_publish_round_trip(spark, d):
     return made.select(F.regexp_extract("path", "^d([0-9]+)/", 1).cast("long").alias("doc_id"), code.alias("code"))
 
 
+# ---- lines and files that others name ----
+
+
+@query("""SELECT doc_id, part, file, content FROM (
+ SELECT doc_id, 0 AS part, 'index.adoc' AS file, 'include::1_' || source || '.adoc[]' AS c FROM documents
+ UNION ALL SELECT doc_id, 1, '1_' || source || '.adoc', '== ' || source || chr(10) || '----' || chr(10) || '== ' || lang || chr(10) || '....' || chr(10) || '-----' || chr(10) || '== no' || chr(10) || '----' || chr(10) || 'end' FROM documents
+ UNION ALL SELECT doc_id, 2, '2_Two.adoc', '== Two' || chr(10) || '....' || chr(10) || '----' || chr(10) || '== open' FROM documents),
+ LATERAL (SELECT CASE WHEN part = 0 THEN chr(10) || c || chr(10) || chr(10) || 'include::2_Two.adoc[]' ELSE ':imagesdir: ./attache' || chr(10) || c END AS content)""")
+def split_fences(spark, d):
+    """Headings in listings begin no part."""
+    docs = read_table(spark, d, "documents")
+    text = docs.select("doc_id", F.concat(F.lit("== "), "source", F.lit("\n----\n== "), "lang", F.lit("\n....\n-----\n== no\n----\nend\n== Two\n....\n----\n== open")).alias("text"))
+    return split.sections(text, fences=True).select("doc_id", "part", "file", "content")
+
+
+@query("""SELECT doc_id, 't' || doc_id % 3 || '/a/p' || doc_id || '.adoc' AS path, '<p>see ' || '<ac:link><ri:page ri:content-title="B' || doc_id || '"/><ac:link-body>B' || doc_id || '</ac:link-body></ac:link> and <ac:link ac:anchor="x">'
+ || '<ri:page ri:content-title="B' || doc_id || '"/><ac:link-body>B' || doc_id || '</ac:link-body></ac:link> and <code>gone.adoc</code></p>' AS storage FROM documents""")
+def publish_file_mentions(spark, d):
+    """Files that are named as code, as seen from the page's folder and from the root of its tree."""
+    docs = read_table(spark, d, "documents")
+    pages = docs.selectExpr("concat('t', doc_id % 3, '/a/p', doc_id, '.adoc') AS path", "concat('see `../b/q', doc_id, '.adoc` and `b/q', doc_id, '.adoc#x` and `gone.adoc`') AS content")
+    other = docs.selectExpr("concat('t', doc_id % 3, '/b/q', doc_id, '.adoc') AS path", "concat('= B', doc_id) AS content")
+    top = docs.selectExpr("concat('t', doc_id % 3, '/index.adoc') AS path", "'= Top' AS content").distinct()
+    made = export.publish_files(pages.unionByName(other).unionByName(top)).filter("path like '%/a/p%'")
+    return made.select(F.regexp_extract("path", "p([0-9]+)", 1).cast("long").alias("doc_id"), "path", "storage")
+
+
 # ---- diagrams and attachments of an export ----
 
 _PNG = png(((b"IHDR", bytes((0, 0, 0, 1, 0, 0, 0, 1, 8, 0, 0, 0, 0))), (b"IDAT", zlib.compress(b"\x00\x00")), (b"IEND", b"")))
