@@ -13,6 +13,7 @@ from . import blocks, dom, writers
 
 BLOCK = "node_id int, parent_id int, ord int, depth int, kind string, level int, text string"
 LINK = "ord int, kind string, key string, space string"
+CELL = "table_no int, row_no int, cell_no int, colspan int, rowspan int, header boolean, rich boolean, text string"
 
 
 def _mapped(df: DataFrame, html: str, fields: T.StructType, make, given: tuple[str, ...] = ()) -> DataFrame:
@@ -92,69 +93,67 @@ def files_of(df: DataFrame, html: str = "html", options: blocks.Options | None =
     return _mapped(df, html, T.StructType.fromDDL("path string, content string"), make)
 
 
-def block_rows(df: DataFrame, html: str = "html", options: blocks.Options | None = None) -> DataFrame:
-    """The block tree as rows in document order: node_id, parent_id (-1 on top), ord among siblings, depth, kind, level, text."""
-    options = options or blocks.Options()
-    show = writers.Markdown()
-
-    def make(markup: str | None) -> list[tuple]:
-        out: list[tuple] = []
-
-        def add(nodes: list, parent: int, depth: int) -> None:
-            for i, n in enumerate(nodes):
-                me = len(out)
-                text = n.text or (show.run(n.kids) if n.kind in ("paragraph", "heading") else "")
-                out.append((me, parent, i, depth, n.kind, n.a.get("level"), text))
-                if n.kind in ("container", "admonition", "sidebar", "table", "row", "list"):
+def block_tuples(markup: str | None, options: blocks.Options, show: writers.Writer) -> list[tuple]:
+    out: list[tuple] = []
+
+    def add(nodes: list, parent: int, depth: int) -> None:
+        for i, n in enumerate(nodes):
+            me = len(out)
+            text = n.text or (show.run(n.kids) if n.kind in ("paragraph", "heading") else "")
+            out.append((me, parent, i, depth, n.kind, n.a.get("level"), text))
+            if n.kind in ("container", "admonition", "sidebar", "table", "row", "list"):
+                add(n.kids, me, depth + 1)
+            elif n.kind == "item":
+                out[me] = (*out[me][:-1], show.run(n.kids))
+                add(n.a["below"], me, depth + 1)
+            elif n.kind == "cell":
+                if n.a["rich"]:
                     add(n.kids, me, depth + 1)
-                elif n.kind == "item":
+                else:
                     out[me] = (*out[me][:-1], show.run(n.kids))
-                    add(n.a["below"], me, depth + 1)
-                elif n.kind == "cell":
-                    if n.a["rich"]:
-                        add(n.kids, me, depth + 1)
-                    else:
-                        out[me] = (*out[me][:-1], show.run(n.kids))
 
-        add(blocks.convert(markup, options)[0], -1, 0)
-        return out
+    add(blocks.convert(markup, options)[0], -1, 0)
+    return out
+
+
+def block_rows(df: DataFrame, html: str = "html", options: blocks.Options | None = None) -> DataFrame:
+    """The block tree as rows in document order: node_id, parent_id (-1 on top), ord among siblings, depth, kind, level, text."""
+    options, show = options or blocks.Options(), writers.Markdown()
+    return _mapped(df, html, T.StructType.fromDDL(BLOCK), lambda markup: block_tuples(markup, options, show))
 
-    return _mapped(df, html, T.StructType.fromDDL(BLOCK), make)
+
+def link_tuples(markup: str | None, diagrams: bool = False) -> list[tuple]:
+    return [(i, *key) for i, key in enumerate(blocks.links_of(dom.parse(markup), diagrams))]
 
 
 def link_rows(df: DataFrame, html: str = "html", diagrams: bool = False) -> DataFrame:
     """One row per distinct link key of a page; with ``diagrams`` also one per diagram, of that kind."""
+    return _mapped(df, html, T.StructType.fromDDL(LINK), lambda markup: link_tuples(markup, diagrams))
 
-    def make(markup: str | None) -> list[tuple]:
-        return [(i, *key) for i, key in enumerate(blocks.links_of(dom.parse(markup), diagrams))]
 
-    return _mapped(df, html, T.StructType.fromDDL(LINK), make)
+def cell_tuples(markup: str | None, show: writers.Writer) -> list[tuple]:
+    found: list[tuple] = []
+
+    def visit(nodes: list) -> None:
+        for n in nodes:
+            if n.kind == "table":
+                t = len({x[0] for x in found})
+                for r, row in enumerate(n.kids):
+                    for c, cell in enumerate(row.kids):
+                        head = cell.a["header"] or r < n.a["leading"]
+                        text = show(cell.kids) if cell.a["rich"] else show.run(cell.kids)
+                        found.append((t, r, c, cell.a["colspan"], cell.a["rowspan"], head, cell.a["rich"], text))
+            elif n.kind in ("container", "admonition", "sidebar"):
+                visit(n.kids)
+            elif n.kind == "list":
+                for item in n.kids:
+                    visit(item.a["below"])
+
+    visit(blocks.convert(markup)[0])
+    return found
 
 
 def cell_rows(df: DataFrame, html: str = "html") -> DataFrame:
     """One row per table cell: table, row and cell numbers, spans, header, text."""
     show = writers.Markdown()
-
-    def make(markup: str | None) -> list[tuple]:
-        found: list[tuple] = []
-
-        def visit(nodes: list) -> None:
-            for n in nodes:
-                if n.kind == "table":
-                    t = len({x[0] for x in found})
-                    for r, row in enumerate(n.kids):
-                        for c, cell in enumerate(row.kids):
-                            head = cell.a["header"] or r < n.a["leading"]
-                            text = show(cell.kids) if cell.a["rich"] else show.run(cell.kids)
-                            found.append((t, r, c, cell.a["colspan"], cell.a["rowspan"], head, cell.a["rich"], text))
-                elif n.kind in ("container", "admonition", "sidebar"):
-                    visit(n.kids)
-                elif n.kind == "list":
-                    for item in n.kids:
-                        visit(item.a["below"])
-
-        visit(blocks.convert(markup)[0])
-        return found
-
-    fields = "table_no int, row_no int, cell_no int, colspan int, rowspan int, header boolean, rich boolean, text string"
-    return _mapped(df, html, T.StructType.fromDDL(fields), make)
+    return _mapped(df, html, T.StructType.fromDDL(CELL), lambda markup: cell_tuples(markup, show))

@@ -4,17 +4,17 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rest import FileTree
+
 
 def write_files(df: DataFrame, folder: str, path: str = "path", content: str = "content") -> None:
     """Each row's text or bytes as a file below ``folder``, a shared one; written by the executors.
 
-    Different contents for one path, and paths that lead out of the folder, are errors and nothing is written.
+    Different contents for one path, and paths that lead out of the folder, are errors and nothing is written; a write that fails on the way leaves nothing either.
     """
     rows = df.select(F.col(path).alias("path"), F.col(content).alias("content")).distinct()
     parts = F.split("path", r"[/\\\\]")
@@ -22,16 +22,9 @@ def write_files(df: DataFrame, folder: str, path: str = "path", content: str = "
     if found := bad.select("path").limit(5).collect():
         raise ValueError("paths that several files share or that lead elsewhere: " + ", ".join(str(r.path) for r in found))
 
-    def run(rows: Iterator) -> None:
-        for row in rows:
-            file = Path(folder) / row[0]
-            file.parent.mkdir(parents=True, exist_ok=True)
-            if isinstance(row[1], (bytes, bytearray)):
-                file.write_bytes(row[1])
-            else:
-                file.write_text(row[1] or "", "utf-8")
-
-    rows.foreachPartition(run)
+    spark = df.sparkSession
+    spark.dataSource.register(FileTree)
+    rows.write.format("file_tree").mode("append").save(folder)
 
 
 def debug_files(pages: DataFrame, links: DataFrame | None = None, folder: str = "source") -> DataFrame:
