@@ -32,29 +32,57 @@ def resolve(links: DataFrame, cached: DataFrame, sitemap: DataFrame, view: DataF
 
     cached (kind, key, space, title, url); sitemap (title, path); view (page_id, label, href); search (title, space, url, rank); users
     (user_key, title, url); attachments (page_id, name, title, url). Of several rows of a key the least by its other columns is taken.
+
+    All sides are one table of places by (side, key), and every link asks it once for each place where it may be, best first; so there is one join, and the best answer
+    of a link is one aggregate. A target that very many links have is a skewed key of this join, whose partitions Spark splits.
     """
-    first = search.groupBy("title", "space").agg(F.min_by("url", "rank").alias("url"))
-    cached, sitemap, users = _first(cached, "kind", "key", "space"), _first(sitemap, "title"), _first(users, "user_key")
-    view, attachments = _first(view, "page_id", "label"), _first(attachments, "page_id", "name")
-    bare = F.regexp_extract("l.key", "^([^#]*)", 1)
-    fragment = F.regexp_extract("l.key", "(#.*)$", 1)
-    is_page, is_user, is_file = (F.col("l.kind") == k for k in ("page", "user", "attachment"))
+    text, none = (lambda c: F.col(c).cast("string")), F.lit("")
+    bare, fragment = F.regexp_extract("key", "^([^#]*)", 1), F.regexp_extract("key", "(#.*)$", 1)
     # a link that names no space has an empty one or none
-    same_space = lambda side: F.nullif(F.col("l.space"), F.lit("")).eqNullSafe(F.nullif(F.col(f"{side}.space"), F.lit("")))
-    rows = links.alias("l")
-    rows = rows.join(cached.alias("c"), (F.col("l.kind") == F.col("c.kind")) & (F.col("l.key") == F.col("c.key")) & same_space("c"), "left")
-    # a title may hold the sign that begins a fragment, so the whole key is looked up first
-    rows = rows.join(sitemap.alias("n"), is_page & (F.col("l.key") == F.col("n.title")), "left")
-    rows = rows.join(sitemap.alias("m"), is_page & (fragment != "") & (bare == F.col("m.title")), "left")
-    rows = rows.join(view.alias("v"), is_page & (F.col("l.page_id") == F.col("v.page_id")) & (F.col("l.key") == F.col("v.label")), "left")
-    rows = rows.join(first.alias("t"), is_page & (F.col("l.key") == F.col("t.title")) & same_space("t"), "left")
-    rows = rows.join(first.alias("s"), is_page & (fragment != "") & (bare == F.col("s.title")) & same_space("s"), "left")
-    rows = rows.join(users.alias("u"), is_user & (F.col("l.key") == F.col("u.user_key")), "left")
-    rows = rows.join(attachments.alias("a"), is_file & (F.col("l.page_id") == F.col("a.page_id")) & (F.col("l.key") == F.col("a.name")), "left")
-    local = F.coalesce(F.col("n.path"), F.concat(F.col("m.path"), fragment))
-    url = F.coalesce(F.col("c.url"), local, F.col("v.href"), F.col("t.url"), F.col("s.url"), F.col("u.url"), F.col("a.url"))
-    title = F.coalesce(F.col("c.title"), F.col("u.title"), F.col("a.title"), F.when(url.isNotNull(), F.col("l.key")))
-    return rows.select("l.*", title.alias("title"), url.alias("url"), (F.col("c.url").isNull() & local.isNotNull()).alias("local"))
+    space = F.coalesce(text("space"), none)
+
+    def places(df: DataFrame, side: str, key: tuple, title, url, rank=none) -> DataFrame:
+        named = [x.alias(n) for n, x in zip(("_a", "_b", "_c"), (*key, *[none] * (3 - len(key))), strict=True)]
+        return df.select(F.lit(side).alias("_side"), *named, rank.cast("string").alias("_rank"), title.alias("_title"), url.alias("_url"))
+
+    unknown = F.lit(None).cast("string")
+    known = places(cached, "cached", (text("kind"), text("key"), space), text("title"), text("url"))
+    for more in (
+        places(sitemap, "site", (text("title"),), unknown, text("path")),
+        places(view, "view", (text("page_id"), text("label")), unknown, text("href")),
+        places(search, "search", (text("title"), space), unknown, text("url"), text("rank")),
+        places(users, "user", (text("user_key"),), text("title"), text("url")),
+        places(attachments, "file", (text("page_id"), text("name")), text("title"), text("url")),
+    ):
+        known = known.unionByName(more)
+    at = ["_side", "_a", "_b", "_c"]
+    known = known.groupBy(*at).agg(F.min(F.struct("_rank", "_title", "_url")).alias("_r")).select(*at, "_r._title", "_r._url")
+    page, user, file = (F.col("kind") == k for k in ("page", "user", "attachment"))
+
+    def ask(when, order: int, side: str, *key, tail=none):
+        wide = (*key, *[none] * (3 - len(key)))
+        return F.when(when, F.struct(F.lit(order).alias("_order"), F.lit(side).alias("_side"), *(x.alias(n) for n, x in zip(("_a", "_b", "_c"), wide, strict=True)), tail.alias("_tail")))
+
+    asks = F.array(
+        ask(F.lit(True), 0, "cached", text("kind"), text("key"), space),
+        # a title may hold the sign that begins a fragment, so the whole key is looked up first
+        ask(page, 1, "site", text("key")),
+        ask(page & (fragment != ""), 2, "site", bare, tail=fragment),
+        ask(page, 3, "view", text("page_id"), text("key")),
+        ask(page, 4, "search", text("key"), space),
+        ask(page & (fragment != ""), 5, "search", bare, space),
+        ask(user, 6, "user", text("key")),
+        ask(file, 7, "file", text("page_id"), text("key")),
+    )
+    each = links.select(*links.columns, F.explode(F.filter(asks, lambda x: x.isNotNull())).alias("_ask")).select(*links.columns, "_ask.*")
+    each = each.join(known, at, "left")
+    local = F.col("_order").isin(1, 2)
+    hit = F.when(F.col("_url").isNotNull(), F.struct("_order", F.concat("_url", "_tail").alias("url"), local.alias("local")))
+    # rows that are equal stay as many; each has one first question
+    best = each.groupBy(*links.columns).agg(F.min(hit).alias("_hit"), F.min(F.when(F.col("_title").isNotNull(), F.struct("_order", "_title"))).alias("_named"), F.count_if(F.col("_order") == 0).alias("_n"))
+    best = best.withColumn("_n", F.explode(F.array_repeat(F.lit(1), F.col("_n").cast("int"))))
+    title = F.coalesce("_named._title", F.when(F.col("_hit").isNotNull(), text("key")))
+    return best.select(*links.columns, title.alias("title"), F.col("_hit.url").alias("url"), F.coalesce("_hit.local", F.lit(False)).alias("local"))
 
 
 def _first(side: DataFrame, *keys: str) -> DataFrame:
