@@ -8,6 +8,8 @@ import zipfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.functions.columns import attachment_key
+
 from .rest import FileTree
 
 
@@ -45,6 +47,18 @@ def upsert(stored: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return stored.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
+def sent(attached: DataFrame) -> DataFrame:
+    """(page_id, key, value): the properties by which attachments (page_id, name, bytes) that were sent are known again."""
+    return attached.filter("bytes is not null").select("page_id", attachment_key("name").alias("key"), F.sha2("bytes", 256).alias("value"))
+
+
+def unsent(attached: DataFrame, properties: DataFrame) -> DataFrame:
+    """``attached`` without what its page has already, by the hash that is kept for the name."""
+    rows = attached.filter("bytes is not null").withColumns({"_key": attachment_key("name"), "_value": F.sha2("bytes", 256)})
+    known = properties.select("page_id", F.col("key").alias("_key"), F.col("value").alias("_value")).distinct()
+    return rows.join(known, ["page_id", "_key", "_value"], "left_anti").select(*attached.columns)
+
+
 def deleted(stored: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return stored.join(gone.select(*keys).distinct(), keys, "left_anti")
 

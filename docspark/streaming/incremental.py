@@ -1,63 +1,78 @@
-"""Incremental conversion of a growing folder: a file stream, each batch's new or changed pages converted once."""
+"""Incremental conversion of a growing folder: a file stream with state by page, so that only what changed is converted and a batch costs its own size.
+
+The state of a page is the hash and the version of what it has now and the number of its changes. A page is passed on where its hash is another one than it has now, so a page that returns to an earlier text is
+converted again; a version below the one that it has came late and is passed over. Rows without a version are taken as they come. State and results are committed together by the stream's checkpoint: a batch that is
+run again gives the same rows once.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from docspark.functions.columns import content_hash
 from docspark.operators.convert import to_text
 
+STATE = "hash string, version double, change long"
 
-def convert_stream(
-    spark: SparkSession, source: str, target: str, state: str, schema: str = "page_id string, html string", form: str = "md", order: str | None = None
-) -> StreamingQuery:
-    """Convert pages that arrive as Parquet files in ``source``; ``target`` and ``state`` are tables in shared folders.
 
-    Within a batch the row of a page with the greatest ``order`` (a version) wins, by hash among equals. A page is skipped where its hash is the one that it has now, so a page
-    that returns to an earlier text is converted again. The state (page_id, hash, batch) is written after the result; a batch that is run again converts its
-    pages again, and readers take each page's last row by ``batch``.
-    """
-    pages = spark.readStream.schema(schema).parquet(source)
+def newest(frames: Iterator[pd.DataFrame]) -> tuple[float | None, str, str | None] | None:
+    """(version, hash, text) of the row that wins: the greatest version, then the greatest hash; rows without a version are below all others."""
+    best = None
+    for frame in frames:
+        for text, version in zip(frame["html"], frame["version"], strict=True):
+            text = None if text is None or text != text else text
+            row = (float("-inf") if version is None or version != version else float(version), hashlib.sha256((text or "").encode()).hexdigest(), text)
+            best = row if best is None or row[:2] > best[:2] else best
+    return best
 
-    def one(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        rows = batch.withColumn("hash", content_hash("html"))
-        by = F.struct(*([order] if order else []), "hash")
-        rows = rows.groupBy("page_id").agg(F.max_by(F.struct("html", "hash"), by).alias("r")).select("page_id", "r.html", "r.hash")
-        if _exists(session, state):
-            rows = rows.join(current(session, state, number).select("page_id", "hash"), ["page_id", "hash"], "left_anti")
-        made = to_text(rows, "html", form).withColumn("batch", F.lit(number).cast("long"))
-        made.write.mode("append").parquet(target)
-        session.read.parquet(target).filter(F.col("batch") == number).select("page_id", "hash", "batch").distinct().write.mode("append").parquet(state)
 
-    return pages.writeStream.foreachBatch(one).option("checkpointLocation", f"{state}_checkpoint").trigger(availableNow=True).start()
+def passed_on(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    found = newest(frames)
+    if found is None:
+        return
+    version, digest, text = found
+    now = state.get if state.exists else (None, float("-inf"), 0)
+    known = version == float("-inf")
+    if not known and version < now[1] or digest == now[0]:
+        # late or unchanged; a later version of the same text counts as seen
+        if digest == now[0] and version > now[1]:
+            state.update((digest, version, now[2]))
+        return
+    state.update((digest, max(version, now[1]), now[2] + 1))
+    yield pd.DataFrame({"page_id": [key[0]], "html": [text], "hash": [digest], "change": [now[2] + 1]})
 
 
-def current(spark: SparkSession, state: str, before: int | None = None) -> DataFrame:
-    """(page_id, hash, batch): what each page has now, or had ``before`` a batch."""
-    rows = spark.read.parquet(state)
-    rows = rows if before is None else rows.filter(F.col("batch") < before)
-    return rows.groupBy("page_id").agg(F.max(F.struct("batch", "hash")).alias("r")).select("page_id", "r.hash", "r.batch")
+def changed_pages(pages: DataFrame, order: str | None = None) -> DataFrame:
+    """The rows of a stream (page_id, html) that change their page: page_id, html, hash, and change, the number of the page's changes. ``order`` names its version, a number or time."""
+    version = F.col(order).cast("double") if order else F.lit(None).cast("double")
+    rows = pages.select("page_id", "html", version.alias("version"))
+    result = "page_id string, html string, hash string, change long"
+    return rows.groupBy("page_id").applyInPandasWithState(passed_on, result, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def compacted(spark: SparkSession, state: str, target: str) -> None:
-    """Write the state without what later batches replaced to another folder, from which the next run goes on."""
-    current(spark, state).write.mode("errorifexists").parquet(target)
-
+def convert_stream(
+    spark: SparkSession, source: str, target: str, state: str, schema: str = "page_id string, html string", form: str = "md", order: str | None = None
+) -> StreamingQuery:
+    """Convert pages that arrive as Parquet files in ``source``; ``target`` is a table in a shared folder, and ``state`` the stream's checkpoint."""
+    pages = spark.readStream.schema(schema).parquet(source)
+    made = to_text(changed_pages(pages, order), "html", form)
+    return made.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).option("path", target).trigger(availableNow=True).start()
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
 
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
+def current(spark: SparkSession, state: str) -> DataFrame:
+    """(page_id, hash, change): what each page has now, from the stream's state."""
+    rows = spark.read.format("statestore").load(state)
+    value = "value.groupState" if "groupState" in rows.schema["value"].dataType.names else "value"
+    return rows.select("key.page_id", f"{value}.hash", f"{value}.change")
 
 
 def latest(spark: SparkSession, target: str) -> DataFrame:
     """The last conversion of every page."""
     rows = spark.read.parquet(target)
-    return rows.groupBy("page_id").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "page_id")), "batch").alias("r")).select("page_id", "r.*")
+    return rows.groupBy("page_id").agg(F.max_by(F.struct(*(c for c in rows.columns if c != "page_id")), "change").alias("r")).select("page_id", "r.*")

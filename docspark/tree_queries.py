@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docspark.operators import diagrams, includes, split
 from docspark.plans import export
+from docspark.sources import sinks
 from docspark.sources.pages import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,3 +192,13 @@ def export_attachments(spark, d):
     files = export.export_tree(pages, edges, attached=_attached(docs))
     line = F.regexp_extract("content", r"(?m)^(image::.*|Diagram .*)$", 1)
     return files.select("path", line.alias("shown"), F.col("bytes").isNull().alias("text"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS page_id, name FROM documents, (VALUES ('same.txt'), ('new.txt'), ('other.txt')) v(name) WHERE name = 'other.txt' OR name = 'new.txt' AND doc_id % 3 = 0 OR name = 'same.txt' AND text IS DISTINCT FROM text || substr('x', 1, doc_id % 2)")
+def attachment_skip(spark, d):
+    """Attachments of every document: some are there with the same bytes, some with other bytes, some not at all."""
+    docs = read_table(spark, d, "documents").selectExpr("CAST(doc_id AS STRING) AS page_id", "doc_id", "text")
+    file = lambda name, text: docs.selectExpr("page_id", f"'{name}' AS name", f"CAST({text} AS BINARY) AS bytes")
+    now = file("same.txt", "concat(text, substr('x', 1, CAST(doc_id % 2 AS INT)))").unionByName(file("new.txt", "text")).unionByName(file("other.txt", "text"))
+    known = sinks.sent(file("same.txt", "text").unionByName(file("new.txt", "text").filter("CAST(page_id AS LONG) % 3 <> 0")).unionByName(file("other.txt", "concat(text, 'y')")))
+    return sinks.unsent(now, known).select("page_id", "name")
