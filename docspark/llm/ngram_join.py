@@ -643,7 +643,10 @@ def similar(df: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     grouped = classes.join(root, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members"))
     known = grouped.join(least.filter("members > 1"), "root").select("node", "component_id", "root")
-    return found.join(known, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "th", "root")
+    # rows without words have no node, and would meet in one task of the join
+    out = lambda rows, component, root: rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "th", root.alias("root"))
+    empty = out(found.filter("node is null"), F.col("doc_id"), F.lit(None).cast(known.schema["root"].dataType))
+    return out(found.filter("node is not null").join(known, "node", "left"), F.coalesce("component_id", "doc_id"), F.col("root")).unionByName(empty)
 
 
 def one_of_each(df: DataFrame, found: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
