@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whatever they are named: rows travel as one
 column beside the stage's own. ``run`` writes each stage's result to the shared checkpoint folder and goes on from there. Null and empty texts are scored by the
-bias of the classifier, link with nothing, hold nothing to sanitise and are packed as an end id; texts of any length stay whole; an empty table gives no rows.
+bias of the classifier, link with nothing, hold nothing to sanitise and are packed as an end id; texts of any length stay whole; of rows that are equal in id and text one stays, as of
+near copies the one of least id, ties by a hash of the text; rows of equal score fare alike; an empty table gives no rows.
 """
 
 from __future__ import annotations

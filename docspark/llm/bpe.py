@@ -6,7 +6,7 @@ product table is computed once; a blocked scan over that table gives the state b
 boundaries. Slices then go through pair merging, once per distinct slice, and are gathered back as flat id arrays with
 the offsets of every text.
 
-Defined results: a null or empty text has no ids; repeated rows get the same ids; other input columns are kept, and one
+Defined results: a null or empty text has no ids; a text of any length is encoded whole, as a slice of its own if need be; repeated rows get the same ids; other input columns are kept, and one
 named like an output column is replaced by it; an empty table gives an empty table.
 """
 

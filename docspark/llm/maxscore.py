@@ -49,6 +49,10 @@ def threshold(scores: np.ndarray, sizes: np.ndarray, need: int) -> float:
     return min(scores[order[at]], TOP) if at < len(have) else -np.inf
 
 
+def is_exact(shard: Shard, q: np.ndarray) -> bool:
+    return np.abs(q).sum() * shard.greatest <= EXACT
+
+
 def top(shard: Shard, q: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
     """Every class that can be among the best ``need`` ids, and its score up to rounding."""
     n, dim = shard.vecs.shape
@@ -56,28 +60,29 @@ def top(shard: Shard, q: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]
     strength = most - np.minimum(q * shard.high, q * shard.low)
     order = np.argsort(-strength, kind="stable")
     # what rounding can add to a score, or take from it: none, where all sums are exact
-    ulps = 0.0 if np.abs(q).sum() * shard.greatest <= EXACT else (dim + 2) * 2.0**-50 * np.linalg.norm(q)
-    slack = ulps * shard.norms
-    loose = ulps and (dim + 2) * 2.0**-50 * np.abs(most).sum()
+    exact = is_exact(shard, q)
+    slack = None if exact else (dim + 2) * 2.0**-50 * np.linalg.norm(q) * shard.norms
+    of = (lambda at: 0.0) if exact else (lambda at: slack[at])
+    loose, most_slack = (0.0, 0.0) if exact else ((dim + 2) * 2.0**-50 * np.abs(most).sum(), slack.max())
     heads = np.unique(np.concatenate([shard.heads[int(q[d] > 0), :, d] for d in order[:HEADS]]))
-    least = threshold(shard.vecs[heads] @ q - slack[heads], shard.sizes[heads], need)
+    least = threshold(shard.vecs[heads] @ q - of(heads), shard.sizes[heads], need)
     # what terms from place i on can still add
     rest = np.append(np.cumsum(most[order][::-1])[::-1] + loose, 0.0)
     essential = STEP
-    while essential < dim and rest[essential] + slack.max() >= least:
+    while essential < dim and rest[essential] + most_slack >= least:
         essential += STEP
     terms = order[:essential]
     part = shard.columns[terms].T @ q[terms]
     alive = np.arange(n)
     at = min(essential, dim)
     while True:
-        keep = part + rest[at] + slack[alive] >= least
+        keep = part + rest[at] + of(alive) >= least
         alive, part = alive[keep], part[keep]
         if at == dim or not len(alive):
             return alive, part
         if len(alive) > 4 * need:  # the threshold rises by the best partial scores' vectors
             look = alive[np.argpartition(-part, 2 * need)[: 2 * need]]
-            least = max(least, threshold(shard.vecs[look] @ q - slack[look], shard.sizes[look], need))
+            least = max(least, threshold(shard.vecs[look] @ q - of(look), shard.sizes[look], need))
         terms = order[at : at + STEP]
         part = part + shard.vecs[np.ix_(alive, terms)] @ q[terms]
         at = min(at + STEP, dim)
@@ -90,7 +95,7 @@ def whole(x: np.ndarray) -> list:
 
 def scores(shard: Shard, at: np.ndarray, q: np.ndarray, rounded: np.ndarray) -> np.ndarray:
     """The exact scores of classes ``at``, as longs."""
-    if np.abs(q).sum() * shard.greatest <= EXACT:
+    if is_exact(shard, q):
         return rounded.astype(np.int64)
     terms = whole(q)
     exact = [sum(a * b for a, b in zip(terms, whole(v), strict=True)) for v in shard.vecs[at]]

@@ -7,7 +7,7 @@ free space, with a bitset of the free spaces that occur, so the tightest fit is
 and the bound is reached, the fullest one closes. A piece that fills a sequence never opens one.
 
 Defined results: a null or empty text is the end id alone; a very long text is encoded whole and cut into as many pieces as it takes;
-the key is a number (other keys raise, as the cast does); repeated rows are packed as often as they occur; null ids stay
+the key is a number (other keys raise, as the cast does); repeated rows are packed as often as they occur; pieces of equal length come by id and piece; null ids stay
 null; an empty table gives no pieces; other input columns are not carried, so their names cannot clash.
 """
 

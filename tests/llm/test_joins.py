@@ -417,3 +417,20 @@ def test_pipeline_of_odd_rows(spark):
     out = p.sequence_packing(spark, p.pii_sanitisation(spark, one, SMALL), SMALL)
     assert out.count() >= 8
     assert p.near_duplicates(spark, docs.limit(0), SMALL).count() == 0
+
+
+def test_pipeline_of_nothing_and_of_clashing_names(spark):
+    """Columns named like those of the stages are kept through all but the last; very long texts pass; no rows give no rows."""
+    import corpus_pipeline as p
+
+    more = {"_score": "'a'", "node": "1", "th": "'b'", "root": "2", "_row": "'c'", "_text": "'d'", "ids": "3"}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40).selectExpr("*", *(f"{v} AS {k}" for k, v in more.items()))
+    docs = docs.unionByName(docs.limit(1).withColumns({"doc_id": F.lit(10**6).cast("long"), "text": F.repeat(F.col("text"), 300)}))
+    for some in (docs, docs.limit(0)):
+        now = some
+        for name, stage in p.STAGES[:-1]:
+            now = stage(spark, now, SMALL).cache()
+            assert now.columns == docs.columns, name
+            assert {(r["_score"], r.node, r.root) for r in now.collect()} <= {("a", 1, 2)}, name
+        packed = p.STAGES[-1][1](spark, now, SMALL)
+        assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in now.collect()} and (some is docs) == (packed.count() > 0)
