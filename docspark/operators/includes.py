@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspark.functions.columns import normal_path
+from docspark.operators.lines import let
 from docspark.shared import cut
 
 DEPTH = 64
@@ -99,9 +100,8 @@ def named_attributes(text: Column) -> Column:
     """A map of a file's attribute entries; of several of one name the last counts."""
     entries = F.regexp_extract_all(text, F.lit(r"(?m)^:[\w-]+:[ \t]+[^\n]*$"), F.lit(0))
     pair = lambda e: F.struct(F.regexp_extract(e, r"^:([\w-]+):", 1).alias("k"), F.regexp_replace(e, r"^:[\w-]+:[ \t]+|[ \t\r]+$", "").alias("v"))
-    pairs = F.transform(entries, pair)
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    last = lambda pairs: F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
+    return F.map_from_entries(let(F.transform(entries, pair), last))
 
 
 def with_attributes(text: Column, known: Column) -> Column:

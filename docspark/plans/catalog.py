@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspark.operators import textindex
 from docspark.operators.relational import clamp_limit, clamp_start, enabled_tools, link_types, version_pair
 from docspark.shared import shared_folder
 from docspark.sources.sinks import add_labels, deleted, upsert
@@ -306,7 +307,13 @@ class Catalog:
         fuzzy = words[0]
         for w in words[1:]:
             fuzzy = fuzzy & w
-        return first_tier(self._rows(tool, args), [F.col("title") == q, fuzzy, text.contains(q.lower())])
+        rows = self._rows(tool, args)
+        if {"page_index", "page_terms"} <= self.tables.keys():
+            # the index tells which texts hold the query, and no text is read
+            found = textindex.matches(self.tables["page_index"], self.tables["page_terms"], q).select(F.col("id").alias("_id"), F.lit(True).alias("_in"))
+            rows = rows.join(found, F.col("page_id") == F.col("_id"), "left")
+            return first_tier(rows, [F.col("title") == q, fuzzy, F.coalesce("_in", F.lit(False))]).drop("_id", "_in")
+        return first_tier(rows, [F.col("title") == q, fuzzy, text.contains(q.lower())])
 
     def _export(self, tool: Tool, args: dict) -> DataFrame:
         from .export import export_tree

@@ -9,10 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.operators import diagrams, includes, split
+from docspark.operators import diagrams, includes, split, textindex
 from docspark.plans import export
 from docspark.sources import sinks
 from docspark.sources.pages import read_table
+from docspark.shared import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -202,3 +203,20 @@ def attachment_skip(spark, d):
     now = file("same.txt", "concat(text, substr('x', 1, CAST(doc_id % 2 AS INT)))").unionByName(file("new.txt", "text")).unionByName(file("other.txt", "text"))
     known = sinks.sent(file("same.txt", "text").unionByName(file("new.txt", "text").filter("CAST(page_id AS LONG) % 3 <> 0")).unionByName(file("other.txt", "concat(text, 'y')")))
     return sinks.unsent(now, known).select("page_id", "name")
+
+
+# ---- substring search by an index ----
+
+_SOUGHT = ("er the", "he", "and the ", " on", "the and of", "nothing at all")
+
+
+@query(" UNION ALL ".join(f"SELECT '{q}' AS query, doc_id FROM documents WHERE contains(lower(text), '{q}')" for q in _SOUGHT))
+def indexed_search(spark, d):
+    """The same rows as a scan of all texts, from the index alone."""
+    index = cut(textindex.indexed(read_table(spark, d, "documents"), "doc_id", "text").repartition("term"))
+    terms = cut(textindex.vocabulary(index))
+    out = None
+    for q in _SOUGHT:
+        found = textindex.matches(index, terms, q).select(F.lit(q).alias("query"), F.col("id").alias("doc_id"))
+        out = found if out is None else out.unionByName(found)
+    return out
