@@ -116,7 +116,7 @@ def export_publish_round_trip(spark, d):
     storage = F.concat(F.lit('<ac:structured-macro ac:name="code"><ac:plain-text-body><![CDATA['), text, F.lit("]]></ac:plain-text-body></ac:structured-macro>"))
     pages = read_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("page_id"), F.concat(F.lit("d"), "doc_id").alias("title"), storage.alias("storage"), F.lit("v").alias("version_when"))
     edges = spark.createDataFrame([], "parent_id string, child_id string, title string")
-    files = export.export_tree(pages, edges, lines=1 << 30).select("path", "content")
+    files = cut(export.export_tree(pages, edges, lines=1 << 30).select("path", "content"))  # as files that are written and read again
     made = export.publish_files(files)
     code = F.replace(F.regexp_extract("storage", r"(?s)<!\[CDATA\[(.*)\]\]>", 1), F.lit("]]]]><![CDATA[>"), F.lit("]]>"))
     return made.select(F.regexp_extract("path", "^d([0-9]+)/", 1).cast("long").alias("doc_id"), code.alias("code"))
