@@ -1,6 +1,6 @@
 """A positional index of texts: substring search by a join on terms instead of a scan of all texts.
 
-A text is words and what stands between them, in small letters. The index has a row for each word of each text, with its place and the gaps before and after it; the vocabulary has each word
+A text is words and what stands between them, in small letters. The index has a row for each word of each text, with its place, the gaps before and after it and the word that follows; the vocabulary has each word
 once. A query is cut in the same way. Its inner words must be words of the text; where no gap of the query bounds them, the first may be the end of a word, the last the beginning of one, and a
 word alone a part of one. The vocabulary tells which words these are, which is a join of few rows, and the index where they stand. What is in the text at the right distances, with the query's gaps between, is a match: the same rows as those whose
 text contains the query.
@@ -11,8 +11,10 @@ Defined results: a null or empty text has no words, and is found by the empty qu
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: what a word is made of.
@@ -22,14 +24,16 @@ SENT_ROWS = 100_000
 
 
 def indexed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, pos, term, before, after) of every word; a text without words has one row without a term, and its gap."""
+    """(id, pos, term, before, after, next, beyond) of every word: the gaps on both sides of it, the word that follows and the gap behind that one; a text without words has one row without a term, and its gap."""
     rows = df.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.lower(text).alias("low"))
     # as columns, so that a text is cut once and not once a word
     rows = rows.select("id", "low", F.regexp_extract_all("low", F.lit(WORD), F.lit(0)).alias("words"), F.split("low", WORD, -1).alias("gaps"))
     n = F.size("words")
-    each = F.arrays_zip(F.col("words").alias("term"), F.slice("gaps", F.lit(1), n).alias("before"), F.slice("gaps", F.lit(2), n).alias("after"))
-    bare = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.col("low").alias("before"), F.lit("").alias("after")))
-    return rows.select("id", F.posexplode(F.when(n > 0, each).otherwise(bare)).alias("pos", "w")).select("id", "pos", "w.term", "w.before", "w.after")
+    from_ = lambda x, at: F.slice(x, F.lit(at), n)
+    each = F.arrays_zip(F.col("words").alias("term"), from_("gaps", 1).alias("before"), from_("gaps", 2).alias("after"), from_("words", 2).alias("next"), from_("gaps", 3).alias("beyond"))
+    none = F.lit(None).cast("string")
+    bare = F.array(F.struct(none.alias("term"), F.col("low").alias("before"), F.lit("").alias("after"), none.alias("next"), none.alias("beyond")))
+    return rows.select("id", F.posexplode(F.when(n > 0, each).otherwise(bare)).alias("pos", "w")).select("id", "pos", "w.*")
 
 
 def vocabulary(index: DataFrame) -> DataFrame:
@@ -48,22 +52,23 @@ def matches(index: DataFrame, terms: DataFrame, query: str) -> DataFrame:
     words, gaps = cut_query(query)
     if not words:
         return index.filter(F.contains("before", F.lit(gaps[0])) | F.contains("after", F.lit(gaps[0]))).select("id").distinct()
-    last, tests = len(words) - 1, []
-    for i, w in enumerate(words):
+    last = len(words) - 1
+
+    def fits(term: str, i: int) -> Column:
         # open on a side where the query has no gap there
-        left, right = i == 0 and gaps[0] == "", i == last and gaps[-1] == ""
-        t = F.col("term")
-        tests.append(F.contains(t, F.lit(w)) if left and right else t.endswith(w) if left else t.startswith(w) if right else t == w)
-    fits = F.filter(F.array(*(F.when(t, F.lit(i)) for i, t in enumerate(tests))), lambda x: x.isNotNull())
-    any_ = tests[0]
-    for t in tests[1:]:
-        any_ = any_ | t
-    wanted = terms.filter(any_).select("term", F.explode(fits).alias("i"))
-    wanted = F.broadcast(wanted) if wanted.limit(SENT_ROWS + 1).count() <= SENT_ROWS else wanted
-    hits = index.join(wanted, "term")
+        left, right, t, w = i == 0 and gaps[0] == "", i == last and gaps[-1] == "", F.col(term), words[i]
+        return F.contains(t, F.lit(w)) if left and right else t.endswith(w) if left else t.startswith(w) if right else t == w
+
     # the gap in front of the first word ends with the query's, that behind the last begins with it, those between are the query's
-    inner = F.array(*(F.lit(g) for g in gaps[1:-1])) if last else F.array().cast("array<string>")
-    front = F.when(F.col("i") == 0, F.col("before").endswith(gaps[0])).otherwise(F.lit(True))
-    behind = F.when(F.col("i") == last, F.col("after").startswith(gaps[-1])).otherwise(F.col("after") == F.try_element_at(inner, F.col("i") + 1))
-    found = hits.filter(front & behind).groupBy("id", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("n"))
-    return found.filter(F.col("n") == len(words)).select("id").distinct()
+    behind = lambda gap, i: F.col(gap).startswith(gaps[-1]) if i == last else F.col(gap) == gaps[i + 1]
+    # a row tells of a word and the next, so all words but the last are looked for, and one or two need no counting
+    sought = range(max(last, 1))
+    which = F.filter(F.array(*(F.when(fits("term", i), F.lit(i)) for i in sought)), lambda x: x.isNotNull())
+    wanted = terms.select("term", F.explode(which).alias("i"))
+    wanted = F.broadcast(wanted) if wanted.limit(SENT_ROWS + 1).count() <= SENT_ROWS else wanted
+    here = lambda i: [behind("after", i), *([F.col("before").endswith(gaps[0])] if i == 0 else []), *([fits("next", i + 1), behind("beyond", i + 1)] if last else [])]
+    there = reduce(or_, (reduce(and_, here(i), F.col("i") == i) for i in sought))
+    found = index.join(wanted, "term").filter(there)
+    if last > 1:
+        found = found.groupBy("id", (F.col("pos") - F.col("i")).alias("start")).agg(F.count("*").alias("n")).filter(F.col("n") == last)
+    return found.select("id").distinct()

@@ -13,7 +13,7 @@ from docspark.operators import diagrams, includes, split, textindex
 from docspark.plans import export
 from docspark.sources import sinks
 from docspark.sources.pages import read_table
-from docspark.shared import cut
+from docspark.shared import cut, dealt, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -213,7 +213,7 @@ _SOUGHT = ("er the", "he", "and the ", " on", "the and of", "nothing at all")
 @query(" UNION ALL ".join(f"SELECT '{q}' AS query, doc_id FROM documents WHERE contains(lower(text), '{q}')" for q in _SOUGHT))
 def indexed_search(spark, d):
     """The same rows as a scan of all texts, from the index alone."""
-    index = cut(textindex.indexed(read_table(spark, d, "documents"), "doc_id", "text").repartition("term"))
+    index = stored(textindex.indexed(dealt(read_table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text"))
     terms = cut(textindex.vocabulary(index))
     out = None
     for q in _SOUGHT:
