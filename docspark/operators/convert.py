@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from docspark.shared import dealt
+
 from . import blocks, dom, writers
 
 BLOCK = "node_id int, parent_id int, ord int, depth int, kind string, level int, text string"
@@ -35,7 +37,7 @@ def _mapped(df: DataFrame, html: str, fields: T.StructType, make, given: tuple[s
                 columns = [pa.array(list(x), type=k) for x, k in zip(zip(*rows, strict=True), arrow, strict=True)] if rows else [pa.array([], type=k) for k in arrow]
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in keep), *columns], names=[*keep, *fields.names])
 
-    return df.mapInArrow(run, kinds)
+    return dealt(df).mapInArrow(run, kinds)
 
 
 def T_to_arrow(kind: T.DataType) -> pa.DataType:

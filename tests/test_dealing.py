@@ -1,12 +1,13 @@
 """Stages in Python run on all cores, however few partitions their rows come in, and give what they gave before."""
 
 import pytest
-from docspark.operators import anonymize
+from docspark.operators import anonymize, convert
 from docspark.operators.standins import StandIns
 from docspark.shared import dealt
 from pyspark.sql import functions as F
 
 STAGES = {
+    "to_texts": lambda df: convert.to_texts(df, "text"),
     "stand_ins": lambda df: anonymize.stand_ins(df.selectExpr("'login' AS kind", "text AS value")),
 }
 
