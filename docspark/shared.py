@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Parts for each core that rows are dealt into.
@@ -39,11 +39,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame) -> DataFrame:
+def dealt(df: DataFrame, together: Column | None = None) -> DataFrame:
     """``df`` dealt evenly over all cores, row by row, for stages that cost far more a row than moving it.
 
-    The partitions of a file are those of its row groups, and a compact table of very many rows has one. Rows go by their number, so that equal rows part and none are sorted; a stream stays as it is.
+    The partitions of a file are those of its row groups, and a compact table of very many rows has one. Rows go by their number, so that equal rows part and none are sorted; those where
+    ``together`` is not null go by it, which is for values that a task remembers. A stream stays as it is.
     """
     if df.isStreaming:
         return df
-    return df.repartition(PARTS_A_CORE * df.sparkSession.sparkContext.defaultParallelism, F.monotonically_increasing_id())
+    number = F.monotonically_increasing_id()
+    parts = PARTS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts, number if together is None else F.when(together.isNull(), number).otherwise(F.xxhash64(together)))

@@ -7,6 +7,8 @@ from docspark.shared import dealt
 from pyspark.sql import functions as F
 
 STAGES = {
+    "anonymize_json": lambda df: anonymize.anonymize_json(df, "text"),
+    "anonymize_adoc": lambda df: anonymize.anonymize_adoc(df.selectExpr("id", "concat(text, repeat(' long', 300)) AS text")),
     "to_texts": lambda df: convert.to_texts(df, "text"),
     "stand_ins": lambda df: anonymize.stand_ins(df.selectExpr("'login' AS kind", "text AS value")),
 }
@@ -27,6 +29,17 @@ def test_dealt_keeps_rows(spark):
     assert dealt(rows.limit(0)).count() == 0
 
 
+def test_equal_records_are_made_once_a_task(spark):
+    """A record that comes often is in one task, which remembers it; nulls, blanks and long texts go anywhere."""
+    texts = ['{"title": "Some plan"}', None, " ", '{"title": "' + "x " * 3000 + '"}']
+    rows = spark.range(400, numPartitions=1).select("id", F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 4 + 1).cast("int")).alias("json"))
+    made = anonymize.anonymize_json(rows).select("id", "json", F.spark_partition_id().alias("at")).collect()
+    one = anonymize.Anonymizer()
+    assert len(made) == 400 and all(r.json == (texts[r.id % 4] if r.id % 4 in (1, 2) else one.json(texts[r.id % 4])) for r in made)
+    places = {i: len({r.at for r in made if r.id % 4 == i}) for i in range(4)}
+    assert places[0] == 1 and places[1] > 4 and places[3] > 4
+
+
 def test_stand_ins_of_before():
     """Values under a key that other tables were made with."""
     s = StandIns(b"42")
