@@ -1,7 +1,7 @@
 """Stages in Python run on all cores, however few partitions their rows come in, and give what they gave before."""
 
 import pytest
-from docspark.operators import anonymize, convert
+from docspark.operators import anonymize, convert, publish
 from docspark.operators.standins import StandIns
 from docspark.shared import dealt
 from pyspark.sql import functions as F
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 STAGES = {
     "anonymize_json": lambda df: anonymize.anonymize_json(df, "text"),
     "anonymize_adoc": lambda df: anonymize.anonymize_adoc(df.selectExpr("id", "concat(text, repeat(' long', 300)) AS text")),
+    "to_storage": lambda df: publish.to_storage(df.selectExpr("concat(id, '.adoc') AS path", "text AS content")),
     "to_texts": lambda df: convert.to_texts(df, "text"),
     "stand_ins": lambda df: anonymize.stand_ins(df.selectExpr("'login' AS kind", "text AS value")),
 }
