@@ -13,6 +13,7 @@ from docspark.functions import tables
 from docspark.functions.pure import ALIASES, LANGUAGES
 from docspark.operators import anonymize, convert, links, relational, sitemap
 from docspark.plans import bundles, export, requests
+from docspark.shared import dealt
 from docspark.sources import config, pages, sinks
 from docspark.sources.pages import read_table
 
@@ -224,7 +225,7 @@ def lateral_cells(spark, d):
     """``table_cells`` from SQL."""
     html = "concat('<table><tr><th>A</th><th>', lower(c_mktsegment), '</th></tr><tr><td colspan=\"2\">', lower(c_mktsegment), '</td></tr></table>')"
     tables.register(spark)
-    return spark.sql("SELECT c_custkey, c.* FROM {rows}, LATERAL cells(html) c", rows=_customers(spark, d, html=html))
+    return spark.sql("SELECT c_custkey, c.* FROM {rows}, LATERAL cells(html) c", rows=dealt(_customers(spark, d, html=html)))
 
 
 @query("""SELECT c_custkey, node_id, parent_id, ord, depth, kind, level, CASE WHEN kind IN ('heading', 'paragraph') THEN c_name ELSE '' END AS text FROM customer,
@@ -232,7 +233,7 @@ def lateral_cells(spark, d):
 def lateral_blocks(spark, d):
     html = "concat('<h2>', c_name, '</h2><ac:structured-macro ac:name=\"info\"><ac:rich-text-body><p>', c_name, '</p></ac:rich-text-body></ac:structured-macro>')"
     tables.register(spark)
-    return spark.sql("SELECT c_custkey, b.* FROM {rows}, LATERAL blocks(html, 'adoc') b", rows=_customers(spark, d, html=html))
+    return spark.sql("SELECT c_custkey, b.* FROM {rows}, LATERAL blocks(html, 'adoc') b", rows=dealt(_customers(spark, d, html=html)))
 
 
 @query("""SELECT 'f' || doc_id || '.adoc' AS path, CASE WHEN doc_id % 5 = 1 THEN ':confluency-id: 7' ELSE 'none' END AS id FROM documents WHERE doc_id % 5 <> 0""")

@@ -1,6 +1,7 @@
 """Stages in Python run on all cores, however few partitions their rows come in, and give what they gave before."""
 
 import pytest
+from docspark import queries
 from docspark.operators import anonymize, convert, publish
 from docspark.operators.standins import StandIns
 from docspark.shared import dealt
@@ -46,3 +47,9 @@ def test_stand_ins_of_before():
     s = StandIns(b"42")
     made = [s.shape("login", "ann.12"), s.shape("login", "0" * 300)[:12], s.words("Ann Lee 7"), s.hexadecimal("user", "ff01"), s.shape("file", "é")]
     assert made == ["kju.87", "065399988996", "Borjel Danpi 7", "677c", "ø3f6f"]
+
+
+@pytest.mark.parametrize("name", ["lateral_cells", "lateral_blocks", "export_splits_long_pages"])
+def test_queries_take_all_cores(spark, name):
+    made = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("at")).groupBy("at").count().collect()
+    assert len(made) >= spark.sparkContext.defaultParallelism
