@@ -54,7 +54,7 @@ def to_text(
     ``links`` names a column of the page's resolved links, an array of (kind, key, space, title, url), and ``children`` one of (title, url); a row brings its own
     along and both are left out of the result.
     """
-    options = options or blocks.Options()
+    options, show = options or blocks.Options(), writers.writer(form, images)
 
     def make(markup: str | None, *values) -> list[tuple]:
         own = dict(zip(given, values, strict=True))
@@ -65,7 +65,7 @@ def to_text(
         root = dom.parse(markup)
         title = root.first("title")
         state = blocks.State(mine)
-        text = writers.writer(form, images)(blocks.build(dom.body(root), state))
+        text = show(blocks.build(dom.body(root), state))
         row = (title.text() if title else None, text)
         return [row if options.in_memory else (*row, [{"path": p, "content": c} for p, c in state.files])]
 
@@ -77,10 +77,11 @@ def to_text(
 def to_texts(df: DataFrame, html: str = "html", forms: dict[str, str | None] | None = None, options: blocks.Options | None = None) -> DataFrame:
     """Adds a column for each of ``forms``, named like the form; the values are folders of images, or None. A page is parsed once for all of them."""
     options, forms = options or blocks.Options(), forms or {"adoc": None, "md": "attache"}
+    shows = [writers.writer(f, images) for f, images in forms.items()]
 
     def make(markup: str | None) -> list[tuple]:
         tree = blocks.build(dom.body(dom.parse(markup)), blocks.State(options))
-        return [tuple(writers.writer(f, images)(tree) for f, images in forms.items())]
+        return [tuple(show(tree) for show in shows)]
 
     return _mapped(df, html, T.StructType.fromDDL(", ".join(f"`{f}` string" for f in forms)), make)
 

@@ -2,7 +2,7 @@
 
 import pytest
 from docspark import queries
-from docspark.operators import anonymize, convert, publish
+from docspark.operators import anonymize, convert, publish, writers
 from docspark.operators.standins import StandIns
 from docspark.shared import dealt
 from pyspark.sql import functions as F
@@ -53,3 +53,38 @@ def test_stand_ins_of_before():
 def test_queries_take_all_cores(spark, name):
     made = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("at")).groupBy("at").count().collect()
     assert len(made) >= spark.sparkContext.defaultParallelism
+
+
+@pytest.fixture
+def made(monkeypatch) -> list:
+    """The writers that are made from now on, on the driver."""
+    out, init = [], writers.Writer.__init__
+    monkeypatch.setattr(writers.Writer, "__init__", lambda self: out.append(self) or init(self))
+    return out
+
+
+@pytest.fixture
+def stages(monkeypatch) -> list:
+    """What each stage of ``convert`` that is planned from now on does with a page."""
+    out, mapped = [], convert._mapped
+    monkeypatch.setattr(convert, "_mapped", lambda df, html, fields, make, *given: out.append(make) or mapped(df, html, fields, make, *given))
+    return out
+
+
+def test_a_stage_makes_its_writers_once(spark, made, stages):
+    """Not for each page, as making them costs more than printing a short page; and a page leaves nothing to the next."""
+    pages = ["<p>x <code>a_b</code></p>", "<ol><li>" * 9 + "y", None, "<table><tr><td>", "<p>x <code>a_b</code></p>"]
+    df = spark.createDataFrame([], "html string")
+    convert.to_text(df), convert.to_texts(df)
+    assert len(made) == 3
+    one, both = ([make(p) for p in pages] for make in stages)
+    assert one[0] == one[4] == [(None, "x `a_b`")] and one[2] == [(None, "")]
+    assert both[0] == both[4] == [("x `a_b`", "x `a_b`")] and both[2] == [("", "")]
+    assert len(made) == 3
+
+
+@pytest.mark.parametrize("name", ["block_headings"])
+def test_constructs_take_all_cores_and_make_no_writer_a_row(spark, made, stages, name):
+    rows = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select("*", F.spark_partition_id().alias("at")).collect()
+    assert len({r.at for r in rows}) >= spark.sparkContext.defaultParallelism
+    assert stages[0]("<p>x</p>") == stages[0]("<p>x</p>") == [("x", "x")] and len(made) == 2
