@@ -83,7 +83,7 @@ def test_a_stage_makes_its_writers_once(spark, made, stages):
     assert len(made) == 3
 
 
-@pytest.mark.parametrize("name", ["block_headings", "block_steps", "block_ac_link_unresolved", "block_colours_off", "block_task_list"])
+@pytest.mark.parametrize("name", ["block_headings", "block_steps", "block_ac_link_unresolved", "block_colours_off", "block_task_list", "block_code"])
 def test_constructs_take_all_cores_and_make_no_writer_a_row(spark, made, stages, name):
     rows = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select("*", F.spark_partition_id().alias("at")).collect()
     assert len({r.at for r in rows}) >= spark.sparkContext.defaultParallelism
