@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.operators import blocks, convert, publish
+from docspark.shared import dealt
 from docspark.sources.pages import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,8 +36,8 @@ def construct(name: str, markup: str, adoc: str, md: str, **options) -> None:
     """A construct of storage markup or HTML in both output formats."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = read_table(spark, d, "customer").select("c_custkey", _filled(markup).alias("html"))
-        return convert.to_texts(rows, "html", {"adoc": None, "md": "attache"}, blocks.Options(**options))
+        rows = dealt(read_table(spark, d, "customer").select("c_custkey", "c_mktsegment")).select("c_custkey", _filled(markup).alias("html"))
+        return convert.to_texts(rows, "html", {"adoc": None, "md": "attache"}, blocks.Options(**options), deal=False)
 
     QUERIES[f"block_{name}"] = run
     ORACLE_SQL[f"block_{name}"] = f"SELECT c_custkey, {_sql(adoc)} AS adoc, {_sql(md)} AS md FROM customer"

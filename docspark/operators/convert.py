@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import replace
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,8 +19,11 @@ LINK = "ord int, kind string, key string, space string"
 CELL = "table_no int, row_no int, cell_no int, colspan int, rowspan int, header boolean, rich boolean, text string"
 
 
-def _mapped(df: DataFrame, html: str, fields: T.StructType, make, given: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` without ``html`` and ``given``, with ``fields`` that ``make(markup, *values of given)`` gives for each row: any number of rows."""
+def _mapped(df: DataFrame, html: str, fields: T.StructType, make, given: tuple[str, ...] = (), deal: bool = True) -> DataFrame:
+    """``df`` without ``html`` and ``given``, with ``fields`` that ``make(markup, *values of given)`` gives for each row: any number of rows.
+
+    Rows are dealt over all cores where the caller has not dealt them, and taken in slices of 256. Of equal pages in a slice one is made, unless rows bring values of their own along.
+    """
     keep = [c for c in df.columns if c not in (html, *given) and c not in fields.names]
     kinds = T.StructType([*(df.schema[c] for c in keep), *fields])
     arrow = [T_to_arrow(f.dataType) for f in fields]
@@ -28,16 +32,16 @@ def _mapped(df: DataFrame, html: str, fields: T.StructType, make, given: tuple[s
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows, which = [], []
+                rows, which, once = [], [], make if given else cache(make)
                 for i, values in enumerate(zip(*(part.column(c).to_pylist() for c in (html, *given)), strict=True)):
-                    made = make(*values)
+                    made = once(*values)
                     rows += made
                     which += [i] * len(made)
                 take = pa.array(which, type=pa.int32())
                 columns = [pa.array(list(x), type=k) for x, k in zip(zip(*rows, strict=True), arrow, strict=True)] if rows else [pa.array([], type=k) for k in arrow]
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in keep), *columns], names=[*keep, *fields.names])
 
-    return dealt(df).mapInArrow(run, kinds)
+    return (dealt(df) if deal else df).mapInArrow(run, kinds)
 
 
 def T_to_arrow(kind: T.DataType) -> pa.DataType:
@@ -74,8 +78,11 @@ def to_text(
     return _mapped(df, html, T.StructType.fromDDL(f"title string, text string{files}"), make, given)
 
 
-def to_texts(df: DataFrame, html: str = "html", forms: dict[str, str | None] | None = None, options: blocks.Options | None = None) -> DataFrame:
-    """Adds a column for each of ``forms``, named like the form; the values are folders of images, or None. A page is parsed once for all of them."""
+def to_texts(df: DataFrame, html: str = "html", forms: dict[str, str | None] | None = None, options: blocks.Options | None = None, deal: bool = True) -> DataFrame:
+    """Adds a column for each of ``forms``, named like the form; the values are folders of images, or None. A page is parsed once for all of them.
+
+    ``deal`` is False where the rows are dealt already, as by a caller that makes wide markup of narrow rows.
+    """
     options, forms = options or blocks.Options(), forms or {"adoc": None, "md": "attache"}
     shows = [writers.writer(f, images) for f, images in forms.items()]
 
@@ -83,7 +90,7 @@ def to_texts(df: DataFrame, html: str = "html", forms: dict[str, str | None] | N
         tree = blocks.build(dom.body(dom.parse(markup)), blocks.State(options))
         return [tuple(show(tree) for show in shows)]
 
-    return _mapped(df, html, T.StructType.fromDDL(", ".join(f"`{f}` string" for f in forms)), make)
+    return _mapped(df, html, T.StructType.fromDDL(", ".join(f"`{f}` string" for f in forms)), make, (), deal)
 
 
 def files_of(df: DataFrame, html: str = "html", options: blocks.Options | None = None) -> DataFrame:

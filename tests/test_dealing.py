@@ -1,11 +1,15 @@
 """Stages in Python run on all cores, however few partitions their rows come in, and give what they gave before."""
 
+import re
+
+import pyarrow as pa
 import pytest
 from docspark import queries
 from docspark.operators import anonymize, convert, publish, writers
 from docspark.operators.standins import StandIns
 from docspark.shared import dealt
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STAGES = {
     "anonymize_json": lambda df: anonymize.anonymize_json(df, "text"),
@@ -88,3 +92,41 @@ def test_constructs_take_all_cores_and_make_no_writer_a_row(spark, made, stages,
     rows = queries.QUERIES[name](spark, "/root/testdata/sf0.001").select("*", F.spark_partition_id().alias("at")).collect()
     assert len({r.at for r in rows}) >= spark.sparkContext.defaultParallelism
     assert stages[0]("<p>x</p>") == stages[0]("<p>x</p>") == [("x", "x")] and len(made) == 2
+
+
+@pytest.fixture
+def here(spark, monkeypatch):
+    """A stage of ``convert`` run in this process over pages as one batch: the rows, and the pages that it made."""
+
+    def run_here(pages: list, given: tuple[str, ...] = ()) -> tuple[list, list]:
+        class Rows:
+            def mapInArrow(self, run, kinds):  # noqa: N802
+                names = ["id", "html", *given]
+                batch = pa.RecordBatch.from_pylist([dict(zip(names, (i, *([p] * (1 + len(given)))), strict=True)) for i, p in enumerate(pages)], schema=pa.schema([("id", pa.int64()), *((n, pa.string()) for n in names[1:])]))
+                return [row for part in run(iter([batch])) for row in part.to_pylist()]
+
+        called: list = []
+        monkeypatch.setattr(convert, "dealt", lambda df: Rows())
+        df = spark.createDataFrame([], ", ".join(["id long", "html string", *(f"{g} string" for g in given)]))
+        return convert._mapped(df, "html", T.StructType.fromDDL("text string"), lambda p, *_: called.append(p) or [(p,)] * (2 if p == "b" else p != "none"), given), called
+
+    return run_here
+
+
+def test_equal_pages_of_a_slice_are_made_once(here):
+    """Each row still has all rows of its page, in order; no more than a slice is remembered, and nothing where rows bring values along."""
+    pages = ["a", "b", None, "none"] * 100
+    rows, called = here(pages)
+    assert [(r["id"], r["text"]) for r in rows] == [(i, p) for i, p in enumerate(pages) for _ in range(2 if p == "b" else p != "none")]
+    assert called == ["a", "b", None, "none"] * 2
+    rows, called = here(pages, ("links",))
+    assert called == pages and len(rows) == 400
+    assert here([str(i) for i in range(300)])[1] == [str(i) for i in range(300)]
+
+
+@pytest.mark.parametrize("name", ["block_steps"])
+def test_constructs_move_narrow_rows(spark, name):
+    """Markup is put together after the rows are dealt, once, so that one core of a compact file does not build and write it all."""
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    moved = re.findall(r"Repartition\w*[^\n]*\n(.*)", plan, re.DOTALL)
+    assert plan.count("Repartition") == 1 and "replace(" in plan and "replace(" not in moved[0]
