@@ -124,7 +124,7 @@ def test_equal_pages_of_a_slice_are_made_once(here):
     assert here([str(i) for i in range(300)])[1] == [str(i) for i in range(300)]
 
 
-@pytest.mark.parametrize("name", ["block_steps", "block_ac_link_unresolved", "block_colours_off", "block_task_list"])
+@pytest.mark.parametrize("name", ["block_steps", "block_ac_link_unresolved", "block_colours_off", "block_task_list", "block_code"])
 def test_constructs_move_narrow_rows(spark, name):
     """Markup is put together after the rows are dealt, once, so that one core of a compact file does not build and write it all."""
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
