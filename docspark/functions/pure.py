@@ -24,6 +24,8 @@ ALIASES = {
     "rb": "ruby", "gemspec": "ruby", "podspec": "ruby", "thor": "ruby", "irb": "ruby", "rs": "rust", "vbnet": "vb", "vbscript": "vb",
     "vbs": "vb", "yaml": "yml",
 }
+# The beginning of a line that is a directive wherever it stands, or is kept from being one by backslashes.
+DIRECTIVE_LINE = re.compile(r"(?m)(?:^|(?<=\r))\\*(?=include::|(?:ifdef|ifndef|ifeval|endif)::[^\[\s]*\[[^\r\n]*\][^\S\r\n]*(?:[\r\n]|\Z))")
 
 
 def nearest_colour(style: str) -> str | None:

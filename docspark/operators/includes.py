@@ -24,7 +24,7 @@ from docspark.shared import cut
 
 DEPTH = 64
 # The directive of a file that is no page, with the end of its line, and the marks of a tagged region.
-DIRECTIVE = r"(?m)^include::(?![^\[\n]*\.[aA][dD][oO][cC]\[)[^\[\n]*[^\s\[]\[[^\n]*\][ \t]*(?:\n|\z)"
+DIRECTIVE = r"(?dm)^include::(?![^\[\n]*\.[aA][dD][oO][cC]\[)[^\[\n]*[^\s\[]\[[^\n]*\][ \t]*(?:\n|\z)"
 TAG = re.compile(r"\b(tag|end)::([^\s\[\]]+)\[\](?=\s|$)")
 
 
@@ -98,7 +98,7 @@ def pieces(text: Column) -> Column:
 
 def named_attributes(text: Column) -> Column:
     """A map of a file's attribute entries; of several of one name the last counts."""
-    entries = F.regexp_extract_all(text, F.lit(r"(?m)^:[\w-]+:[ \t]+[^\n]*$"), F.lit(0))
+    entries = F.regexp_extract_all(text, F.lit(r"(?dm)^:[\w-]+:[ \t]+[^\n]*$"), F.lit(0))
     pair = lambda e: F.struct(F.regexp_extract(e, r"^:([\w-]+):", 1).alias("k"), F.regexp_replace(e, r"^:[\w-]+:[ \t]+|[ \t\r]+$", "").alias("v"))
     last = lambda pairs: F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(let(F.transform(entries, pair), last))

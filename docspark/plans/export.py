@@ -139,7 +139,7 @@ def publish_files(files: DataFrame) -> DataFrame:
     Other files of the tree are what its directives include.
     """
     files = includes.expanded(files).filter(F.lower("path").endswith(".adoc"))
-    tokens = F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z0-9_./%-]+\.adoc"), F.lit(0)))
+    tokens = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?<![A-Za-z0-9_./%-])[A-Za-z0-9_./%-]+\.adoc"), F.lit(0)))
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     # a target is seen from the folder of its file, else from the root of the tree
     roots = publish_roots(files).select(F.col("folder").alias("_folder"), F.col("root").alias("_root"))

@@ -111,15 +111,17 @@ def publish_includes(spark, d):
 
 @query(f"SELECT doc_id, {_CODE} AS code FROM documents WHERE trim({_CODE}, ' ' || chr(9) || chr(10)) <> ''")
 def export_publish_round_trip(spark, d):
-    """Code of every length, exported to a page's listing or to a file of its own, and published again."""
+    """Code of every length, exported to a page's listing or to a file of its own, and published again. A page is named by its text as well, so rows that share an id stay apart."""
     text = F.replace(F.regexp_replace("text", "\r\n?", "\n"), F.lit("]]>"), F.lit("]]]]><![CDATA[>"))
     storage = F.concat(F.lit('<ac:structured-macro ac:name="code"><ac:plain-text-body><![CDATA['), text, F.lit("]]></ac:plain-text-body></ac:structured-macro>"))
-    pages = read_table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("page_id"), F.concat(F.lit("d"), "doc_id").alias("title"), storage.alias("storage"), F.lit("v").alias("version_when"))
+    one = F.concat_ws("_", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
+    pages = read_table(spark, d, "documents").select(one.alias("page_id"), F.concat(F.lit("d"), one).alias("title"), storage.alias("storage"), F.lit("v").alias("version_when"))
     edges = spark.createDataFrame([], "parent_id string, child_id string, title string")
     files = cut(export.export_tree(pages, edges, lines=1 << 30).select("path", "content"))  # as files that are written and read again
     made = export.publish_files(files)
     code = F.replace(F.regexp_extract("storage", r"(?s)<!\[CDATA\[(.*)\]\]>", 1), F.lit("]]]]><![CDATA[>"), F.lit("]]>"))
-    return made.select(F.regexp_extract("path", "^d([0-9]+)/", 1).cast("long").alias("doc_id"), code.alias("code"))
+    number = F.nullif(F.regexp_extract("path", "^d(-?[0-9]*)_", 1), F.lit("")).cast("long")
+    return made.select(number.alias("doc_id"), code.alias("code")).filter(F.col("code").rlike(r"[^ \t\n]"))  # of blank code nothing is left
 
 
 # ---- lines and files that others name ----

@@ -3,7 +3,10 @@
 import itertools
 import random
 import string
+from collections import Counter
 
+import duckdb
+from docspark import tree_queries
 from docspark.operators import includes, sitemap
 from docspark.operators.anonymize import Anonymizer
 from docspark.operators.standins import StandIns
@@ -169,3 +172,17 @@ def test_json_by_fields():
     made = json.loads(a.json(json.dumps({"space": {"name": "Team"}, "list": [{"displayName": "Ann"}, "plain"], "attachment": {"a.png": {"download": "/x/a.png"}}, "self": "http://h/rest/api/5", "n": None, "b": True, "other": "as it is", "html": "<p>Bob</p>"})))
     assert made["space"]["name"] == a.title("Team") and made["list"] == [{"displayName": a.name("Ann")}, "plain"] and made["attachment"] == {a.file_name("a.png"): {"download": a.url("/x/a.png")}}
     assert made["n"] is None and made["b"] is True and made["other"] == "as it is" and "Bob" not in made["html"] and json.loads(a.json('"x"')) == "x"
+
+
+def test_round_trip_of_odd_texts(spark, tmp_path):
+    """White space at the ends, lines like directives or fences, blank and null texts, ids that are shared, negative or null: the rows of the SQL."""
+    long = "\n".join(f"line {i}" for i in range(30))
+    odd = ["", " \n\t", None, " ", " a ", "\n\na", "a\n", "a\n\n", "\ta\r\n\r\n", "\n" + long + "\n\n", " {" + long, "x\ninclude::x.txt[]\n" + long, "x\n\\include::x.txt[]\ny", "\\\\include::x.txt[]\n" + long,
+           "ifdef::a[]\nx\nendif::[]", long + "\nifeval::[1 == 2]\nx", "\\ifndef::a[x]", "---- \nx", "x include::x.txt[]\n", long + "\u0085include::x.txt[]", "]]>" + long + "]]>\n", "w" * 60_000, ":a: b\n{a}"]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(4, "other"), (4, "other"), (4, long), (4, long + "."), (-7, "minus"), (None, "none"), (None, long)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in tree_queries.QUERIES["export_publish_round_trip"](spark, str(tmp_path)).collect()]
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = c.sql(tree_queries.ORACLE_SQL["export_publish_round_trip"]).fetchall()
+    assert Counter(got) == Counter(want) and len(want) == len(rows) - 3
