@@ -8,6 +8,7 @@ from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docspark.shared import dealt
@@ -51,12 +52,12 @@ def T_to_arrow(kind: T.DataType) -> pa.DataType:
 
 
 def to_text(
-    df: DataFrame, html: str = "html", form: str = "md", options: blocks.Options | None = None, images: str | None = None, links: str | None = None, children: str | None = None
+    df: DataFrame, html: str = "html", form: str = "md", options: blocks.Options | None = None, images: str | None = None, links: str | None = None, children: str | None = None, deal: bool = True
 ) -> DataFrame:
     """Adds ``title`` (of the head, or null) and ``text``, the body in AsciiDoc or Markdown; and ``files`` (path, content) where options set some aside.
 
     ``links`` names a column of the page's resolved links, an array of (kind, key, space, title, url), and ``children`` one of (title, url); a row brings its own
-    along and both are left out of the result.
+    along and both are left out of the result. ``deal`` is False where the rows are dealt already.
     """
     options, show = options or blocks.Options(), writers.writer(form, images)
 
@@ -75,7 +76,7 @@ def to_text(
 
     given = tuple(c for c in (links, children) if c)
     files = "" if options.in_memory else ", files array<struct<path:string,content:string>>"
-    return _mapped(df, html, T.StructType.fromDDL(f"title string, text string{files}"), make, given)
+    return _mapped(df, html, T.StructType.fromDDL(f"title string, text string{files}"), make, given, deal)
 
 
 def to_texts(df: DataFrame, html: str = "html", forms: dict[str, str | None] | None = None, options: blocks.Options | None = None, deal: bool = True) -> DataFrame:
@@ -137,8 +138,9 @@ def link_tuples(markup: str | None, diagrams: bool = False) -> list[tuple]:
 
 
 def link_rows(df: DataFrame, html: str = "html", diagrams: bool = False) -> DataFrame:
-    """One row per distinct link key of a page; with ``diagrams`` also one per diagram, of that kind."""
-    return _mapped(df, html, T.StructType.fromDDL(LINK), lambda markup: link_tuples(markup, diagrams))
+    """One row per distinct link key of a page; with ``diagrams`` also one per diagram, of that kind. Pages without the tags that links and diagrams are made of are neither moved nor parsed."""
+    some = df.filter(F.col(html).rlike(rf"(?iu)<(?:ac:link|ri:user{'|ac:structured-macro' if diagrams else ''})"))
+    return _mapped(some, html, T.StructType.fromDDL(LINK), lambda markup: link_tuples(markup, diagrams))
 
 
 def cell_tuples(markup: str | None, show: writers.Writer) -> list[tuple]:

@@ -111,9 +111,21 @@ def with_attributes(text: Column, known: Column) -> Column:
 
 def expanded(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """``files`` with the directives in ``content`` replaced by what they name."""
+    rest, new = parted(files, path, content)
+    return rest.unionByName(new)
+
+
+def parted(files: DataFrame, path: str = "path", content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """``files`` that hold no directives, as they are, and those that do, with what these name in their place.
+
+    Of the files that are included only those that may be asked for take part in the joins, and the text of a round that is the last is not written.
+    """
     text = F.regexp_replace(F.coalesce(F.col(content), F.lit("")), "\r\n?", "\n")
     has = F.coalesce(F.col(content), F.lit("")).rlike(r"(?m)^include::")
-    sources = files.select(normal_path(F.lit(""), path).alias("target"), F.coalesce(F.col(content), F.lit("")).alias("found")).groupBy("target").agg(F.min("found").alias("found"))
+    page = F.lower("target").endswith(".adoc")
+    source = files.select(normal_path(F.lit(""), path).alias("target"), F.coalesce(F.col(content), F.lit("")).alias("found"))
+    # what may hold directives of its own, wherever in a line: an indent may be taken away
+    deep = source.filter(F.contains("found", F.lit("include::"))).select("target").distinct()
     work = files.filter(has).select(F.col(path).alias("root"), text.alias("text")).distinct()
     now = work.groupBy("root").agg(F.min("text").alias("text")).withColumn("known", named_attributes(F.col("text")))
     now = now.select("root", F.array().cast("array<int>").alias("at"), F.array(normal_path(F.lit(""), "root")).alias("chain"), "known", "text")
@@ -124,22 +136,28 @@ def expanded(files: DataFrame, path: str = "path", content: str = "content") ->
         parts = cut(parts.select("root", F.concat("at", F.array("n")).alias("at"), "chain", "known", "p.text", "p.directive"))
         done.append(parts.select("root", "at", "text"))
         asked = parts.filter("directive is not null")
-        if asked.isEmpty():
-            break
         folder = F.regexp_extract(F.element_at("chain", -1), "^(.*)/[^/]*$", 1)
         name = with_attributes(F.regexp_extract("directive", r"^include::([^\[]*)\[", 1), F.col("known"))
         given = F.regexp_extract("directive", r"\[(.*)\][ \t]*\n?$", 1)
         asked = asked.select("root", "at", "chain", "known", "directive", normal_path(folder, name).alias("target"), given.alias("given"), name.alias("name"))
+        told_of = asked.agg(F.count("*").alias("n"), F.bool_or(page).alias("pages")).first()
+        if not told_of.n:
+            break
+        # only an attribute may name a page
+        sources = (source if told_of.pages else source.filter(~page)).groupBy("target").agg(F.min("found").alias("found"))
         circle = F.array_contains("chain", F.col("target")) | F.lit(depth == DEPTH)
         both = asked.join(sources, "target", "left").withColumn("found", F.when(~circle, F.col("found")))
         told = F.when(F.col("given").rlike(r"\bopt(s|ions)\s*=\s*\"?[^,\"]*\boptional\b"), "").otherwise(
             F.concat(F.lit("Unresolved directive in "), F.element_at("chain", -1), F.lit(" - "), F.regexp_replace("directive", r"[ \t]*\n?$", ""), F.lit("\n"))
         )
         # a piece's text comes in front of what its directive stands for
-        done.append(both.filter("found is null").select("root", F.concat("at", F.array(F.lit(0))).alias("at"), told.alias("text")))
-        now = both.filter("found is not null").select(
-            "root", "at", F.concat("chain", F.array("target")).alias("chain"), "known", included_text(F.regexp_replace("found", "\r\n?", "\n"), "given").alias("text")
-        )
+        below = F.concat("at", F.array(F.lit(0))).alias("at")
+        lines = included_text(F.regexp_replace("found", "\r\n?", "\n"), "given")
+        if asked.join(deep, "target", "left_semi").isEmpty():
+            done.append(both.select("root", below, told.alias("_told"), lines.alias("_lines")).select("root", "at", F.coalesce("_lines", "_told").alias("text")))
+            break
+        done.append(both.filter("found is null").select("root", below, told.alias("text")))
+        now = both.filter("found is not null").select("root", "at", F.concat("chain", F.array("target")).alias("chain"), "known", lines.alias("text"))
     pieces_of = done[0]
     for more in done[1:]:
         pieces_of = pieces_of.unionByName(more)
@@ -147,5 +165,4 @@ def expanded(files: DataFrame, path: str = "path", content: str = "content") ->
     whole = whole.select(F.col("root").alias("_root"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("_whole"))
     new = files.filter(has).join(whole, F.col(path) == F.col("_root"), "left")
     new = new.select(*(F.coalesce("_whole", F.col(content)).alias(c) if c == content else F.col(c) for c in files.columns))
-    return files.filter(~has).unionByName(new)
-
+    return files.filter(~has), new

@@ -16,11 +16,11 @@ def is_long(text: Column | str, lines: int = LONG) -> Column:
     return newlines(text) >= lines
 
 
-def sections(df: DataFrame, text: str = "text", form: str = "adoc", images: str = "attache", fences: bool = False) -> DataFrame:
+def sections(df: DataFrame, text: str = "text", form: str = "adoc", images: str = "attache", fences: bool = False, whole: Column | None = None) -> DataFrame:
     """``df`` without ``text``, a row per part: part (0: the root), title, file, content.
 
     A part begins at a line with ``== `` (AsciiDoc) or ``## `` (Markdown), in code fences too unless ``fences`` says that these are to be seen. The root keeps what is before the first
-    one and a reference to each part. A null text gives no rows.
+    one and a reference to each part. A null text gives no rows. A row where ``whole`` is true stays as it is, as a root.
     """
     mark, extension = ("== ", "adoc") if form == "adoc" else ("## ", "md")
     body = F.regexp_replace(F.regexp_replace(F.col(text), r"\r\n?", "\n"), r"\n\z", "")
@@ -30,6 +30,8 @@ def sections(df: DataFrame, text: str = "text", form: str = "adoc", images: str
     pieces = F.split(F.when(body.startswith(mark), F.concat(F.lit("\n"), body)).otherwise(body), rf"\n(?={mark})")
     if fences:
         pieces = F.transform(pieces, lambda x: F.replace(x, F.lit("\x00"), F.lit("")))
+    if whole is not None:
+        pieces = F.when(whole, F.array(text)).otherwise(pieces)
     keep = [c for c in df.columns if c != text]
     rows = df.select(*keep, pieces.alias("_pieces")).select(*keep, "_pieces", F.posexplode("_pieces").alias("part", "_own"))
     titled = lambda x: F.substring(F.regexp_extract(x, r"\A([^\n]*)", 1), len(mark) + 1, 1 << 30)

@@ -12,7 +12,7 @@ from docspark.operators.publish import to_storage
 from docspark.operators.relational import actions, changed
 from docspark.operators.sitemap import closure, publish_roots
 from docspark.operators.split import LONG, is_long, sections
-from docspark.shared import cut
+from docspark.shared import cut, keyed, stored
 
 
 #: What can be left out of an export: the sides from which links are resolved.
@@ -64,7 +64,7 @@ def export_tree(
         top = top.join(edges.select(F.col("child_id").alias("page_id")), "page_id", "left_anti")
     tree = closure(edges, top.select(F.col("page_id").alias("id"), "title"), None if children else 0)
     wanted = pages if state is None else changed(pages, state, "page_id", "version_when")
-    rows = wanted.join(tree.select(F.col("id").alias("page_id"), "path"), "page_id")
+    rows = keyed(wanted, "page_id").join(tree.select(F.col("id").alias("page_id"), "path"), "page_id")
     form = "md" if form.lower() in ("md", "markdown") else "adoc"
     wanted_links = link_rows(rows.select("page_id", "storage"), "storage", diagrams=attached is not None).drop("ord")
     if attached is not None:
@@ -83,16 +83,15 @@ def export_tree(
     rows = rows.withColumnRenamed("title", "page_title").join(known, "page_id", "left").join(below, "page_id", "left")
     named = {"confluency-id": "page_id", "confluency-version": "version_when", "confluency-url": "url", "confluency-space": "space", "confluency-author": "author", "confluency-created": "created"}
     options = blocks.Options(in_memory=False, colours=colours)
-    made = to_text(rows, "storage", form, options, "attache" if form == "md" else None, "_links", "_children")
+    made = to_text(rows, "storage", form, options, "attache" if form == "md" else None, "_links", "_children", deal=False)
     attributes = {k: F.col(v).cast("string") for k, v in named.items() if v in made.columns}
     labels = F.col("labels") if "labels" in made.columns else F.array().cast("array<string>")
     content = header(F.col("page_title"), attributes, labels, F.col("text"), form)
     keep = ["path", "page_id", *(c for c in ("version_when",) if c in made.columns)]
-    made = made.select(*keep, "files", content.alias("content"))
-    whole = made.filter(~is_long("content", lines)).select(*keep, F.lit(f"index.{form}").alias("file"), "content")
-    parts = sections(made.filter(is_long("content", lines)).select(*keep, "content"), "content", form).select(*keep, "file", "content")
-    extra = made.select(*keep, F.explode("files").alias("f")).select(*keep, F.col("f.path").alias("file"), "f.content")
-    every = whole.unionByName(parts).unionByName(extra)
+    # a page's text and the files beside it come from one conversion
+    index = F.array(F.struct(F.lit(None).cast("string").alias("path"), content.alias("content")))
+    each = made.select(*keep, F.explode(F.concat(index, "files")).alias("f")).select(*keep, F.col("f.path").alias("_file"), "f.content")
+    every = sections(each, "content", form, whole=F.col("_file").isNotNull() | ~is_long("content", lines)).select(*keep, F.coalesce("_file", "file").alias("file"), "content")
     if debug:
         every = every.unionByName(sources_of(rows, keep))
     if attached is not None:
@@ -133,27 +132,34 @@ def publishable(files: DataFrame) -> DataFrame:
     return files.filter(F.coalesce(mark != "ignore", F.lit(True)))
 
 
-def publish_files(files: DataFrame) -> DataFrame:
+def publish_files(files: DataFrame, deal: bool = True) -> DataFrame:
     """The AsciiDoc files of a tree (path, content) as storage markup; titles of other files and the files of anchors come by joins on what each file names.
 
-    Other files of the tree are what its directives include.
+    Other files of the tree are what its directives include. Contents move once at most, to meet what other files have for them; in a tree where no file names a page or an anchor, there is nothing
+    to meet. ``deal`` is False where the rows are dealt already.
     """
-    files = includes.expanded(files).filter(F.lower("path").endswith(".adoc"))
+    is_page = F.lower("path").endswith(".adoc")
+    named_somewhere = files.agg(F.bool_or(F.col("content").rlike(r"\.adoc|<<|xref:")).alias("x")).first().x
+    roots = publish_roots(files.filter(is_page)).select(F.col("folder").alias("_folder"), F.col("root").alias("_root"))
+    plain, made = (x.filter(is_page) for x in includes.parted(files))
+    if not named_somewhere:
+        return to_storage((keyed(plain, "path") if deal else plain).unionByName(made), deal=False)
+    files = plain.unionByName(stored(made))  # read several times
     tokens = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?<![A-Za-z0-9_./%-])[A-Za-z0-9_./%-]+\.adoc"), F.lit(0)))
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    points = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?:<<|xref:)#?([A-Za-z0-9_:.\-]+)"), F.lit(1)))
+    asking = files.select("path", folder.alias("_folder"), tokens.alias("_tokens"), points.alias("_points")).filter((F.size("_tokens") > 0) | (F.size("_points") > 0))
     # a target is seen from the folder of its file, else from the root of the tree
-    roots = publish_roots(files).select(F.col("folder").alias("_folder"), F.col("root").alias("_root"))
-    files = files.withColumn("_folder", folder).join(roots, "_folder", "left").drop("_folder")
-    seen = F.flatten(F.transform(tokens, lambda t: F.array(normal_path(folder, t), normal_path(F.coalesce("_root", F.lit("")), t))))
-    named = files.select("path", F.explode(F.array_distinct(seen)).alias("other"))
+    asking = cut(asking.join(roots, "_folder", "left"))
+    seen = F.flatten(F.transform("_tokens", lambda t: F.array(normal_path("_folder", t), normal_path(F.coalesce("_root", F.lit("")), t))))
+    named = asking.select("path", F.explode(F.array_distinct(seen)).alias("other"))
     titles = files.select(F.col("path").alias("other"), file_title("content", "path").alias("title"))
     titles = named.distinct().join(titles, "other").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("other", "title"))).alias("_titles"))
-    points = F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?:<<|xref:)#?([A-Za-z0-9_:.\-]+)"), F.lit(1)))
     declared = links.anchors(files).select("anchor", F.col("path").alias("file"))
-    declared = files.select("path", F.explode(points).alias("anchor")).join(declared, "anchor")
+    declared = asking.select("path", F.explode("_points").alias("anchor")).distinct().join(declared, "anchor")
     declared = declared.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("anchor", "file"))).alias("_declared"))
-    rows = files.join(titles, "path", "left").join(declared, "path", "left")
-    return to_storage(rows, titles="_titles", declared="_declared", root="_root")
+    known = asking.select("path", "_root").distinct().join(titles, "path", "left").join(declared, "path", "left")
+    return to_storage(keyed(files, "path").join(known, "path", "left"), titles="_titles", declared="_declared", root="_root", deal=False)
 
 
 def publish_plan(rendered: DataFrame, remote: DataFrame) -> DataFrame:

@@ -33,12 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``cut`` for tables of very many rows: written as compressed columns, of which a reader takes those that it needs."""
+    """``cut`` for tables of very many rows or of long texts: written as compressed columns, of which a reader takes those that it needs."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt over all cores by ``keys``: joins by them find it in place, and a task that is run again sends each row where it sent it before."""
+    spark = df.sparkSession
+    return df.repartition(max(PARTS_A_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def dealt(df: DataFrame, together: Column | None = None) -> DataFrame:
     """``df`` dealt evenly over all cores, row by row, for stages that cost far more a row than moving it.
 

@@ -117,8 +117,8 @@ def export_publish_round_trip(spark, d):
     one = F.concat_ws("_", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
     pages = read_table(spark, d, "documents").select(one.alias("page_id"), F.concat(F.lit("d"), one).alias("title"), storage.alias("storage"), F.lit("v").alias("version_when"))
     edges = spark.createDataFrame([], "parent_id string, child_id string, title string")
-    files = cut(export.export_tree(pages, edges, lines=1 << 30).select("path", "content"))  # as files that are written and read again
-    made = export.publish_files(files)
+    files = stored(export.export_tree(pages, edges, lines=1 << 30).select("path", "content"))  # as files that are written and read again
+    made = export.publish_files(files, deal=False)
     code = F.replace(F.regexp_extract("storage", r"(?s)<!\[CDATA\[(.*)\]\]>", 1), F.lit("]]]]><![CDATA[>"), F.lit("]]>"))
     number = F.nullif(F.regexp_extract("path", "^d(-?[0-9]*)_", 1), F.lit("")).cast("long")
     return made.select(number.alias("doc_id"), code.alias("code")).filter(F.col("code").rlike(r"[^ \t\n]"))  # of blank code nothing is left

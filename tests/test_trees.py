@@ -1,16 +1,18 @@
 """Transclusion, page trees by doubling, publish roots, and stand-ins that are one to one."""
 
 import itertools
+import pathlib
 import random
 import string
 from collections import Counter
 
 import duckdb
 from docspark import tree_queries
-from docspark.operators import includes, sitemap
+from docspark.operators import convert, includes, sitemap
 from docspark.operators.anonymize import Anonymizer
 from docspark.operators.standins import StandIns
 from docspark.plans import export
+from docspark.shared import shared_folder
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -186,3 +188,39 @@ def test_round_trip_of_odd_texts(spark, tmp_path):
         c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
         want = c.sql(tree_queries.ORACLE_SQL["export_publish_round_trip"]).fetchall()
     assert Counter(got) == Counter(want) and len(want) == len(rows) - 3
+
+
+def test_round_trip_moves_texts_few_times(spark, tmp_path):
+    """Bytes shuffled and kept in the shared folder are a small multiple of the texts, which compression makes hardly smaller."""
+    draw = random.Random(5)
+    text = lambda n: "\n".join("".join(draw.choices(string.ascii_letters + string.digits, k=80)) for _ in range(n))
+    rows = [(i, text(8 if i % 2 else 300)) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    context = spark.sparkContext._jsc.sc()
+    shared = pathlib.Path(shared_folder(spark))
+
+    def moved() -> int:
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorList(True).apply(0).totalShuffleWrite() + sum(x.stat().st_size for x in shared.rglob("*") if x.is_file())
+
+    before, limit = moved(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where sides are large
+    try:
+        made = tree_queries.QUERIES["export_publish_round_trip"](spark, str(tmp_path))
+        made.write.format("noop").mode("overwrite").save()
+        grown = moved() - before
+        assert {tuple(r) for r in made.collect()} == set(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert grown < 4.5 * sum(len(t) for _, t in rows)
+
+
+def test_links_are_looked_for_where_they_may_be(spark):
+    """Pages whose markup holds no tag of a link are left out before they are parsed; names in any case, users of profiles and diagrams are found as before."""
+    user = '<ac:structured-macro ac:name="profile"><ac:parameter ac:name="user"><RI:USER ri:userkey="k"/></ac:parameter></ac:structured-macro>'
+    drawn = '<ac:structured-macro ac:name="drawio"><ac:parameter ac:name="diagramName">plan</ac:parameter></ac:structured-macro>'
+    marks = ["<p>x</p>", None, '<AC:Link><ri:page ri:content-title="A"/></AC:Link>', user, drawn, "<![CDATA[<ac:link>]]>"]
+    df = spark.createDataFrame(list(enumerate(marks)), "id int, html string")
+    for diagrams in (False, True):
+        got = {tuple(r) for r in convert.link_rows(df, diagrams=diagrams).collect()}
+        assert got == {(i, *x) for i, m in enumerate(marks) for x in convert.link_tuples(m, diagrams)} and len(got) == 2 + diagrams
