@@ -137,10 +137,13 @@ def link_tuples(markup: str | None, diagrams: bool = False) -> list[tuple]:
     return [(i, *key) for i, key in enumerate(blocks.links_of(dom.parse(markup), diagrams))]
 
 
-def link_rows(df: DataFrame, html: str = "html", diagrams: bool = False) -> DataFrame:
-    """One row per distinct link key of a page; with ``diagrams`` also one per diagram, of that kind. Pages without the tags that links and diagrams are made of are neither moved nor parsed."""
+def link_rows(df: DataFrame, html: str = "html", diagrams: bool = False, deal: bool = True) -> DataFrame:
+    """One row per distinct link key of a page; with ``diagrams`` also one per diagram, of that kind. Pages without the tags that links and diagrams are made of are neither moved nor parsed.
+
+    ``deal`` is False where the rows are dealt already.
+    """
     some = df.filter(F.col(html).rlike(rf"(?iu)<(?:ac:link|ri:user{'|ac:structured-macro' if diagrams else ''})"))
-    return _mapped(some, html, T.StructType.fromDDL(LINK), lambda markup: link_tuples(markup, diagrams))
+    return _mapped(some, html, T.StructType.fromDDL(LINK), lambda markup: link_tuples(markup, diagrams), (), deal)
 
 
 def cell_tuples(markup: str | None, show: writers.Writer) -> list[tuple]:

@@ -66,7 +66,7 @@ def export_tree(
     wanted = pages if state is None else changed(pages, state, "page_id", "version_when")
     rows = keyed(wanted, "page_id").join(tree.select(F.col("id").alias("page_id"), "path"), "page_id")
     form = "md" if form.lower() in ("md", "markdown") else "adoc"
-    wanted_links = link_rows(rows.select("page_id", "storage"), "storage", diagrams=attached is not None).drop("ord")
+    wanted_links = link_rows(rows.select("page_id", "storage"), "storage", diagrams=attached is not None, deal=False).drop("ord")
     if attached is not None:
         wanted_links = cut(wanted_links)  # parsed once for links and diagrams
     known = page_links_resolved(rows, pages, tree, form, sides, cross, wanted_links.filter("kind <> 'diagram'"))
