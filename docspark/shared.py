@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Parts for each core that rows are dealt into.
 PARTS_A_CORE = 4
+#: The session's setting that a finished query's shuffle files go at once, not when the driver collects its garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,9 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``cut`` for tables of very many rows or of long texts: written as compressed columns, of which a reader takes those that it needs."""
+    """``cut`` for tables of very many rows or of long texts: written as compressed columns, of which a reader takes those that it needs. What was shuffled for it is removed."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANED, None)
+    conf.set(CLEANED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEANED) if before is None else conf.set(CLEANED, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
